@@ -49,17 +49,21 @@ def is_marker_comment(tok: Column) -> Column:
     return (tok["type"] == L.MULTI_LINE_COMMENT) & tok["value"].rlike(C.MARKER_PATTERN)
 
 
-def keep_comment_class(tok: Column, preserved: int) -> Column:
-    """True when the token survives the comment filter for bitmask ``preserved``."""
-    keep = ~is_marker_comment(tok)
-    if preserved & C.MULTI_LINE == 0:
-        plain_ml = (tok["type"] == L.MULTI_LINE_COMMENT) & ~is_docblock(tok)
-        keep = keep & ~plain_ml
-        if preserved & C.DOCBLOCK == 0:
-            keep = keep & ~is_docblock(tok)
-    if preserved & C.SINGLE_LINE == 0:
-        keep = keep & (tok["type"] != L.SINGLE_LINE_COMMENT)
-    return keep
+def keep_comment_class(tok: Column, preserved: int | Column) -> Column:
+    """True when the token survives the comment filter for bitmask ``preserved``
+    (a Python int, or an INT column for a per-row comment class)."""
+    p = preserved if isinstance(preserved, Column) else F.lit(preserved)
+
+    def off(bit):
+        return p.bitwiseAND(F.lit(bit)) == 0
+
+    doc = is_docblock(tok)
+    is_ml = tok["type"] == L.MULTI_LINE_COMMENT
+    drop = (is_marker_comment(tok)
+            | (off(C.MULTI_LINE) & is_ml & ~doc)
+            | (off(C.MULTI_LINE) & off(C.DOCBLOCK) & doc)
+            | (off(C.SINGLE_LINE) & (tok["type"] == L.SINGLE_LINE_COMMENT)))
+    return ~drop
 
 
 def replace_templates(tokens: Column) -> Column:
@@ -92,9 +96,14 @@ def dedupe_space(sentinel_text: Column) -> Column:
     return F.regexp_replace(s, "[" + _J_WS + _J_LT + "]", "")
 
 
-def preprocess(text: Column, preserved: int, replace_literals: bool) -> Column:
+def preprocess(text: Column, preserved: int | Column, replace_literals: bool) -> Column:
     """P1 -> P4 -> P6 -> P8 -> P9 -> P10 in one projection."""
-    toks = replace_templates(L.tokenize(text))
+    return preprocess_tokens(L.tokenize(text), preserved, replace_literals)
+
+
+def preprocess_tokens(tokens: Column, preserved: int | Column, replace_literals: bool) -> Column:
+    """P11 on an already tokenised column (tokenise once, normalise per class)."""
+    toks = replace_templates(tokens)
     kept = F.filter(toks, lambda t: keep_comment_class(t, preserved))
     rendered = F.array_join(F.transform(kept, lambda t: _render(t, replace_literals)), "")
     return dedupe_space(rendered)

@@ -69,6 +69,7 @@ def d7_code_stats(spark, sf_dir):
 
 
 @register("d11_running_explicitness", """
+SELECT doc_id, lang, run_loc, run_words, rn FROM (
 WITH d AS (
   SELECT doc_id, lang,
          len(regexp_extract_all(text, '\\n+')) + 1 AS loc,
@@ -79,7 +80,7 @@ SELECT doc_id, lang,
        sum(words) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_words,
        row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn,
        count(*) OVER (PARTITION BY lang) AS n_
-FROM d QUALIFY rn % 50 = 0 OR rn = n_""")
+FROM d QUALIFY rn % 50 = 0 OR rn = n_)""")
 def d11_running(spark, sf_dir):
     """Running corpus ratio with a progress row every 50 files per language.
 

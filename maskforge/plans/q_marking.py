@@ -1 +1,50 @@
-"""Queries (placeholder)."""
+"""Marking and task queries (K1-K8) over the derived code corpus.
+
+These are checked rows-only by the driver (their oracle would need the same
+sequential potential-type fold in SQL); unit tests pin their semantics on small
+fixtures and invariants (markers <= 15 per file, markers present in all
+variants, task grid complete).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskforge.operators import marking as K
+from maskforge.plans.registry import register
+from maskforge.sources import tables as T
+
+
+@register("k1_markers")
+def k1_markers(spark, sf_dir):
+    """K1: marker count and marked-text digest per file of the code corpus."""
+    code = T.code_corpus(spark, sf_dir)
+    m = K.add_markers(code, "path", "content", "marked")
+    return m.select("path", "n_markers", F.md5("marked").alias("digest"))
+
+
+@register("k5_common_markers")
+def k5_common_markers(spark, sf_dir):
+    """K2-K6: per file, markers valid in all three type variants, capped at 15."""
+    w = K.materialize(K.variant_frame(T.code_corpus(spark, sf_dir)))
+    c = K.common_markers(w)
+    return c.select("path", F.size("common").alias("n_common"),
+                    F.array_join("common", ",").alias("markers"))
+
+
+@register("k7_tasks")
+def k7_tasks(spark, sf_dir):
+    """K7/K8: completion tasks for every (type variant x comment class) dataset."""
+    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
+    t = K.tasks(raw, replace_literals=True)
+    return t.select("path", "variant", "comments", "ordinal", "marker",
+                    F.md5("input").alias("input_digest"), "gt")
+
+
+@register("k8_dataset_sizes")
+def k8_dataset_sizes(spark, sf_dir):
+    """K8: number of tasks per output dataset ``<variant>-<comments>``."""
+    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
+    t = K.tasks(raw, replace_literals=False)
+    return (t.groupBy(F.concat_ws("-", "variant", "comments").alias("dataset"))
+            .agg(F.count(F.lit(1)).alias("tasks"), F.sum(F.length("gt")).alias("gt_chars")))

@@ -1 +1,129 @@
-"""Queries (placeholder)."""
+"""Evaluation queries (E1-E20) on prediction/ground-truth pairs derived from the
+``conversations`` table: the ground truth is an assistant turn, the prediction is
+the preceding turn of the same conversation (a "repeat the context" baseline)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskforge.functions import normalize as N
+from maskforge.operators import metrics as E
+from maskforge.plans import duck as Q
+from maskforge.plans.registry import register
+from maskforge.sources import tables as T
+
+PAIRS_SQL = """pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS gt, p.text AS prediction
+  FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+  WHERE a.role = 'assistant')"""
+
+
+def pairs(spark, sf_dir):
+    """Pair each assistant turn with the turn before it (join on the row key)."""
+    c = T.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    gt = c.filter(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.col("text").alias("gt"))
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prediction"))
+    return gt.join(prev, ["conv_id", "turn"])
+
+
+def duck_postprocess(x: str) -> str:
+    cut1 = f"CASE WHEN strpos({x}, '<s>') > 0 THEN substr({x}, strpos({x}, '<s>') + 3) ELSE {x} END"
+    cut2 = f"CASE WHEN strpos(c1, '</s>') > 0 THEN substr(c1, 1, strpos(c1, '</s>') - 1) ELSE c1 END"
+    mapped = (f"array_to_string(list_transform(list_filter({Q.tokenize('c2')}, lambda tk_: tk_.type "
+              f"NOT IN ('SingleLineComment', 'MultiLineComment')), lambda tk_: CASE "
+              f"WHEN tk_.type = 'NumericLiteral' THEN '0' WHEN tk_.type IN ('StringLiteral', "
+              f"'NoSubstitutionTemplate') THEN '\"\"' WHEN tk_.type = 'WhiteSpace' THEN ' ' "
+              f"ELSE tk_.value END), '')")
+    s = f"regexp_replace({mapped}, '[''\"`]<STR_LIT>[''\"`]', '\"\"', 'g')"
+    s = f"replace({s}, '<NUM_LIT>', '0')"
+    s = f"regexp_replace({s}, {Q.q(Q.JS_SPACE + '+')}, ' ', 'g')"
+    return cut1, cut2, Q.js_trim(Q.remove_comments(s))
+
+
+def _pp_sql(col: str, alias: str) -> str:
+    cut1, cut2, final = duck_postprocess(col)
+    return (f"(SELECT {final} FROM (SELECT {cut2} AS c2 FROM (SELECT {cut1} AS c1)))"
+            f" AS {alias}")
+
+
+@register("e2_postprocess", "WITH " + PAIRS_SQL + """
+SELECT conv_id, turn, md5(g) AS gt_digest, md5(p) AS pred_digest, length(g) AS gt_chars
+FROM (SELECT conv_id, turn, """ + _pp_sql("gt", "g") + """, """ + _pp_sql("prediction", "p") + """
+      FROM pairs)""")
+def e2_postprocess(spark, sf_dir):
+    """Paired rows with both sides normalised (digests per row)."""
+    p = pairs(spark, sf_dir)
+    s = p.select("conv_id", "turn", N.postprocess(F.col("gt")).alias("g"),
+                 N.postprocess(F.col("prediction")).alias("p"))
+    return s.select("conv_id", "turn", F.md5("g").alias("gt_digest"),
+                    F.md5("p").alias("pred_digest"), F.length("g").alias("gt_chars"))
+
+
+@register("e5_exact_match_raw", "WITH " + PAIRS_SQL + """
+SELECT count(*) AS pairs,
+       sum(CASE WHEN string_split_regex(trim(gt), '\\s+') = string_split_regex(trim(prediction), '\\s+')
+           THEN 1 ELSE 0 END) AS exact,
+       sum(CASE WHEN prediction = '' THEN 1 ELSE 0 END) AS empty_predictions
+FROM pairs""")
+def e5_exact_match_raw(spark, sf_dir):
+    """Whitespace-split exact match and empty predictions over raw pairs."""
+    p = pairs(spark, sf_dir)
+    em = (F.split(F.trim("gt"), r"\s+") == F.split(F.trim("prediction"), r"\s+")).cast("int")
+    return p.agg(F.count(F.lit(1)).alias("pairs"), F.sum(em).alias("exact"),
+                 F.sum((F.col("prediction") == "").cast("int")).alias("empty_predictions"))
+
+
+@register("e3_token_counts", "WITH " + PAIRS_SQL + """
+SELECT conv_id, turn, len(""" + Q.token_values("gt") + """) AS gt_tokens,
+       len(""" + Q.token_values("prediction") + """) AS pred_tokens FROM pairs""")
+def e3_token_counts(spark, sf_dir):
+    """Token-array projection of both sides (whitespace tokens included)."""
+    p = pairs(spark, sf_dir)
+    return p.select("conv_id", "turn", F.size(E.token_texts(F.col("gt"))).alias("gt_tokens"),
+                    F.size(E.token_texts(F.col("prediction"))).alias("pred_tokens"))
+
+
+@register("e_metric_rows")
+def e_metric_rows(spark, sf_dir):
+    """One metric row per pair (empty rows kept for alignment)."""
+    return E.score(pairs(spark, sf_dir))
+
+
+@register("e10_single_token_rows")
+def e10_single_token_rows(spark, sf_dir):
+    """First-token mode metric rows."""
+    return E.score(pairs(spark, sf_dir), single_token=True)
+
+
+@register("e12_leaderboard")
+def e12_leaderboard(spark, sf_dir):
+    """Mean metrics x 100 per (mode, turn bucket), sorted."""
+    line = E.score(pairs(spark, sf_dir)).withColumn("mode", F.lit("line"))
+    tok = E.score(pairs(spark, sf_dir), single_token=True).withColumn("mode", F.lit("token"))
+    rows = line.unionByName(tok).withColumn("bucket", F.least(F.col("turn"), F.lit(5)))
+    return E.averages(rows, ["mode", "bucket"]).orderBy("mode", "bucket")
+
+
+@register("e15_placeholder_cleanup", """
+SELECT conv_id, turn, md5(regexp_replace(replace(replace(replace(replace(replace(replace(text,
+  '<string', '<STR_LIT'), '<number', '<NUM_LIT'), '<char', '<CHAR_LIT'), '<NUM_LIT>', '0'),
+  '<STR_LIT>', ''), '<CHAR_LIT>', ''), '<(STR|NUM|CHAR)_LIT:(.*?)>', '\\2', 'gs')) AS digest
+FROM conversations""")
+def e15_placeholder_cleanup(spark, sf_dir):
+    """Placeholder clean-up of model text."""
+    c = T.read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    return c.select("conv_id", "turn", F.md5(N.placeholder_cleanup(F.col("text"))).alias("digest"))
+
+
+@register("e18_first_line_empty_share", """
+SELECT role, count(*) AS n, avg(CASE WHEN split_part(trim(text), chr(10), 1) = '' THEN 1 ELSE 0 END)
+       AS empty_share, sum(length(split_part(trim(text), chr(10), 1))) AS first_line_chars
+FROM conversations GROUP BY role""")
+def e18_first_line(spark, sf_dir):
+    """First line of each text and the share of empty first lines per role."""
+    c = T.read(spark, sf_dir, "conversations", "role", "text")
+    first = F.split(F.trim("text"), "\n").getItem(0)
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"),
+                                 F.avg((first == "").cast("int")).alias("empty_share"),
+                                 F.sum(F.length(first)).alias("first_line_chars"))

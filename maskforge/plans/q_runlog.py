@@ -1 +1,68 @@
-"""Queries (placeholder)."""
+"""Run-log rollups (R1-R5) re-aimed on the ``events`` table: ``value`` plays the
+loss, ``event_type`` the run, ``event_id`` the step.
+
+Running values use distributed prefix scans (range partitions + a bounded
+offsets table) instead of windows over a whole run, which may hold a third of
+all rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskforge.operators import ordered
+from maskforge.plans.registry import register
+from maskforge.sources import tables as T
+
+
+@register("r2_r3_running_loss", """
+SELECT event_id, event_type,
+  round(avg(value) OVER w, 6) AS mean_so_far,
+  round(max(value) OVER w, 6) AS best_so_far,
+  row_number() OVER w AS step
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def r2_r3_running_loss(spark, sf_dir):
+    """Cumulative mean and best value so far per run."""
+    e = T.read(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
+    r = ordered.cumulative(e, ["event_type"], ["ts", "event_id"], sums=["value"],
+                           maxes=["value"], count_col="step")
+    return r.select("event_id", "event_type",
+                    F.round(F.col("run_value") / F.col("step"), 6).alias("mean_so_far"),
+                    F.round("runmax_value", 6).alias("best_so_far"), "step")
+
+
+@register("r1_recent_mean", """
+SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+       ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean_last_100
+FROM events""")
+def r1_recent_mean(spark, sf_dir):
+    """Mean of the last 100 values per run (halo-exchange sliding window)."""
+    e = T.read(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
+    r = ordered.sliding_mean(e, ["event_type"], ["ts", "event_id"], "value", 100, "m")
+    return r.select("event_id", "event_type", F.round("m", 6).alias("mean_last_100"))
+
+
+@register("r4_interval_perplexity", """
+SELECT event_type, event_id // 100 AS report, round(exp(avg(value / 100.0)), 6) AS ppl,
+       count(*) AS steps
+FROM events GROUP BY 1, 2""")
+def r4_interval_perplexity(spark, sf_dir):
+    """Perplexity exp(mean loss) per logging interval of 100 steps."""
+    e = T.read(spark, sf_dir, "events", "event_id", "event_type", "value")
+    return (e.groupBy("event_type", F.floor(F.col("event_id") / 100).alias("report"))
+            .agg(F.round(F.exp(F.avg(F.col("value") / 100.0)), 6).alias("ppl"),
+                 F.count(F.lit(1)).alias("steps")))
+
+
+@register("r5_latest_checkpoint", """
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_event,
+       max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_k
+FROM events GROUP BY user_id""")
+def r5_latest_checkpoint(spark, sf_dir):
+    """Latest checkpoint per run, with a number parsed from its metadata."""
+    e = T.read(spark, sf_dir, "events", "event_id", "user_id", "ts", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.groupBy("user_id").agg(
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"),
+        F.max(k).alias("max_k"))

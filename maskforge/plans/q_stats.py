@@ -1 +1,55 @@
-"""Queries (placeholder)."""
+"""Paired statistics (A1-A8): metric rows of two evaluation modes of the same
+prediction pairs (line vs first token) are the two populations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskforge import config as C
+from maskforge.operators import metrics as E
+from maskforge.operators import significance as A
+from maskforge.plans.q_metrics import pairs
+from maskforge.plans.registry import register
+
+
+def _long(rows, population, metrics):
+    # Unpivot the metric subset to long form
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"),
+                                         F.col(m).cast("double").alias("value")) for m in metrics]))
+    return rows.select("conv_id", "turn", "empty", F.lit(population).alias("population"),
+                       stack.alias("mv")).select("conv_id", "turn", "empty", "population",
+                                                 "mv.metric", "mv.value")
+
+
+@register("a5_a6_line_vs_token")
+def a5_a6_line_vs_token(spark, sf_dir):
+    """Wilcoxon p and Cliff's delta, line mode vs single-token mode."""
+    p = pairs(spark, sf_dir)
+    line = _long(E.score(p), "line", C.SINGLE_TOKEN_METRICS)
+    tok = _long(E.score(p, single_token=True), "token", C.SINGLE_TOKEN_METRICS)
+    cat = spark.createDataFrame([("line", "token")], "pop1 string, pop2 string")
+    return A.compare(line.unionByName(tok), cat, ["conv_id", "turn"])
+
+
+@register("a6_cliffs_delta_lengths", """
+WITH t AS (SELECT conv_id, turn, length(text) AS len, role FROM conversations),
+x AS (SELECT len FROM t WHERE role = 'user'), y AS (SELECT len FROM t WHERE role = 'assistant')
+SELECT round(((SELECT count(*) FROM x, y WHERE x.len > y.len)
+            - (SELECT count(*) FROM x, y WHERE x.len < y.len))
+            / ((SELECT count(*) FROM x) * (SELECT count(*) FROM y)), 9) AS delta""")
+def a6_cliffs_delta_lengths(spark, sf_dir):
+    """Cliff's delta of text length, user vs assistant turns (rank form, no
+    m x n pairs; the oracle uses the pairwise definition)."""
+    from maskforge.sources import tables as T
+    c = T.read(spark, sf_dir, "conversations", "role", "text")
+    x = c.filter(F.col("role") == "user").select(F.length("text").cast("double").alias("v"))
+    y = c.filter(F.col("role") == "assistant").select(F.length("text").cast("double").alias("v"))
+    # pooled average ranks over per-value counts (unpaired samples)
+    counts = (x.select("v", F.lit(1).alias("is_x")).unionByName(y.select("v", F.lit(0).alias("is_x")))
+              .withColumn("g", F.lit("g")))
+    cnt = counts.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"), F.sum("is_x").alias("cx"))
+    r = A._avg_ranks(cnt, ["g"], "v")
+    agg = r.groupBy("g").agg(F.sum("cx").alias("m"), F.sum(F.col("c") - F.col("cx")).alias("k"),
+                             F.sum(F.col("cx") * F.col("avg_rank")).alias("r1"))
+    u = F.col("r1") - F.col("m") * (F.col("m") + 1) / 2.0
+    return agg.select(F.round(2 * u / (F.col("m") * F.col("k")) - 1, 9).alias("delta"))

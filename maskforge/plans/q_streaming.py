@@ -1 +1,19 @@
-"""Queries (placeholder)."""
+"""Streaming queries (X1-X3): the final sink of each stream, read back as a table."""
+
+from __future__ import annotations
+
+from maskforge.plans.registry import register
+from maskforge.streaming import ingest
+
+
+@register("x2_stream_event_stats", """
+SELECT event_type, count(*) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY 1""")
+def x2_stream_event_stats(spark, sf_dir):
+    """Resumable file-stream ingestion with a running aggregate."""
+    return ingest.event_stats(spark, sf_dir)
+
+
+@register("x3_stream_first_seen", """SELECT DISTINCT user_id FROM events""")
+def x3_stream_first_seen(spark, sf_dir):
+    """First-seen dedup of users as events arrive."""
+    return ingest.first_seen_users(spark, sf_dir)

@@ -49,7 +49,7 @@ CODE_LINE_SQL = """concat(
   '/* ', l_linestatus, ' */ let s', CAST(l_suppkey AS STRING), ' /* k */ = "', l_returnflag,
   '";', chr(10),
   CASE WHEN l_linenumber % 3 = 0 THEN concat('function f', CAST(l_partkey AS STRING),
-       '(a: number, b) {', chr(10), '  return `${a}-', CAST(l_suppkey AS STRING), '`;', chr(10),
+       '(a: number, b) {', chr(10), '  return `$', '{a}-', CAST(l_suppkey AS STRING), '`;', chr(10),
        '}', chr(10)) ELSE '' END,
   CASE WHEN l_linenumber = 2 THEN chr(10) ELSE '' END)"""
 
