@@ -98,9 +98,9 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     # partition, so offsets are needed for at most 2 x #partitions rows: that bound
     # is what makes the broadcast below safe whatever the key cardinality.
     totals = tagged.groupBy(_PID, *keys).agg(
-        *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"t_{c}") for c in sums],
-        *[F.max(F.col(c).cast("double")).alias(f"m_{c}") for c in maxes],
-        F.count(F.lit(1)).alias("t_n"))
+        *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"__t_{c}") for c in sums],
+        *[F.max(F.col(c).cast("double")).alias(f"__m_{c}") for c in maxes],
+        F.count(F.lit(1)).alias("__cnt_t"))
     if keys:
         kst = F.struct(*keys)
         wp = Window.partitionBy(_PID)
@@ -112,25 +112,26 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(
         _PID, *keys,
-        *[F.coalesce(F.sum(f"t_{c}").over(w), F.lit(0.0)).alias(f"o_{c}") for c in sums],
-        *[F.max(f"m_{c}").over(w).alias(f"om_{c}") for c in maxes],
-        F.coalesce(F.sum("t_n").over(w), F.lit(0)).alias("o_n"),
+        *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0.0)).alias(f"__o_{c}") for c in sums],
+        *[F.max(f"__m_{c}").over(w).alias(f"__om_{c}") for c in maxes],
+        F.coalesce(F.sum("__cnt_t").over(w), F.lit(0)).alias("__cnt_o"),
     )
     joined = local_df.join(F.broadcast(offs), [_PID, *keys], "left")
     out_cols = [F.col(c) for c in in_schema.names]
-    out_cols += [(F.col(f"run_{c}") + F.coalesce(F.col(f"o_{c}"), F.lit(0.0))).alias(f"run_{c}")
+    out_cols += [(F.col(f"run_{c}") + F.coalesce(F.col(f"__o_{c}"), F.lit(0.0))).alias(f"run_{c}")
                  for c in sums]
-    out_cols += [F.greatest(F.col(f"runmax_{c}"), F.coalesce(F.col(f"om_{c}"), F.lit(-np.inf)))
+    out_cols += [F.greatest(F.col(f"runmax_{c}"), F.coalesce(F.col(f"__om_{c}"), F.lit(-np.inf)))
                  .alias(f"runmax_{c}") for c in maxes]
     if count_col:
-        out_cols.append((F.col(count_col) + F.coalesce(F.col("o_n"), F.lit(0)))
+        out_cols.append((F.col(count_col) + F.coalesce(F.col("__cnt_o"), F.lit(0)))
                         .cast("long").alias(count_col))
     return joined.select(*out_cols)
 
 
-def sliding_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+def sliding_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                  width: int, out: str, partitions: int | None = None) -> DataFrame:
-    """Mean of ``value`` over the current and ``width - 1`` preceding rows per group.
+    """Sum (``<out>_sum``) and row count (``<out>_n``) of ``value`` over the current
+    and ``width - 1`` preceding rows per group (their ratio is the sliding mean).
 
     Each range partition receives the last ``width - 1`` rows of every earlier
     partition's groups as a halo (at most ``(width-1) x groups x partitions`` rows,
@@ -157,5 +158,6 @@ def sliding_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     both = body.unionByName(halo)
     w = (Window.partitionBy(_PID, *keys).orderBy(*order)
          .rowsBetween(-(width - 1), Window.currentRow))
-    return (both.withColumn(out, F.avg(value).over(w))
+    return (both.withColumn(f"{out}_sum", F.sum(value).over(w))
+            .withColumn(f"{out}_n", F.count(F.lit(1)).over(w))
             .filter(~F.col("__halo")).drop("__halo", _PID))

@@ -17,30 +17,32 @@ from maskforge.sources import tables as T
 
 @register("r2_r3_running_loss", """
 SELECT event_id, event_type,
-  round(avg(value) OVER w, 6) AS mean_so_far,
+  round(sum(value) OVER w, 6) AS sum_so_far,
   round(max(value) OVER w, 6) AS best_so_far,
   row_number() OVER w AS step
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def r2_r3_running_loss(spark, sf_dir):
-    """Cumulative mean and best value so far per run."""
+    """Cumulative loss (mean = sum_so_far / step) and best value so far per run."""
     e = T.read(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
     r = ordered.cumulative(e, ["event_type"], ["ts", "event_id"], sums=["value"],
                            maxes=["value"], count_col="step")
-    return r.select("event_id", "event_type",
-                    F.round(F.col("run_value") / F.col("step"), 6).alias("mean_so_far"),
+    return r.select("event_id", "event_type", F.round("run_value", 6).alias("sum_so_far"),
                     F.round("runmax_value", 6).alias("best_so_far"), "step")
 
 
 @register("r1_recent_mean", """
-SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
-       ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean_last_100
-FROM events""")
+SELECT event_id, event_type,
+  round(sum(value) OVER w, 6) AS sum_last_100, count(*) OVER w AS n_last_100
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id
+                        ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def r1_recent_mean(spark, sf_dir):
-    """Mean of the last 100 values per run (halo-exchange sliding window)."""
+    """Mean of the last 100 values per run, as sum and count (halo-exchange
+    sliding window: no task ever holds a whole run)."""
     e = T.read(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
-    r = ordered.sliding_mean(e, ["event_type"], ["ts", "event_id"], "value", 100, "m")
-    return r.select("event_id", "event_type", F.round("m", 6).alias("mean_last_100"))
+    r = ordered.sliding_window(e, ["event_type"], ["ts", "event_id"], "value", 100, "w")
+    return r.select("event_id", "event_type", F.round("w_sum", 6).alias("sum_last_100"),
+                    F.col("w_n").alias("n_last_100"))
 
 
 @register("r4_interval_perplexity", """

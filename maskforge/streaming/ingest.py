@@ -56,7 +56,8 @@ def first_seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     watermark, so state for old keys is dropped)."""
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
     s = _stream(spark, sf_dir, "events", schema)
-    d = (s.withWatermark("ts", "3650 days")
+    d = (s.withColumn("ts", F.col("ts").cast("timestamp"))
+         .withWatermark("ts", "3650 days")
          .dropDuplicatesWithinWatermark(["user_id"])
          .select("user_id"))
     return run_to_table(d, "append", "users")
