@@ -121,16 +121,22 @@ def _first_line(part: Column) -> Column:
 
 def valid_markers(content: Column) -> Column:
     """K2-K4: distinct markers that occur once, with a non-empty left context and
-    a non-empty ground truth (first line after it, comments removed, trimmed)."""
+    a non-empty ground truth (first line after it, comments removed, trimmed).
+
+    Each marker's split is computed once (a struct per marker) and then tested."""
     found = F.regexp_extract_all(content, F.lit(C.MARKER_PATTERN), 0)
+    split = F.transform(found, lambda m: F.struct(
+        m.alias("m"), F.split(content, quote_re(m)).alias("p")))
+    checked = F.transform(split, lambda x: F.struct(
+        x["m"].alias("m"), F.size(x["p"]).alias("n"),
+        F.length(F.get(x["p"], 0)).alias("left"),
+        _first_line(F.get(x["p"], 1)).alias("line")))
 
-    def ok(m):
-        parts = F.split(content, quote_re(m))
-        gt = N.js_trim(L.remove_comments(_first_line(F.get(parts, 1))))
-        return ((F.size(parts) == 2) & (F.length(F.get(parts, 0)) > 0)
-                & (F.length(_first_line(F.get(parts, 1))) > 0) & (F.length(gt) > 0))
+    def ok(x):
+        gt = N.js_trim(L.remove_comments(x["line"]))
+        return (x["n"] == 2) & (x["left"] > 0) & (F.length(x["line"]) > 0) & (F.length(gt) > 0)
 
-    return F.array_distinct(F.filter(found, ok))
+    return F.array_distinct(F.transform(F.filter(checked, ok), lambda x: x["m"]))
 
 
 def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
@@ -142,10 +148,34 @@ def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
     return F.when(F.size(common) > k, F.transform(kept, lambda x: x["m"])).otherwise(common)
 
 
+def with_marked_variants(df: DataFrame, content: str, markers: str, out: str) -> DataFrame:
+    """K3: add ``out`` = STRUCT<ok BOOLEAN, tasks ARRAY<STRUCT<marker, input, gt>>>
+    for the given markers (named by text order).  ``ok`` is false when the split
+    does not give one part per marker plus one, or a ground-truth line is empty.
+
+    The split parts and truth lines are materialised as columns before the
+    per-task lambda reads them (lambdas do not share sub-expressions)."""
+    mk = F.col(markers)
+    alt = F.array_join(F.transform(mk, quote_re), "|")
+    df = df.withColumn(f"{out}__p", F.split(F.col(content), alt))
+    parts = F.col(f"{out}__p")
+    k = F.size(mk)
+    df = df.withColumn(f"{out}__t", F.transform(F.slice(parts, 2, F.greatest(k, F.lit(1))),
+                                                _first_line))
+    truths = F.col(f"{out}__t")
+    ok = ((F.size(parts) == k + 1) & F.forall(truths, lambda t: F.length(t) > 0)) | (k == 0)
+    tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(
+        F.get(mk, i).alias("marker"),
+        F.array_join(F.slice(parts, 1, i + 1), "").alias("input"),
+        N.js_trim(L.remove_comments(F.get(truths, i))).alias("gt")))
+    empty = F.array().cast("array<struct<marker:string,input:string,gt:string>>")
+    df = df.withColumn(out, F.struct(ok.alias("ok"),
+                                     F.when(k > 0, tasks).otherwise(empty).alias("tasks")))
+    return df.drop(f"{out}__p", f"{out}__t")
+
+
 def marked_variants(content: Column, markers: Column) -> Column:
-    """K3: STRUCT<ok BOOLEAN, tasks ARRAY<STRUCT<marker, input, gt>>> for the given
-    markers (named by text order).  ``ok`` is false when the split does not give
-    one part per marker plus one, or a ground-truth line is empty."""
+    """K3 as a single Column (for small inputs and tests); see with_marked_variants."""
     alt = F.array_join(F.transform(markers, quote_re), "|")
     parts = F.split(content, alt)
     k = F.size(markers)
@@ -198,7 +228,7 @@ def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS,
         wide = materialize(wide.select(path, *variants).repartition(n, path))
     w = common_markers(wide, path, variants)
     for v in variants:
-        w = w.withColumn(f"__mv_{v}", marked_variants(F.col(v), F.col("common")))
+        w = with_marked_variants(w, v, "common", f"__mv_{v}")
     all_ok = F.lit(True)
     for v in variants:
         all_ok = all_ok & F.col(f"__mv_{v}")["ok"]
