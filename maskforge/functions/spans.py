@@ -87,28 +87,34 @@ def with_potential_type_spans(df, tokens: str, out: str):
     return df.drop(f"{out}__i", f"{out}__v", f"{out}__f")
 
 
-def group_potential_types(tokens: Column, spans: Column) -> Column:
-    """Replace each span by one ``PotentialType`` token holding the joined text.
-
-    ``tokens`` and ``spans`` must be column references (both are indexed in lambdas).
-    """
-    starts = F.map_from_arrays(F.transform(spans, lambda s: s["s"]),
-                               F.transform(spans, lambda s: s["e"]))
-    inner = F.flatten(F.transform(spans, lambda s: F.when(
+def with_grouped_spans(df, tokens: str, spans: str, out: str):
+    """Add ``out``: tokens with each span replaced by one ``PotentialType`` token
+    holding the joined text.  The span maps and the value array are materialised
+    as columns first, because a lambda re-evaluates any expression it references
+    for every element."""
+    sp = F.col(spans)
+    df = df.withColumn(f"{out}__st", F.map_from_arrays(F.transform(sp, lambda s: s["s"]),
+                                                        F.transform(sp, lambda s: s["e"])))
+    inner = F.flatten(F.transform(sp, lambda s: F.when(
         s["e"] > s["s"], F.sequence(s["s"] + 1, s["e"])).otherwise(F.array().cast("array<int>"))))
-    covered = F.map_from_arrays(inner, F.array_repeat(F.lit(True), F.size(inner)))
-    n = F.size(tokens)
-    values = F.transform(tokens, lambda t: t["value"])
-    return F.filter(
-        F.transform(F.sequence(F.lit(0), n - 1), lambda i: (
+    df = df.withColumn(f"{out}__cv", inner)
+    df = df.withColumn(f"{out}__cv", F.map_from_arrays(
+        F.col(f"{out}__cv"), F.array_repeat(F.lit(True), F.size(f"{out}__cv"))))
+    df = df.withColumn(f"{out}__vals", F.transform(F.col(tokens), lambda t: t["value"]))
+    starts, covered, values = F.col(f"{out}__st"), F.col(f"{out}__cv"), F.col(f"{out}__vals")
+    toks = F.col(tokens)
+    n = F.size(toks)
+    grouped = F.filter(
+        F.transform(toks, lambda t, i: (
             F.when(F.try_element_at(starts, i).isNotNull(),
                    F.struct(F.lit(L.POTENTIAL_TYPE).alias("type"),
                             F.array_join(F.slice(values, i + 1,
                                                  F.try_element_at(starts, i) - i + 1), "")
                             .alias("value")))
             .when(F.try_element_at(covered, i).isNotNull(), F.lit(None))
-            .otherwise(F.get(tokens, i)))),
+            .otherwise(t))),
         lambda t: t.isNotNull() & (n > 0))
+    return df.withColumn(out, grouped).drop(f"{out}__st", f"{out}__cv", f"{out}__vals")
 
 
 def function_body_bounds(tokens: Column) -> Column:

@@ -36,7 +36,7 @@ def with_grouped_tokens(df: DataFrame, content: str, out: str = "toks") -> DataF
     raw = f"{out}__raw"
     df = df.withColumn(raw, L.tokenize(F.col(content)))
     df = S.with_potential_type_spans(df, raw, f"{out}__spans")
-    df = df.withColumn(out, S.group_potential_types(F.col(raw), F.col(f"{out}__spans")))
+    df = S.with_grouped_spans(df, raw, f"{out}__spans", out)
     return df.drop(raw, f"{out}__spans")
 
 
@@ -83,14 +83,15 @@ def add_markers(df: DataFrame, path: str = "path", content: str = "content",
             hash_key(p, SEED, "token", c["k"], i).alias("h"), i.alias("i"))))["i"].alias("i"),
         F.concat(F.lit("/*<marker:"), j.cast("string"), F.lit(">*/")).alias("mk")))
     df = df.withColumn("__picks", picks)
-    mk = F.map_from_arrays(F.transform(F.col("__picks"), lambda x: x["i"]),
-                           F.transform(F.col("__picks"), lambda x: x["mk"]))
+    df = df.withColumn("__mk", F.map_from_arrays(F.transform(F.col("__picks"), lambda x: x["i"]),
+                                                 F.transform(F.col("__picks"), lambda x: x["mk"])))
+    mk = F.col("__mk")
     marked = F.array_join(F.transform(toks, lambda t, i: F.concat(
         F.coalesce(F.try_element_at(mk, i), F.lit("")), t["value"])), "")
     has_lines = F.size(F.col("__lines")) > 0
     return (df.withColumn(out, F.when(has_lines, marked).otherwise(F.col(content)))
               .withColumn("n_markers", F.size(F.col("__picks")))
-              .drop("__toks", "__lines", "__suit", "__picks"))
+              .drop("__toks", "__lines", "__suit", "__picks", "__mk"))
 
 
 def remove_annotations(text: Column) -> Column:
