@@ -133,3 +133,29 @@ def s16_variant_copy(spark, sf_dir):
     manifest = T.read(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1)
     return (files.join(manifest, "doc_id", "left_semi")
             .select("path", F.lit("explicit").alias("variant"), "n_chars"))
+
+
+@register("s13_split_sink_roundtrip", """
+SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'test' ELSE 'dev' END AS split,
+       count(*) AS files, sum(length(path)) AS path_chars
+FROM (SELECT source || '/' || doc_id AS path,
+             """ + Q.uniform("concat_ws('-', source || '/' || doc_id, '42')") + """ AS u
+      FROM documents) GROUP BY 1""")
+def s13_split_sink_roundtrip(spark, sf_dir):
+    """Fan the file list out by split into partitioned JSON under the shared
+    checkpoint folder, read it back with an explicit schema, count per split."""
+    import os
+    import uuid
+
+    from pyspark.sql import types as TT
+
+    from maskforge.session import checkpoint_dir
+    from maskforge.sources import sinks
+    files = T.documents_as_files(spark, sf_dir).select(
+        "path", S.weighted_split(F.col("path")).alias("split"))
+    out = os.path.join(checkpoint_dir(spark), f"splits-{uuid.uuid4().hex[:8]}")
+    sinks.write_partitioned_json(files, out, "split")
+    back = sinks.read_json(spark, out, TT.StructType([TT.StructField("path", TT.StringType()),
+                                                      TT.StructField("split", TT.StringType())]))
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("files"),
+                                     F.sum(F.length("path")).alias("path_chars"))

@@ -127,3 +127,16 @@ def e18_first_line(spark, sf_dir):
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"),
                                  F.avg((first == "").cast("int")).alias("empty_share"),
                                  F.sum(F.length(first)).alias("first_line_chars"))
+
+
+@register("e13_e17_dev_scores", "WITH " + PAIRS_SQL + """
+SELECT count(*) AS pairs,
+       sum(len(""" + Q.token_values("gt") + """)) AS input_tokens,
+       avg(CASE WHEN prediction = gt THEN 1 ELSE 0 END) AS strict_em
+FROM pairs WHERE prediction <> ''""")
+def e13_e17_dev_scores(spark, sf_dir):
+    """Token total over non-empty rows and strict string exact match."""
+    p = pairs(spark, sf_dir).filter(F.col("prediction") != "")
+    return p.agg(F.count(F.lit(1)).alias("pairs"),
+                 F.sum(F.size(E.token_texts(F.col("gt")))).alias("input_tokens"),
+                 F.avg((F.col("prediction") == F.col("gt")).cast("int")).alias("strict_em"))

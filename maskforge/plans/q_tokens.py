@@ -96,3 +96,32 @@ def p10_doc_literal_mask(spark, sf_dir):
     d = T.read(spark, sf_dir, "documents", "doc_id", "text")
     s = d.select("doc_id", N.preprocess(F.col("text"), 0, True).alias("s"))
     return s.select("doc_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
+
+
+_SCRIPT_RE = r"<script[^>]*>([\s\S]*?)</script>"
+
+
+@register("p1_page_script_tokens", """
+SELECT t.type AS type, count(*) AS tokens FROM (
+  SELECT unnest(""" + Q.tokenize("s") + """) AS t FROM (
+    SELECT unnest(regexp_extract_all(html, """ + Q.q(_SCRIPT_RE) + """, 1)) AS s FROM pages))
+GROUP BY 1""")
+def p1_page_script_tokens(spark, sf_dir):
+    """P1/S3 on web pages: tokens per class of every ``<script>`` body."""
+    pg = T.read(spark, sf_dir, "pages", "page_id", "html")
+    scripts = pg.select(F.explode(F.regexp_extract_all("html", F.lit(_SCRIPT_RE), 1)).alias("s"))
+    return _class_counts(scripts.withColumn("g", F.lit(1)), "g", "s").drop("g") \
+        .groupBy("type").agg(F.sum("tokens").alias("tokens"))
+
+
+@register("p12_line_spans")
+def p12_line_spans(spark, sf_dir):
+    """Per file, non-empty terminated lines (first/last token excluded) and
+    lines that hold a maskable token (potential types grouped first)."""
+    from maskforge.operators import marking as K
+    g = K.with_grouped_tokens(T.code_corpus(spark, sf_dir), "content", "toks")
+    g = g.withColumn("lines", K.line_ranges(F.col("toks")))
+    toks = F.col("toks")
+    maskable = F.filter("lines", lambda ln: F.exists(
+        ln, lambda i: F.get(toks, i)["type"].isin(*L.MASKABLE)))
+    return g.select("path", F.size("lines").alias("lines"), F.size(maskable).alias("maskable_lines"))
