@@ -37,6 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -52,3 +53,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``maskforge`` importable in Python workers (pandas UDFs) by shipping a
+    zip of the package with ``addPyFile``; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+
+    import maskforge
+    pkg_dir = os.path.dirname(os.path.abspath(maskforge.__file__))
+    out = tempfile.mkdtemp(prefix="maskforge-py-")
+    zpath = shutil.make_archive(os.path.join(out, "maskforge"), "zip",
+                                root_dir=os.path.dirname(pkg_dir), base_dir="maskforge")
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
