@@ -39,3 +39,14 @@ def test_identity_scores_one():
 
 def test_bleu_no_unigram_match():
     assert E.bleu4(["a"], ["b"]) == 0.0
+
+
+def test_boundary_chunks():
+    from maskforge.operators.packing import boundary_chunks
+    toks = ["a", "b", "</s>", "c", "</s>", "d", "e", "f", "g", "</s>", "h"]
+    ch = boundary_chunks(toks, 4)
+    # a line longer than the limit keeps its last tokens before the line end ("d" is
+    # skipped); the unterminated tail "h" yields no chunk
+    assert ch == [["a", "b", "</s>"], ["c", "</s>"], ["e", "f", "g", "</s>"]]
+    assert boundary_chunks([], 4) == []
+    assert boundary_chunks(["x", "y"], 4) == []
