@@ -27,7 +27,8 @@ def d7_doc_stats(spark, sf_dir):
 SELECT count(DISTINCT source) AS repos, count(*) AS files FROM documents""")
 def d6_repo_count(spark, sf_dir):
     """Distinct repositories (first path segment) over the document corpus."""
-    files = T.documents_as_files(spark, sf_dir)
+    files = T.read(spark, sf_dir, "documents", "doc_id", "source").select(
+        "doc_id", T.file_path())
     return D.repo_count(files)
 
 

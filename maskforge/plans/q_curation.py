@@ -18,8 +18,8 @@ FROM (SELECT n_chars, """ + Q.uniform("concat_ws('-', source || '/' || doc_id, '
 GROUP BY 1""")
 def k9_split_counts(spark, sf_dir):
     """K9: weighted 0.8/0.1/0.1 file split by hash of the path (partition-independent)."""
-    files = T.documents_as_files(spark, sf_dir).join(
-        T.read(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id")
+    d = T.read(spark, sf_dir, "documents", "doc_id", "source", "n_chars")  # one pruned scan
+    files = d.select(T.file_path(), "n_chars")
     return (files.withColumn("split", S.weighted_split(F.col("path")))
             .groupBy("split").agg(F.count(F.lit(1)).alias("files"),
                                   F.sum("n_chars").alias("n_chars")))
@@ -32,7 +32,8 @@ FROM (SELECT source, doc_id, """ + Q.uniform("concat_ws('-', source || '/' || do
                                 + """ AS u FROM documents)""")
 def k9_split_files(spark, sf_dir):
     """The split assignment of every file (one row per file)."""
-    files = T.documents_as_files(spark, sf_dir)
+    files = T.read(spark, sf_dir, "documents", "doc_id", "source").select(
+        "doc_id", T.file_path())
     return files.select("path", S.weighted_split(F.col("path")).alias("split"))
 
 
@@ -98,7 +99,8 @@ SELECT count(*) AS files, count(DISTINCT path) AS distinct_files FROM (
   UNION ALL SELECT source || '/' || doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))""")
 def d4_manifest_dedup(spark, sf_dir):
     """Union of per-project file lists with first-seen dedup, counted."""
-    files = T.documents_as_files(spark, sf_dir).select("path", "doc_id")
+    files = T.read(spark, sf_dir, "documents", "doc_id", "source").select(
+        "doc_id", T.file_path()).select("path", "doc_id")
     labeled = files.join(T.read(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_semi")
     both = files.select("path").unionAll(labeled.select("path"))
     return both.agg(F.count(F.lit(1)).alias("files"),
@@ -128,8 +130,8 @@ SELECT source || '/' || doc_id AS path, 'explicit' AS variant, n_chars
 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def s16_variant_copy(spark, sf_dir):
     """Copy only manifest files (here: quality-labelled) into a variant."""
-    files = T.documents_as_files(spark, sf_dir).join(
-        T.read(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id")
+    files = T.read(spark, sf_dir, "documents", "doc_id", "source", "n_chars").select(
+        "doc_id", T.file_path(), "n_chars")
     manifest = T.read(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1)
     return (files.join(manifest, "doc_id", "left_semi")
             .select("path", F.lit("explicit").alias("variant"), "n_chars"))
@@ -151,7 +153,8 @@ def s13_split_sink_roundtrip(spark, sf_dir):
 
     from maskforge.session import checkpoint_dir
     from maskforge.sources import sinks
-    files = T.documents_as_files(spark, sf_dir).select(
+    files = T.read(spark, sf_dir, "documents", "doc_id", "source").select(
+        "doc_id", T.file_path()).select(
         "path", S.weighted_split(F.col("path")).alias("split"))
     out = os.path.join(checkpoint_dir(spark), f"splits-{uuid.uuid4().hex[:8]}")
     sinks.write_partitioned_json(files, out, "split")

@@ -45,6 +45,11 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df
 
 
+def file_path() -> "Column":
+    """``path = source/doc_id`` of a document row."""
+    return F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")
+
+
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(path, repo, content, lang)`` view of ``documents``: repo = source."""
     d = read(spark, sf_dir, "documents", "doc_id", "source", "text", "lang")
