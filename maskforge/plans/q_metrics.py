@@ -140,3 +140,13 @@ def e13_e17_dev_scores(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("pairs"),
                  F.sum(F.size(E.token_texts(F.col("gt")))).alias("input_tokens"),
                  F.avg((F.col("prediction") == F.col("gt")).cast("int")).alias("strict_em"))
+
+
+@register("e16_dev_scores")
+def e16_dev_scores(spark, sf_dir):
+    """Development scores -- whitespace-split exact match and the integer
+    fuzzy ratio round(100 x edit similarity), averaged over non-empty rows."""
+    rows = E.score(pairs(spark, sf_dir)).filter(~F.col("empty"))
+    return rows.agg(F.count(F.lit(1)).alias("n"),
+                    F.avg("exact_match").alias("em"),
+                    F.avg(F.round(F.col("levenshtein") * 100)).alias("fuzzy_ratio"))
