@@ -53,3 +53,31 @@ def a6_cliffs_delta_lengths(spark, sf_dir):
                              F.sum(F.col("cx") * F.col("avg_rank")).alias("r1"))
     u = F.col("r1") - F.col("m") * (F.col("m") + 1) / 2.0
     return agg.select(F.round(2 * u / (F.col("m") * F.col("k")) - 1, 9).alias("delta"))
+
+
+@register("a5_wilcoxon_lengths", """
+WITH pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS gt, p.text AS prediction
+  FROM conversations a JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
+  WHERE a.role = 'assistant'),
+d AS (SELECT CAST(length(gt) - length(prediction) AS DOUBLE) AS d FROM pairs
+      WHERE length(gt) <> length(prediction)),
+r AS (SELECT d, CAST(rank() OVER (ORDER BY abs(d)) AS DOUBLE)
+               + (CAST(count(*) OVER (PARTITION BY abs(d)) AS DOUBLE) - 1.0) / 2.0 AS rk FROM d),
+s AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0.0 END) AS w_plus,
+             sum(CASE WHEN d < 0 THEN rk ELSE 0.0 END) AS w_minus FROM r),
+t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties
+      FROM (SELECT count(*) AS c FROM d GROUP BY abs(d)))
+SELECT n, w_plus, w_minus,
+       round((least(w_plus, w_minus) - n * (n + 1) / 4.0)
+             / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 9) AS z
+FROM s, t""")
+def a5_wilcoxon_lengths(spark, sf_dir):
+    """A5: signed-rank test of answer length vs the preceding turn's length
+    (paired by conversation and turn; zero differences dropped, tied ranks
+    averaged, normal approximation with tie correction)."""
+    p = pairs(spark, sf_dir)
+    df = p.select(F.lit("g").alias("g"), F.length("gt").cast("double").alias("x"),
+                  F.length("prediction").cast("double").alias("y"))
+    w = A.wilcoxon(df, ["g"], "x", "y")
+    return w.select("n", "w_plus", "w_minus", F.round("z", 9).alias("z"))
