@@ -156,3 +156,26 @@ def averages(metric_rows: DataFrame, by: list[str]) -> DataFrame:
         F.sum((~F.col("empty")).cast("int")).alias("n"),
         *[F.bround(F.avg(c) * 100, 2).alias(c)
           for c in ("exact_match", "levenshtein", "bleu", "rouge", "meteor")])
+
+
+def dimension_codes(dataset: Column) -> tuple[Column, Column]:
+    """``<variant>-<comments>`` -> (types code, comments code); an unknown name
+    raises, as in the study."""
+    from maskforge import config as C
+    parts = F.split(dataset, "-")
+    v, c = F.get(parts, 0), F.get(parts, 1)
+    types = None
+    for name, code in C.TYPE_CODES:
+        types = F.when(v == name, F.lit(code)) if types is None else types.when(v == name, code)
+    types = types.otherwise(F.raise_error(F.concat(F.lit("Unknown types "), dataset)))
+    comm = None
+    for name, code in C.COMMENT_CODES:
+        comm = F.when(c == name, F.lit(code)) if comm is None else comm.when(c == name, code)
+    comm = comm.otherwise(F.raise_error(F.concat(F.lit("Unknown comments "), dataset)))
+    return types, comm
+
+
+def last_line_baseline(model_input: Column) -> Column:
+    """A "repeat the previous line" predictor: the last non-blank ``<EOL>`` line."""
+    lines = F.filter(F.split(model_input, "<EOL>"), lambda x: F.trim(x) != "")
+    return F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))

@@ -150,3 +150,20 @@ def e16_dev_scores(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"),
                     F.avg("exact_match").alias("em"),
                     F.avg(F.round(F.col("levenshtein") * 100)).alias("fuzzy_ratio"))
+
+
+@register("e14_task_leaderboard")
+def e14_task_leaderboard(spark, sf_dir):
+    """E1/E4/E12/E14 on the completion tasks: a "repeat the previous line" baseline
+    is scored on every task of the 15 datasets; means x 100 per (types, comments)."""
+    from maskforge.operators import marking as K
+    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
+    t = K.tasks(raw, replace_literals=True)
+    pr = t.select("path", "ordinal", F.concat_ws("-", "variant", "comments").alias("dataset"),
+                  "gt", E.last_line_baseline(F.col("input")).alias("prediction"))
+    rows = E.score(pr)
+    types, comm = E.dimension_codes(F.col("dataset"))
+    rows = rows.select(F.lit("last-line").alias("model"), types.alias("types"),
+                       comm.alias("comments"), *[c for c in rows.columns if c not in
+                                                ("path", "ordinal", "dataset")])
+    return E.averages(rows, ["model", "types", "comments"]).orderBy("model", "types", "comments")
