@@ -50,3 +50,46 @@ def chunk_column(tokens: Column, limit: int) -> Column:
         return pd.Series([boundary_chunks(t if t is not None else [], limit) for t in s])
 
     return _chunks(tokens)
+
+
+SPECIALS = ("<s>", "</s>", "<EOL>")
+
+
+def padded_blocks(tokens, starts, block: int, pad: str = "<pad>",
+                  bos: str = "<s>", specials=SPECIALS) -> list[list[str]]:
+    """Cut a token stream into ``block``-sized samples that end before a word
+    start (or just after a non-``bos`` special token), then right-pad.
+
+    ``starts[i]`` marks token i as the start of a word.  A full-size sample with no
+    such boundary cannot be cut and is returned whole (the study aborts there).
+    Applied per document: the stream of one document is the unit of the fold.
+    """
+    toks, st = list(tokens), list(starts)
+    out: list[list[str]] = []
+    i = 0
+    while i < len(toks):
+        sample = toks[i:i + block]
+        if len(sample) == block:
+            cut = None
+            for back in range(block):
+                k = i + block - 1 - back
+                if st[k]:
+                    cut = block - 1 - back
+                    break
+                if toks[k] in specials:
+                    cut = block - back if toks[k] != bos else block - 1 - back
+                    break
+            if cut:
+                sample = sample[:cut]
+        i += len(sample)
+        out.append(sample + [pad] * (block - len(sample)))
+    return out
+
+
+def padded_block_column(tokens: Column, starts: Column, block: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def _blocks(t: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([padded_blocks(a if a is not None else [], b if b is not None else [],
+                                        block) for a, b in zip(t, s)])
+
+    return _blocks(tokens, starts)

@@ -50,3 +50,14 @@ def test_boundary_chunks():
     assert ch == [["a", "b", "</s>"], ["c", "</s>"], ["e", "f", "g", "</s>"]]
     assert boundary_chunks([], 4) == []
     assert boundary_chunks(["x", "y"], 4) == []
+
+
+def test_padded_blocks():
+    from maskforge.operators.packing import padded_blocks
+    toks = ["<s>", "a", "b", "c", "</s>", "d", "e"]
+    starts = [False, True, False, True, False, True, False]
+    out = padded_blocks(toks, starts, 4)
+    # the first full sample backs up to the word start "c"; the tail is padded
+    assert out[0] == ["<s>", "a", "b", "<pad>"]
+    assert all(len(b) == 4 for b in out)
+    assert [t for b in out for t in b if t != "<pad>"] == toks
