@@ -3,37 +3,48 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "maskforge") -> SparkSession:
-    """Session tuned for the engine; settings that are already present win.
+    """Session for the engine; whatever the launcher has set already wins.
 
-    On a cluster the launcher decides master, memory and shuffle partitions; here
-    we only fill gaps so local runs and tests behave like the cluster plan.
+    On a cluster the launcher decides master, memory and shuffle partitions; here we
+    only fill gaps so local runs and tests behave like the cluster plan.
     """
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS")
-    builder = (
-        builder
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+    if SparkContext._gateway is None:  # heap size counts only before the JVM starts
+        heap = os.environ.get("MASKFORGE_DRIVER_MEMORY", "12g")
+        os.environ.setdefault("PYSPARK_SUBMIT_ARGS", f"--driver-memory {heap} pyspark-shell")
+    given = dict(SparkConf().getAll())
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        given |= dict(running.sparkContext.getConf().getAll())
+    gaps = {
+        "spark.ui.enabled": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
         # text stages are CPU-bound per byte: keep post-shuffle partitions small
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions",
-                str(shuffle_partitions or (int(cpus) if cpus else 8)))
-        .config("spark.driver.memory", os.environ.get("MASKFORGE_DRIVER_MEMORY", "12g"))
-    )
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    if master:
+        gaps["spark.master"] = master
+    if shuffle_partitions:
+        gaps["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    elif os.environ.get("BENCH_CPUS"):
+        gaps["spark.sql.shuffle.partitions"] = os.environ["BENCH_CPUS"]
+    builder = SparkSession.builder.appName(app)
+    for key, value in gaps.items():
+        if key not in given:
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
@@ -44,14 +55,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) do we create one.
+    The cluster names it in ``spark.checkpoint.dir``.  A single-process master
+    (``local[..]``, as in tests) gets a folder of its own when the setting is absent;
+    anywhere else the absence is an error, as executors do not share local folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="maskforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
