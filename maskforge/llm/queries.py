@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import simhash, tokens
+from maskforge.llm import nbsvm, robust, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,25 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents (4-word shingles, 4 bits)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and the MCD verdict for every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return robust.outliers(docs)
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> nbsvm.Model:
+    """Model learnt from the labelled rows of ``docs`` that are not held out."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(~nbsvm.held_out())
+    return nbsvm.train(docs, labels)
+
+
+@query
+def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels are learnt outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = nbsvm.score(docs, quality_model(docs, spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
