@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import nbsvm, robust, simhash, tokens
+from maskforge.llm import nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = nbsvm.score(docs, quality_model(docs, spark, sf_dir), keep=["doc_id"])
     return scored.select("doc_id", nbsvm.held_out().alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document with corpus-wide ownership."""
+    return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
