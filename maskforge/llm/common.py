@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ WHITESPACE = np.zeros(256, dtype=bool)
 WHITESPACE[[9, 10, 11, 12, 13, 32]] = True
 
 #: bytes of text handled at once inside a task; bounds the arrays, never the result
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -66,7 +67,7 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES
     n = batch.num_rows
     if n == 0:
         return
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[text_col]), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(batch[text_col]), 0))
     ends = np.cumsum(size.astype(np.int64))
     at = 0
     while at < n:
@@ -78,7 +79,7 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts back to back and each text's offsets (null: empty)."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     if texts.null_count == 0 and len(texts):
         off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0]:off[-1]] if off[-1] > off[0] \
@@ -174,3 +175,10 @@ def hex64(c: Column) -> Column:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only, as a byte-wise lower-casing does."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit_rows: int) -> DataFrame:
+    """Equi-join that broadcasts ``right`` only when it has at most ``limit_rows`` rows
+    (counted here) and lets Spark shuffle both sides otherwise; the result is the same."""
+    small = right.limit(limit_rows + 1).count() <= limit_rows
+    return left.join(F.broadcast(right) if small else right, on, how)

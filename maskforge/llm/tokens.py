@@ -15,9 +15,9 @@ segment) and the levels ``chunks, bitmaps, ranks`` (arrays of binary).
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskforge.llm.common import ready, shuffle_width
+from maskforge.llm.common import RangeHash, buffer_of, ready, shuffle_width, slices
 
 SEGMENT = 1 << 16
 RANK_BITS = 512
 #: distinct text pieces a worker remembers (memory, not results)
-CACHED_PIECES = 400_000
+CACHED_PIECES = 2_000_000
 
 
 # --- directly addressable codes ---------------------------------------------------
@@ -98,17 +98,53 @@ def tokenizer_file(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
-class PieceEncoder:
-    """``Tokenizer.encode(text, add_special_tokens=False).ids`` with remembered pieces.
+def _bytes_in(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo:hi + 1] = True
+    return out
+
+
+#: first bytes that may begin, and last bytes that may end, a blank character
+_MAY_START_BLANK = _bytes_in((9, 13), (0x1C, 0x20), (0xC2, 0xC2), (0xE1, 0xE3))
+_MAY_END_BLANK = _bytes_in((9, 13), (0x1C, 0x20), (0x80, 0xBF))
+_NO_BLANK = _bytes_in((0x21, 0x7E))
+_ALNUM = _bytes_in((48, 57), (65, 90), (97, 122))
+_POINT = np.zeros(256, bool)
+_POINT[list(b".,;:!?")] = True
+
 
-    A byte-level pre-tokenizer never joins what stands before a space to that space when
-    the space follows or precedes a non-blank; such texts are cut there and each distinct
-    piece is encoded by the library once.  Texts with other blank runs at a cut or with
-    the text of an added token, and other kinds of tokenizer, are encoded whole.
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions where a byte-level pre-tokenizer surely begins a new pre-token.
+
+    Before a space, unless blanks may stand on both sides of it (the pre-tokenizer joins a
+    run of blanks but for its last space); before a point that follows a letter or digit;
+    before a line feed after a non-blank, and after it if a non-blank follows.
     """
+    n = len(data)
+    prev = np.r_[np.uint8(32), data[:-1]]
+    after = np.r_[data[1:], np.uint8(32)]
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    after[inner - 1] = 32  # the end of a text counts as a blank
+    prev2 = np.r_[np.uint8(32), prev[:-1]]
+    letter = _ALNUM[prev] | ((prev2 == 0xC3) & (prev >= 0x80) & (prev != 0x97) & (prev != 0xB7))
+    cut = (data == 32) & ~(_MAY_END_BLANK[prev] & _MAY_START_BLANK[after])
+    cut |= _POINT[data] & letter
+    feed = data == 10
+    cut |= feed & _NO_BLANK[prev]
+    cut |= (prev == 10) & _NO_BLANK[prev2] & ~_MAY_START_BLANK[data] & (data != 0xC2)
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
 
-    #: a space between blanks, or at the end after a blank: pieces would not be exact
-    _UNSAFE = re.compile(r"\s (?:\s|\Z)")
+class PieceEncoder:
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` for many texts at once.
+
+    Texts are cut where the byte-level pre-tokenizer surely cuts (:func:`piece_starts`);
+    each distinct piece is encoded by the library once and remembered under its 64-bit
+    hash.  Texts that contain an added token, and other kinds of tokenizer, are encoded
+    whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,32 +156,59 @@ class PieceEncoder:
         self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                      and not pre.get("add_prefix_space") and made.get("normalizer") is None
                      and not (made.get("model") or {}).get("dropout"))
-        added = [re.escape(t["content"]) for t in made.get("added_tokens", [])]
-        self.added = re.compile("|".join(added)) if added else None
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.cuts or self._UNSAFE.search(text) or (self.added and self.added.search(text)):
-            return np.frombuffer(self._encode([text])[0], np.uint32)
-        head, *pieces = text.split(" ")
-        known = self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            new = list({p for p, f in zip(pieces, found) if f is None})
-            if len(known) + len(new) > CACHED_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._encode([" " + p for p in new])))
-            found = [known[p] for p in pieces]
-        if head:
-            found.insert(0, self._encode([head])[0])
-        return np.frombuffer(b"".join(found), np.uint32)
+        self.added = [t["content"].encode() for t in made.get("added_tokens", [])]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)   # sorted hashes of known pieces
+        self.at = np.zeros(0, np.int64)      # their ids' place in ``pool``
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(size.sum())), size
+
+    def _learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, size = self._encode([raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())])
+        at = len(self.pool) + np.cumsum(size) - size
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = (np.insert(old, where, new) for old, new in (
+            (self.keys, keys), (self.at, at), (self.size, size)))
+        self.pool = np.r_[self.pool, ids]
+
+    def _lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return where, self.keys[where] == keys
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, and how many each text has (null: none)."""
+        n = len(texts)
+        data, offsets = buffer_of(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        raw = data.tobytes()
+        if not self.cuts or any(raw.find(t) >= 0 for t in self.added):
+            return self._encode([raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+        starts = piece_starts(data, offsets)
+        ends = np.r_[starts[1:], len(data)]
+        keys, first, back = np.unique(RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+        where, known = self._lookup(keys)
+        if not known.all():
+            if len(self.keys) + len(keys) > CACHED_PIECES:
+                self._forget()
+                known[:] = False
+            new = np.flatnonzero(~known)
+            self._learn(raw, keys[new], starts[first[new]], ends[first[new]])
+            where, _ = self._lookup(keys)
+        size = self.size[where][back]
+        total = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[where][back] - (total - size), size) + np.arange(total[-1])]
+        upto = np.r_[0, total][np.searchsorted(starts, offsets)]
+        return ids, np.diff(upto)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -201,20 +264,23 @@ def segments(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
         number = 0
         for batch in batches:
-            for doc, text in zip(batch["id"], batch["t"]):
-                ids = np.concatenate([encode(text.as_py() or ""), end])
-                piece = at = 0
-                while True:
-                    take = ids[at:at + SEGMENT - state["n"]]
-                    held.append(take)
-                    table.append((number, doc.as_py(), piece, len(take)))
-                    state["n"] += len(take)
-                    at, piece = at + len(take), piece + 1
-                    if state["n"] == SEGMENT:
-                        yield flush()
-                    if at >= len(ids):
-                        break
-                number += 1
+            for rows_of in slices(batch, "t"):
+                made, sizes = encode(rows_of["t"])
+                last = np.cumsum(sizes)
+                for doc, s, e in zip(rows_of["id"], (last - sizes).tolist(), last.tolist()):
+                    ids = np.concatenate([made[s:e], end])
+                    piece = at = 0
+                    while True:
+                        take = ids[at:at + SEGMENT - state["n"]]
+                        held.append(take)
+                        table.append((number, doc.as_py(), piece, len(take)))
+                        state["n"] += len(take)
+                        at, piece = at + len(take), piece + 1
+                        if state["n"] == SEGMENT:
+                            yield flush()
+                        if at >= len(ids):
+                            break
+                    number += 1
         if table:
             yield flush()
 
