@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import licenses, mixing, nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,40 @@ def op9_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document with corpus-wide ownership."""
     return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
+@query
+def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence template of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return licenses.license_scan(docs, licenses.templates(spark))
+
+
+ORACLES["op7_license_dice"] = licenses.oracle()
+
+#: mixture of the query and the pipeline: three domains by source, then language, then source
+MIX_WEIGHTS = {"d0": 2, "d1": 1, "d2": 1, "d0/en": 3, "d1/en": 2, "d2/en": 2}
+MIX_EPOCHS = 4
+MIX_SEED = 42
+
+
+def domain(source="source"):
+    """The domain of a source: a stable third of the sources."""
+    first = F.substring(F.md5(F.coalesce(F.col(source), F.lit(""))), 1, 1)
+    return F.concat(F.lit("d"), (F.ascii(first) % 3).cast("string"))
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(MIX_WEIGHTS.items()), "path string, weight bigint")
+
+
+@query
+def op10_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs of the mixture over domain, language and source."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumn("domain", domain())
+    return mixing.mixed_ids(docs, ["domain", "lang", "source"], mix_weights(spark), 1.0, MIX_EPOCHS, MIX_SEED)
+
+
+ORACLES["op10_hierarchical_mix"] = mixing.oracle(
+    MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED,
+    "'d' || CAST(ascii(substr(md5(coalesce(source, '')), 1, 1)) % 3 AS VARCHAR)")

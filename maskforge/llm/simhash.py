@@ -33,7 +33,7 @@ UNIT_ROWS = 4096
 FANOUT = 8
 #: shingles hashed at once and candidate pairs compared at once (memory, not results)
 HASH_STEP = 1 << 15
-PAIR_STEP = 1 << 21
+PAIR_STEP = 1 << 18
 
 
 # --- fingerprints ---------------------------------------------------------------
@@ -210,7 +210,7 @@ def links(nodes: DataFrame, distance: int, unit_rows: int = UNIT_ROWS) -> DataFr
             kept_f = np.r_[kept_f, batch["fp"].to_numpy().view(np.uint64)]
             # the last unit may go on in the next batch
             whole = int(np.searchsorted(kept_u, kept_u[-1])) if len(kept_u) else 0
-            if whole >= 1 << 16:
+            if whole >= 1 << 15:
                 yield edges(kept_u[:whole], kept_f[:whole])
                 kept_u, kept_f = kept_u[whole:], kept_f[whole:]
         if len(kept_u):
