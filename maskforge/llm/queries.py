@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import licenses, mixing, nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,10 @@ def op10_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_hierarchical_mix"] = mixing.oracle(
     MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED,
     "'d' || CAST(ascii(substr(md5(coalesce(source, '')), 1, 1)) % 3 AS VARCHAR)")
+
+
+@query
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat strings of 400 bytes, removed and digested."""
+    out = longmatch.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
