@@ -18,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITESPACE = np.zeros(256, dtype=bool)
 WHITESPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: for comparisons: everything but ASCII letters, digits and non-ASCII characters parts words
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 #: bytes of text handled at once inside a task; bounds the arrays, never the result
 SLICE_BYTES = 1 << 20
 
@@ -88,14 +92,15 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = WHITESPACE
                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word; words never cross texts."""
+    """Start, end and text number of every word (run of bytes that are not ``blank``);
+    words never cross texts."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~WHITESPACE[data]
+    word = ~blank[data]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(word[:-1], out=first[1:])
@@ -140,12 +145,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of arbitrary byte ranges of one buffer, all ranges at once."""
+    """64-bit hashes of arbitrary ranges of one buffer (bytes, or 64-bit values), all at once."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_MUL, n), out=self.sums[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _powers(_MUL, n)
+        np.cumsum(terms, out=self.sums[1:])
         self.inv = _powers(_INV, n + 1)
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

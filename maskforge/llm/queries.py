@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import decontaminate, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat strings of 400 bytes, removed and digested."""
     out = longmatch.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, with the item and similarity."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
