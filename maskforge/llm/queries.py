@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import decontaminate, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import decontaminate, fuzzylines, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Documents that hold a copy of a benchmark item, with the item and similarity."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and those removed as near copies of an earlier line."""
+    out = fuzzylines.removed_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"),
+                      F.array_join("removed", ",").alias("removed_lines"))

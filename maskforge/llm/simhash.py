@@ -15,6 +15,7 @@ A unit returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,20 +171,25 @@ def unit_links(unit: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndar
 
 # --- distributed linking ----------------------------------------------------------
 
-def blocks(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``distance + 1`` bit blocks that tile 64 bits."""
-    edge = [BITS * k // (distance + 1) for k in range(distance + 2)]
+def blocks(distance: int, agree: int = 1) -> list[tuple[int, int]]:
+    """(shift, width) of ``distance + agree`` bit blocks that tile 64 bits."""
+    n = distance + agree
+    edge = [BITS * k // n for k in range(n + 1)]
     return [(lo, hi - lo) for lo, hi in zip(edge, edge[1:])]
 
 
-def links(nodes: DataFrame, distance: int, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def links(nodes: DataFrame, distance: int, unit_rows: int = UNIT_ROWS, agree: int = 1) -> DataFrame:
     """``nodes(fp)`` distinct -> edges ``(u, v)`` that span every class of fingerprints
-    linked at ``distance`` or fewer bits."""
+    linked at ``distance`` or fewer bits.
+
+    With ``agree`` > 1, bits are cut into ``distance + agree`` blocks and a unit shares that
+    many of them: more copies of each fingerprint, but far smaller units.
+    """
     spark = ready(nodes)
-    key = F.array(*[
-        F.struct(F.lit(k).alias("b"),
-                 F.shiftrightunsigned("fp", lo).bitwiseAND((1 << w) - 1 if w < 64 else -1).alias("x"))
-        for k, (lo, w) in enumerate(blocks(distance))])
+    masks = [sum(((1 << w) - 1) << lo for lo, w in chosen)
+             for chosen in itertools.combinations(blocks(distance, agree), agree)]
+    key = F.array(*[F.struct(F.lit(k).alias("b"), F.col("fp").bitwiseAND(
+        m - (1 << 64) if m >> 63 else m).alias("x")) for k, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(key).alias("k")).select("fp", "k.b", "k.x")
     # chunks of oversized units; the aggregate is one row per such unit
     large = (dealt.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unit_rows)
