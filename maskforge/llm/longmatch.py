@@ -237,6 +237,7 @@ def _marked(units: DataFrame, length: int) -> DataFrame:
     """``(anchor, whole, from, to)`` of repeated strings, from the units' indexes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def result(rows):
@@ -248,13 +249,15 @@ def _marked(units: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("unit", "anchor", "whole", "bytes"))):
-                if held and held[-1][:3] == row[:3]:
-                    continue
                 if size >= INDEX_BYTES and held[-1][0] != row[0]:
                     yield result(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+                    held, seen, size = [], set(), 0
+                # a segment stands once in an index, also where units of a cut group meet
+                # or rows repeat an id and a text
+                if row[1:3] not in seen:
+                    seen.add(row[1:3])
+                    held.append(row)
+                    size += len(row[3])
         if held:
             yield result(held)
 
@@ -292,7 +295,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      pa.array([raw[a["start"]:a["start"] + a["size"]] for a in ask], pa.binary())],
                     ["anchor", "whole", "bytes"])
 
-    # rows that repeat an id and a text give the same segments again
     cut = held.mapInArrow(cut_out, "anchor bigint, whole bigint, bytes binary")
     sizes = wanted.select("anchor", "distinct").distinct()
     found = _marked(_index_units(cut, sizes, spark), length)
