@@ -9,6 +9,9 @@ JVM extracts; the UDF returns span bounds, and the JVM regroups the tokens.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,99 +25,95 @@ CLOSERS = "}>])"
 TERMINATORS = "=,;"
 # ---------------------------------------------------------------------------
 RELEVANT = tuple(OPENERS + CLOSERS + TERMINATORS + ":")
-_MATCH = dict(zip(CLOSERS, OPENERS))
 
 
 def fold_spans(idx, vals) -> list[int]:
     """Flat [start, end, start, end, ...] token-index spans (inclusive).
 
-    A span starts at a ``:`` and ends before the first ``=``, ``,`` or ``;`` found
-    while every bracket depth is zero; closers only decrement (they never end a
-    span) and depths carry over between spans, including after a span that never
-    terminated (then the scan restarts at the next punctuator).
+    A span starts at a ``:`` and ends before the first ``=``, ``,`` or ``;`` found while
+    every bracket depth is zero; closers only lower a depth (they never end a span).  Depths
+    carry over from a span that never ended, after which the next ``:`` may start one.
+
+    Brackets count inside spans only, so the depths at a place are those at the span's start
+    plus the difference of running totals; the place that brings all to zero is looked up
+    among the terminators by its running total.
     """
-    depth = dict.fromkeys(OPENERS, 0)
+    total = [(0, 0, 0, 0)]
+    for v in vals:
+        now = list(total[-1])
+        if v in OPENERS:
+            now[OPENERS.index(v)] += 1
+        elif v in CLOSERS:
+            now[CLOSERS.index(v)] -= 1
+        total.append(tuple(now))
+    ends: dict[tuple, list[int]] = {}
+    for m, v in enumerate(vals):
+        if v in TERMINATORS:
+            ends.setdefault(total[m], []).append(m)
     out: list[int] = []
-    n = len(vals)
-    k = 0
-    while k < n:
-        if vals[k] != ":":
-            k += 1
-            continue
-        end = -1
-        for m in range(k + 1, n):
-            v = vals[m]
-            if v in depth:
-                depth[v] += 1
-            elif v in _MATCH:
-                depth[_MATCH[v]] -= 1
-            elif v in TERMINATORS and not any(depth.values()):
-                end = m
-                break
-        if end < 0:
-            k += 1
+    depth, after = (0, 0, 0, 0), 0
+    for k, v in enumerate(vals):
+        if v != ":" or k < after:
             continue
-        out.extend((int(idx[k]), int(idx[end]) - 1))
-        k = end
+        found = ends.get(tuple(t - d for t, d in zip(total[k], depth)), ())
+        at = bisect_right(found, k)
+        if at < len(found):
+            out += (int(idx[k]), int(idx[found[at]]) - 1)
+            depth, after = (0, 0, 0, 0), found[at]
+        else:
+            depth = tuple(d + e - t for d, e, t in zip(depth, total[-1], total[k]))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _spans_udf(idx: pd.Series, vals: pd.Series) -> pd.Series:
-    return pd.Series([fold_spans(i, v) if v is not None else [] for i, v in zip(idx, vals)])
+def span_heads(n: int, spans: list[int]) -> np.ndarray:
+    """For each of ``n`` tokens: the last token of the span it starts, its own number if it
+    is in no span, -1 inside a span."""
+    out = np.arange(n)
+    for s, e in zip(spans[::2], spans[1::2]):
+        out[s + 1:e + 1] = -1
+        out[s] = e
+    return out
 
 
-def with_potential_type_spans(df, tokens: str, out: str):
-    """Add ``out`` = ARRAY<STRUCT<s INT, e INT>> spans of the token column ``tokens``.
+#: a token as one character: its bracket or terminator, a line end, maskable or other
+MASKABLE_CODE, OTHER_CODE, LINE_CODE = "m", "o", "n"
 
-    The compact punctuator list is materialised first (Python UDFs may not take
-    lambda expressions as arguments), then folded by the Arrow UDF.
-    """
-    t = F.col(tokens)
-    rel = F.filter(
-        F.transform(t, lambda x, i: F.when(
-            (x["type"] == L.PUNCTUATOR) & x["value"].isin(*RELEVANT), i)),
-        lambda i: i.isNotNull())
-    df = df.withColumn(f"{out}__i", rel)
-    df = df.withColumn(f"{out}__v", F.transform(F.col(f"{out}__i"),
-                                                lambda i: F.get(t, i)["value"]))
-    df = df.withColumn(f"{out}__f", _spans_udf(F.col(f"{out}__i"), F.col(f"{out}__v")))
-    flat = F.col(f"{out}__f")
-    evens = F.filter(F.sequence(F.lit(0), F.greatest(F.size(flat) - 1, F.lit(0)), F.lit(2)),
-                     lambda j: j < F.size(flat))
-    df = df.withColumn(out, F.transform(evens, lambda j: F.struct(
-        F.get(flat, j).alias("s"), F.get(flat, j + 1).alias("e"))))
-    return df.drop(f"{out}__i", f"{out}__v", f"{out}__f")
-
-
-def with_grouped_spans(df, tokens: str, spans: str, out: str):
-    """Add ``out``: tokens with each span replaced by one ``PotentialType`` token
-    holding the joined text.  The span maps and the value array are materialised
-    as columns first, because a lambda re-evaluates any expression it references
-    for every element."""
-    sp = F.col(spans)
-    df = df.withColumn(f"{out}__st", F.map_from_arrays(F.transform(sp, lambda s: s["s"]),
-                                                        F.transform(sp, lambda s: s["e"])))
-    inner = F.flatten(F.transform(sp, lambda s: F.when(
-        s["e"] > s["s"], F.sequence(s["s"] + 1, s["e"])).otherwise(F.array().cast("array<int>"))))
-    df = df.withColumn(f"{out}__cv", inner)
-    df = df.withColumn(f"{out}__cv", F.map_from_arrays(
-        F.col(f"{out}__cv"), F.array_repeat(F.lit(True), F.size(f"{out}__cv"))))
-    df = df.withColumn(f"{out}__vals", F.transform(F.col(tokens), lambda t: t["value"]))
-    starts, covered, values = F.col(f"{out}__st"), F.col(f"{out}__cv"), F.col(f"{out}__vals")
-    toks = F.col(tokens)
-    n = F.size(toks)
-    grouped = F.filter(
-        F.transform(toks, lambda t, i: (
-            F.when(F.try_element_at(starts, i).isNotNull(),
-                   F.struct(F.lit(L.POTENTIAL_TYPE).alias("type"),
-                            F.array_join(F.slice(values, i + 1,
-                                                 F.try_element_at(starts, i) - i + 1), "")
-                            .alias("value")))
-            .when(F.try_element_at(covered, i).isNotNull(), F.lit(None))
-            .otherwise(t))),
-        lambda t: t.isNotNull() & (n > 0))
-    return df.withColumn(out, grouped).drop(f"{out}__st", f"{out}__cv", f"{out}__vals")
+
+def token_code(tok: Column) -> Column:
+    return (F.when((tok["type"] == L.PUNCTUATOR) & tok["value"].isin(*RELEVANT), tok["value"])
+            .when(tok["type"] == L.LINE_TERMINATOR, F.lit(LINE_CODE))
+            .when(L.is_maskable(tok), F.lit(MASKABLE_CODE)).otherwise(F.lit(OTHER_CODE)))
+
+
+def code_spans(code: str) -> list[int]:
+    """Spans of a token-code string."""
+    idx = [i for i, c in enumerate(code) if c in RELEVANT]
+    return fold_spans(idx, [code[i] for i in idx])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _heads_udf(code: pd.Series) -> pd.Series:
+    return pd.Series([span_heads(len(c), code_spans(c)).astype(np.int32) for c in code])
+
+
+def with_token_codes(df, content: str, values: str, codes: str):
+    """Token texts of ``content`` and one character per token."""
+    df = df.withColumn("__tk", L.tokenize(F.col(content)))
+    return (df.withColumn(values, F.transform("__tk", lambda t: t["value"]))
+            .withColumn(codes, F.array_join(F.transform("__tk", token_code), "")).drop("__tk"))
+
+
+def with_grouped_tokens(df, content: str, out: str):
+    """``out``, the tokens of ``content`` with each potential-type span as one token."""
+    df = df.withColumn("__tk", L.tokenize(F.col(content)))
+    df = df.withColumn("__va", F.transform("__tk", lambda t: t["value"]))
+    df = df.withColumn("__hd", _heads_udf(F.array_join(F.transform("__tk", token_code), "")))
+    each = F.filter(F.zip_with("__tk", F.transform("__hd", lambda h, i: F.struct(i.alias("i"), h.alias("h"))),
+                               lambda t, h: F.struct(t.alias("t"), h.alias("h"))), lambda x: x["h"]["h"] >= 0)
+    grouped = F.transform(each, lambda x: F.when(
+        x["h"]["h"] > x["h"]["i"], F.struct(F.lit(L.POTENTIAL_TYPE).alias("type"), F.array_join(
+            F.slice("__va", x["h"]["i"] + 1, x["h"]["h"] - x["h"]["i"] + 1), "").alias("value"))).otherwise(x["t"]))
+    return df.withColumn(out, grouped).drop("__tk", "__va", "__hd")
 
 
 def function_body_bounds(tokens: Column) -> Column:

@@ -11,6 +11,8 @@ pairs outside their own bound are never counted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from maskforge.llm.common import sized_join
 THRESHOLD = 0.8
 #: template bigrams up to which they are broadcast
 BROADCAST_BIGRAMS = 500_000
+#: template bigrams up to which texts without any needed word are left out first; a text
+#: left out cannot match, so the result does not depend on this
+PREFILTER_BIGRAMS = 20_000
 
 # fixed values: short licence notices and texts in common use
 TEMPLATES = {
@@ -89,21 +94,44 @@ def template_bigrams(known: DataFrame) -> DataFrame:
     return grams.select("license", F.size("g").alias("b"), F.explode("g").alias("bigram"))
 
 
+def needed_words(bigrams: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every passage that matches some template holds at least one.
+
+    A match shares at least ``b * threshold / (2 - threshold)`` of a template's ``b`` bigrams,
+    so if fewer bigrams than that stand without a chosen word, the match has one with.
+    Long words are chosen first, for they are rarer in prose.
+    """
+    chosen: set[str] = set()
+    for name in sorted(bigrams):
+        grams = [set(g.split(" ")) for g in bigrams[name]]
+        least = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        words = sorted(set().union(*grams), key=lambda w: (-min(len(w), 7), -sum(w in g for g in grams), w))
+        for word in [w for w in words if w in chosen] + words:
+            if sum(not g & chosen for g in grams) < least:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
 def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """``(id, passage, license, dice)`` of every match; passage -1 is the whole text."""
     grams = template_bigrams(known)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     # the templates' size bounds, as one row: the smallest and largest passage that can match
-    bound = grams.agg(F.min("b").alias("least"), F.max("b").alias("most")).first()
+    bound = grams.agg(F.min("b").alias("least"), F.max("b").alias("most"), F.count(F.lit(1)).alias("size")).first()
     if bound["least"] is None:
-        bound = {"least": 1 << 30, "most": 0}
+        bound = {"least": 1 << 30, "most": 0, "size": 0}
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     passages = F.concat(F.transform(lines, lambda s, i: F.struct(i.alias("passage"), s.alias("text"))),
                         F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("passage"), text.alias("text"))))
                         .otherwise(F.array().cast("array<struct<passage:int,text:string>>")))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(passages).alias("p"))
+    rows = docs
+    if bound["size"] <= PREFILTER_BIGRAMS:
+        held = {r["license"]: r["g"] for r in grams.groupBy("license").agg(F.collect_list("bigram").alias("g")).collect()}
+        rows = rows.where(F.lower(text).rlike("|".join(needed_words(held, threshold)) or "(?!)"))
+    rows = rows.select(F.col(id_col).alias("id"), F.explode(passages).alias("p"))
     # n words have at most n - 1 distinct bigrams, and the text has at least 2n - 1 characters
     rows = rows.where(F.length("p.text") >= 2 * low * bound["least"])
     rows = rows.select("id", "p.passage", _words(F.col("p.text")).alias("w"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskforge.functions import lexer as L
-from maskforge.operators import ordered
 
 
 def loc(text: Column) -> Column:
@@ -54,21 +53,3 @@ def declaration_slots(t: Column) -> Column:
     decls = F.size(F.filter(t, is_decl))
     ann = F.size(F.filter(F.transform(t, lambda x, i: annotated(x, i)), lambda f: f))
     return F.struct(decls.alias("decls"), ann.alias("annotated"))
-
-
-def running_progress(df: DataFrame, key: str, order: str, text_col: str,
-                     every: int) -> DataFrame:
-    """Running LOC and word totals per ``key`` with a progress row every
-    ``every`` rows and at the end of each group (distributed prefix sums)."""
-    base = df.select(
-        key, order,
-        loc(F.col(text_col)).alias("loc"),
-        F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"[$_\p{L}][$_\p{L}\p{Nd}]*+"), 0))
-        .alias("words"),
-    )
-    run = ordered.cumulative(base, [key], [order], sums=["loc", "words"], count_col="rn")
-    totals = base.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    out = run.join(totals, key)  # AQE broadcasts it only when its measured size is small
-    return (out.filter((F.col("rn") % every == 0) | (F.col("rn") == F.col("__n")))
-            .select(key, order, F.col("run_loc").cast("long").alias("run_loc"),
-                    F.col("run_words").cast("long").alias("run_words"), "rn"))

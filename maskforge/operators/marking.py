@@ -12,13 +12,19 @@ partition-independent and reproducible in any engine.
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskforge import config as C
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.functions import spans as S
+from maskforge.operators import ordered, sampling
 
 SEED = str(C.RANDOM_SEED)
 _MARK = r"(?:/\*<marker:\d+>\*/)?"
@@ -31,28 +37,60 @@ def hash_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("-", *[c.cast("string") for c in cols]))
 
 
-def with_grouped_tokens(df: DataFrame, content: str, out: str = "toks") -> DataFrame:
-    """P1 + P2 (lexer) + P3: tokens with potential-type spans grouped."""
-    raw = f"{out}__raw"
-    df = df.withColumn(raw, L.tokenize(F.col(content)))
-    df = S.with_potential_type_spans(df, raw, f"{out}__spans")
-    df = S.with_grouped_spans(df, raw, f"{out}__spans", out)
-    return df.drop(raw, f"{out}__spans")
+def _md5(*parts) -> str:
+    return md5("-".join(map(str, parts)).encode()).hexdigest()
+
 
+def marked_places(path: str, code: str) -> tuple[int, int, list[int]]:
+    """P12 + K1 for one file: how many non-empty terminated lines it has, how many of them
+    hold a maskable token, and the tokens that get a marker, in order.
 
-def line_ranges(toks: Column) -> Column:
-    """ARRAY<ARRAY<INT>> token indices of the non-empty, terminated lines,
-    excluding the first and last token of the document."""
-    n = F.size(toks)
-    inner = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    enc = F.array_join(F.transform(inner, lambda i: F.when(
-        F.get(toks, i)["type"] == L.LINE_TERMINATOR, F.lit("|"))
-        .otherwise(F.concat(i.cast("string"), F.lit(",")))), "")
-    segs = F.split(enc, r"\|")
-    terminated = F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0)))
-    lines = F.transform(terminated, lambda seg: F.transform(
-        F.filter(F.split(seg, ","), lambda x: x != ""), lambda x: x.cast("int")))
-    return F.filter(lines, lambda ln: F.size(ln) > 0)
+    ``code`` has a character per token (see ``spans.token_code``).  A potential-type span is
+    one token that is not maskable and ends no line; the first and the last token are left
+    out; what follows the last line end is no line.
+    """
+    if not code:
+        return 0, 0, []
+    chars = np.frombuffer(code.encode("ascii"), np.uint8)
+    heads = S.span_heads(len(chars), S.code_spans(code))
+    token = np.flatnonzero(heads >= 0)            # grouped tokens: their first raw token
+    plain = heads[token] == token
+    kind = np.where(plain, chars[token], ord(S.OTHER_CODE))
+    # a span of a single token is a group of its own too: it starts with a colon
+    for s, e in zip(*[iter(S.code_spans(code))] * 2):
+        if s == e:
+            kind[np.searchsorted(token, s)] = ord(S.OTHER_CODE)
+    inner = np.arange(1, len(token) - 1)
+    ends = inner[kind[inner] == ord(S.LINE_CODE)] if len(inner) else inner
+    lines, suitable, begin = 0, [], 1
+    other = (ord(S.OTHER_CODE), ord(S.LINE_CODE))
+    for end in ends.tolist():
+        if end > begin:
+            lines += 1
+            fit = [i for i in range(begin, end) if kind[i] not in other]
+            if fit:
+                suitable.append(fit)
+        begin = end + 1
+    n = len(suitable)
+    count = min(max(int(n * C.LINE_MASK_CHANCE), 1), n)
+    chosen = sorted(sorted(range(n), key=lambda k: (_md5(path, SEED, "line", k), k))[:count])
+    picks = [min(suitable[k], key=lambda i: (_md5(path, SEED, "token", k, i), i)) for k in chosen]
+    return lines, n, [int(token[i]) for i in picks]
+
+
+_PLACES = T.StructType([T.StructField("lines", T.IntegerType()), T.StructField("suitable", T.IntegerType()),
+                        T.StructField("picks", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_PLACES)
+def _places_udf(path: pd.Series, code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([marked_places(p, c) for p, c in zip(path, code)], columns=["lines", "suitable", "picks"])
+
+
+def line_places(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``df`` with ``__values`` (token texts) and ``__places`` (see :func:`marked_places`)."""
+    df = S.with_token_codes(df, content, "__values", "__code")
+    return df.withColumn("__places", _places_udf(F.col(path).cast("string"), F.col("__code"))).drop("__code")
 
 
 def add_markers(df: DataFrame, path: str = "path", content: str = "content",
@@ -61,37 +99,17 @@ def add_markers(df: DataFrame, path: str = "path", content: str = "content",
     ``clamp(1, n, floor(0.4 n))`` of the n lines that have a maskable token.
 
     Markers are numbered from 0 in document order.  Adds ``out`` (marked text) and
-    ``n_markers``.
+    ``n_markers``.  The text is joined from the token slices between the markers.
     """
-    df = with_grouped_tokens(df, content, "__toks")
-    toks = F.col("__toks")
-    df = df.withColumn("__lines", line_ranges(toks))
-    suitable = F.filter(
-        F.transform(F.col("__lines"), lambda ln: F.filter(
-            ln, lambda i: F.get(toks, i)["type"].isin(*L.MASKABLE))),
-        lambda m: F.size(m) > 0)
-    df = df.withColumn("__suit", suitable)
-    n = F.size(F.col("__suit"))
-    cnt = F.least(F.greatest(F.floor(n * F.lit(C.LINE_MASK_CHANCE)).cast("int"), F.lit(1)), n)
-    p = F.col(path)
-    ranked = F.array_sort(F.transform(F.col("__suit"), lambda m, k: F.struct(
-        hash_key(p, SEED, "line", k).alias("h"), k.alias("k"), m.alias("m"))))
-    chosen = F.array_sort(F.transform(F.slice(ranked, 1, cnt),
-                                      lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m"))))
-    picks = F.transform(chosen, lambda c, j: F.struct(
-        F.array_min(F.transform(c["m"], lambda i: F.struct(
-            hash_key(p, SEED, "token", c["k"], i).alias("h"), i.alias("i"))))["i"].alias("i"),
-        F.concat(F.lit("/*<marker:"), j.cast("string"), F.lit(">*/")).alias("mk")))
-    df = df.withColumn("__picks", picks)
-    df = df.withColumn("__mk", F.map_from_arrays(F.transform(F.col("__picks"), lambda x: x["i"]),
-                                                 F.transform(F.col("__picks"), lambda x: x["mk"])))
-    mk = F.col("__mk")
-    marked = F.array_join(F.transform(toks, lambda t, i: F.concat(
-        F.coalesce(F.try_element_at(mk, i), F.lit("")), t["value"])), "")
-    has_lines = F.size(F.col("__lines")) > 0
-    return (df.withColumn(out, F.when(has_lines, marked).otherwise(F.col(content)))
-              .withColumn("n_markers", F.size(F.col("__picks")))
-              .drop("__toks", "__lines", "__suit", "__picks", "__mk"))
+    df = line_places(df, path, content)
+    picks = F.col("__places.picks")
+    n = F.size("__values")
+    starts = F.concat(F.array(F.lit(0)), picks)
+    stops = F.concat(picks, F.array(n))
+    parts = F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice("__values", a + 1, b - a), ""))
+    marked = F.array_join(F.transform(parts, lambda p, j: F.when(j == 0, p).otherwise(
+        F.concat(F.lit("/*<marker:"), (j - 1).cast("string"), F.lit(">*/"), p))), "")
+    return (df.withColumn(out, marked).withColumn("n_markers", F.size(picks)).drop("__values", "__places"))
 
 
 def remove_annotations(text: Column) -> Column:
@@ -124,20 +142,25 @@ def valid_markers(content: Column) -> Column:
     """K2-K4: distinct markers that occur once, with a non-empty left context and
     a non-empty ground truth (first line after it, comments removed, trimmed).
 
-    Each marker's split is computed once (a struct per marker) and then tested."""
-    found = F.regexp_extract_all(content, F.lit(C.MARKER_PATTERN), 0)
-    split = F.transform(found, lambda m: F.struct(
-        m.alias("m"), F.split(content, quote_re(m)).alias("p")))
-    checked = F.transform(split, lambda x: F.struct(
-        x["m"].alias("m"), F.size(x["p"]).alias("n"),
-        F.length(F.get(x["p"], 0)).alias("left"),
-        _first_line(F.get(x["p"], 1)).alias("line")))
+    Markers and the lines after them are read in one pass (the line is a look-ahead, so
+    it may hold the next marker)."""
+    pattern = F.lit("(" + C.MARKER_PATTERN + r")(?=([^\n\r\u2028\u2029]*))")
+    names = F.regexp_extract_all(content, pattern, F.lit(1))
+    lines = F.regexp_extract_all(content, pattern, F.lit(2))
+    found = F.zip_with(names, lines, lambda m, line: F.struct(m.alias("m"), line.alias("line")))
+    # a name that occurs again anywhere is sorted next to itself
+    ordered_names = F.array_sort(names)
+    repeated = F.array_distinct(F.filter(F.zip_with(
+        F.slice(ordered_names, 1, F.greatest(F.size(names) - 1, F.lit(0))),
+        F.slice(ordered_names, 2, F.greatest(F.size(names) - 1, F.lit(0))),
+        lambda a, b: F.when(a == b, a)), lambda m: m.isNotNull()))
 
     def ok(x):
-        gt = N.js_trim(L.remove_comments(x["line"]))
-        return (x["n"] == 2) & (x["left"] > 0) & (F.length(x["line"]) > 0) & (F.length(gt) > 0)
+        return (~content.startswith(x["m"]) & (F.length(x["line"]) > 0)
+                & (F.length(N.js_trim(L.remove_comments(x["line"]))) > 0))
 
-    return F.array_distinct(F.transform(F.filter(checked, ok), lambda x: x["m"]))
+    good = F.transform(F.filter(found, ok), lambda x: x["m"])
+    return F.array_distinct(F.when(F.size(repeated) > 0, F.array_except(good, repeated)).otherwise(good))
 
 
 def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
@@ -149,54 +172,17 @@ def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
     return F.when(F.size(common) > k, F.transform(kept, lambda x: x["m"])).otherwise(common)
 
 
-def with_marked_variants(df: DataFrame, content: str, markers: str, out: str) -> DataFrame:
-    """K3: add ``out`` = STRUCT<ok BOOLEAN, tasks ARRAY<STRUCT<marker, input, gt>>>
-    for the given markers (named by text order).  ``ok`` is false when the split
-    does not give one part per marker plus one, or a ground-truth line is empty.
-
-    The split parts and truth lines are materialised as columns before the
-    per-task lambda reads them (lambdas do not share sub-expressions)."""
-    mk = F.col(markers)
-    alt = F.array_join(F.transform(mk, quote_re), "|")
-    df = df.withColumn(f"{out}__p", F.split(F.col(content), alt))
-    parts = F.col(f"{out}__p")
-    k = F.size(mk)
-    df = df.withColumn(f"{out}__t", F.transform(F.slice(parts, 2, F.greatest(k, F.lit(1))),
-                                                _first_line))
-    truths = F.col(f"{out}__t")
-    ok = ((F.size(parts) == k + 1) & F.forall(truths, lambda t: F.length(t) > 0)) | (k == 0)
-    tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(
-        F.get(mk, i).alias("marker"),
-        F.array_join(F.slice(parts, 1, i + 1), "").alias("input"),
-        N.js_trim(L.remove_comments(F.get(truths, i))).alias("gt")))
-    empty = F.array().cast("array<struct<marker:string,input:string,gt:string>>")
-    df = df.withColumn(out, F.struct(ok.alias("ok"),
-                                     F.when(k > 0, tasks).otherwise(empty).alias("tasks")))
-    return df.drop(f"{out}__p", f"{out}__t")
-
-
-def marked_variants(content: Column, markers: Column) -> Column:
-    """K3 as a single Column (for small inputs and tests); see with_marked_variants."""
-    alt = F.array_join(F.transform(markers, quote_re), "|")
-    parts = F.split(content, alt)
-    k = F.size(markers)
-    truths = F.transform(F.slice(parts, 2, F.greatest(k, F.lit(1))), _first_line)
-    ok = ((F.size(parts) == k + 1) & F.forall(truths, lambda t: F.length(t) > 0)) | (k == 0)
-    tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(
-        F.get(markers, i).alias("marker"),
-        F.array_join(F.slice(parts, 1, i + 1), "").alias("input"),
-        N.js_trim(L.remove_comments(F.get(truths, i))).alias("gt")))
-    return F.struct(ok.alias("ok"),
-                    F.when(k > 0, tasks).otherwise(F.array().cast(
-                        "array<struct<marker:string,input:string,gt:string>>")).alias("tasks"))
-
-
 def variant_frame(spark_df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants."""
+    """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants, written
+    once to the shared folder (the marked text is read by several lambdas below)."""
     m = add_markers(spark_df, path, content, "normal")
-    return m.select(path, "normal",
-                    add_annotations_for_corpus(F.col("normal")).alias("explicit"),
-                    remove_annotations(F.col("normal")).alias("untyped"))
+    return ordered.stage(m.select(path, "normal", add_annotations_for_corpus(F.col("normal")).alias("explicit"),
+                                  remove_annotations(F.col("normal")).alias("untyped")), "variants")
+
+
+def test_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """K9: the files of the test split; completion tasks are made from these only."""
+    return files.where(sampling.weighted_split(F.col(path)) == "test")
 
 
 def common_markers(wide: DataFrame, path: str = "path",
@@ -209,61 +195,42 @@ def common_markers(wide: DataFrame, path: str = "path",
     return wide.withColumn("common", cap_markers(F.col(path), common))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Stage boundary: reliable checkpoint into ``spark.checkpoint.dir`` (shared
-    storage on a cluster, so it survives executor loss).  It also stops the
-    optimizer from inlining the marked text into every lambda that reads it."""
-    from maskforge.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS,
-              barrier: bool = True) -> DataFrame:
-    """K7 (before normalisation): one row per (path, variant, ordinal) with the raw
-    ``input`` and ``gt``; a file failing in any variant contributes nothing."""
-    if barrier:
-        # spread files over the session's partition count before the CPU-heavy
-        # per-file work (the upstream aggregate may have been coalesced to a few)
-        n = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wide = materialize(wide.select(path, *variants).repartition(n, path))
-    w = common_markers(wide, path, variants)
-    for v in variants:
-        w = with_marked_variants(w, v, "common", f"__mv_{v}")
-    all_ok = F.lit(True)
-    for v in variants:
-        all_ok = all_ok & F.col(f"__mv_{v}")["ok"]
-    per_variant = F.array(*[F.struct(F.lit(v).alias("variant"),
-                                     F.col(f"__mv_{v}")["tasks"].alias("tasks"))
-                            for v in variants])
-    rows = (w.filter(all_ok)
-             .select(path, F.explode(per_variant).alias("pv"))
-             .select(path, F.col("pv.variant").alias("variant"),
-                     F.posexplode("pv.tasks").alias("ordinal", "task")))
-    return rows.select(path, "variant", "ordinal", F.col("task.marker").alias("marker"),
-                       F.col("task.input").alias("input"), F.col("task.gt").alias("gt"))
-
-
-def comment_grid(spark, names=None) -> DataFrame:
-    """K8: the comment-class dimension (a fixed five-row table)."""
-    rows = [(n, m) for n, m in C.COMMENT_CLASSES if names is None or n in names]
-    return spark.createDataFrame(rows, "comments string, preserved int")
-
-
-def tasks(raw: DataFrame, replace_literals: bool = True, comment_names=None) -> DataFrame:
-    """K7/K8: normalise input and gt for every comment class.
-
-    Each input is tokenised once and then filtered/rendered per class; the class
-    table has a fixed size of at most five rows, so the cross join is a broadcast.
+def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) -> DataFrame:
+    """K3/K7 before normalisation: one row per (path, variant, ordinal) with the marker, the
+    raw ``gt``, the variant's ``tokens`` and ``stop``, the marker's token number; a file with
+    an empty truth in any variant contributes nothing.
+
+    The model input of a task is what stands before its marker without the other markers,
+    so it is a prefix of the tokens and the text is tokenised once per variant.
     """
-    spark = raw.sparkSession
-    tok = raw.withColumn("__ti", L.tokenize(F.col("input"))) \
-             .withColumn("__tg", L.tokenize(F.col("gt")))
-    grid = F.broadcast(comment_grid(spark, comment_names))
-    g = tok.crossJoin(grid)
-    pres = F.col("preserved")
-    return g.select(
-        *[c for c in raw.columns if c not in ("input", "gt")], "comments",
-        N.preprocess_tokens(F.col("__ti"), pres, replace_literals).alias("input"),
-        N.preprocess_tokens(F.col("__tg"), pres, replace_literals).alias("gt"),
-    )
+    w = common_markers(wide, path, variants).where(F.size("common") > 0)
+    rows = w.select(path, "common", F.posexplode(F.array(*[F.struct(
+        F.lit(v).alias("variant"), F.col(v).alias("text")) for v in variants])).alias("__v", "v"))
+    rows = rows.select(path, "common", "v.variant", "v.text")
+    alternatives = F.array_join(F.transform("common", quote_re), "|")
+    rows = rows.withColumn("__lines", F.transform(F.slice(F.split("text", alternatives), 2, F.size("common")), _first_line))
+    bad = F.size("__lines") != F.size("common")
+    rows = rows.withColumn("__bad", (bad | F.exists("__lines", lambda t: F.length(t) == 0)).cast("int"))
+    refused = rows.groupBy(path).agg(F.max("__bad").alias("__bad")).where("__bad = 1")
+    rows = rows.join(refused, path, "left_anti")
+    rows = rows.select(path, "variant", "common", "__lines", L.tokenize(F.col("text")).alias("tokens"))
+    rows = rows.select(path, "variant", "tokens", F.posexplode(F.arrays_zip(
+        F.col("common").alias("marker"), F.col("__lines").alias("line"))).alias("ordinal", "t"))
+    texts = F.transform("tokens", lambda t: t["value"])
+    return rows.select(path, "variant", "ordinal", F.col("t.marker").alias("marker"),
+                       N.js_trim(L.remove_comments(F.col("t.line"))).alias("gt"), "tokens",
+                       F.array_position(texts, F.col("t.marker")).cast("int").alias("stop"))
+
+
+def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
+    """K7/K8: normalised ``input`` and ``gt`` of every task for every comment class.
+
+    The five renderings of a task are one projection; the rows are exploded afterwards."""
+    head = F.slice("tokens", 1, F.greatest(F.col("stop") - 1, F.lit(0)))
+    raw = raw.withColumn("__in", head).withColumn("__gt", L.tokenize(F.col("gt")))
+    grid = F.array(*[F.struct(
+        F.lit(name).alias("comments"),
+        N.preprocess_tokens(F.col("__in"), mask, replace_literals).alias("input"),
+        N.preprocess_tokens(F.col("__gt"), mask, replace_literals).alias("gt")) for name, mask in classes])
+    kept = [c for c in raw.columns if c not in ("gt", "tokens", "stop", "__in", "__gt")]
+    return raw.select(*kept, F.explode(grid).alias("c")).select(*kept, "c.comments", "c.input", "c.gt")

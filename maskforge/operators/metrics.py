@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,29 +70,30 @@ def bleu4(ref, hyp) -> float:
 
 
 def meteor_exact(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5) -> float:
-    """METEOR with the exact-match stage only (lower-cased); greedy alignment from
-    the end of both sequences, fragmentation penalty gamma·(chunks/matches)^beta."""
-    h = [(i, w.lower()) for i, w in enumerate(hyp)]
-    r = [(j, w.lower()) for j, w in enumerate(ref)]
-    matches = []
-    for i in range(len(h))[::-1]:
-        for j in range(len(r))[::-1]:
-            if h[i][1] == r[j][1]:
-                matches.append((h[i][0], r[j][0]))
-                h.pop(i)
-                r.pop(j)
-                break
-    m = len(matches)
-    if m == 0 or len(hyp) == 0 or len(ref) == 0:
+    """METEOR with the exact-match stage only (lower-cased); the fragmentation penalty is
+    gamma * (chunks / matches) ** beta.
+
+    Later words pick first and take the last free place of the same word, so each word's
+    occurrences are paired from the end.
+    """
+    if len(hyp) == 0 or len(ref) == 0:
+        return 0.0
+    free: dict[str, list[int]] = {}
+    for place, word in enumerate(ref):
+        free.setdefault(word.lower(), []).append(place)
+    to = np.full(len(hyp), -2, np.int64)
+    for place in range(len(hyp) - 1, -1, -1):
+        places = free.get(hyp[place].lower())
+        if places:
+            to[place] = places.pop()
+    matched = np.flatnonzero(to >= 0)
+    m = len(matched)
+    if m == 0:
         return 0.0
     p, rc = m / len(hyp), m / len(ref)
     fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    matches.sort()
-    chunks = 1
-    for k in range(m - 1):
-        if not (matches[k + 1][0] == matches[k][0] + 1 and matches[k + 1][1] == matches[k][1] + 1):
-            chunks += 1
-    return (1 - gamma * (chunks / m) ** beta) * fmean
+    joined = (np.diff(matched) == 1) & (np.diff(to[matched]) == 1)
+    return float((1 - gamma * ((m - joined.sum()) / m) ** beta) * fmean)
 
 
 METRIC_TYPE = T.StructType([

@@ -1,163 +1,112 @@
 """Distributed ordered scans: prefix sums and running extrema without a global window.
 
-A ``Window`` without ``partitionBy`` (or partitioned by a low-cardinality key such
-as a language that may hold a third of all rows) sends every row of a group through
-one task.  Instead:
-
-1. range-partition on (group keys, order keys) and sort within partitions, so a hot
-   group is split across many tasks;
-2. one Arrow-batched pass per partition computes the local running value and the
-   per-(partition, group) totals;
-3. the totals table has (#partitions x #groups-per-partition) rows -- bounded by the
-   partition count, not by the data -- so a window over it is cheap; its offsets are
-   broadcast back and added.
+A ``Window`` without ``partitionBy`` (or partitioned by a low-cardinality key such as a
+language that may hold a third of all rows) sends every row of a group through one task.
+Instead:
+
+1. the frame is range-partitioned on (group keys, order keys), tagged with its range
+   number and written once to the shared folder; everything below reads that one table, so
+   all parts agree on where each row is;
+2. running values are taken inside each (range, group), which is never more than a range;
+3. per-(range, group) totals are summed over earlier ranges and added.  Only the first and
+   the last group of a range can continue elsewhere, so this table has at most two rows
+   per range and is broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_PID = "__pid"
+from maskforge.session import checkpoint_dir
 
+_RANGE = "__range"
 
-def _partitions(df: DataFrame) -> int:
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/maskforge/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+           partitions: int | None = None) -> DataFrame:
+    """``df`` with the number of its key range, written once."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(n, *keys, *order).withColumn(_RANGE, F.spark_partition_id())
+    return stage(out, "ranges")
 
-def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 partitions: int | None = None) -> DataFrame:
-    cols = [*keys, *order]
-    n = partitions or _partitions(df)
-    return df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
+    cond = left[_RANGE] == right[_RANGE]
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(right[c])
+    return cond
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                sums: Sequence[str] = (), maxes: Sequence[str] = (),
                count_col: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Add running sums (``run_<c>``), running maxima (``runmax_<c>``) and a running
-    row number (``count_col``) per group ``keys`` in ``order``; inclusive of the row.
+    """Add running sums (``run_<c>``), running maxima (``runmax_<c>``) and a running row
+    number (``count_col``) per group ``keys`` in ``order``; inclusive of the row.
+
+    Null keys are a group; null values add nothing and leave a maximum as it was (null
+    before the first value).  Integer sums stay integers.
     """
     keys, order, sums, maxes = list(keys), list(order), list(sums), list(maxes)
-    sorted_df = range_sorted(df, keys, order, partitions)
-    in_schema = sorted_df.schema
-    run_fields = ([T.StructField(f"run_{c}", T.DoubleType()) for c in sums]
-                  + [T.StructField(f"runmax_{c}", T.DoubleType()) for c in maxes]
-                  + ([T.StructField(count_col, T.LongType())] if count_col else []))
-    local_schema = T.StructType(list(in_schema.fields) + run_fields
-                                + [T.StructField(_PID, T.IntegerType()),
-                                   T.StructField("__ix", T.LongType())])
-
-    def local(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry: dict = {}
-        seen = 0
-        for pdf in it:
-            if pdf.empty:
-                continue
-            g = (pdf[keys].astype(str).agg("\x1f".join, axis=1) if keys
-                 else pd.Series(np.zeros(len(pdf), dtype=np.int64), index=pdf.index))
-            out = pdf.copy()
-            for c in sums:
-                v = pdf[c].astype("float64").fillna(0.0)
-                cs = v.groupby(g, sort=False).cumsum()
-                base = g.map(lambda k, c=c: carry.get(("s", c, k), 0.0))
-                out[f"run_{c}"] = cs + base
-                for k, last in (cs + base).groupby(g, sort=False).last().items():
-                    carry[("s", c, k)] = last
-            for c in maxes:
-                v = pdf[c].astype("float64")
-                cm = v.groupby(g, sort=False).cummax()
-                base = g.map(lambda k, c=c: carry.get(("m", c, k), -np.inf))
-                run = np.maximum(cm.fillna(-np.inf), base)
-                out[f"runmax_{c}"] = run
-                for k, last in run.groupby(g, sort=False).last().items():
-                    carry[("m", c, k)] = last
-            if count_col:
-                cc = g.groupby(g, sort=False).cumcount() + 1
-                base = g.map(lambda k: carry.get(("n", k), 0))
-                out[count_col] = (cc + base).astype("int64")
-                for k, last in (cc + base).groupby(g, sort=False).last().items():
-                    carry[("n", k)] = int(last)
-            out[_PID] = pid
-            out["__ix"] = np.arange(seen, seen + len(pdf), dtype=np.int64)
-            seen += len(pdf)
-            yield out
-
-    tagged = sorted_df.withColumn(_PID, F.spark_partition_id())
-    local_df = sorted_df.mapInPandas(local, local_schema)
-    # Per-(partition, group) totals, computed JVM-side from the same range exchange.
-    # Only the first and last group of a range partition can continue in another
-    # partition, so offsets are needed for at most 2 x #partitions rows: that bound
-    # is what makes the broadcast below safe whatever the key cardinality.
-    totals = tagged.groupBy(_PID, *keys).agg(
-        *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"__t_{c}") for c in sums],
-        *[F.max(F.col(c).cast("double")).alias(f"__m_{c}") for c in maxes],
-        F.count(F.lit(1)).alias("__cnt_t"))
+    names = df.columns
+    table = ranged(df, keys, order, partitions)
+    here = Window.partitionBy(_RANGE, *keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = table.select("*", *[F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"run_{c}") for c in sums],
+                         *[F.max(c).over(here).alias(f"runmax_{c}") for c in maxes],
+                         F.count(F.lit(1)).over(here).alias("__rows"))
+    totals = table.groupBy(_RANGE, *keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in sums],
+        *[F.max(c).alias(f"__m_{c}") for c in maxes], F.count(F.lit(1)).alias("__n"))
     if keys:
-        kst = F.struct(*keys)
-        wp = Window.partitionBy(_PID)
-        totals = (totals.withColumn("__k", kst)
-                  .withColumn("__lo", F.min("__k").over(wp))
-                  .withColumn("__hi", F.max("__k").over(wp))
-                  .filter((F.col("__k") == F.col("__lo")) | (F.col("__k") == F.col("__hi")))
-                  .drop("__k", "__lo", "__hi"))
-    w = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(
-        _PID, *keys,
-        *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0.0)).alias(f"__o_{c}") for c in sums],
-        *[F.max(f"__m_{c}").over(w).alias(f"__om_{c}") for c in maxes],
-        F.coalesce(F.sum("__cnt_t").over(w), F.lit(0)).alias("__cnt_o"),
-    )
-    joined = local_df.join(F.broadcast(offs), [_PID, *keys], "left")
-    out_cols = [F.col(c) for c in in_schema.names]
-    out_cols += [(F.col(f"run_{c}") + F.coalesce(F.col(f"__o_{c}"), F.lit(0.0))).alias(f"run_{c}")
-                 for c in sums]
-    out_cols += [F.greatest(F.col(f"runmax_{c}"), F.coalesce(F.col(f"__om_{c}"), F.lit(-np.inf)))
-                 .alias(f"runmax_{c}") for c in maxes]
+        group = F.struct(*keys)
+        in_range = Window.partitionBy(_RANGE)
+        totals = totals.withColumn("__first", F.min(group).over(in_range)).withColumn(
+            "__last", F.max(group).over(in_range))
+        totals = totals.where(group.eqNullSafe(F.col("__first")) | group.eqNullSafe(F.col("__last")))
+    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        _RANGE, *keys, *[F.sum(f"__s_{c}").over(earlier).alias(f"__s_{c}") for c in sums],
+        *[F.max(f"__m_{c}").over(earlier).alias(f"__m_{c}") for c in maxes],
+        F.sum("__n").over(earlier).alias("__n"))
+    # at most two rows per range
+    joined = local.join(F.broadcast(before), _same(local, before, keys), "left")
+    out = [local[c] for c in names]
+    out += [(F.col(f"run_{c}") + F.coalesce(F.col(f"__s_{c}"), F.lit(0))).alias(f"run_{c}") for c in sums]
+    out += [F.greatest(F.col(f"runmax_{c}"), F.col(f"__m_{c}")).alias(f"runmax_{c}") for c in maxes]
     if count_col:
-        out_cols.append((F.col(count_col) + F.coalesce(F.col("__cnt_o"), F.lit(0)))
-                        .cast("long").alias(count_col))
-    return joined.select(*out_cols)
+        out.append((F.col("__rows") + F.coalesce(F.col("__n"), F.lit(0))).cast("long").alias(count_col))
+    return joined.select(*out)
 
 
 def sliding_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                 width: int, out: str, partitions: int | None = None) -> DataFrame:
-    """Sum (``<out>_sum``) and row count (``<out>_n``) of ``value`` over the current
-    and ``width - 1`` preceding rows per group (their ratio is the sliding mean).
+                   width: int, out: str, partitions: int | None = None) -> DataFrame:
+    """Sum (``<out>_sum``) and row count (``<out>_n``) of ``value`` over the current and
+    ``width - 1`` preceding rows per group (their ratio is the sliding mean).
 
-    Each range partition receives the last ``width - 1`` rows of every earlier
-    partition's groups as a halo (at most ``(width-1) x groups x partitions`` rows,
-    independent of the data size), so the window never needs a whole group.
+    Rows are dealt into blocks of ``64 * width`` neighbours by their running number; the
+    last ``width - 1`` rows of a block are repeated before the next one, so a window reads
+    one block and a 64th of the rows is copied.
     """
-    keys, order = list(keys), list(order)
-    sorted_df = range_sorted(df, keys, order, partitions)
-    schema = sorted_df.schema
-    tagged = sorted_df.withColumn(_PID, F.spark_partition_id())
-    # tail rows of each partition's groups
-    wt = Window.partitionBy(_PID, *keys).orderBy(*[F.col(c).desc() for c in order])
-    tails = (tagged.withColumn("__r", F.row_number().over(wt))
-             .filter(F.col("__r") < width).drop("__r"))
-    # halo for partition p = tails of partitions < p, keeping the last width-1 per group
-    n = partitions or _partitions(df)
-    pids = df.sparkSession.range(n).select(F.col("id").cast("int").alias("__to"))
-    halo = (tails.join(F.broadcast(pids), F.col("__to") > F.col(_PID))
-            .withColumn("__r", F.row_number().over(
-                Window.partitionBy("__to", *keys).orderBy(*[F.col(c).desc() for c in order])))
-            .filter(F.col("__r") < width)
-            .select(*[F.col(c) for c in schema.names], F.col("__to").alias(_PID),
-                    F.lit(True).alias("__halo")))
-    body = tagged.withColumn("__halo", F.lit(False))
-    both = body.unionByName(halo)
-    w = (Window.partitionBy(_PID, *keys).orderBy(*order)
-         .rowsBetween(-(width - 1), Window.currentRow))
-    return (both.withColumn(f"{out}_sum", F.sum(value).over(w))
-            .withColumn(f"{out}_n", F.count(F.lit(1)).over(w))
-            .filter(~F.col("__halo")).drop("__halo", _PID))
+    names = df.columns
+    block = 64 * width
+    numbered = cumulative(df, keys, order, count_col="__i", partitions=partitions)
+    at = F.floor((F.col("__i") - 1) / block)
+    ahead = F.pmod(F.col("__i") - 1, F.lit(block)) > block - width
+    dealt = numbered.withColumn("__at", F.explode(F.when(ahead, F.array(at, at + 1)).otherwise(F.array(at))))
+    window = Window.partitionBy(*keys, "__at").orderBy("__i").rowsBetween(1 - width, Window.currentRow)
+    return (dealt.withColumn(f"{out}_sum", F.sum(value).over(window))
+            .withColumn(f"{out}_n", F.count(F.lit(1)).over(window))
+            .where(F.col("__at") == at).select(*names, f"{out}_sum", f"{out}_n"))

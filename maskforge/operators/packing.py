@@ -1,95 +1,130 @@
-"""T5: boundary-aware chunking of a token stream (per document).
+"""Chunks, padded samples and packed blocks of token streams.
 
-Choosing the longest chunk that ends on a line end is a two-pointer scan over
-one document, so it runs as an Arrow-batched pandas UDF over the token array;
-the chunks are then exploded in the JVM.
+Where a cut falls depends on the positions of line ends or word starts only, so the
+Arrow UDFs read those positions and return ``[start, stop)`` bounds; tokens are sliced in
+the JVM and never leave it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINE_END = "</s>"
-
-
-def boundary_chunks(tokens, limit: int, end: str = LINE_END) -> list[list[str]]:
-    """Longest chunks of at most ``limit`` tokens that end on ``end``.
-
-    When no line end fits, the chunk is the ``limit`` tokens before the next line
-    end (it may overlap the previous chunk); scanning stops when no line end is
-    left."""
-    toks = list(tokens)
-    n = len(toks)
-    chunks: list[list[str]] = []
-    start, stop = 0, 0
-    while stop < n:
-        stop = -1
-        for size in range(min(limit, n - start), 0, -1):
-            if toks[start + size - 1] == end:
-                stop = start + size
-                break
-        if stop < 0:
-            nxt = start + limit
-            while nxt < n and toks[nxt] != end:
-                nxt += 1
-            if nxt >= n:
-                break
-            stop = nxt + 1
+from maskforge.operators import ordered
+
+BOUNDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+
+
+def chunk_bounds(ends: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """T5: bounds of the chunks of a document whose lines end before the positions ``ends``.
+
+    A chunk takes as many whole lines as fit ``limit`` tokens; of a line that does not fit it
+    takes the last ``limit`` tokens.  What follows the last line end is no chunk.
+    """
+    out, start = [], 0
+    while len(ends) and start < ends[-1]:
+        fit = int(np.searchsorted(ends, start + limit, side="right")) - 1
+        if fit >= 0 and ends[fit] > start:
+            stop = int(ends[fit])
+        else:
+            stop = int(ends[fit + 1])
             start = stop - limit
-        chunks.append(toks[start:stop])
+        out.append((start, stop))
         start = stop
-    return chunks
+    return out
 
 
-def chunk_column(tokens: Column, limit: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def _chunks(s: pd.Series) -> pd.Series:
-        return pd.Series([boundary_chunks(t if t is not None else [], limit) for t in s])
+def sample_bounds(cuts: np.ndarray, places: np.ndarray, n: int, size: int) -> list[tuple[int, int]]:
+    """Bounds of samples of at most ``size`` tokens.
 
-    return _chunks(tokens)
+    ``places`` are the positions of word starts and special tokens, ``cuts`` where a sample
+    that reaches them ends.  A full sample ends at the cut of the last such position in it;
+    one without a cut behind its start stays whole, and so does the last, shorter one.
+    """
+    out, start = [], 0
+    while start < n:
+        stop = min(start + size, n)
+        if stop - start == size:
+            last = int(np.searchsorted(places, stop)) - 1
+            if last >= 0 and cuts[last] > start and places[last] >= start:
+                stop = int(cuts[last])
+        out.append((start, stop))
+        start = stop
+    return out
 
 
-SPECIALS = ("<s>", "</s>", "<EOL>")
+def _where(tokens: Column, test) -> Column:
+    return F.filter(F.transform(tokens, lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
 
 
-def padded_blocks(tokens, starts, block: int, pad: str = "<pad>",
-                  bos: str = "<s>", specials=SPECIALS) -> list[list[str]]:
-    """Cut a token stream into ``block``-sized samples that end before a word
-    start (or just after a non-``bos`` special token), then right-pad.
+def line_chunks(df: DataFrame, tokens: str, limit: int, end: str = "</s>") -> DataFrame:
+    """T5: one row per chunk (``chunk`` number, ``piece`` tokens) of the token column."""
+    @F.pandas_udf(BOUNDS)
+    def bounds(ends: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "stop": b} for a, b in chunk_bounds(np.asarray(e) + 1, limit)] for e in ends])
 
-    ``starts[i]`` marks token i as the start of a word.  A full-size sample with no
-    such boundary cannot be cut and is returned whole (the study aborts there).
-    Applied per document: the stream of one document is the unit of the fold.
-    """
-    toks, st = list(tokens), list(starts)
-    out: list[list[str]] = []
-    i = 0
-    while i < len(toks):
-        sample = toks[i:i + block]
-        if len(sample) == block:
-            cut = None
-            for back in range(block):
-                k = i + block - 1 - back
-                if st[k]:
-                    cut = block - 1 - back
-                    break
-                if toks[k] in specials:
-                    cut = block - back if toks[k] != bos else block - 1 - back
-                    break
-            if cut:
-                sample = sample[:cut]
-        i += len(sample)
-        out.append(sample + [pad] * (block - len(sample)))
-    return out
+    df = df.withColumn("__ends", _where(F.col(tokens), lambda t: t == end))
+    df = df.select("*", F.posexplode(bounds("__ends")).alias("chunk", "__b"))
+    piece = F.slice(tokens, F.col("__b.start") + 1, F.col("__b.stop") - F.col("__b.start"))
+    return df.withColumn("piece", piece).drop("__ends", "__b")
 
 
-def padded_block_column(tokens: Column, starts: Column, block: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def _blocks(t: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([padded_blocks(a if a is not None else [], b if b is not None else [],
-                                        block) for a, b in zip(t, s)])
+def padded_samples(df: DataFrame, tokens: str, word_starts: str, size: int, pad: str = "<pad>",
+                   bos: str = "<s>", specials: tuple[str, ...] = ("</s>", "<EOL>")) -> DataFrame:
+    """One row per sample (``block`` number, ``sample`` of exactly ``size`` tokens).
 
-    return _blocks(tokens, starts)
+    ``word_starts`` holds the positions where a word starts.  A sample is cut before a word
+    start or ``bos`` and after another special token.
+    """
+    @F.pandas_udf(BOUNDS)
+    def bounds(n: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        out = []
+        for length, b, a in zip(n, before, after):
+            places = np.concatenate([np.asarray(b, np.int64), np.asarray(a, np.int64)])
+            cuts = np.concatenate([np.asarray(b, np.int64), np.asarray(a, np.int64) + 1])
+            order = np.argsort(places, kind="stable")
+            found = sample_bounds(cuts[order], places[order], int(length), size)
+            out.append([{"start": s, "stop": e} for s, e in found])
+        return pd.Series(out)
+
+    df = df.withColumn("__after", _where(F.col(tokens), lambda t: t.isin(*specials)))
+    df = df.withColumn("__bos", _where(F.col(tokens), lambda t: t == bos))
+    df = df.withColumn("__before", F.array_except(F.array_union(word_starts, "__bos"), "__after"))
+    df = df.select("*", F.posexplode(bounds(F.size(tokens), "__before", "__after")).alias("block", "__b"))
+    cut = F.slice(tokens, F.col("__b.start") + 1, F.col("__b.stop") - F.col("__b.start"))
+    return df.withColumn("sample", F.concat(cut, F.array_repeat(F.lit(pad), F.lit(size) - F.size(cut)))).drop(
+        "__after", "__bos", "__before", "__b")
+
+
+def packed_blocks(df: DataFrame, order: str, tokens: str, size: int, shards: int) -> DataFrame:
+    """T6 over T8's contiguous shards: ``(shard, block_id, tokens)``.
+
+    The token stream in ``order`` is cut into ``shards`` equal runs (the remainder goes), each
+    run into blocks of ``size`` tokens; a run's last block goes even when it is full.  A
+    document contributes one slice to each block it touches, so a block gathers ``size``
+    tokens and no more.
+    """
+    sized = df.select(order, F.col(tokens).alias("__t"), F.size(tokens).cast("long").alias("__n")).where("__n > 0")
+    placed = ordered.cumulative(sized, [], [order], sums=["__n"])
+    total = placed.agg(F.max("run___n")).first()[0] or 0  # one number
+    run = total // shards
+    if run == 0:
+        return df.sparkSession.createDataFrame([], "shard bigint, block_id bigint, tokens array<string>")
+    begin = F.col("run___n") - F.col("__n")
+    last = F.least(F.col("run___n"), F.lit(run * shards))
+    # units: a run has ceil(run / size) of them, the last one possibly short
+    per = -(-run // size)
+    unit = lambda at: F.floor(at / run) * per + F.floor(F.pmod(at, F.lit(run)) / size)
+    placed = placed.where(begin < run * shards).withColumn("__u", F.explode(F.sequence(unit(begin), unit(last - 1))))
+    shard, block = F.floor(F.col("__u") / per), F.pmod("__u", F.lit(per))
+    lo = shard * run + block * size
+    hi = F.least(lo + size, (shard + 1) * run)
+    first = F.greatest(begin, lo)
+    piece = F.slice("__t", (first - begin + 1).cast("int"), (F.least(last, hi) - first).cast("int"))
+    pieces = placed.select(shard.alias("shard"), block.alias("block_id"), first.alias("__at"), piece.alias("__p"))
+    pieces = pieces.where(F.col("block_id") * size < run - size)
+    return pieces.groupBy("shard", "block_id").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("__at", "__p"))), lambda x: x["__p"])).alias("tokens"))

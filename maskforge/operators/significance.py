@@ -1,16 +1,19 @@
 """Paired significance tests and effect sizes on metric rows.
 
-Ranks are never computed with a window over raw rows: rows are first reduced to
-counts per distinct value (partial aggregation), then a distributed prefix sum
-over the sorted distinct values gives average ranks, so no task ever holds a
-whole population.
+Ranks are never computed with a window over raw rows: rows are first reduced to counts
+per distinct value (partial aggregation), then a distributed prefix sum over the sorted
+distinct values gives average ranks, so no task ever holds a whole population.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskforge import config as C
 from maskforge.operators import ordered
 
 
@@ -25,63 +28,84 @@ def norm_sf(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1.0 - upper)
 
 
-def _avg_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """counts(keys, value, c, ...) -> + avg_rank of each distinct value within keys."""
+def average_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts(keys, value, c, ...)`` with the average rank of each distinct value."""
     run = ordered.cumulative(counts, keys, [value], sums=["c"])
-    return run.withColumn("avg_rank", F.col("run_c") - F.col("c") + (F.col("c") + 1) / 2.0)
+    return run.withColumn("avg_rank", (F.col("run_c") - F.col("c")).cast("double") + (F.col("c") + 1) / 2.0)
 
 
 def wilcoxon(paired: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """A5: two-sided Wilcoxon signed-rank (zeros dropped, average ranks for ties,
+    """A5: two-sided Wilcoxon signed-rank test (zeros dropped, average ranks for ties,
     normal approximation with tie correction) per ``keys`` group."""
-    d = paired.select(*keys, (F.col(x) - F.col(y)).alias("d")).filter(F.col("d") != 0)
+    d = paired.select(*keys, (F.col(x) - F.col(y)).alias("d")).where(F.col("d") != 0)
     counts = d.groupBy(*keys, F.abs("d").alias("ad")).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum((F.col("d") > 0).cast("long")).alias("pos"))
-    r = _avg_ranks(counts, keys, "ad")
+        F.count(F.lit(1)).alias("c"), F.sum((F.col("d") > 0).cast("long")).alias("pos"))
+    r = average_ranks(counts, keys, "ad")
+    c, pos = F.col("c").cast("double"), F.col("pos").cast("double")
     agg = r.groupBy(*keys).agg(
-        F.sum(F.col("c")).alias("n"),
-        F.sum(F.col("pos") * F.col("avg_rank")).alias("w_plus"),
-        F.sum((F.col("c") - F.col("pos")) * F.col("avg_rank")).alias("w_minus"),
-        F.sum(F.pow(F.col("c"), 3) - F.col("c")).alias("ties"))
-    n = F.col("n")
-    t = F.least("w_plus", "w_minus")
-    se = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
-    z = (t - n * (n + 1) / 4.0) / se
-    return agg.select(*keys, "n", "w_plus", "w_minus", z.alias("z"),
-                      (2 * norm_sf(F.abs(z))).alias("p_value"))
+        F.sum("c").alias("n"), F.sum(pos * F.col("avg_rank")).alias("w_plus"),
+        F.sum((c - pos) * F.col("avg_rank")).alias("w_minus"), F.sum(c * c * c - c).alias("ties"))
+    n = F.col("n").cast("double")
+    mean = n * (n + 1) / 4.0
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    z = (F.least("w_plus", "w_minus") - mean) / spread
+    return agg.select(*keys, "n", "w_plus", "w_minus", z.alias("z"), (2 * norm_sf(F.abs(z))).alias("p_value"))
 
 
-def cliffs_delta(paired: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(#x>y - #x<y)/(m n) over all cross pairs, from pooled average ranks."""
-    pooled = paired.select(*keys, F.col(x).alias("v"), F.lit(1).alias("is_x")).unionByName(
-        paired.select(*keys, F.col(y).alias("v"), F.lit(0).alias("is_x")))
-    counts = pooled.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"),
-                                           F.sum("is_x").alias("cx"))
-    r = _avg_ranks(counts, keys, "v")
-    agg = r.groupBy(*keys).agg(F.sum("cx").alias("m"), F.sum(F.col("c") - F.col("cx")).alias("k"),
+def samples_delta(samples: DataFrame, keys: list[str], value: str, is_first: str) -> DataFrame:
+    """``(#x>y - #x<y) / (m k)`` over all cross pairs of two samples, marked by the
+    boolean ``is_first``, from pooled average ranks; null where a sample is empty."""
+    counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"),
+                                              F.sum(F.col(is_first).cast("long")).alias("cx"))
+    r = average_ranks(counts, keys, value)
+    agg = r.groupBy(*keys).agg(F.sum("cx").cast("double").alias("m"),
+                               F.sum(F.col("c") - F.col("cx")).cast("double").alias("k"),
                                F.sum(F.col("cx") * F.col("avg_rank")).alias("r1"))
     u = F.col("r1") - F.col("m") * (F.col("m") + 1) / 2.0
-    return agg.select(*keys, (2 * u / (F.col("m") * F.col("k")) - 1).alias("delta"))
-
-
-def compare(metric_long: DataFrame, pairs: DataFrame, keys: list[str], alpha: float = 0.05):
-    """For every catalogue pair (pop1, pop2) and metric, align rows by key,
-    keep rows non-empty in both, test and report (p, delta, significant)."""
-    a = metric_long.alias("a")
-    b = metric_long.alias("b")
-    # the pair catalogue is a fixed small table (twelve rows in the study)
-    joined = (F.broadcast(pairs).join(a, F.col("pop1") == F.col("a.population"))
-              .join(b, (F.col("pop2") == F.col("b.population"))
-                    & (F.col("a.metric") == F.col("b.metric"))
-                    & F.expr(" AND ".join(f"a.{k} = b.{k}" for k in keys)))
-              .filter(~F.col("a.empty") & ~F.col("b.empty"))
+    some = (F.col("m") > 0) & (F.col("k") > 0)
+    return agg.select(*keys, F.when(some, 2 * u / (F.col("m") * F.col("k")) - 1).alias("delta"))
+
+
+def cliffs_delta(paired: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """A6 for the two columns of paired rows."""
+    samples = paired.select(*keys, F.col(x).alias("v"), F.lit(True).alias("first")).unionByName(
+        paired.select(*keys, F.col(y).alias("v"), F.lit(False).alias("first")))
+    return samples_delta(samples, keys, "v", "first")
+
+
+def catalogue(spark, pairs=C.COMPARISONS, metrics=C.METRICS) -> DataFrame:
+    """A1: the planned comparisons, one row per population pair and metric (fixed size)."""
+    rows = [(a, b, m) for a, b in pairs for m in metrics]
+    return spark.createDataFrame(rows, "pop1 string, pop2 string, metric string")
+
+
+def report(metric_long: DataFrame, planned: DataFrame, keys: list[str],
+           alpha: float = C.SIGNIFICANCE) -> DataFrame:
+    """One row per planned comparison.
+
+    ``metric_long(population, metric, value, empty, keys...)``.  Rows of the two populations
+    are aligned by ``keys`` and kept where both are non-empty.  A comparison whose population
+    has no row at all is listed with ``missing`` set and no figures (A2); ``significant`` is
+    p <= alpha (A7).
+    """
+    a, b = metric_long.alias("a"), metric_long.alias("b")
+    present = metric_long.select("population", "metric").distinct()
+    small = F.broadcast(planned)  # the catalogue has a fixed number of rows
+    match = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    joined = (a.join(small, (F.col("pop1") == F.col("a.population")) & (F.col("a.metric") == planned["metric"]))
+              .join(b, (F.col("pop2") == F.col("b.population")) & (F.col("a.metric") == F.col("b.metric")) & match)
+              .where(~F.col("a.empty") & ~F.col("b.empty"))
               .select("pop1", "pop2", F.col("a.metric").alias("metric"),
                       F.col("a.value").alias("x"), F.col("b.value").alias("y")))
-    gk = ["pop1", "pop2", "metric"]
-    w = wilcoxon(joined, gk, "x", "y")
-    c = cliffs_delta(joined, gk, "x", "y")
-    out = w.join(c, gk, "full")
-    return out.select(*gk, "n", "z", F.bround("p_value", 3).alias("p"),
-                      F.bround("delta", 3).alias("delta"),
-                      (F.col("p_value") <= alpha).alias("significant"))
+    joined = ordered.stage(joined, "paired")
+    on = ["pop1", "pop2", "metric"]
+    sizes = joined.groupBy(*on).agg(F.count(F.lit(1)).alias("pairs"))
+    out = (planned.join(sizes, on, "left").join(wilcoxon(joined, on, "x", "y"), on, "left")
+           .join(cliffs_delta(joined, on, "x", "y"), on, "left"))
+    for side in ("pop1", "pop2"):
+        out = out.join(present.select(F.col("population").alias(side), "metric", F.lit(True).alias(f"has_{side}")),
+                       [side, "metric"], "left")
+    missing = F.concat_ws(",", F.when(F.col("has_pop1").isNull(), F.col("pop1")),
+                          F.when(F.col("has_pop2").isNull(), F.col("pop2")))
+    return out.select(*on, F.coalesce("pairs", F.lit(0)).alias("pairs"), "n", "z", "p_value",
+                      "delta", (F.col("p_value") <= alpha).alias("significant"), missing.alias("missing"))

@@ -52,8 +52,7 @@ FROM code c JOIN slots s USING (path)""")
 def d7_code_stats(spark, sf_dir):
     """LOC, files, declaration slots and annotated slots of the code corpus.
 
-    Only variable declarations are counted here (the derived corpus' functions are
-    counted by ``d10_type_slots``).
+    Only variable declarations are counted here; ``d10_type_slots`` counts functions too.
     """
     code = T.code_corpus(spark, sf_dir).select(
         F.lit("normal").alias("variant"), "content",
@@ -67,26 +66,3 @@ def d7_code_stats(spark, sf_dir):
         F.sum("decls").alias("type_slots"),
         F.sum("annotated").alias("type_annotations"),
     )
-
-
-@register("d11_running_explicitness", """
-SELECT doc_id, lang, run_loc, run_words, rn FROM (
-WITH d AS (
-  SELECT doc_id, lang,
-         len(regexp_extract_all(text, '\\n+')) + 1 AS loc,
-         len(regexp_extract_all(text, '[$_\\pL][$_\\pL\\p{Nd}]*')) AS words
-  FROM documents)
-SELECT doc_id, lang,
-       sum(loc) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_loc,
-       sum(words) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_words,
-       row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn,
-       count(*) OVER (PARTITION BY lang) AS n_
-FROM d QUALIFY rn % 50 = 0 OR rn = n_)""")
-def d11_running(spark, sf_dir):
-    """Running corpus ratio with a progress row every 50 files per language.
-
-    The running sums are windows partitioned by language (never a global window);
-    the progress rows are every k-th file plus the final row.
-    """
-    docs = T.read(spark, sf_dir, "documents", "doc_id", "lang", "text")
-    return D.running_progress(docs, "lang", "doc_id", "text", every=50)

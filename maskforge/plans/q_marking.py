@@ -26,25 +26,28 @@ def k1_markers(spark, sf_dir):
 @register("k5_common_markers")
 def k5_common_markers(spark, sf_dir):
     """K2-K6: per file, markers valid in all three type variants, capped at 15."""
-    w = K.materialize(K.variant_frame(T.code_corpus(spark, sf_dir)))
-    c = K.common_markers(w)
+    c = K.common_markers(K.variant_frame(T.code_corpus(spark, sf_dir)))
     return c.select("path", F.size("common").alias("n_common"),
                     F.array_join("common", ",").alias("markers"))
 
 
+def _test_tasks(spark, sf_dir, replace_literals):
+    files = K.test_files(T.code_corpus(spark, sf_dir))
+    return K.tasks(K.raw_tasks(K.variant_frame(files)), replace_literals)
+
+
 @register("k7_tasks")
 def k7_tasks(spark, sf_dir):
-    """K7/K8: completion tasks for every (type variant x comment class) dataset."""
-    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
-    t = K.tasks(raw, replace_literals=True)
-    return t.select("path", "variant", "comments", "ordinal", "marker",
+    """K7/K8/K9: completion tasks of the test split for every (type variant x comment class)
+    dataset."""
+    t = _test_tasks(spark, sf_dir, True)
+    return t.select("path", F.lit("test").alias("split"), "variant", "comments", "ordinal", "marker",
                     F.md5("input").alias("input_digest"), "gt")
 
 
 @register("k8_dataset_sizes")
 def k8_dataset_sizes(spark, sf_dir):
-    """K8: number of tasks per output dataset ``<variant>-<comments>``."""
-    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
-    t = K.tasks(raw, replace_literals=False)
+    """K8: number of test tasks per output dataset ``<variant>-<comments>``."""
+    t = _test_tasks(spark, sf_dir, False)
     return (t.groupBy(F.concat_ws("-", "variant", "comments").alias("dataset"))
             .agg(F.count(F.lit(1)).alias("tasks"), F.sum(F.length("gt")).alias("gt_chars")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from maskforge.functions import normalize as N
 from maskforge.operators import metrics as E
+from maskforge.operators import ordered
 from maskforge.plans import duck as Q
 from maskforge.plans.registry import register
 from maskforge.sources import tables as T
@@ -60,18 +61,20 @@ def e2_postprocess(spark, sf_dir):
                     F.md5("p").alias("pred_digest"), F.length("g").alias("gt_chars"))
 
 
-@register("e5_exact_match_raw", "WITH " + PAIRS_SQL + """
-SELECT count(*) AS pairs,
-       sum(CASE WHEN string_split_regex(trim(gt), '\\s+') = string_split_regex(trim(prediction), '\\s+')
-           THEN 1 ELSE 0 END) AS exact,
-       sum(CASE WHEN prediction = '' THEN 1 ELSE 0 END) AS empty_predictions
-FROM pairs""")
+@register("e5_exact_match_raw", "WITH " + PAIRS_SQL + """,
+pp AS (SELECT """ + _pp_sql("gt", "g") + """, """ + _pp_sql("prediction", "p") + """ FROM pairs)
+SELECT count(*) AS pairs, sum(CASE WHEN p <> '' AND regexp_replace(g, """ + Q.q(Q.JS_SPACE + "+") + """, ' ', 'g')
+         = regexp_replace(p, """ + Q.q(Q.JS_SPACE + "+") + """, ' ', 'g') THEN 1 ELSE 0 END) AS exact,
+       sum(CASE WHEN p = '' THEN 1 ELSE 0 END) AS empty_predictions
+FROM pp""")
 def e5_exact_match_raw(spark, sf_dir):
-    """Whitespace-split exact match and empty predictions over raw pairs."""
+    """Exact matches after a whitespace split of the normalised sides, and empty
+    predictions (which match nothing)."""
     p = pairs(spark, sf_dir)
-    em = (F.split(F.trim("gt"), r"\s+") == F.split(F.trim("prediction"), r"\s+")).cast("int")
-    return p.agg(F.count(F.lit(1)).alias("pairs"), F.sum(em).alias("exact"),
-                 F.sum((F.col("prediction") == "").cast("int")).alias("empty_predictions"))
+    p = p.select(N.postprocess(F.col("gt")).alias("g"), N.postprocess(F.col("prediction")).alias("p"))
+    em = (F.col("p") != "") & (E.whitespace_split(F.col("g")) == E.whitespace_split(F.col("p")))
+    return p.agg(F.count(F.lit(1)).alias("pairs"), F.sum(em.cast("int")).alias("exact"),
+                 F.sum((F.col("p") == "").cast("int")).alias("empty_predictions"))
 
 
 @register("e3_token_counts", "WITH " + PAIRS_SQL + """
@@ -98,11 +101,11 @@ def e10_single_token_rows(spark, sf_dir):
 
 @register("e12_leaderboard")
 def e12_leaderboard(spark, sf_dir):
-    """Mean metrics x 100 per (mode, turn bucket), sorted."""
-    line = E.score(pairs(spark, sf_dir)).withColumn("mode", F.lit("line"))
-    tok = E.score(pairs(spark, sf_dir), single_token=True).withColumn("mode", F.lit("token"))
-    rows = line.unionByName(tok).withColumn("bucket", F.least(F.col("turn"), F.lit(5)))
-    return E.averages(rows, ["mode", "bucket"]).orderBy("mode", "bucket")
+    """Mean metrics x 100 per mode and turn, sorted."""
+    p = pairs(spark, sf_dir)
+    rows = E.score(p).withColumn("mode", F.lit("line")).unionByName(
+        E.score(p, single_token=True).withColumn("mode", F.lit("token")))
+    return E.averages(rows, ["mode", "turn"]).orderBy("mode", "turn")
 
 
 @register("e15_placeholder_cleanup", """
@@ -117,28 +120,37 @@ def e15_placeholder_cleanup(spark, sf_dir):
 
 
 @register("e18_first_line_empty_share", """
-SELECT role, count(*) AS n, avg(CASE WHEN split_part(trim(text), chr(10), 1) = '' THEN 1 ELSE 0 END)
-       AS empty_share, sum(length(split_part(trim(text), chr(10), 1))) AS first_line_chars
-FROM conversations GROUP BY role""")
+SELECT role, total, empty, round(empty * 1.0 / total, 9) AS empty_share FROM (
+  SELECT role, row_number() OVER w AS total, count(*) OVER (PARTITION BY role) AS n,
+         sum(CASE WHEN """ + Q.js_trim("split_part(" + Q.js_trim("text") + ", chr(10), 1)") + """ = '' THEN 1 ELSE 0 END) OVER w AS empty
+  FROM conversations WINDOW w AS (PARTITION BY role ORDER BY conv_id, turn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE total % 100 = 0 OR total = n""")
 def e18_first_line(spark, sf_dir):
-    """First line of each text and the share of empty first lines per role."""
-    c = T.read(spark, sf_dir, "conversations", "role", "text")
-    first = F.split(F.trim("text"), "\n").getItem(0)
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"),
-                                 F.avg((first == "").cast("int")).alias("empty_share"),
-                                 F.sum(F.length(first)).alias("first_line_chars"))
-
-
-@register("e13_e17_dev_scores", "WITH " + PAIRS_SQL + """
-SELECT count(*) AS pairs,
-       sum(len(""" + Q.token_values("gt") + """)) AS input_tokens,
+    """Running share of empty first lines, reported every 100 rows and at the end of
+    each role."""
+    c = T.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    first = N.js_trim(F.split(N.js_trim(F.col("text")), "\n").getItem(0))
+    c = c.select("conv_id", "turn", "role", (F.coalesce(first, F.lit("")) == "").cast("long").alias("e"))
+    r = ordered.cumulative(c, ["role"], ["conv_id", "turn"], sums=["e"], count_col="total")
+    sizes = c.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    r = r.join(sizes, "role").where((F.col("total") % 100 == 0) | (F.col("total") == F.col("n")))
+    return r.select("role", "total", F.col("run_e").alias("empty"),
+                    F.round(F.col("run_e") / F.col("total"), 9).alias("empty_share"))
+
+
+@register("e13_e17_dev_scores", "WITH " + PAIRS_SQL + """,
+pp AS (SELECT gt, prediction, """ + _pp_sql("prediction", "p") + """ FROM pairs)
+SELECT count(*) AS pairs, sum(len(""" + Q.token_values("prediction") + """)) AS input_tokens,
        avg(CASE WHEN prediction = gt THEN 1 ELSE 0 END) AS strict_em
-FROM pairs WHERE prediction <> ''""")
+FROM pp WHERE p <> ''""")
 def e13_e17_dev_scores(spark, sf_dir):
-    """Token total over non-empty rows and strict string exact match."""
-    p = pairs(spark, sf_dir).filter(F.col("prediction") != "")
+    """Tokens of the model input (the preceding turn, which the baseline repeats)
+    over rows with a prediction, and strict string exact match."""
+    p = pairs(spark, sf_dir).select("gt", "prediction", F.col("prediction").alias("input")).where(
+        N.postprocess(F.col("prediction")) != "")
     return p.agg(F.count(F.lit(1)).alias("pairs"),
-                 F.sum(F.size(E.token_texts(F.col("gt")))).alias("input_tokens"),
+                 F.sum(F.size(E.token_texts(F.col("input")))).alias("input_tokens"),
                  F.avg((F.col("prediction") == F.col("gt")).cast("int")).alias("strict_em"))
 
 
@@ -152,18 +164,23 @@ def e16_dev_scores(spark, sf_dir):
                     F.avg(F.round(F.col("levenshtein") * 100)).alias("fuzzy_ratio"))
 
 
-@register("e14_task_leaderboard")
-def e14_task_leaderboard(spark, sf_dir):
-    """E1/E4/E12/E14 on the completion tasks: a "repeat the previous line" baseline
-    is scored on every task of the 15 datasets; means x 100 per (types, comments)."""
+def task_metric_rows(spark, sf_dir):
+    """Metric rows of the previous-line baseline on every test task of the 15 datasets, scored
+    once and written to the shared folder."""
     from maskforge.operators import marking as K
-    raw = K.raw_tasks(K.variant_frame(T.code_corpus(spark, sf_dir)))
+    raw = K.raw_tasks(K.variant_frame(K.test_files(T.code_corpus(spark, sf_dir))))
     t = K.tasks(raw, replace_literals=True)
     pr = t.select("path", "ordinal", F.concat_ws("-", "variant", "comments").alias("dataset"),
                   "gt", E.last_line_baseline(F.col("input")).alias("prediction"))
-    rows = E.score(pr)
+    return ordered.stage(E.score(pr), "metric-rows")
+
+
+@register("e14_task_leaderboard")
+def e14_task_leaderboard(spark, sf_dir):
+    """E1/E4/E12/E14 on the completion tasks: a "repeat the previous line" baseline scored on
+    every test task of the 15 datasets; means x 100 per (types, comments)."""
+    rows = task_metric_rows(spark, sf_dir)
     types, comm = E.dimension_codes(F.col("dataset"))
-    rows = rows.select(F.lit("last-line").alias("model"), types.alias("types"),
-                       comm.alias("comments"), *[c for c in rows.columns if c not in
-                                                ("path", "ordinal", "dataset")])
+    rows = rows.select(F.lit("last-line").alias("model"), types.alias("types"), comm.alias("comments"),
+                       *[c for c in rows.columns if c not in ("path", "ordinal", "dataset")])
     return E.averages(rows, ["model", "types", "comments"]).orderBy("model", "types", "comments")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskforge import config as C
 from maskforge.operators import metrics as E
+from maskforge.operators import ordered
 from maskforge.operators import significance as A
 from maskforge.plans.q_metrics import pairs
 from maskforge.plans.registry import register
@@ -23,12 +24,26 @@ def _long(rows, population, metrics):
 
 @register("a5_a6_line_vs_token")
 def a5_a6_line_vs_token(spark, sf_dir):
-    """Wilcoxon p and Cliff's delta, line mode vs single-token mode."""
+    """Wilcoxon p and Cliff's delta, line mode vs first-token mode."""
     p = pairs(spark, sf_dir)
-    line = _long(E.score(p), "line", C.SINGLE_TOKEN_METRICS)
-    tok = _long(E.score(p, single_token=True), "token", C.SINGLE_TOKEN_METRICS)
-    cat = spark.createDataFrame([("line", "token")], "pop1 string, pop2 string")
-    return A.compare(line.unionByName(tok), cat, ["conv_id", "turn"])
+    long = _long(E.score(p), "line", C.SINGLE_TOKEN_METRICS).unionByName(
+        _long(E.score(p, single_token=True), "token", C.SINGLE_TOKEN_METRICS))
+    planned = A.catalogue(spark, (("line", "token"),), C.SINGLE_TOKEN_METRICS)
+    return A.report(ordered.stage(long, "metric-rows"), planned, ["conv_id", "turn"])
+
+
+@register("a1_a8_significance")
+def a1_a8_significance(spark, sf_dir):
+    """All twelve comparisons x five metrics over the metric rows of the fifteen
+    test datasets (the previous-line baseline), missing populations listed."""
+    from maskforge.plans.q_metrics import task_metric_rows
+    rows = task_metric_rows(spark, sf_dir)
+    long = rows.select("path", "ordinal", F.col("dataset").alias("population"), "empty", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in C.METRICS])).alias("mv"))
+    long = long.select("path", "ordinal", "population", "empty", "mv.metric", "mv.value")
+    out = A.report(long, A.catalogue(spark), ["path", "ordinal"])
+    return out.select("pop1", "pop2", "metric", "pairs", F.bround("p_value", 3).alias("p"),
+                      F.bround("delta", 3).alias("delta"), "significant", "missing")
 
 
 @register("a6_cliffs_delta_lengths", """
@@ -42,17 +57,9 @@ def a6_cliffs_delta_lengths(spark, sf_dir):
     m x n pairs; the oracle uses the pairwise definition)."""
     from maskforge.sources import tables as T
     c = T.read(spark, sf_dir, "conversations", "role", "text")
-    x = c.filter(F.col("role") == "user").select(F.length("text").cast("double").alias("v"))
-    y = c.filter(F.col("role") == "assistant").select(F.length("text").cast("double").alias("v"))
-    # pooled average ranks over per-value counts (unpaired samples)
-    counts = (x.select("v", F.lit(1).alias("is_x")).unionByName(y.select("v", F.lit(0).alias("is_x")))
-              .withColumn("g", F.lit("g")))
-    cnt = counts.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"), F.sum("is_x").alias("cx"))
-    r = A._avg_ranks(cnt, ["g"], "v")
-    agg = r.groupBy("g").agg(F.sum("cx").alias("m"), F.sum(F.col("c") - F.col("cx")).alias("k"),
-                             F.sum(F.col("cx") * F.col("avg_rank")).alias("r1"))
-    u = F.col("r1") - F.col("m") * (F.col("m") + 1) / 2.0
-    return agg.select(F.round(2 * u / (F.col("m") * F.col("k")) - 1, 9).alias("delta"))
+    samples = c.where(F.col("role").isin("user", "assistant")).select(
+        F.lit("g").alias("g"), F.length("text").cast("double").alias("v"), (F.col("role") == "user").alias("first"))
+    return A.samples_delta(samples, ["g"], "v", "first").select(F.round("delta", 9).alias("delta"))
 
 
 @register("a5_wilcoxon_lengths", """

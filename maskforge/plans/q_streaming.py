@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from maskforge.plans.registry import register
 from maskforge.streaming import ingest
 
 
+@register("x1_resumable_ingest", """
+SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY 1""")
+def x1_resumable_ingest(spark, sf_dir):
+    """A stream run twice over one checkpoint holds every event once."""
+    return ingest.ingest_twice(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("distinct_events"))
+
+
 @register("x2_stream_event_stats", """
 SELECT event_type, count(*) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY 1""")
 def x2_stream_event_stats(spark, sf_dir):
-    """Resumable file-stream ingestion with a running aggregate."""
+    """File-stream ingestion with a running aggregate."""
     return ingest.event_stats(spark, sf_dir)
 
 
-@register("x3_stream_first_seen", """SELECT DISTINCT user_id FROM events""")
+@register("x3_stream_first_seen", """
+SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event FROM events GROUP BY user_id""")
 def x3_stream_first_seen(spark, sf_dir):
-    """First-seen dedup of users as events arrive."""
-    return ingest.first_seen_users(spark, sf_dir)
+    """The first event of every user as events arrive."""
+    return ingest.first_seen(spark, sf_dir).select("user_id", "first_event")

@@ -80,11 +80,10 @@ FROM (SELECT path, comments, """ + Q.preprocess("content", "preserved", True) +
 def p11_preprocess(spark, sf_dir):
     """Whole normalisation (templates, comment class filter, whitespace and
     newline dedupe, literal masking) of every file for all five comment classes."""
-    from maskforge.operators.marking import comment_grid
     code = T.code_corpus(spark, sf_dir).select("path", L.tokenize(F.col("content")).alias("toks"))
-    g = code.crossJoin(F.broadcast(comment_grid(spark)))  # fixed five-row table
-    s = g.select("path", "comments",
-                 N.preprocess_tokens(F.col("toks"), F.col("preserved"), True).alias("s"))
+    grid = F.array(*[F.struct(F.lit(name).alias("comments"), N.preprocess_tokens(F.col("toks"), mask, True).alias("s"))
+                     for name, mask in C.COMMENT_CLASSES])
+    s = code.select("path", F.explode(grid).alias("c")).select("path", "c.comments", "c.s")
     return s.select("path", "comments", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
 
@@ -119,9 +118,5 @@ def p12_line_spans(spark, sf_dir):
     """Per file, non-empty terminated lines (first/last token excluded) and
     lines that hold a maskable token (potential types grouped first)."""
     from maskforge.operators import marking as K
-    g = K.with_grouped_tokens(T.code_corpus(spark, sf_dir), "content", "toks")
-    g = g.withColumn("lines", K.line_ranges(F.col("toks")))
-    toks = F.col("toks")
-    maskable = F.filter("lines", lambda ln: F.exists(
-        ln, lambda i: F.get(toks, i)["type"].isin(*L.MASKABLE)))
-    return g.select("path", F.size("lines").alias("lines"), F.size(maskable).alias("maskable_lines"))
+    g = K.line_places(T.code_corpus(spark, sf_dir))
+    return g.select("path", F.col("__places.lines").alias("lines"), F.col("__places.suitable").alias("maskable_lines"))

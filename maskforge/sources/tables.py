@@ -20,29 +20,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# tables whose rows carry long texts: per-row CPU work dominates
-TEXT_TABLES = ("documents", "conversations", "pages")
-
-
-def balance(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than cores.
-
-    Text work is CPU-bound per row; a table stored as a few large row groups would
-    otherwise run in a few tasks.  On a large table the scan already has more
-    splits than cores, so no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table's columns; how a scan is split is left to Spark's file settings."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    df = df.select(*columns) if columns else df
-    if name in TEXT_TABLES and (not columns or any(c in ("text", "html") for c in columns)):
-        df = balance(df)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def file_path() -> "Column":

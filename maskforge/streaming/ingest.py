@@ -1,15 +1,14 @@
 """Incremental ingestion with Structured Streaming.
 
-X1 resumable ingestion: a file-source stream with a checkpoint in the shared
-checkpoint folder and ``availableNow`` trigger processes only files not yet
-committed (the checkpoint is the "done" log).  X2 merges partial statistics
-with a streaming aggregation; X3 keeps the first record per key with
-``dropDuplicates``.
+X1 resumable ingestion: a file-source stream whose checkpoint, at a place the caller names,
+is the log of done files; a later run with the same place reads only files that came since.
+X2 merges partial statistics with a streaming aggregation; X3 keeps the first record of each
+key.  Every batch is written to a folder of its own number, so a batch that is replayed
+after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,47 +16,72 @@ from pyspark.sql import functions as F
 
 from maskforge.session import checkpoint_dir
 
+_BATCH = "__batch"
 
-def _stream(spark: SparkSession, sf_dir: str, table: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(sf_dir))
 
+def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """Parquet files of ``folder`` that match ``pattern``, as they come."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
-def run_to_table(df_stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Drive a stream to completion (availableNow) into a parquet table under the
-    checkpoint folder and return that table as a batch DataFrame."""
-    spark = df_stream.sparkSession
-    base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    out = os.path.join(base, "table")
 
-    def sink(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+def new_place(spark: SparkSession, name: str) -> str:
+    """A fresh place for a stream's checkpoint and table below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/maskforge/stream-{name}-{uuid.uuid4().hex}"
 
-    q = (df_stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(base, "ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+
+def run_to_table(stream: DataFrame, mode: str, place: str) -> DataFrame | None:
+    """Drive a stream over all data there is and return its table.
+
+    ``append``: all batches so far.  ``complete``: the last batch, which holds the whole
+    state.  The checkpoint and the table live below ``place``; running again resumes there.
+    None when no batch was ever written.
+    """
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, number: int):
+        batch.withColumn(_BATCH, F.lit(number)).write.mode("overwrite").parquet(f"{place}/table/batch={number}")
+
+    query = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{place}/table")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    table = spark.read.option("recursiveFileLookup", "true").parquet(f"{place}/table")
+    if mode == "complete":
+        last = table.agg(F.max(_BATCH)).first()[0]  # one number
+        table = table.where(F.col(_BATCH) == last)
+    return table.drop(_BATCH)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    return file_stream(spark, sf_dir, "events.parquet", schema)
+
+
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken in by a stream that is run again after it ended; the second run
+    finds every file in the log and adds nothing."""
+    place = new_place(spark, "ingest")
+    columns = ["event_id", "event_type", "value"]
+    run_to_table(_events(spark, sf_dir).select(*columns), "append", place)
+    return run_to_table(_events(spark, sf_dir).select(*columns), "append", place)
 
 
 def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X2: running per-type statistics over the events file stream."""
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    s = _stream(spark, sf_dir, "events", schema)
-    agg = s.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"),
-                                      F.round(F.sum("value"), 6).alias("value_sum"))
-    return run_to_table(agg, "complete", "stats")
-
-
-def first_seen_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First event per user as records arrive (bounded by an event-time
-    watermark, so state for old keys is dropped)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    s = _stream(spark, sf_dir, "events", schema)
-    d = (s.withColumn("ts", F.col("ts").cast("timestamp"))
-         .withWatermark("ts", "3650 days")
-         .dropDuplicatesWithinWatermark(["user_id"])
-         .select("user_id"))
-    return run_to_table(d, "append", "users")
+    agg = _events(spark, sf_dir).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("value_sum"))
+    return run_to_table(agg, "complete", new_place(spark, "stats"))
+
+
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of every user.
+
+    "First" has no time bound, so the state holds one row per user ever seen; it is
+    partitioned by user and kept in the checkpoint."""
+    firsts = _events(spark, sf_dir).groupBy("user_id").agg(
+        F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.min("ts").alias("first_ts"))
+    return run_to_table(firsts, "complete", new_place(spark, "first-seen"))

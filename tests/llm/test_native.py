@@ -125,3 +125,15 @@ def test_mixture_of_awkward_documents(spark):
     levels = {"domain": queries.domain(), "lang": F.col("lang"), "source": F.col("source")}
     out = mixing.mixed_documents(docs, levels, queries.mix_weights(spark))
     assert out.dtypes == docs.dtypes and out.count() > 0
+
+
+def test_needed_words_never_hide_a_match():
+    grams = {}
+    for name, text in licenses.TEMPLATES.items():
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
+        grams[name] = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+    chosen = set(licenses.needed_words(grams, 0.8))
+    for held in grams.values():
+        free = sum(not set(g.split(" ")) & chosen for g in held)
+        # a passage of nothing but free bigrams is below the threshold whatever its size
+        assert 2 * free < 0.8 * (max(free, len(held) * 0.8 / 1.2) + len(held)) or free == 0

@@ -1,5 +1,8 @@
+import itertools
 import math
 
+import numpy as np
+
 from maskforge.operators import metrics as E
 
 
@@ -8,21 +11,25 @@ def test_edit_similarity():
     assert E.edit_similarity("", "") == 1.0
 
 
-def _lcs_dp(a, b):
-    L = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            L[i][j] = L[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(L[i - 1][j], L[i][j - 1])
-    return L[-1][-1]
+def _is_subsequence(x, y):
+    rest = iter(y)
+    return all(c in rest for c in x)
+
+
+def _longest(a, b):
+    """Longest common subsequence by trying every subsequence of the shorter side."""
+    short, long = sorted((a, b), key=len)
+    return next(k for k in range(len(short), -1, -1)
+                if any(_is_subsequence(c, long) for c in itertools.combinations(short, k)))
 
 
 def test_lcs_against_brute_force():
     import random
     rng = random.Random(7)
     for _ in range(300):
-        a = [rng.choice("abcd ") for _ in range(rng.randint(0, 40))]
-        b = [rng.choice("abcd ") for _ in range(rng.randint(0, 40))]
-        assert E.lcs_len(a, b) == _lcs_dp(a, b)
+        a = [rng.choice("abcd ") for _ in range(rng.randint(0, 9))]
+        b = [rng.choice("abcd ") for _ in range(rng.randint(0, 9))]
+        assert E.lcs_len(a, b) == _longest(a, b)
 
 
 def test_rouge():
@@ -41,23 +48,40 @@ def test_bleu_no_unigram_match():
     assert E.bleu4(["a"], ["b"]) == 0.0
 
 
-def test_boundary_chunks():
-    from maskforge.operators.packing import boundary_chunks
-    toks = ["a", "b", "</s>", "c", "</s>", "d", "e", "f", "g", "</s>", "h"]
-    ch = boundary_chunks(toks, 4)
-    # a line longer than the limit keeps its last tokens before the line end ("d" is
-    # skipped); the unterminated tail "h" yields no chunk
-    assert ch == [["a", "b", "</s>"], ["c", "</s>"], ["e", "f", "g", "</s>"]]
-    assert boundary_chunks([], 4) == []
-    assert boundary_chunks(["x", "y"], 4) == []
-
-
-def test_padded_blocks():
-    from maskforge.operators.packing import padded_blocks
-    toks = ["<s>", "a", "b", "c", "</s>", "d", "e"]
-    starts = [False, True, False, True, False, True, False]
-    out = padded_blocks(toks, starts, 4)
-    # the first full sample backs up to the word start "c"; the tail is padded
-    assert out[0] == ["<s>", "a", "b", "<pad>"]
-    assert all(len(b) == 4 for b in out)
-    assert [t for b in out for t in b if t != "<pad>"] == toks
+def test_meteor_by_hand():
+    # two matches in one chunk: P = 2/3, R = 2/2
+    f = (2 / 3) / (0.9 * 2 / 3 + 0.1)
+    assert math.isclose(E.meteor_exact(["a", "b"], ["a", "b", "c"]), (1 - 0.5 * (1 / 2) ** 3) * f)
+    # the same words in the other order: two chunks
+    assert math.isclose(E.meteor_exact(["a", "b"], ["b", "a"]), 0.5)
+    assert E.meteor_exact(["a"], ["b"]) == E.meteor_exact([], ["b"]) == 0.0
+    # repeated words pair from the end
+    assert math.isclose(E.meteor_exact(["x", "x", "y"], ["x", "y"]),
+                        (1 - 0.5 * (1 / 2) ** 3) * (2 / 3) / (0.9 + 0.1 * 2 / 3))
+
+
+def test_chunk_bounds():
+    from maskforge.operators.packing import chunk_bounds
+    # lines end before 3, 5 and 10; the last line does not fit and keeps its last 4 tokens
+    assert chunk_bounds(np.array([3, 5, 10]), 4) == [(0, 3), (3, 5), (6, 10)]
+    assert chunk_bounds(np.array([3, 5, 10]), 5) == [(0, 5), (5, 10)]
+    assert chunk_bounds(np.array([], int), 4) == []
+
+
+def test_chunks_cover_every_token_of_lines_that_fit():
+    from maskforge.operators.packing import chunk_bounds
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        ends = np.cumsum(rng.integers(1, 9, rng.integers(1, 30)))
+        bounds = chunk_bounds(ends, 8)
+        assert bounds[0][0] == 0 and bounds[-1][1] == ends[-1]
+        assert all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
+        assert all(0 < b - a <= 8 and b in ends for a, b in bounds)
+
+
+def test_sample_bounds():
+    from maskforge.operators.packing import sample_bounds
+    # words start at 1, 3 and 5; the special at 4 ends a sample behind it
+    assert sample_bounds(np.array([1, 3, 5, 5]), np.array([1, 3, 4, 5]), 7, 4) == [(0, 3), (3, 5), (5, 7)]
+    assert sample_bounds(np.array([], int), np.array([], int), 5, 4) == [(0, 4), (4, 5)]
+    assert sample_bounds(np.array([0]), np.array([0]), 4, 4) == [(0, 4)]

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from maskforge.operators import ordered, sampling
@@ -41,3 +42,37 @@ def test_split_independent_of_partitioning(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     counts = {r["s"]: r["count"] for r in a.groupBy("s").count().collect()}
     assert set(counts) == {"train", "test", "dev"} and counts["train"] > counts["test"]
+
+
+def test_running_values_over_many_ranges_with_and_without_exchange_reuse(spark):
+    rng = np.random.default_rng(5)
+    n = 200_000
+    keys = rng.choice(["hot", "a", None], size=n, p=[0.7, 0.2, 0.1])
+    pdf = pd.DataFrame({"k": keys, "o": rng.permutation(n), "v": rng.integers(-5, 9, n), "extra": rng.random(n)})
+    df = spark.createDataFrame(pdf, "k string, o long, v long, extra double")
+    ref = pdf.sort_values("o")
+    group = ref["k"].fillna("~")
+    want = dict(zip(ref["o"], zip(ref.groupby(group)["v"].cumsum(), ref.groupby(group)["v"].cummax(),
+                                  ref.groupby(group).cumcount() + 1)))
+    for reuse, parts in (("true", 3), ("false", 8), ("true", 64)):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        out = ordered.cumulative(df, ["k"], ["o"], sums=["v"], maxes=["v"], count_col="n", partitions=parts)
+        got = out.select("o", "run_v", "runmax_v", "n", "extra").toPandas()
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+        assert len(got) == n
+        assert dict(zip(got["o"], zip(got["run_v"], got["runmax_v"], got["n"]))) == want
+
+
+def test_leading_nulls_have_no_maximum(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, 4.0), (4, None), (5, 2.0)], "o long, v double")
+    got = {r.o: (r.run_v, r.runmax_v) for r in ordered.cumulative(df, [], ["o"], ["v"], ["v"], partitions=3).collect()}
+    assert got == {1: (0.0, None), 2: (0.0, None), 3: (4.0, 4.0), 4: (4.0, 4.0), 5: (6.0, 4.0)}
+
+
+def test_sliding_window_longer_than_blocks(spark):
+    rows = [("g", i, float(i % 13)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o long, v double")
+    got = ordered.sliding_window(df, ["k"], ["o"], "v", 5, "w", partitions=9).toPandas().sort_values("o")
+    want = pd.DataFrame(rows, columns=["k", "o", "v"])["v"].rolling(5, min_periods=1)
+    assert np.allclose(got["w_sum"], want.sum()) and (got["w_n"].to_numpy() == want.count().to_numpy()).all()
+    assert len(got) == 3000

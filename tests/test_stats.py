@@ -32,3 +32,38 @@ def test_wilcoxon_normal_approximation(spark):
     assert r["n"] == 10 and abs(r["w_plus"] - (6 + 4 * 8.5)) < 1e-9
     assert abs(r["w_minus"] - 15) < 1e-9
     assert 0 < r["p_value"] < 1
+
+
+def test_ranks_at_volume(spark):
+    """200,000 distinct values over many ranges equal numpy's ranks."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, 200_000), rng.normal(0.1, 1, 200_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": "g", "x": x, "y": y}), "g string, x double, y double")
+    r = A.wilcoxon(df, ["g"], "x", "y").collect()[0]
+    d = x - y
+    ranks = pd.Series(np.abs(d)).rank().to_numpy()
+    assert np.isclose(r.w_plus, ranks[d > 0].sum()) and np.isclose(r.w_minus, ranks[d < 0].sum())
+    n = len(d)
+    assert np.isclose(r.w_plus + r.w_minus, n * (n + 1) / 2)
+    both = pd.Series(np.r_[x, y]).rank().to_numpy()
+    u = both[:n].sum() - n * (n + 1) / 2
+    assert np.isclose(A.cliffs_delta(df, ["g"], "x", "y").collect()[0].delta, 2 * u / n / n - 1)
+
+
+def test_five_million_pairs_do_not_overflow(spark):
+    df = spark.range(5_000_000).select(F.lit("g").alias("g"), (F.col("id") % 1000).cast("double").alias("x"),
+                                       (F.col("id") % 7 * 100).cast("double").alias("y"))
+    r = A.wilcoxon(df, ["g"], "x", "y").collect()[0]
+    assert r.n > 4_000_000 and abs(r.w_plus + r.w_minus - r.n * (r.n + 1) / 2) < 1
+    assert -1 <= A.cliffs_delta(df, ["g"], "x", "y").collect()[0].delta <= 1
+
+
+def test_report_lists_missing_populations(spark):
+    rows = [(i, p, "m", float(i % 5 + k), i == 3) for k, p in enumerate(("a", "b")) for i in range(30)]
+    long = spark.createDataFrame(rows, "id long, population string, metric string, value double, empty boolean")
+    planned = A.catalogue(spark, (("a", "b"), ("a", "c"), ("c", "d")), ("m",))
+    got = {(r.pop1, r.pop2): r for r in A.report(long, planned, ["id"]).collect()}
+    assert got["a", "b"].pairs == 29 and got["a", "b"].significant and got["a", "b"].missing == ""
+    assert got["a", "c"].missing == "c" and got["c", "d"].missing == "c,d" and got["a", "c"].p_value is None

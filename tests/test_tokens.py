@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from conftest import one
@@ -16,13 +19,13 @@ def test_round_trip(spark):
 
 
 def test_remove_comments_fixtures(spark):
-    assert one(spark, L.remove_comments, "lets go // 123") == "lets go "
-    assert one(spark, L.remove_comments, "lets go /* 123 */ yea lets go") == "lets go  yea lets go"
+    assert one(spark, L.remove_comments, "run(); // 7 x") == "run(); "
+    assert one(spark, L.remove_comments, "a /* b 9 */ c = d") == "a  c = d"
 
 
 def _grouped_types(spark, text):
     df = spark.createDataFrame([(text,)], "content string")
-    g = K.with_grouped_tokens(df, "content", "toks")
+    g = S.with_grouped_tokens(df, "content", "toks")
     return [(t["type"], t["value"]) for t in g.collect()[0]["toks"]]
 
 
@@ -66,14 +69,75 @@ def test_preprocess_fixtures(spark):
     assert one(spark, lambda t: N.preprocess(t, 2, False), "/** d */a/* m */") == "/** d */a/* m */"
 
 
-def test_marked_variants_fixture(spark):
-    df = spark.createDataFrame([("ab/*<marker:0>*/cd\nef",)], "c string")
-    r = df.select(K.marked_variants(F.col("c"), F.array(F.lit("/*<marker:0>*/"))).alias("r")) \
-        .collect()[0]["r"]
-    assert r["ok"] and r["tasks"][0]["input"] == "ab" and r["tasks"][0]["gt"] == "cd"
-    dup = spark.createDataFrame([("a/*<marker:0>*/b/*<marker:0>*/c\n",)], "c string")
-    r = dup.select(K.valid_markers(F.col("c")).alias("r")).collect()[0]["r"]
-    assert r == []
+def _wide(spark, *texts):
+    return spark.createDataFrame([(i, t, t, t) for i, t in enumerate(texts)],
+                                 "path long, normal string, explicit string, untyped string")
+
+
+def test_tasks_of_a_marked_text(spark):
+    raw = K.raw_tasks(_wide(spark, "ab/*<marker:0>*/cd // e\nef", "x/*<marker:0>*/\ny", "/*<marker:0>*/z"))
+    got = sorted((r.path, r.variant, r.comments, r.input, r.gt) for r in K.tasks(raw, False).collect())
+    assert len(got) == 15 and {(p, i, g) for p, _, _, i, g in got} == {(0, "ab", "cd")}
+    dup = spark.createDataFrame([("a/*<marker:0>*/b/*<marker:0>*/c/*<marker:1>*/d\n",)], "c string")
+    assert dup.select(K.valid_markers(F.col("c")).alias("r")).collect()[0]["r"] == ["/*<marker:1>*/"]
+
+
+def test_inputs_leave_out_other_markers_and_classes(spark):
+    text = "// one\nlet a /*<marker:0>*/= 1; /* two */\nlet b /*<marker:1>*/= 'q';\n"
+    rows = {(r.comments, r.ordinal): r for r in K.tasks(K.raw_tasks(_wide(spark, text))).collect()
+            if r.variant == "normal"}
+    assert rows["all", 1].input == "// one<EOL>let a = <NUM_LIT>; /* two */<EOL>let b "
+    assert rows["none", 1].input == "<EOL>let a = <NUM_LIT>; <EOL>let b "
+    assert rows["single_line", 0].input == "// one<EOL>let a " and rows["none", 1].gt == "= '<STR_LIT>';"
+
+
+def test_a_file_keeps_fifteen_markers_of_many(spark):
+    text = "\n".join(f"let v{i} = {i};" for i in range(80)) + "\n"
+    files = spark.createDataFrame([("p/1", text), ("p/2", "let a = 1;\nlet b = 2;\nlet c = 3;\n")], "path string, content string")
+    wide = K.variant_frame(files)
+    common = {r.path: r.common for r in K.common_markers(wide).collect()}
+    assert len(common["p/1"]) == 15 and common["p/1"] == sorted(common["p/1"], key=lambda m: int(m[10:-3]))
+    tasks = K.tasks(K.raw_tasks(wide)).groupBy("path", "variant", "comments").count().collect()
+    assert {r["count"] for r in tasks if r.path == "p/1"} == {15} and len(tasks) == 30
+
+
+def test_spans_carry_depth_and_never_rescan():
+    def slow(idx, vals):
+        depth, out, k = dict.fromkeys("{<[(", 0), [], 0
+        pair = dict(zip("}>])", "{<[("))
+        while k < len(vals):
+            end = None
+            if vals[k] == ":":
+                for m in range(k + 1, len(vals)):
+                    v = vals[m]
+                    if v in depth:
+                        depth[v] += 1
+                    elif v in pair:
+                        depth[pair[v]] -= 1
+                    elif v in "=,;" and not any(depth.values()):
+                        end = m
+                        break
+            if end is None:
+                k += 1
+            else:
+                out += [idx[k], idx[end] - 1]
+                k = end
+        return out
+
+    rng = random.Random(4)
+    for _ in range(500):
+        vals = [rng.choice(":{}<>[]()=,;:::") for _ in range(rng.randint(0, 25))]
+        assert S.fold_spans(list(range(len(vals))), vals) == slow(list(range(len(vals))), vals)
+
+
+def test_marking_is_linear():
+    code = ("mon" * 8 + ":m=" + "n") * 4000
+    took = []
+    for n in (len(code) // 2, len(code)):
+        begin = time.process_time()
+        K.marked_places("p", code[:n])
+        took.append(time.process_time() - begin)
+    assert took[1] < 4 * took[0] + 0.05
 
 
 def test_marker_count_rule(spark):
