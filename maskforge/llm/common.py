@@ -45,10 +45,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: bytes of one Arrow batch; texts vary too much for a bound in rows alone
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(df: DataFrame) -> SparkSession:
-    """Session of ``df`` with this package importable in the Python workers."""
+    """Session of ``df`` with this package importable in the Python workers and Arrow
+    batches of at most ``ARROW_BYTES`` (a smaller setting stays)."""
     spark = df.sparkSession
     ship_package(spark)
+    if int(str(spark.conf.get(_ARROW, str(64 << 20))).removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     return spark
 
 

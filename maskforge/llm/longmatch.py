@@ -34,7 +34,7 @@ LENGTH = 400
 GRAM = 64
 GROUP_SEGMENTS = 2048
 #: index text a task gathers before it builds an index (a larger single group is taken whole)
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 #: bits of the fixed-size key filter that spares texts without work a shuffle
 FILTER_BITS = 1 << 23
 
@@ -95,12 +95,14 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     fold = 63 // bits
     most = int(left.max()) + 1 if n else 0
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.r_[1, sorted_key[1:] != sorted_key[:-1]]).astype(np.uint64)
-        if span >= most or int(rank.max()) == n:
+        if int(rank.max()) == n:
             return order
+        if span >= most:  # what is still equal is equal up to its end
+            return np.argsort((rank << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
         key = rank.copy()
         place = np.arange(n)
         for k in range(1, fold):
