@@ -11,9 +11,8 @@ with substitutions is matched whole (substitutions nested up to two levels), whi
 is what grouping head/middle/tail tokens would produce.  Deeper nesting degrades
 to a ``TemplateHead`` token followed by ordinary code tokens.
 
-Regular-expression literals are told apart from division by the preceding
-characters (a bounded look-behind for an operator, an opening bracket or a
-keyword), the usual one-token heuristic.
+Regular-expression literals are told apart from division by the last token before the
+slash that is no blank and no comment: an operator, an opening bracket or a keyword.
 
 Patterns use possessive quantifiers and unrolled comment loops so that very long
 comments or strings never backtrack.
@@ -67,9 +66,7 @@ def _sub(inner_template: str) -> str:
 _T1 = r"`(?:" + _TCH + "|" + _sub(_T0) + r")*+`?"
 _TEMPLATE = r"`(?:" + _TCH + "|" + _sub(_T1) + r")*+(?:`|\z)"
 _TEMPLATE_HEAD = r"`" + _TCH + r"*+\$\{"
-_RE = (r"(?=/[^*/])(?<=(?:^|[(,=:\[!&|?{;~+\-*%<>^]|\breturn|\btypeof|\bcase|\bdo"
-       r"|\belse|\bin|\bof|\bnew|\bdelete|\bvoid|\bthrow|\byield|\bawait)[ \t]{0,32})"
-       r"/(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*+\])++/[$_\p{L}\p{N}]*+")
+_RE = (r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*+\])++/[$_\p{L}\p{N}]*+")
 _NUM = (r"(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*+|0[oO][0-7](?:_?[0-7])*+"
         r"|0[bB][01](?:_?[01])*+)n?"
         r"|(?:\d(?:_?\d)*+(?:\.(?:\d(?:_?\d)*+)?)?|\.\d(?:_?\d)*+)"
@@ -81,10 +78,19 @@ _PUNCT = (r"--|\+\+|=>|\.\.\.|\?\.(?!\d)|(?:&&|\|\||\?\?|[+\-%&|^]|\*\*?|<<?|>>?
 _WS = r"[" + _WS_CLASS + r"]++"
 _LT = r"\r\n|[\n\r\u2028\u2029]"
 
+# A slash begins a regular expression when the last token before it that is no blank and no
+# comment cannot end an operand.  That token, what lies between, and the expression are
+# matched together, however far apart they are, and taken apart afterwards.
+_NO_OPERAND = (r"(?:(?!\+\+|--|[)\]}./])(?:" + _PUNCT + r")"
+               r"|(?:return|typeof|case|do|else|in|of|new|delete|void|throw|yield|await|instanceof)(?![" + _ID_PART + "]))")
+_BETWEEN = r"(?:" + _WS + "|" + _LT + r"|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|" + _SLC + ")*+"
+_BEFORE_RE = "(?:" + _NO_OPERAND + _BETWEEN + r"|\A(?:" + _WS + "|" + _LT + ")*+)" + _RE
+
 TOKEN_PATTERN = "|".join([
-    _MLC, _SLC, _TEMPLATE, _TEMPLATE_HEAD, _STR, _RE, _NUM, _PRIV, _IDENT, _PUNCT,
+    _BEFORE_RE, _MLC, _SLC, _TEMPLATE, _TEMPLATE_HEAD, _STR, _NUM, _PRIV, _IDENT, _PUNCT,
     _WS, _LT, r"[\s\S]",
 ])
+_PART_PATTERN = "|".join([_RE + r"\z", _MLC, _SLC, _IDENT, _PUNCT, _WS, _LT])
 
 _NO_SUB_FULL = r"^`" + _TCH + r"*+`?$"
 
@@ -129,7 +135,17 @@ def classify(v: Column) -> Column:
 
 def token_values(text: Column) -> Column:
     """ARRAY<STRING> of token texts; ``array_join(values, '')`` equals the input."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), 0)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), 0)
+
+    def joined(v):
+        """A regular expression with what stands before it: no other token that begins
+        otherwise has a slash."""
+        c = F.substring(v, 1, 1)
+        return v.contains("/") & ~c.isin("/", '"', "'", "`")
+
+    parts = F.flatten(F.transform(found, lambda v: F.when(
+        joined(v), F.regexp_extract_all(v, F.lit(_PART_PATTERN), 0)).otherwise(F.array(v))))
+    return F.when(F.exists(found, joined), parts).otherwise(found)
 
 
 def tokenize(text: Column) -> Column:

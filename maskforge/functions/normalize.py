@@ -28,7 +28,7 @@ WS_MARK = "\uFDD0"   # noncharacters: never part of interchanged text
 LT_MARK = "\uFDD1"
 _J_WS = r"\uFDD0"
 _J_LT = r"\uFDD1"
-_J_WS_BODY = r"[\t\x0B\f\uFEFF\p{Zs}]*+"
+_J_WS_BODY = r"[\t\x0B\f\uFEFF\p{Zs}]++"
 _J_LT_BODY = r"(?:<EOL>|\r\n|[\n\r\u2028\u2029])"
 # JavaScript's \s (used by trim / split / replace in the study's code)
 JS_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -40,7 +40,8 @@ P9_PATTERN = "(" + _J_LT + _J_LT_BODY + ")(?:" + _J_LT + _J_LT_BODY + ")++"
 
 def is_docblock(tok: Column) -> Column:
     v = tok["value"]
-    rest = F.slice(F.split(v, "\n"), 2, 1 << 30)
+    lines = F.split(v, "\n")
+    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     return ((tok["type"] == L.MULTI_LINE_COMMENT) & v.startswith("/**")
             & F.forall(rest, lambda line: line.rlike("^" + JS_SPACE + r"*\*")))
 
@@ -93,7 +94,8 @@ def dedupe_space(sentinel_text: Column) -> Column:
     """P8 then P9 over sentinel text, then strip the sentinels."""
     s = F.regexp_replace(sentinel_text, P8_PATTERN, "$1$2")
     s = F.regexp_replace(s, P9_PATTERN, "$1")
-    return F.regexp_replace(s, "[" + _J_WS + _J_LT + "]", "")
+    # a sentinel stands right before its token; the same characters of a text never do
+    return F.regexp_replace(s, _J_WS + r"(?=[\t\x0B\f\uFEFF\p{Zs}])|" + _J_LT + "(?=" + _J_LT_BODY + ")", "")
 
 
 def preprocess(text: Column, preserved: int | Column, replace_literals: bool) -> Column:
@@ -109,11 +111,6 @@ def preprocess_tokens(tokens: Column, preserved: int | Column, replace_literals:
     return dedupe_space(rendered)
 
 
-def token_lines(text: Column) -> Column:
-    """Number of lines of a text: parts after splitting on runs of newlines."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\n+")) + F.lit(1)
-
-
 def js_trim(s: Column) -> Column:
     return F.regexp_replace(s, "^" + JS_SPACE + "+|" + JS_SPACE + "+$", "")
 
@@ -129,7 +126,7 @@ def postprocess(code: Column, compat_bos_cut: bool = False) -> Column:
     c = F.coalesce(code, F.lit(""))
     skip = 1 if compat_bos_cut else 3
     pos = F.instr(c, "<s>")
-    c = F.when(pos > 0, c.substr(pos + F.lit(skip), F.lit(1 << 30))).otherwise(c)
+    c = F.when(pos > 0, c.substr(pos + F.lit(skip), F.length(c))).otherwise(c)
     end = F.instr(c, "</s>")
     c = F.when(end > 0, c.substr(F.lit(1), end - F.lit(1))).otherwise(c)
     toks = F.filter(L.tokenize(c),

@@ -155,3 +155,28 @@ def test_function_body_bounds(spark):
     toks = r["t"]
     assert toks[r["b"]["start"]]["value"] == "{" and toks[r["b"]["end"]]["value"] == "}"
     assert r["b"]["start"] == 6 and r["b"]["end"] == len(toks) - 1
+
+
+def _tokens(spark, text):
+    return [(t["type"], t["value"]) for t in one(spark, L.tokenize, text)]
+
+
+def test_regular_expressions_by_the_token_before(spark):
+    def expressions(text):
+        toks = _tokens(spark, text)
+        assert "".join(v for _, v in toks) == text
+        return [v for t, v in toks if t == L.REGEX]
+
+    assert expressions("a++ / b / c") == []
+    assert expressions("x = a / b / c") == []
+    assert expressions("f(/[/]x/g, y)") == ["/[/]x/g"]
+    assert expressions("x =\n\n" + " " * 4000 + "/q'/.test(z)") == ["/q'/"]
+    assert expressions("return /* why / so */ // t\n /a b/i") == ["/a b/i"]
+    assert expressions("  /first/.exec(t) / 2") == ["/first/"]
+    assert expressions("(a) / b / c; d = [/e/, 1 / 2 / 3]") == ["/e/"]
+    assert expressions("returned / b / c") == []
+
+
+def test_noncharacters_of_the_text_stay(spark):
+    text = "a \uFDD0\uFDD0 b\uFDD1  \uFDD1\n\nc\uFDD0"
+    assert one(spark, lambda t: N.preprocess(t, 0, False), text) == "a \uFDD0\uFDD0 b\uFDD1  \uFDD1\nc\uFDD0"
