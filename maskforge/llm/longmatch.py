@@ -358,3 +358,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     return both.mapInArrow(run, f"id {kind}, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
                            ).withColumnRenamed("id", id_col)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB twin of the digest over ``documents``: all strings, counted by md5."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * length})) AS k
+      FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g
+      FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM rep)),
+s AS (SELECT r, min(i) AS lo, max(i) + {length} AS hi FROM g GROUP BY r, g),
+t AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM s),
+x AS (SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+  string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+  FROM t JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (r)"""

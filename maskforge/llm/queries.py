@@ -62,6 +62,9 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
 
 
+ORACLES["op4_secret_ownership"] = secrets.oracle()
+
+
 @query
 def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best licence template of every document."""
@@ -106,6 +109,9 @@ def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op5_repeated_strings"] = longmatch.oracle()
+
+
 @query
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, with the item and similarity."""

@@ -121,3 +121,35 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         of_kind("owned").alias("n_owned"),
         n(lambda s: s["owners"] >= EXAMPLE_OWNERS).alias("n_examples"),
         n(lambda s: s["owners"] == 1).alias("n_live"))
+
+
+def oracle() -> str:
+    """DuckDB twin of :func:`secret_spans` over ``documents``."""
+    def q(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    kinds = "\nUNION ALL ".join(f"""SELECT row, owner, repo, '{k}' AS kind, {r} AS rank, {n} AS least,
+  string_split_regex(text, {q(p)}) AS ps, regexp_extract_all(text, {q(p)}, 0) AS ms, regexp_extract_all(text, {q(p)}, {g}) AS ss
+  FROM docs""" for r, (k, p, g, n) in enumerate(KINDS))
+    base = ", ".join(q(k) for k in BASE)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner,
+  concat_ws('/', source, lang) AS repo FROM documents),
+k AS ({kinds}),
+e AS (SELECT row, owner, repo, kind, rank, least, ps, ms, ss, unnest(range(1, len(ms) + 1)) AS i FROM k),
+m AS (SELECT row, owner, repo, kind, rank, least, ss[i] AS secret, length(ms[i]) AS size,
+  CAST(list_sum([length(x) for x in ps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS start FROM e),
+a AS (SELECT *, start + size AS stop FROM m WHERE length(secret) >= least AND (kind <> 'owned' OR (
+  regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]')
+  AND len(list_distinct(string_split(secret, ''))) >= 12))),
+f AS (SELECT secret, count(DISTINCT owner) AS owners FROM a GROUP BY secret),
+s AS (SELECT a.*, owners FROM a JOIN f USING (secret) WHERE kind <> 'owned' OR owners = 1),
+c AS (SELECT * FROM s WHERE kind <> 'owned' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.row = s.row AND b.kind <> 'owned'
+  AND b.start < s.stop AND s.start < b.stop))
+SELECT d.doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access,
+  count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans,
+  count(CASE WHEN kind = 'owned' THEN 1 END) AS n_owned, count(CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 1 END) AS n_examples,
+  count(CASE WHEN owners = 1 THEN 1 END) AS n_live
+FROM docs d LEFT JOIN c USING (row) GROUP BY d.row, d.doc_id"""

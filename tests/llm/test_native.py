@@ -66,6 +66,15 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert got[12].n_assign == 1 and got[12].n_examples == 1 and got[12].n_live == 0
 
 
+def test_secret_spans_match_sql(spark):
+    rows = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(SECRETS * 2 + [f"see {'Ex4mpleTokenXyzAbc0987qrs'} {k}" for k in
+                                                                          "abc"])] + [(None, SECRETS[0], None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(*docs.columns))
+    want = run_duck(secrets.oracle(), documents=docs.toPandas().astype({"doc_id": "Int64"}))
+    assert sorted(map(tuple, secrets.secret_spans(docs).collect()), key=str) == want
+
+
 def run_duck(sql, **frames):
     con = duckdb.connect()
     for name, df in frames.items():
