@@ -1,9 +1,4 @@
 """Marking and task queries (K1-K8) over the derived code corpus.
-
-These are checked rows-only by the driver (their oracle would need the same
-sequential potential-type fold in SQL); unit tests pin their semantics on small
-fixtures and invariants (markers <= 15 per file, markers present in all
-variants, task grid complete).
 """
 
 from __future__ import annotations
@@ -11,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskforge.operators import marking as K
+from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
 from maskforge.sources import tables as T
 
 
-@register("k1_markers")
+@register("k1_markers", M.MARKERS)
 def k1_markers(spark, sf_dir):
     """K1: marker count and marked-text digest per file of the code corpus."""
     code = T.code_corpus(spark, sf_dir)
@@ -23,7 +19,7 @@ def k1_markers(spark, sf_dir):
     return m.select("path", "n_markers", F.md5("marked").alias("digest"))
 
 
-@register("k5_common_markers")
+@register("k5_common_markers", M.COMMON)
 def k5_common_markers(spark, sf_dir):
     """K2-K6: per file, markers valid in all three type variants, capped at 15."""
     c = K.common_markers(K.variant_frame(T.code_corpus(spark, sf_dir)))
@@ -36,7 +32,7 @@ def _test_tasks(spark, sf_dir, replace_literals):
     return K.tasks(K.raw_tasks(K.variant_frame(files)), replace_literals)
 
 
-@register("k7_tasks")
+@register("k7_tasks", M.TASKS)
 def k7_tasks(spark, sf_dir):
     """K7/K8/K9: completion tasks of the test split for every (type variant x comment class)
     dataset."""
@@ -45,7 +41,7 @@ def k7_tasks(spark, sf_dir):
                     F.md5("input").alias("input_digest"), "gt")
 
 
-@register("k8_dataset_sizes")
+@register("k8_dataset_sizes", M.SIZES)
 def k8_dataset_sizes(spark, sf_dir):
     """K8: number of test tasks per output dataset ``<variant>-<comments>``."""
     t = _test_tasks(spark, sf_dir, False)

@@ -10,6 +10,7 @@ from maskforge.functions import normalize as N
 from maskforge.operators import metrics as E
 from maskforge.operators import ordered
 from maskforge.plans import duck as Q
+from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
 from maskforge.sources import tables as T
 
@@ -42,7 +43,7 @@ def duck_postprocess(x: str) -> str:
     return cut1, cut2, Q.js_trim(Q.remove_comments(s))
 
 
-def _pp_sql(col: str, alias: str) -> str:
+def postprocess_sql(col: str, alias: str) -> str:
     cut1, cut2, final = duck_postprocess(col)
     return (f"(SELECT {final} FROM (SELECT {cut2} AS c2 FROM (SELECT {cut1} AS c1)))"
             f" AS {alias}")
@@ -50,7 +51,7 @@ def _pp_sql(col: str, alias: str) -> str:
 
 @register("e2_postprocess", "WITH " + PAIRS_SQL + """
 SELECT conv_id, turn, md5(g) AS gt_digest, md5(p) AS pred_digest, length(g) AS gt_chars
-FROM (SELECT conv_id, turn, """ + _pp_sql("gt", "g") + """, """ + _pp_sql("prediction", "p") + """
+FROM (SELECT conv_id, turn, """ + postprocess_sql("gt", "g") + """, """ + postprocess_sql("prediction", "p") + """
       FROM pairs)""")
 def e2_postprocess(spark, sf_dir):
     """Paired rows with both sides normalised (digests per row)."""
@@ -62,7 +63,7 @@ def e2_postprocess(spark, sf_dir):
 
 
 @register("e5_exact_match_raw", "WITH " + PAIRS_SQL + """,
-pp AS (SELECT """ + _pp_sql("gt", "g") + """, """ + _pp_sql("prediction", "p") + """ FROM pairs)
+pp AS (SELECT """ + postprocess_sql("gt", "g") + """, """ + postprocess_sql("prediction", "p") + """ FROM pairs)
 SELECT count(*) AS pairs, sum(CASE WHEN p <> '' AND regexp_replace(g, """ + Q.q(Q.JS_SPACE + "+") + """, ' ', 'g')
          = regexp_replace(p, """ + Q.q(Q.JS_SPACE + "+") + """, ' ', 'g') THEN 1 ELSE 0 END) AS exact,
        sum(CASE WHEN p = '' THEN 1 ELSE 0 END) AS empty_predictions
@@ -87,6 +88,31 @@ def e3_token_counts(spark, sf_dir):
                     F.size(E.token_texts(F.col("prediction"))).alias("pred_tokens"))
 
 
+def _bleu_sql() -> str:
+    grams, nums, logs = [], [], []
+    for n in range(1, 5):
+        for side in "hr":
+            grams.append(f"[array_to_string({side}[i:i + {n - 1}], chr(1)) for i in range(1, len({side}) - {n - 2})] AS {side}{n}")
+        nums.append(f"coalesce(list_sum([least(len([x for x in h{n} if x = q]), len([x for x in r{n} if x = q])) "
+                    f"for q in list_distinct(h{n})]), 0) AS m{n}")
+        logs.append("ln(m1 / greatest(1, len(h1)))" if n == 1 else f"ln((m{n} + 1) / (greatest(1, len(h{n})) + 1))")
+    return f"""
+tk AS (SELECT conv_id, turn, {Q.token_values("g")} AS r, {Q.token_values("p")} AS h FROM pp WHERE p <> ''),
+gr AS (SELECT conv_id, turn, h, r, {", ".join(grams)} FROM tk),
+cn AS (SELECT *, {", ".join(nums)} FROM gr)
+SELECT conv_id, turn, round(CASE WHEN m1 = 0 THEN 0.0 ELSE CASE WHEN len(h) > len(r) THEN 1.0
+  ELSE exp(1 - len(r) / len(h)) END * exp(0.25 * ({" + ".join(logs)})) END, 9) AS bleu FROM cn"""
+
+
+@register("e7_bleu4", "WITH " + PAIRS_SQL + """,
+pp AS (SELECT conv_id, turn, """ + postprocess_sql("gt", "g") + """, """ + postprocess_sql("prediction", "p") + """ FROM pairs),"""
+          + _bleu_sql())
+def e7_bleu4(spark, sf_dir):
+    """Smoothed sentence BLEU-4 of every non-empty prediction."""
+    rows = E.score(pairs(spark, sf_dir)).where(~F.col("empty"))
+    return rows.select("conv_id", "turn", F.round("bleu", 9).alias("bleu"))
+
+
 @register("e_metric_rows")
 def e_metric_rows(spark, sf_dir):
     """One metric row per pair (empty rows kept for alignment)."""
@@ -140,7 +166,7 @@ def e18_first_line(spark, sf_dir):
 
 
 @register("e13_e17_dev_scores", "WITH " + PAIRS_SQL + """,
-pp AS (SELECT gt, prediction, """ + _pp_sql("prediction", "p") + """ FROM pairs)
+pp AS (SELECT gt, prediction, """ + postprocess_sql("prediction", "p") + """ FROM pairs)
 SELECT count(*) AS pairs, sum(len(""" + Q.token_values("prediction") + """)) AS input_tokens,
        avg(CASE WHEN prediction = gt THEN 1 ELSE 0 END) AS strict_em
 FROM pp WHERE p <> ''""")
@@ -184,3 +210,14 @@ def e14_task_leaderboard(spark, sf_dir):
     rows = rows.select(F.lit("last-line").alias("model"), types.alias("types"), comm.alias("comments"),
                        *[c for c in rows.columns if c not in ("path", "ordinal", "dataset")])
     return E.averages(rows, ["model", "types", "comments"]).orderBy("model", "types", "comments")
+
+
+@register("e14_exact_match_hits", M.leaderboard())
+def e14_exact_match_hits(spark, sf_dir):
+    """Non-empty predictions and exact matches of the baseline on every test
+    task, per (types, comments)."""
+    rows = task_metric_rows(spark, sf_dir)
+    types, comments = E.dimension_codes(F.col("dataset"))
+    return rows.groupBy(types.alias("types"), comments.alias("comments")).agg(
+        F.sum((~F.col("empty")).cast("long")).alias("n"),
+        F.coalesce(F.sum(F.col("exact_match").cast("long")), F.lit(0)).alias("hits"))

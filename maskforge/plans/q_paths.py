@@ -13,6 +13,7 @@ from maskforge.operators import paths as P
 from maskforge.operators import slots as O
 from maskforge.operators.ordered import stage
 from maskforge.plans import duck as Q
+from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
 from maskforge.sources import sinks
 from maskforge.sources import tables as T
@@ -104,7 +105,7 @@ def k12_batches_by_amount(spark, sf_dir):
 
 # --- sinks, written and read again --------------------------------------------------
 
-@register("s11_task_sink")
+@register("s11_task_sink", M.SINK)
 def s11_task_sink(spark, sf_dir):
     """Test tasks as JSON lines by (variant, comments), read with the task schema."""
     t = K.tasks(K.raw_tasks(K.variant_frame(K.test_files(T.code_corpus(spark, sf_dir)))))

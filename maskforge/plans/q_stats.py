@@ -10,6 +10,7 @@ from maskforge.operators import metrics as E
 from maskforge.operators import ordered
 from maskforge.operators import significance as A
 from maskforge.plans.q_metrics import pairs
+from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
 
 
@@ -32,15 +33,27 @@ def a5_a6_line_vs_token(spark, sf_dir):
     return A.report(ordered.stage(long, "metric-rows"), planned, ["conv_id", "turn"])
 
 
+def _long_task_rows(spark, sf_dir, metrics):
+    from maskforge.plans.q_metrics import task_metric_rows
+    rows = task_metric_rows(spark, sf_dir)
+    long = rows.select("path", "ordinal", F.col("dataset").alias("population"), "empty", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("mv"))
+    return long.select("path", "ordinal", "population", "empty", "mv.metric", "mv.value")
+
+
+@register("a1_a8_exact_match", M.significance())
+def a1_a8_exact_match(spark, sf_dir):
+    """A1-A6 for exact match: the twelve comparisons over the fifteen test datasets."""
+    long = _long_task_rows(spark, sf_dir, ("exact_match",))
+    out = A.report(long, A.catalogue(spark, metrics=("exact_match",)), ["path", "ordinal"])
+    return out.select("pop1", "pop2", "pairs", "n", F.round("z", 6).alias("z"), F.round("delta", 9).alias("delta"))
+
+
 @register("a1_a8_significance")
 def a1_a8_significance(spark, sf_dir):
     """All twelve comparisons x five metrics over the metric rows of the fifteen
     test datasets (the previous-line baseline), missing populations listed."""
-    from maskforge.plans.q_metrics import task_metric_rows
-    rows = task_metric_rows(spark, sf_dir)
-    long = rows.select("path", "ordinal", F.col("dataset").alias("population"), "empty", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in C.METRICS])).alias("mv"))
-    long = long.select("path", "ordinal", "population", "empty", "mv.metric", "mv.value")
+    long = _long_task_rows(spark, sf_dir, C.METRICS)
     out = A.report(long, A.catalogue(spark), ["path", "ordinal"])
     return out.select("pop1", "pop2", "metric", "pairs", F.bround("p_value", 3).alias("p"),
                       F.bround("delta", 3).alias("delta"), "significant", "missing")

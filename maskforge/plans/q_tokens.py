@@ -8,6 +8,7 @@ from maskforge import config as C
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.plans import duck as Q
+from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
 from maskforge.sources import tables as T
 
@@ -113,7 +114,7 @@ def p1_page_script_tokens(spark, sf_dir):
         .groupBy("type").agg(F.sum("tokens").alias("tokens"))
 
 
-@register("p12_line_spans")
+@register("p12_line_spans", M.LINE_SPANS)
 def p12_line_spans(spark, sf_dir):
     """Per file, non-empty terminated lines (first/last token excluded) and
     lines that hold a maskable token (potential types grouped first)."""
