@@ -18,15 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskforge.llm.common import RangeHash, buffer_of, combine, mix, ready, sized_join, slices, word_spans
 
 #: hashed n-gram indicators; also the bound of every table that reaches the driver
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: labelled rows of each class used to fit the hinge-loss model
-FIT_ROWS = 3000
+FIT_ROWS = 1500
 #: label rows up to which they are broadcast; beyond it the join shuffles
 BROADCAST_LABELS = 1_000_000
 SMOOTHING = 1.0
@@ -98,7 +99,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.n
     values = []
     for r in rows:
         v = ratio[r]
-        values.append(v / max(np.linalg.norm(v), 1e-9))
+        values.append((v / max(np.linalg.norm(v), 1e-9)).astype(np.float32))
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     square = np.array([float(v @ v) + 1.0 for v in values])
@@ -165,23 +166,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             np.r_[some, -1], np.r_[total[0][some], rows[0]], np.r_[total[1][some], rows[1]])], ["b", "n0", "n1"])
 
     counts = (known.mapInArrow(count, "b bigint, n0 bigint, n1 bigint")
-              .groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas())  # <= buckets rows
-    of_all = counts[counts.b < 0]
-    n0, n1 = (int(of_all[c].sum()) for c in ("n0", "n1"))
+              .groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())  # <= buckets rows
+    place, hits = counts["b"].to_numpy(), np.stack([counts["n0"].to_numpy(), counts["n1"].to_numpy()])
+    n0, n1 = (int(x) for x in hits[:, place < 0].sum(axis=1))
     zero = np.zeros(buckets)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(zero, zero, 0.0, 0.0, float(np.log(share / (1 - share))))
     hit = np.full((2, buckets), SMOOTHING)
-    counts = counts[counts.b >= 0]
-    hit[0][counts.b] += counts.n0
-    hit[1][counts.b] += counts.n1
+    hit[:, place[place >= 0]] += hits[:, place >= 0]
+    del counts, place, hits
     ratio = np.log(hit[1] / hit[1].sum()) - np.log(hit[0] / hit[0].sum())
 
     # bounded sample of each class for the fit, by a hash of the id
-    place = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(11)), 11).cast("double") / float(1 << 53)
-    marks = marks.where(place < F.when(F.col("y") == 1, fit_rows / n1).otherwise(fit_rows / n0))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(11)), 11).cast("double") / float(1 << 53)
+    marks = marks.where(draw < F.when(F.col("y") == 1, fit_rows / n1).otherwise(fit_rows / n0))
     known = sized_join(texts, marks, "id", "inner", BROADCAST_LABELS)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     ["id", "y", "f"])
 
     kind = known.schema["id"].dataType.simpleString()
-    sample = known.mapInArrow(rows_of, f"id {kind}, y int, f array<int>").toArrow().sort_by("id")
-    y = np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)
-    rows = [np.asarray(r.values) for r in sample["f"]]
+    sample = known.mapInArrow(rows_of, f"id {kind}, y int, f array<int>").toArrow()
+    order = pc.sort_indices(sample["id"]).to_pylist()
+    y = np.where(sample["y"].to_numpy() == 1, 1.0, -1.0)[order]
+    rows = [np.asarray(sample["f"][i].values) for i in order]
     apart = np.arange(len(rows)) % 4 == 3  # margins of these rows calibrate the score
     fit = np.flatnonzero(~apart)
     if len({*y[fit]}) < 2 or len({*y[apart]}) < 2:
