@@ -63,7 +63,7 @@ def test_links_with_split_units_and_agreeing_blocks(spark):
     fp = cloud(1)
     nodes = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
     want = classes(fp.tolist(), near(fp, 4))
-    for kw in ({}, {"unit_rows": 3}, {"agree": 2}):
+    for kw in ({}, {"unit_rows": 1}, {"unit_rows": 16}, {"agree": 2}):
         edges = S.links(nodes, 4, **kw).collect()
         pairs = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in edges]
         assert classes(fp.tolist(), pairs) == want
