@@ -15,13 +15,12 @@ Instead:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.session import checkpoint_dir
+from maskforge.session import stage_path
 
 _RANGE = "__range"
 
@@ -29,7 +28,7 @@ _RANGE = "__range"
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/maskforge/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

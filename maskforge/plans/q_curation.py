@@ -146,17 +146,14 @@ FROM (SELECT source || '/' || doc_id AS path,
 def s13_split_sink_roundtrip(spark, sf_dir):
     """Fan the file list out by split into partitioned JSON under the shared
     checkpoint folder, read it back with an explicit schema, count per split."""
-    import os
-    import uuid
-
     from pyspark.sql import types as TT
 
-    from maskforge.session import checkpoint_dir
+    from maskforge.session import stage_path
     from maskforge.sources import sinks
     files = T.read(spark, sf_dir, "documents", "doc_id", "source").select(
         "doc_id", T.file_path()).select(
         "path", S.weighted_split(F.col("path")).alias("split"))
-    out = os.path.join(checkpoint_dir(spark), f"splits-{uuid.uuid4().hex[:8]}")
+    out = stage_path(spark, "splits")
     sinks.write_partitioned_json(files, out, "split")
     back = sinks.read_json(spark, out, TT.StructType([TT.StructField("path", TT.StringType()),
                                                       TT.StructField("split", TT.StringType())]))

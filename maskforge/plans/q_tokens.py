@@ -98,7 +98,7 @@ def p10_doc_literal_mask(spark, sf_dir):
     return s.select("doc_id", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
 
-_SCRIPT_RE = r"<script[^>]*>([\s\S]*?)</script>"
+_SCRIPT_RE = r"(?i)<script[^>]*>([\s\S]*?)</script>"
 
 
 @register("p1_page_script_tokens", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
@@ -71,6 +72,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a staged table below the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/maskforge/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the folders this application staged so far; results that still read them
+    must have been written elsewhere.  Returns how many there were."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -9,12 +9,10 @@ after a failure replaces what it wrote.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.session import checkpoint_dir
+from maskforge.session import stage_path
 
 _BATCH = "__batch"
 
@@ -27,7 +25,7 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
 
 def new_place(spark: SparkSession, name: str) -> str:
     """A fresh place for a stream's checkpoint and table below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/maskforge/stream-{name}-{uuid.uuid4().hex}"
+    return stage_path(spark, f"stream-{name}")
 
 
 def run_to_table(stream: DataFrame, mode: str, place: str) -> DataFrame | None:

@@ -76,3 +76,12 @@ def test_sliding_window_longer_than_blocks(spark):
     want = pd.DataFrame(rows, columns=["k", "o", "v"])["v"].rolling(5, min_periods=1)
     assert np.allclose(got["w_sum"], want.sum()) and (got["w_n"].to_numpy() == want.count().to_numpy()).all()
     assert len(got) == 3000
+
+
+def test_staged_folders_can_be_dropped(spark):
+    from maskforge.session import drop_stages, stage_path
+    path = stage_path(spark, "unit-test")
+    spark.range(3).write.parquet(path)
+    assert drop_stages(spark) >= 1 and drop_stages(spark) == 0
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
