@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.session import checkpoint_dir, ship_package
+from maskforge.session import ship_package, stage_path
 
 #: a word is a run of bytes other than these (0x20 and 0x09-0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,11 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/maskforge/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage is
     cut and lost executors cost only the tasks they were running."""
