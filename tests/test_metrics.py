@@ -85,3 +85,13 @@ def test_sample_bounds():
     assert sample_bounds(np.array([1, 3, 5, 5]), np.array([1, 3, 4, 5]), 7, 4) == [(0, 3), (3, 5), (5, 7)]
     assert sample_bounds(np.array([], int), np.array([], int), 5, 4) == [(0, 4), (4, 5)]
     assert sample_bounds(np.array([0]), np.array([0]), 4, 4) == [(0, 4)]
+
+
+def test_detokenise_by_hand(spark):
+    from maskforge.operators.detokenise import SPACE, detokenise
+    vocab = spark.createDataFrame([(1, f"{SPACE}let"), (2, "ter"), (3, "</s>"), (4, f"{SPACE}x"), (5, "<NUM_LIT>"), (6, SPACE)],
+                                  "id long, token string")
+    rows = [("a", k, i) for k, i in enumerate((1, 2, 4, 5, 4, 0, 1))] + [("b", 0, 6), ("b", 1, 4), ("b", 2, 3), ("b", 3, 99),
+                                                                       ("b", 4, 2), ("c", 0, 0)]
+    got = {r.d: r.text for r in detokenise(spark.createDataFrame(rows, "d string, place int, id long"), vocab, "d").collect()}
+    assert got == {"a": "letter x <NUM_LIT> x", "b": "x </s> ter"}
