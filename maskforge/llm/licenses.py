@@ -12,6 +12,7 @@ pairs outside their own bound are never counted.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +103,11 @@ def needed_words(bigrams: dict[str, list[str]], threshold: float) -> list[str]:
     Long words are chosen first, for they are rarer in prose.
     """
     chosen: set[str] = set()
+    spread = Counter(w for grams in bigrams.values() for w in {x for g in grams for x in g.split(" ")})
     for name in sorted(bigrams):
         grams = [set(g.split(" ")) for g in bigrams[name]]
         least = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        words = sorted(set().union(*grams), key=lambda w: (-min(len(w), 7), -sum(w in g for g in grams), w))
+        words = sorted(set().union(*grams), key=lambda w: (len(w) < 5, -sum(w in g for g in grams) if len(w) > 4 else spread[w], w))
         for word in [w for w in words if w in chosen] + words:
             if sum(not g & chosen for g in grams) < least:
                 break
@@ -113,6 +115,13 @@ def needed_words(bigrams: dict[str, list[str]], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
+def word_pattern(words: list[str]) -> str:
+    """Pattern of any of the words, tried by first letter at word starts only."""
+    by = {w[0]: [x[1:] for x in words if x[0] == w[0]] for w in words}
+    tails = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items()))
+    return f"(?<![a-z0-9])(?:{tails})(?![a-z0-9])" if by else "(?!)"
+
+
 def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """``(id, passage, license, dice)`` of every match; passage -1 is the whole text."""
@@ -130,7 +139,7 @@ def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", t
     rows = docs
     if bound["size"] <= PREFILTER_BIGRAMS:
         held = {r["license"]: r["g"] for r in grams.groupBy("license").agg(F.collect_list("bigram").alias("g")).collect()}
-        rows = rows.where(F.lower(text).rlike("|".join(needed_words(held, threshold)) or "(?!)"))
+        rows = rows.where(F.lower(text).rlike(word_pattern(needed_words(held, threshold))))
     rows = rows.select(F.col(id_col).alias("id"), F.explode(passages).alias("p"))
     # n words have at most n - 1 distinct bigrams, and the text has at least 2n - 1 characters
     rows = rows.where(F.length("p.text") >= 2 * low * bound["least"])
