@@ -214,7 +214,9 @@ def links(nodes: DataFrame, distance: int, unit_rows: int = UNIT_ROWS, agree: in
         kept_u, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def edges(u, f):
-            a, b = unit_links(u, f, distance)
+            next_same = np.r_[u[1:] == u[:-1], False]
+            shared = next_same | np.r_[False, next_same[:-1]]  # most units hold one fingerprint
+            a, b = unit_links(u[shared], f[shared], distance)
             return pa.RecordBatch.from_arrays(
                 [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
