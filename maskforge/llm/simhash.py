@@ -189,12 +189,18 @@ def links(nodes: DataFrame, distance: int, unit_rows: int = UNIT_ROWS, agree: in
     With ``agree`` > 1, bits are cut into ``distance + agree`` blocks and a unit shares that
     many of them: more copies of each fingerprint, but far smaller units.
     """
-    spark = ready(nodes)
     masks = [sum(((1 << w) - 1) << lo for lo, w in chosen)
              for chosen in itertools.combinations(blocks(distance, agree), agree)]
     key = F.array(*[F.struct(F.lit(k).alias("b"), F.col("fp").bitwiseAND(
         m - (1 << 64) if m >> 63 else m).alias("x")) for k, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(key).alias("k")).select("fp", "k.b", "k.x")
+    return dealt_links(dealt, distance, unit_rows)
+
+
+def dealt_links(dealt: DataFrame, distance: int, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """``dealt(fp, b, x)`` -> edges ``(u, v)`` that span the fingerprints at most ``distance``
+    bits apart among those that share a unit ``(b, x)``."""
+    spark = ready(dealt)
     # units are sized on a 16th of the fingerprints, drawn by hash: one that is several times
     # too large is seen for sure, and a unit that is cut needlessly loses no link
     drawn = dealt.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(SIZED_ON)) == 0)
