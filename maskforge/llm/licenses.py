@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskforge.llm.common import sized_join
+from maskforge.llm.license_texts import WHOLE
 
 THRESHOLD = 0.8
 #: template bigrams up to which they are broadcast
@@ -26,6 +27,34 @@ BROADCAST_BIGRAMS = 500_000
 #: left out cannot match, so the result does not depend on this
 PREFILTER_BIGRAMS = 20_000
 
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.")
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission.")
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _gnu_header(name: str, version: str) -> str:
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as "
+            f"published by the Free Software Foundation, {version}, or (at your option) any later version. This program "
+            "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+            f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You "
+            f"should have received a copy of the {name} along with this program. If not, see "
+            "<https://www.gnu.org/licenses/>.")
+
+
 # fixed values: short licence notices and texts in common use
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -48,16 +77,34 @@ TEMPLATES = {
         "A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
         "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
         "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "MIT notice (released)": "Released under the MIT License.",
     "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    "ISC opening": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
-        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."),
-    "GPL-3.0 header": (
+    "BSD-2-Clause": _BSD_OPENING + " " + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD_OPENING + " " + _BSD_THIRD + " " + _BSD_DISCLAIMER,
+    "BSD-2-Clause opening": _BSD_OPENING,
+    "GPL-2.0 header": _gnu_header("GNU General Public License", "either version 2 of the License"),
+    "GPL-3.0 header": _gnu_header("GNU General Public License", "either version 3 of the License"),
+    "LGPL-2.1 header": _gnu_header("GNU Lesser General Public License", "either version 2.1 of the License"),
+    "LGPL-3.0 header": _gnu_header("GNU Lesser General Public License", "either version 3 of the License"),
+    "AGPL-3.0 header": _gnu_header("GNU Affero General Public License", "either version 3 of the License"),
+    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Apache-2.0 notice (released)": "Released under the Apache License, Version 2.0.",
+    "BSD notice": "Licensed under the BSD License.",
+    "MPL-2.0 notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "GPL-3.0 header opening": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."),
@@ -68,7 +115,9 @@ TEMPLATES = {
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "All rights reserved": "All rights reserved. No part of this text may be reproduced without permission.",
+    "All rights reserved": "All rights reserved.",
+    "All rights reserved, no reproduction": "All rights reserved. No part of this text may be reproduced without permission.",
+    **WHOLE,
 }
 
 
@@ -107,11 +156,14 @@ def needed_words(bigrams: dict[str, list[str]], threshold: float) -> list[str]:
     for name in sorted(bigrams):
         grams = [set(g.split(" ")) for g in bigrams[name]]
         least = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-        words = sorted(set().union(*grams), key=lambda w: (len(w) < 5, -sum(w in g for g in grams) if len(w) > 4 else spread[w], w))
-        for word in [w for w in words if w in chosen] + words:
-            if sum(not g & chosen for g in grams) < least:
+        held = Counter(w for g in grams for w in g)
+        words = sorted(held, key=lambda w: (len(w) < 5, -held[w] if len(w) > 4 else spread[w], w))
+        free = [g for g in grams if not g & chosen]
+        for word in words:
+            if len(free) < least:
                 break
             chosen.add(word)
+            free = [g for g in free if word not in g]
     return sorted(chosen)
 
 

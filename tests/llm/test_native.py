@@ -3,6 +3,7 @@ import hashlib
 import os
 import re
 import sys
+import textwrap
 
 import duckdb
 import pytest
@@ -146,3 +147,17 @@ def test_needed_words_never_hide_a_match():
         free = sum(not set(g.split(" ")) & chosen for g in held)
         # a passage of nothing but free bigrams is below the threshold whatever its size
         assert 2 * free < 0.8 * (max(free, len(held) * 0.8 / 1.2) + len(held)) or free == 0
+
+
+def test_license_lines_of_the_tables_and_whole_texts_are_found(spark):
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice",
+             "All rights reserved.": "All rights reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice",
+             "Released under the MIT License.": "MIT notice (released)",
+             "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice"}
+    whole = ["ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0 header", "LGPL-2.1 header", "AGPL-3.0 header",
+             "Apache-2.0 text", "GPL-2.0 text", "GPL-3.0 text", "LGPL-3.0 text", "MPL-2.0 text"]
+    rows = [(line + "\n" + fixtures.PROSE, name) for line, name in lines.items()]
+    rows += [("Copyright 2020 A. Writer\n\n" + textwrap.fill(licenses.TEMPLATES[n], 80), n) for n in whole]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in licenses.license_scan(docs, licenses.templates(spark)).collect()}
+    assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
