@@ -4,7 +4,8 @@ Each text gives a vector of transformed statistics.  For every (language, source
 language and the whole table, concentration steps look for the share ``CORE`` of rows whose
 covariance has the least determinant: distances under the present estimate are counted in
 fixed bins, and the moments of the bins that hold the nearest ``CORE`` of the rows give the
-next estimate.  A step is one partial aggregate of (group, bin) rows, so a group may hold
+next estimate.  The last step makes it of all rows whose distance, brought to that of a normal
+core, is below ``NEAR``, so a group may hold up to half junk.  A step is one partial aggregate of (group, bin) rows, so a group may hold
 any share of the table.  A text is rejected when its squared Mahalanobis distance from its
 own group's estimate exceeds ``CUTOFF``; groups with fewer than ``MIN_ROWS`` rows use their
 language, or else the whole table.
@@ -12,6 +13,7 @@ language, or else the whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,12 @@ STATS = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = ("word_length", "symbols", "upper", "punctuation", "digits", "repeats", "dup_lines", "size")
 #: least standard deviation of each entry, so that a constant entry rejects nobody alone
 FLOOR = np.array([0.05, 0.03, 0.03, 0.04, 0.08, 0.15, 0.30, 0.50])
-CORE = 0.75
-#: squared distance; far beyond any chi-square quantile of 8 entries, as the entries have tails
+CORE = 0.5
+#: squared distance: the 0.999 quantile of chi-square with 8 entries (26.12) times 2.68, as the entries have tails
 CUTOFF = 70.0
+#: rows nearer than this to the core's estimate make the final one: chi-square's 0.975 quantile
+NEAR = 17.5345
+MEDIAN = 7.3441  # chi-square's median with 8 entries
 MIN_ROWS = 100
 STEPS = 8
 #: distance bins: BINS_PER_OCTAVE for each doubling of the squared distance
@@ -169,13 +174,34 @@ def _start(pdf: pd.DataFrame) -> pd.DataFrame:
                         columns=["g", "n", "mean", "inverse", "logdet"])
 
 
+def _shrinkage(limit: float) -> float:
+    """Variance of normal rows whose squared distance is below ``limit``, to that of all rows."""
+    h = limit / 2
+    below = [1 - math.exp(-h) * sum(h ** i / math.factorial(i) for i in range(k)) for k in (4, 5)]
+    return below[1] / below[0]
+
+
 def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     """Next estimate of a group from its distance bins (at most some hundred rows)."""
+    return _next(pdf, False)
+
+
+def _reweighted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Last estimate of a group: of the rows near the half core, made consistent at the normal."""
+    return _next(pdf, True)
+
+
+def _next(pdf: pd.DataFrame, final: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
     n = pdf["n"].to_numpy()
-    last = int(np.searchsorted(np.cumsum(n), CORE * n.sum()))
+    last = int(np.searchsorted(np.cumsum(n), min(CORE * n.sum() + (len(VECTOR) + 1) / 2, n.sum())))
+    if final:
+        top = 2.0 ** ((pdf["bin"].to_numpy() + 1) / BINS_PER_OCTAVE) * _shrinkage(MEDIAN)
+        last = max(last, int((top <= NEAR).sum()) - 1)
     core = pdf.iloc[:last + 1]
     mean, cov = _estimate(core["n"].sum(), np.stack(core["s"]).sum(axis=0), np.stack(core["ss"]).sum(axis=0))
+    if final:
+        cov = cov / _shrinkage(NEAR)
     floored = cov + np.diag(np.maximum(FLOOR ** 2 - np.diag(cov), 0))
     logdet = float(np.linalg.slogdet(floored + 1e-9 * np.eye(len(VECTOR)))[1])
     return pd.DataFrame([[pdf["g"].iloc[0], int(n.sum()), mean.tolist(), _packed(cov), logdet]],
@@ -189,7 +215,7 @@ def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     binned = (member.select("g", entry.alias("e")).groupBy("g", "e.k", "e.q")
               .agg(F.count(F.lit(1)).alias("n")))
     state = staged(binned.groupBy("g").applyInPandas(_start, _STATE), "mcd")
-    for _ in range(steps):
+    for step in range(steps + 1):
         # one row per group: Spark broadcasts it while it is small and shuffles otherwise
         far = member.join(state.select("g", "mean", "inverse"), "g").select(
             "g", "x", _distance("x", "mean", "inverse").alias("d"))
@@ -199,7 +225,7 @@ def estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
         bins = far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
         bins = bins.select("g", "bin", "n", F.array(*[f"s{i}" for i in range(len(VECTOR))]).alias("s"),
                            F.array(*[f"q{k}" for k in range(len(_PAIRS))]).alias("ss"))
-        state = staged(bins.groupBy("g").applyInPandas(_concentrate, _STATE), "mcd")
+        state = staged(bins.groupBy("g").applyInPandas(_concentrate if step < steps else _reweighted, _STATE), "mcd")
     return state
 
 

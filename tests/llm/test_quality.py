@@ -103,3 +103,20 @@ def test_classifier_edge_cases(spark):
     assert all(0 <= s <= 1 for s in scores)
     assert nbsvm.score(fixtures.empty(spark), none).count() == 0
     assert nbsvm.train(fixtures.empty(spark), both).slope == 0.0
+
+
+def test_mcd_rejects_junk_of_a_third_and_nearly_half(spark):
+    rng = np.random.default_rng(7)
+    words = ["ab", "river", "stone", "mind", "lamp", "grey", "walking", "over", "under"]
+    rows, junk = [], set()
+    for source, n_junk in (("third", 132), ("half", 180)):
+        for k in range(400):
+            text = " ".join(rng.choice(words, rng.integers(80, 200))) + "."
+            if k < n_junk:
+                text = " ".join(w.upper() + "###" for w in rng.choice(words, 100))
+                junk.add(len(rows))
+            rows.append((len(rows), text, "en", source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in robust.outliers(docs).collect()}
+    assert not any(got[i].kept for i in junk)
+    assert np.mean([got[i].kept for i in got if i not in junk and not got[i].base_failed]) > 0.98
