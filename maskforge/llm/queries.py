@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import decontaminate, fuzzylines, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import decontaminate, digest, fuzzylines, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fuzzylines.removed_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"),
                       F.array_join("removed", ",").alias("removed_lines"))
+
+
+@query
+def op11_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likeness."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return digest.edit_study(docs, digest.entropy_ranks(docs))
