@@ -147,16 +147,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """64-bit hashes of arbitrary ranges of one buffer (bytes, or 64-bit values), all at once."""
+    """64-bit hashes of arbitrary ranges of one buffer (bytes, or 64-bit values), all at once;
+    another odd ``base`` gives independent ones."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: np.uint64 = _MUL):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         terms = data.astype(np.uint64)
         terms += np.uint64(1)
-        terms *= _powers(_MUL, n)
+        terms *= _powers(base, n)
         np.cumsum(terms, out=self.sums[1:])
-        self.inv = _powers(_INV, n + 1)
+        self.inv = _powers(_INV if base == _MUL else np.uint64(pow(int(base), -1, 1 << 64)), n + 1)
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.inv[starts]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import decontaminate, digest, fuzzylines, licenses, longmatch, mixing, nbsvm, robust, secrets, simhash, tokens
+from maskforge.llm import decontaminate, digest, fuzzylines, licenses, longmatch, mixing, nbsvm, phrases, robust, secrets, simhash, tokens
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,12 @@ def op11_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, with their likeness."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return digest.edit_study(docs, digest.entropy_ranks(docs))
+
+
+@query
+def op12_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of two to four words of every language."""
+    return phrases.phrase_collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+ORACLES["op12_son_phrases"] = phrases.oracle()
