@@ -75,12 +75,12 @@ def _group(l: np.ndarray, s: np.ndarray) -> np.ndarray:
     return mix(l.view(np.uint64) ^ mix(s.astype(np.uint64) + np.uint64(1)))
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return mix(keys) & np.uint64(FILTER_BITS - 1)
+def _bit(keys: np.ndarray, size: int) -> np.ndarray:
+    return mix(keys) & np.uint64(size - 1)
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    b = _bit(keys)
+    b = _bit(keys, 64 * len(bits))
     return (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -115,6 +115,7 @@ def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray
 def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> DataFrame:
     """``(l, s, h, c)``: occurrences of phrases of the given lengths per language and shard."""
     shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
+    chunk = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -139,7 +140,7 @@ def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> Data
                     doc = words.docs[at]
                     held.append((h ^ group[doc], l[doc], s[doc]))
                     size += len(h)
-                if size >= CHUNK:
+                if size >= chunk:
                     yield result()
                     held, size = [], 0
         if size:
@@ -151,19 +152,21 @@ def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> Data
 
 def _bitmap(frequent: DataFrame, by_shard: bool) -> np.ndarray:
     """Bitmap of fixed size over frequent phrases, of their shards or of all: no false negatives."""
+    size = FILTER_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch["h"].to_numpy().view(np.uint64)
             if by_shard:
                 h = h ^ _group(batch["l"].to_numpy(), batch["s"].to_numpy())
-            b = _bit(h)
+            b = _bit(h, size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((b >> np.uint64(6)).astype(np.int32)),
                  pa.array((np.uint64(1) << (b & np.uint64(63))).view(np.int64))], ["w", "b"])
 
     words = (frequent.select("l", "s", "h").mapInArrow(run, "w int, b bigint")
              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return bits
 
@@ -193,6 +196,7 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray) -> DataFrame:
     """``(lang, phrase, a)``: exact occurrences of every phrase in the bitmap, over all rows, and
     all words of a language with a null phrase."""
     shared = rows.sparkSession.sparkContext.broadcast(candidates)  # FILTER_BITS / 8 bytes
+    chunk = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, size, base = [], [], 0, 0
@@ -234,7 +238,7 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray) -> DataFrame:
                     size += len(h)
                 texts.append(text)
                 base += len(text)
-                if size >= CHUNK or base >= 8 * CHUNK:
+                if size >= chunk or base >= 8 * chunk:
                     yield result()
                     held, texts, size, base = [], [], 0, 0
         if held:
