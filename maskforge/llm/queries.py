@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm import decontaminate, digest, fuzzylines, licenses, longmatch, mixing, nbsvm, phrases, robust, secrets, simhash, tokens
+from maskforge.llm import decontaminate, digest, fuzzylines, licenses, longmatch, mixing, nbsvm, phrases, robust, secrets, simhash, tokens, whitening
 from maskforge.llm.common import stage_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,10 @@ def op12_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_son_phrases"] = phrases.oracle()
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading whitened components of every usable embedding."""
+    out = whitening.whitened_components(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
