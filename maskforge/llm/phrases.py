@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import RangeHash, buffer_of, combine, mix, ready, sized_join, slices, staged, word_spans
+from maskforge.llm.common import RangeHash, buffer_of, mix, ready, sized_join, slices, staged, word_spans
 
 LEAST = 30
 LONGEST = 4
@@ -44,6 +44,7 @@ BLANK[[9, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)  # odd
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _LEVEL = mix(np.arange(1, LONGEST + 1, dtype=np.uint64))
 
 
@@ -64,10 +65,25 @@ class Words:
         self.lang = mix(part["l"].to_numpy().view(np.uint64))
         self.hashes = RangeHash(self.data)(self.starts, self.ends)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every phrase of ``n`` words (language included) and its first word."""
-        h, at = combine(self.hashes, n, self.piece)
-        return mix(h ^ self.lang[self.docs[at]] ^ _LEVEL[n - 1]), at
+    def first_words(self, n: int, good: np.ndarray | None = None, known: int = 1) -> np.ndarray:
+        """First words of the phrases of ``n`` words; with ``good`` (a flag for the first word of
+        every phrase of ``known`` words) of those alone that hold only good ones."""
+        m = len(self.starts) - n + 1
+        if m <= 0:
+            return np.zeros(0, np.int64)
+        keep = self.piece[:m] == self.piece[n - 1:]
+        if good is not None:
+            for k in range(n - known + 1):
+                keep &= good[k:k + m]
+        return np.flatnonzero(keep)
+
+    def grams(self, n: int, at: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Hash (language included) of the phrases of ``n`` words that begin at ``at``."""
+        hashes = self.hashes if hashes is None else hashes
+        h = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            h = h * _STEP + hashes[at + k]
+        return mix(h ^ self.lang[self.docs[at]] ^ _LEVEL[n - 1])
 
 
 def _group(l: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -101,15 +117,13 @@ def added_up(key: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], np.diff(np.r_[first, len(key)])
 
 
-def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """Which phrases of ``n`` words (first words ``at``) hold only frequent ones of ``known`` words."""
-    h, first = words.grams(known)
-    good = np.zeros(len(words.starts) + 1, bool)
-    good[first] = _has(bits, h ^ group[words.docs[first]])
-    keep = np.ones(len(at), bool)
-    for k in range(n - known + 1):
-        keep &= good[at + k]
-    return keep
+def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray) -> np.ndarray:
+    """A flag for every word: whether the phrase of ``known`` words that begins there is frequent
+    in its shard."""
+    first = words.first_words(known)
+    good = np.zeros(len(words.starts), bool)
+    good[first] = _has(bits, words.grams(known, first) ^ group[words.docs[first]])
+    return good
 
 
 def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> DataFrame:
@@ -132,12 +146,10 @@ def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> Data
                 words = Words(part)
                 l, s = part["l"].to_numpy(), part["s"].to_numpy()
                 group = _group(l, s)
+                good = None if shared is None else _frequent_here(words, group, known, shared.value)
                 for n in levels:
-                    h, at = words.grams(n)
-                    if shared is not None:
-                        keep = _frequent_here(words, group, known, shared.value, n, at)
-                        h, at = h[keep], at[keep]
-                    doc = words.docs[at]
+                    at = words.first_words(n, good, known)
+                    h, doc = words.grams(n, at), words.docs[at]
                     held.append((h ^ group[doc], l[doc], s[doc]))
                     size += len(h)
                 if size >= chunk:
@@ -229,11 +241,16 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray) -> DataFrame:
                 step = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
                 text[np.repeat(put[:-1], long) + step] = words.data[np.repeat(words.starts, long) + step]
                 again = RangeHash(words.data, _OTHER_BASE)(words.starts, words.ends)
+                good = None
                 for n in range(1, LONGEST + 1):
-                    h, at = words.grams(n)
-                    other, _ = combine(again, n, words.piece)
+                    # a candidate's shorter phrases are candidates
+                    at = words.first_words(n, good, n - 1)
+                    h = words.grams(n, at)
                     keep = _has(shared.value, h)
-                    h, other, at = h[keep], other[keep], at[keep]
+                    h, at = h[keep], at[keep]
+                    good = np.zeros(len(words.starts), bool)
+                    good[at] = True
+                    other = words.grams(n, at, again)
                     held.append((h, other, code[words.docs[at]], put[at] + base, put[at + n] - 1 + base))
                     size += len(h)
                 texts.append(text)
