@@ -8,9 +8,9 @@ phrases that are frequent in any shard are then counted exactly over all documen
 are scored from those counts alone.
 
 Candidates are searched by 64-bit hashes and bitmaps of ``FILTER_BITS`` bits, whose errors can only
-add candidates.  Exact counts go by the phrase itself; inside a task equal phrases are told by 128
-bits and the language.  Every step is an aggregate with pre-aggregation in the task, so a frequent
-phrase or language is a row per task, not a hot group.
+add candidates; exact counts compare the phrases themselves.  A task adds up equal phrases and packs
+them in blocks by hash bucket, so the shuffle moves blocks instead of single phrases, and a frequent
+phrase or language is one entry per task and not a hot group.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import RangeHash, buffer_of, mix, ready, sized_join, slices, staged, word_spans
+from maskforge.llm.common import RangeHash, buffer_of, mix, ready, shuffle_width, sized_join, slices, staged, word_spans
 
 LEAST = 30
 LONGEST = 4
@@ -30,7 +31,7 @@ TOP = 2000
 SHARDS = 4
 #: size of a bitmap of frequent phrases; when it fills up, more phrases are counted, none is lost
 FILTER_BITS = 1 << 26
-#: occurrences (and bytes of words) brought together in a task before equal ones are added up
+#: occurrences brought together in a task before equal ones are added up
 CHUNK = 2_000_000
 #: (language, shard) rows up to which their table is broadcast
 SMALL = 10_000
@@ -43,10 +44,12 @@ BLANK = PIECE_END.copy()
 BLANK[[9, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)  # odd
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _LEVEL = mix(np.arange(1, LONGEST + 1, dtype=np.uint64))
 
+_BLOCK = {"bucket": pa.int32(), "lang": pa.string(), "l": pa.int64(), "s": pa.int32(), "n": pa.int64(),
+          "h": pa.binary(), "c": pa.binary()}
+
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     lang = F.coalesce(F.col(lang_col), F.lit("und"))
@@ -100,21 +103,9 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
 
 
-def added_up(key: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One index of each distinct (key, more...) and how many there are."""
-    if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(key)
-
-    def changes(of):
-        return of[order][1:] != of[order][:-1]
-
-    new = changes(key)
-    if any((changes(m) & ~new).any() for m in more):  # equal hashes of different things
-        order = np.lexsort((*more, key))
-        new = np.logical_or.reduce([changes(m) for m in (key, *more)])
-    first = np.flatnonzero(np.r_[True, new])
-    return order[first], np.diff(np.r_[first, len(key)])
+def _buckets(df: DataFrame) -> int:
+    """Buckets (a power of two) that blocks are dealt into: some for every shuffle partition."""
+    return 1 << min((4 * shuffle_width(df.sparkSession) - 1).bit_length(), 20)
 
 
 def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray) -> np.ndarray:
@@ -126,40 +117,88 @@ def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray
     return good
 
 
-def _counted(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> DataFrame:
-    """``(l, s, h, c)``: occurrences of phrases of the given lengths per language and shard."""
+def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits, buckets: int) -> DataFrame:
+    """Occurrences of phrases of the given lengths, added up in the task and packed in blocks:
+    ``(bucket, lang, l, s, n, h, c)`` with the distinct hashes of a bucket and their counts as
+    bytes, ``n`` occurrences in all."""
     shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
     chunk = CHUNK
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        groups: dict[tuple, int] = {}
 
         def result():
-            key, l, s = (np.concatenate([x[i] for x in held]) for i in range(3))
-            one, times = added_up(key, l, s)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(l[one]), pa.array(s[one]), pa.array((key[one] ^ _group(l[one], s[one])).view(np.int64)),
-                 pa.array(times.astype(np.int64))], ["l", "s", "h", "c"])
+            hashes, code = (np.concatenate([x[i] for x in held]) for i in range(2))
+            out = []
+            for (lang, l, s), k in groups.items():
+                h = np.sort(hashes[code == k])
+                if not len(h):
+                    continue
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                h, c = h[first], np.diff(np.r_[first, len(h)])
+                bucket = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+                cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)]
+                out += [(int(bucket[x]), lang, l, s, int(c[x:y].sum()), h[x:y].tobytes(), c[x:y].astype(np.int64).tobytes())
+                        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            for x in range(0, len(out), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[x:x + 1024]), _BLOCK.values())],
+                                                 list(_BLOCK))
 
         for batch in batches:
             for part in slices(batch, "t"):
                 words = Words(part)
                 l, s = part["l"].to_numpy(), part["s"].to_numpy()
                 group = _group(l, s)
+                code = np.array([groups.setdefault(g, len(groups)) for g in zip(
+                    part["lang"].to_pylist(), l.tolist(), s.tolist())], np.int32)
                 good = None if shared is None else _frequent_here(words, group, known, shared.value)
                 for n in levels:
                     at = words.first_words(n, good, known)
-                    h, doc = words.grams(n, at), words.docs[at]
-                    held.append((h ^ group[doc], l[doc], s[doc]))
-                    size += len(h)
+                    held.append((words.grams(n, at), code[words.docs[at]]))
+                    size += len(at)
                 if size >= chunk:
-                    yield result()
+                    yield from result()
                     held, size = [], 0
         if size:
+            yield from result()
+
+    return rows.mapInArrow(run, "bucket int, lang string, l bigint, s int, n bigint, h binary, c binary")
+
+
+def _frequent(blocks: DataFrame, support: DataFrame, width: int) -> DataFrame:
+    """``(l, s, h)`` of phrases with the support of their language and shard.  The blocks of a
+    bucket meet in one task, which holds those of one bucket, language and shard at a time."""
+    dealt = (sized_join(blocks, support.select("lang", "s", "support"), ["lang", "s"], "inner", SMALL)
+             .select("bucket", "l", "s", "support", "h", "c").repartition(width, "bucket")
+             .sortWithinPartitions("bucket", "l", "s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def result():
+            h = np.frombuffer(b"".join(x[0] for x in held), np.uint64)
+            c = np.frombuffer(b"".join(x[1] for x in held), np.int64)
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            h = h[first][np.add.reduceat(c[order], first) >= at[3]]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at[1], np.int64)), pa.array(
+                np.full(len(h), at[2], np.int32)), pa.array(h.view(np.int64))], ["l", "s", "h"])
+
+        for batch in batches:
+            keys = zip(*(batch[k].to_pylist() for k in ("bucket", "l", "s", "support")))
+            for k, key in enumerate(keys):
+                if key != at and held:
+                    yield result()
+                    held = []
+                at = key
+                held.append((batch["h"][k].as_py(), batch["c"][k].as_py()))
+        if held:
             yield result()
 
-    out = rows.mapInArrow(run, "l bigint, s int, h bigint, c bigint")
-    return out.groupBy("l", "s", "h").agg(F.sum("c").alias("c"))
+    return dealt.mapInArrow(run, "l bigint, s int, h bigint")
 
 
 def _bitmap(frequent: DataFrame, by_shard: bool) -> np.ndarray:
@@ -183,64 +222,74 @@ def _bitmap(frequent: DataFrame, by_shard: bool) -> np.ndarray:
     return bits
 
 
-def shard_frequent(rows: DataFrame, least: int) -> list[DataFrame]:
-    """Phrases frequent in some shard: staged ``(l, s, h)`` tables, one for each mining step."""
-    counts = staged(_counted(rows, (1,), 0, None), "phrase-words")
-    sizes = counts.groupBy("l", "s").agg(F.sum("c").cast("decimal(38,0)").alias("n"))
-    whole = sizes.groupBy("l").agg(F.sum("n").cast("decimal(38,0)").alias("all"))
-    # one row for each language and shard
-    support = staged(sizes.join(whole, "l").select(
-        "l", "s", F.expr(f"(CAST({least} AS DECIMAL(20,0)) * n + `all` - 1) div `all`").alias("support")), "phrase-support")
+def supports(blocks: DataFrame, least: int) -> DataFrame:
+    """``(lang, s, n, all, support)``: words of each language and shard and of the language, and
+    the support lowered in proportion; one row for each."""
+    sizes = blocks.groupBy("lang", "s").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+    whole = sizes.groupBy("lang").agg(F.sum("n").cast("decimal(38,0)").alias("all"))
+    return staged(sizes.join(whole, "lang").select("lang", "s", "n", "all", F.expr(
+        f"(CAST({least} AS DECIMAL(20,0)) * n + `all` - 1) div `all`").alias("support")), "phrase-support")
 
-    def frequent(counted, name):
-        out = sized_join(counted, support, ["l", "s"], "inner", SMALL).where("c >= support").select("l", "s", "h")
-        return staged(out, f"phrase-{name}")
 
-    found = [frequent(counts, "level1")]
-    found.append(frequent(_counted(rows, (2,), 1, _bitmap(found[0], True)), "level2"))
-    if LONGEST > 2:
-        longer = tuple(range(3, LONGEST + 1))
-        found.append(frequent(_counted(rows, longer, 2, _bitmap(found[1], True)), "longer"))
-    return found
+def shard_frequent(rows: DataFrame, least: int) -> tuple[list[DataFrame], DataFrame]:
+    """Phrases frequent in some shard: staged ``(l, s, h)`` tables, one for each mining step; and
+    the words of each language."""
+    width, buckets = shuffle_width(rows.sparkSession), _buckets(rows)
+    words = staged(_blocks(rows, (1,), 0, None, buckets), "phrase-words")
+    support = supports(words, least)
+    found = [staged(_frequent(words, support, width), "phrase-level1")]
+    for known, levels in ((1, (2,)), (2, tuple(range(3, LONGEST + 1)))):
+        blocks = _blocks(rows, levels, known, _bitmap(found[-1], True), buckets)
+        found.append(staged(_frequent(blocks, support, width), f"phrase-level{known + 1}"))
+    return found, support.select("lang", F.col("all").cast("bigint").alias("n")).distinct()
 
 
-def phrase_counts(rows: DataFrame, candidates: np.ndarray) -> DataFrame:
-    """``(lang, phrase, a)``: exact occurrences of every phrase in the bitmap, over all rows, and
-    all words of a language with a null phrase."""
+def phrase_counts(rows: DataFrame, candidates: np.ndarray, least: int) -> DataFrame:
+    """``(lang, phrase, a)``: exact occurrences, over all rows, of the phrases in the bitmap that
+    are found ``least`` times.  Phrases are compared as text, in tasks and between them."""
     shared = rows.sparkSession.sparkContext.broadcast(candidates)  # FILTER_BITS / 8 bytes
-    chunk = CHUNK
+    chunk, width, buckets = CHUNK, shuffle_width(rows.sparkSession), _buckets(rows)
+    shift = 64 - (buckets.bit_length() - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts, size, base = [], [], 0, 0
-        langs: dict[str, int] = {}
-        total: dict[int, int] = {}
+    def table(data: np.ndarray, cut: np.ndarray, **more) -> pa.Table:
+        text = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+        return pa.table({"p": text, **more})
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
 
         def result():
-            h1, h2, lang, lo, hi = (np.concatenate([x[i] for x in held]) for i in range(5))
-            one, times = added_up(h1, h2, lang)
-            lo, hi = lo[one], hi[one]
-            cut = np.r_[0, np.cumsum(hi - lo)]
-            data = np.concatenate(texts)[np.arange(cut[-1]) + np.repeat(lo - cut[:-1], hi - lo)]
-            phrase = pa.Array.from_buffers(pa.large_string(), len(lo), [
-                None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
-            names = pa.array(list(langs)).take(pa.array(lang[one]))
-            return pa.RecordBatch.from_arrays([names, phrase, pa.array(times.astype(np.int64))], ["lang", "phrase", "a"])
+            for lang, parts in held.items():
+                data, long, h = (np.concatenate([x[i] for x in parts]) for i in range(3))
+                t = table(data, np.r_[0, np.cumsum(long)].astype(np.int64), h=h)
+                t = t.group_by("p").aggregate([("h", "min"), ("h", "count")])
+                bucket = (t["h_min"].to_numpy() >> np.uint64(shift)).astype(np.int64) if buckets > 1 \
+                    else np.zeros(len(t), np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, p = bucket[order], t["p"].combine_chunks().take(pa.array(order))
+                a = t["h_count"].to_numpy()[order].astype(np.int64)
+                ends = np.frombuffer(p.buffers()[1], np.int64)[:len(p) + 1]
+                raw = p.buffers()[2].to_pybytes() if len(p) else b""
+                cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(p)].tolist()
+                out = [(int(bucket[x]), lang, raw[ends[x]:ends[y]], a[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
+                for x in range(0, len(out), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[x:x + 1024]), (
+                        pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "p", "a"])
 
         for batch in batches:
             for part in slices(batch, "t"):
                 words = Words(part)
-                code = np.array([langs.setdefault(x, len(langs)) for x in part["lang"].to_pylist()], np.int64)
-                for k, n in enumerate(np.bincount(code[words.docs], minlength=len(langs)).tolist()):
-                    total[k] = total.get(k, 0) + n
                 if not len(words.starts):
                     continue
+                names = part["lang"].to_pylist()
+                code = np.array([sorted(set(names)).index(x) for x in names])
                 # words again, one blank after each, so that a phrase is a run of bytes
                 long = words.ends - words.starts
                 put = np.r_[0, np.cumsum(long + 1)]
                 text = np.full(put[-1], 32, np.uint8)
                 step = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
                 text[np.repeat(put[:-1], long) + step] = words.data[np.repeat(words.starts, long) + step]
-                again = RangeHash(words.data, _OTHER_BASE)(words.starts, words.ends)
                 good = None
                 for n in range(1, LONGEST + 1):
                     # a candidate's shorter phrases are candidates
@@ -250,32 +299,61 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray) -> DataFrame:
                     h, at = h[keep], at[keep]
                     good = np.zeros(len(words.starts), bool)
                     good[at] = True
-                    other = words.grams(n, at, again)
-                    held.append((h, other, code[words.docs[at]], put[at] + base, put[at + n] - 1 + base))
-                    size += len(h)
-                texts.append(text)
-                base += len(text)
-                if size >= chunk or base >= 8 * chunk:
+                    of = code[words.docs[at]]
+                    for k, lang in enumerate(sorted(set(names))):
+                        mine = np.flatnonzero(of == k)
+                        if not len(mine):
+                            continue
+                        lo = put[at[mine]]
+                        size_of = put[at[mine] + n] - lo
+                        ends = np.cumsum(size_of)
+                        data = text[np.arange(ends[-1]) + np.repeat(lo - (ends - size_of), size_of)]
+                        data[ends - 1] = 10  # no phrase holds a line end: it closes each
+                        held.setdefault(lang, []).append((data, size_of, h[mine]))
+                        size += len(mine)
+                if size >= chunk:
+                    yield from result()
+                    held.clear()
+                    size = 0
+        if size:
+            yield from result()
+
+    blocks = (rows.select("lang", "l", "t").mapInArrow(packed, "bucket int, lang string, p binary, a binary")
+              .repartition(width, "bucket").sortWithinPartitions("bucket", "lang"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def result():
+            data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
+            cut = np.r_[0, np.flatnonzero(data == 10) + 1].astype(np.int64)
+            t = table(data, cut, a=np.frombuffer(b"".join(x[1] for x in held), np.int64))
+            t = t.group_by("p").aggregate([("a", "sum")])
+            t = t.filter(pc.greater_equal(t["a_sum"], least))
+            text = [p[:-1].decode() for p in t["p"].to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(text), pa.string()), pa.array(text, pa.string()),
+                                               t["a_sum"].combine_chunks().cast(pa.int64())], ["lang", "phrase", "a"])
+
+        for batch in batches:
+            for k, key in enumerate(zip(batch["bucket"].to_pylist(), batch["lang"].to_pylist())):
+                if key != at and held:
                     yield result()
-                    held, texts, size, base = [], [], 0, 0
+                    held = []
+                at = key
+                held.append((batch["p"][k].as_py(), batch["a"][k].as_py()))
         if held:
             yield result()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(langs), pa.string()), pa.nulls(len(langs), pa.string()),
-             pa.array([total.get(k, 0) for k in range(len(langs))], pa.int64())], ["lang", "phrase", "a"])
 
-    out = rows.select("lang", "l", "t").mapInArrow(run, "lang string, phrase string, a bigint")
-    return out.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return blocks.mapInArrow(counted, "lang string, phrase string, a bigint")
 
 
 def _exact(name: str) -> Column:
     return F.col(name).cast("decimal(20,0)")
 
 
-def collocations(counts: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
-    """Scored phrases per language from exact counts ``(lang, phrase, a)``."""
-    counts = staged(counts.where(F.col("phrase").isNull() | (F.col("a") >= least)), "phrase-counts")
-    known = counts.where(F.col("phrase").isNotNull())
+def collocations(known: DataFrame, totals: DataFrame, top: int = TOP) -> DataFrame:
+    """Scored phrases per language from the exact counts ``(lang, phrase, a)`` of all frequent
+    phrases and words, and the languages' words ``(lang, n)``."""
     words = known.withColumn("w", F.split("phrase", " ")).withColumn("k", F.size("w")).where("k > 1")
 
     def run_of(begin, length):
@@ -304,7 +382,6 @@ def collocations(counts: DataFrame, least: int = LEAST, top: int = TOP) -> DataF
     # SALTS * top rows of a language at most
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(
         F.col("rank") <= top)
-    totals = counts.where(F.col("phrase").isNull()).select("lang", F.col("a").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l",
                                               "r", "n", "score")
 
@@ -319,11 +396,12 @@ def phrase_collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ready(docs)
     rows = _rows(docs, id_col, text_col, lang_col)
-    found = shard_frequent(rows, least)
+    found, totals = shard_frequent(rows, least)
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
-    return collocations(phrase_counts(rows, _bitmap(union, False)), least, top)
+    counts = staged(phrase_counts(rows, _bitmap(union, False), least), "phrase-counts")
+    return collocations(counts, totals, top)
 
 
 def oracle(least: int = LEAST, top: int = TOP) -> str:
