@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import RangeHash, buffer_of, mix, ready, shuffle_width, sized_join, slices, staged, word_spans
+from maskforge.llm.common import (
+    RangeHash, buffer_of, mix, ready, shuffle_width, sized_join, slices, staged, word_spans)
 
 LEAST = 30
 LONGEST = 4
@@ -47,8 +48,10 @@ LOWER[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd
 _LEVEL = mix(np.arange(1, LONGEST + 1, dtype=np.uint64))
 
-_BLOCK = {"bucket": pa.int32(), "lang": pa.string(), "l": pa.int64(), "s": pa.int32(), "n": pa.int64(),
-          "h": pa.binary(), "c": pa.binary()}
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_BLOCK = {"bucket": pa.int32(), "l": _LONGS, "s": _INTS, "support": _LONGS, "n": _INTS, "h": pa.binary(), "c": pa.binary()}
+_PHRASES = {"bucket": pa.int32(), "lang": pa.list_(pa.string()), "size": _LONGS, "n": _INTS, "p": pa.binary(),
+            "a": pa.binary()}
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -104,8 +107,8 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _buckets(df: DataFrame) -> int:
-    """Buckets (a power of two) that blocks are dealt into: some for every shuffle partition."""
-    return 1 << min((4 * shuffle_width(df.sparkSession) - 1).bit_length(), 20)
+    """Buckets (a power of two) that entries are dealt into: one at least for a shuffle partition."""
+    return 1 << (shuffle_width(df.sparkSession) - 1).bit_length()
 
 
 def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray) -> np.ndarray:
@@ -117,12 +120,12 @@ def _frequent_here(words: Words, group: np.ndarray, known: int, bits: np.ndarray
     return good
 
 
-def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits, buckets: int) -> DataFrame:
-    """Occurrences of phrases of the given lengths, added up in the task and packed in blocks:
-    ``(bucket, lang, l, s, n, h, c)`` with the distinct hashes of a bucket and their counts as
-    bytes, ``n`` occurrences in all."""
+def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits) -> DataFrame:
+    """Occurrences of phrases of the given lengths, added up in the task and packed: a row for each
+    bucket, with languages, shards, supports, numbers of entries, and the entries' hashes and counts
+    as bytes."""
     shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes
-    chunk = CHUNK
+    chunk, buckets = CHUNK, _buckets(rows)
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,20 +134,22 @@ def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits, buckets:
 
         def result():
             hashes, code = (np.concatenate([x[i] for x in held]) for i in range(2))
-            out = []
-            for (lang, l, s), k in groups.items():
+            out: dict[int, list] = {}
+            for group, k in groups.items():
                 h = np.sort(hashes[code == k])
                 if not len(h):
                     continue
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                h, c = h[first], np.diff(np.r_[first, len(h)])
+                h, c = h[first], np.diff(np.r_[first, len(h)]).astype(np.int64)
                 bucket = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
-                cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)]
-                out += [(int(bucket[x]), lang, l, s, int(c[x:y].sum()), h[x:y].tobytes(), c[x:y].astype(np.int64).tobytes())
-                        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            for x in range(0, len(out), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[x:x + 1024]), _BLOCK.values())],
-                                                 list(_BLOCK))
+                cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)].tolist()
+                for x, y in zip(cut[:-1], cut[1:]):
+                    out.setdefault(int(bucket[x]), []).append((*group, y - x, h[x:y].tobytes(), c[x:y].tobytes()))
+            for bucket, parts in sorted(out.items()):
+                l, s, support, n, h, c = zip(*parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in zip((bucket, l, s, support, n, b"".join(h), b"".join(c)), _BLOCK.values())],
+                    list(_BLOCK))
 
         for batch in batches:
             for part in slices(batch, "t"):
@@ -152,7 +157,7 @@ def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits, buckets:
                 l, s = part["l"].to_numpy(), part["s"].to_numpy()
                 group = _group(l, s)
                 code = np.array([groups.setdefault(g, len(groups)) for g in zip(
-                    part["lang"].to_pylist(), l.tolist(), s.tolist())], np.int32)
+                    l.tolist(), s.tolist(), part["support"].to_pylist())], np.int32)
                 good = None if shared is None else _frequent_here(words, group, known, shared.value)
                 for n in levels:
                     at = words.first_words(n, good, known)
@@ -164,39 +169,44 @@ def _blocks(rows: DataFrame, levels: tuple[int, ...], known: int, bits, buckets:
         if size:
             yield from result()
 
-    return rows.mapInArrow(run, "bucket int, lang string, l bigint, s int, n bigint, h binary, c binary")
+    return rows.select("t", "l", "s", "support").mapInArrow(
+        run, "bucket int, l array<bigint>, s array<int>, support array<bigint>, n array<int>, h binary, c binary")
 
 
-def _frequent(blocks: DataFrame, support: DataFrame, width: int) -> DataFrame:
+def _frequent(blocks: DataFrame) -> DataFrame:
     """``(l, s, h)`` of phrases with the support of their language and shard.  The blocks of a
-    bucket meet in one task, which holds those of one bucket, language and shard at a time."""
-    dealt = (sized_join(blocks, support.select("lang", "s", "support"), ["lang", "s"], "inner", SMALL)
-             .select("bucket", "l", "s", "support", "h", "c").repartition(width, "bucket")
-             .sortWithinPartitions("bucket", "l", "s"))
+    bucket meet in one task, which holds one bucket at a time."""
+    dealt = blocks.repartition(shuffle_width(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held: dict[tuple, list] = {}
+        at = None
 
         def result():
-            h = np.frombuffer(b"".join(x[0] for x in held), np.uint64)
-            c = np.frombuffer(b"".join(x[1] for x in held), np.int64)
-            order = np.argsort(h)
-            h = h[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            h = h[first][np.add.reduceat(c[order], first) >= at[3]]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at[1], np.int64)), pa.array(
-                np.full(len(h), at[2], np.int32)), pa.array(h.view(np.int64))], ["l", "s", "h"])
+            for (l, s, support), parts in held.items():
+                h = np.concatenate([x[0] for x in parts])
+                c = np.concatenate([x[1] for x in parts])
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                h = h[first][np.add.reduceat(c[order], first) >= support]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), l, np.int64)), pa.array(
+                    np.full(len(h), s, np.int32)), pa.array(h.view(np.int64))], ["l", "s", "h"])
 
         for batch in batches:
-            keys = zip(*(batch[k].to_pylist() for k in ("bucket", "l", "s", "support")))
-            for k, key in enumerate(keys):
-                if key != at and held:
-                    yield result()
-                    held = []
-                at = key
-                held.append((batch["h"][k].as_py(), batch["c"][k].as_py()))
-        if held:
-            yield result()
+            for k, bucket in enumerate(batch["bucket"].to_pylist()):
+                if bucket != at:
+                    yield from result()
+                    held.clear()
+                    at = bucket
+                h = np.frombuffer(batch["h"][k].as_py(), np.uint64)
+                c = np.frombuffer(batch["c"][k].as_py(), np.int64)
+                lists = [batch[name][k].as_py() for name in ("l", "s", "support", "n")]
+                begin = 0
+                for l, s, support, n in zip(*lists):
+                    held.setdefault((l, s, support), []).append((h[begin:begin + n], c[begin:begin + n]))
+                    begin += n
+        yield from result()
 
     return dealt.mapInArrow(run, "l bigint, s int, h bigint")
 
@@ -222,26 +232,35 @@ def _bitmap(frequent: DataFrame, by_shard: bool) -> np.ndarray:
     return bits
 
 
-def supports(blocks: DataFrame, least: int) -> DataFrame:
-    """``(lang, s, n, all, support)``: words of each language and shard and of the language, and
-    the support lowered in proportion; one row for each."""
-    sizes = blocks.groupBy("lang", "s").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-    whole = sizes.groupBy("lang").agg(F.sum("n").cast("decimal(38,0)").alias("all"))
-    return staged(sizes.join(whole, "lang").select("lang", "s", "n", "all", F.expr(
-        f"(CAST({least} AS DECIMAL(20,0)) * n + `all` - 1) div `all`").alias("support")), "phrase-support")
-
-
-def shard_frequent(rows: DataFrame, least: int) -> tuple[list[DataFrame], DataFrame]:
-    """Phrases frequent in some shard: staged ``(l, s, h)`` tables, one for each mining step; and
-    the words of each language."""
-    width, buckets = shuffle_width(rows.sparkSession), _buckets(rows)
-    words = staged(_blocks(rows, (1,), 0, None, buckets), "phrase-words")
-    support = supports(words, least)
-    found = [staged(_frequent(words, support, width), "phrase-level1")]
-    for known, levels in ((1, (2,)), (2, tuple(range(3, LONGEST + 1)))):
-        blocks = _blocks(rows, levels, known, _bitmap(found[-1], True), buckets)
-        found.append(staged(_frequent(blocks, support, width), f"phrase-level{known + 1}"))
-    return found, support.select("lang", F.col("all").cast("bigint").alias("n")).distinct()
+def supports(rows: DataFrame, least: int) -> DataFrame:
+    """``(lang, s, n, support)``: words of a language, and the support of its phrases in a shard,
+    lowered in proportion to the shard's words; a row for each language and shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, int] = {}
+        for batch in batches:
+            for part in slices(batch, "t"):
+                data, offsets = buffer_of(part["t"])
+                n = np.bincount(word_spans(data, offsets, BLANK)[2], minlength=part.num_rows)
+                for key, more in zip(zip(part["lang"].to_pylist(), part["s"].to_pylist()), n.tolist()):
+                    total[key] = total.get(key, 0) + more
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int32()),
+             pa.array(list(total.values()), pa.int64())], ["lang", "s", "c"])
+
+    words = rows.select("t", "lang", "s").mapInArrow(run, "lang string, s int, c bigint")
+    sizes = words.groupBy("lang", "s").agg(F.sum("c").cast("decimal(38,0)").alias("c")).where("c > 0")
+    whole = sizes.groupBy("lang").agg(F.sum("c").cast("decimal(38,0)").alias("n"))
+    return staged(sizes.join(whole, "lang").select("lang", "s", F.col("n").cast("bigint").alias("n"), F.expr(
+        f"(CAST({least} AS DECIMAL(20,0)) * c + n - 1) div n").alias("support")), "phrase-support")
+
+
+def shard_frequent(rows: DataFrame) -> list[DataFrame]:
+    """Phrases frequent in some shard: staged ``(l, s, h)`` tables, one for each mining step."""
+    found: list[DataFrame] = []
+    for known, levels in ((0, (1,)), (1, (2,)), (2, tuple(range(3, LONGEST + 1)))):
+        bits = _bitmap(found[-1], True) if found else None
+        found.append(staged(_frequent(_blocks(rows, levels, known, bits)), f"phrase-level{known + 1}"))
+    return found
 
 
 def phrase_counts(rows: DataFrame, candidates: np.ndarray, least: int) -> DataFrame:
@@ -260,6 +279,7 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray, least: int) -> DataFr
         size = 0
 
         def result():
+            out: dict[int, list] = {}
             for lang, parts in held.items():
                 data, long, h = (np.concatenate([x[i] for x in parts]) for i in range(3))
                 t = table(data, np.r_[0, np.cumsum(long)].astype(np.int64), h=h)
@@ -272,10 +292,14 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray, least: int) -> DataFr
                 ends = np.frombuffer(p.buffers()[1], np.int64)[:len(p) + 1]
                 raw = p.buffers()[2].to_pybytes() if len(p) else b""
                 cut = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(p)].tolist()
-                out = [(int(bucket[x]), lang, raw[ends[x]:ends[y]], a[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
-                for x in range(0, len(out), 1024):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[x:x + 1024]), (
-                        pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["bucket", "lang", "p", "a"])
+                for x, y in zip(cut[:-1], cut[1:]):
+                    out.setdefault(int(bucket[x]), []).append((lang, int(ends[y] - ends[x]), y - x, raw[ends[x]:ends[y]],
+                                                               a[x:y].tobytes()))
+            for bucket, parts in sorted(out.items()):
+                lang, size_of, n, p, a = zip(*parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in zip((bucket, lang, size_of, n, b"".join(p), b"".join(a)), _PHRASES.values())],
+                    list(_PHRASES))
 
         for batch in batches:
             for part in slices(batch, "t"):
@@ -318,31 +342,37 @@ def phrase_counts(rows: DataFrame, candidates: np.ndarray, least: int) -> DataFr
         if size:
             yield from result()
 
-    blocks = (rows.select("lang", "l", "t").mapInArrow(packed, "bucket int, lang string, p binary, a binary")
-              .repartition(width, "bucket").sortWithinPartitions("bucket", "lang"))
+    blocks = (rows.select("lang", "l", "t").mapInArrow(
+        packed, "bucket int, lang array<string>, size array<bigint>, n array<int>, p binary, a binary")
+        .repartition(width, "bucket").sortWithinPartitions("bucket"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held: dict[str, list] = {}
+        at = None
 
         def result():
-            data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
-            cut = np.r_[0, np.flatnonzero(data == 10) + 1].astype(np.int64)
-            t = table(data, cut, a=np.frombuffer(b"".join(x[1] for x in held), np.int64))
-            t = t.group_by("p").aggregate([("a", "sum")])
-            t = t.filter(pc.greater_equal(t["a_sum"], least))
-            text = [p[:-1].decode() for p in t["p"].to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(text), pa.string()), pa.array(text, pa.string()),
-                                               t["a_sum"].combine_chunks().cast(pa.int64())], ["lang", "phrase", "a"])
+            for lang, parts in held.items():
+                data = np.frombuffer(b"".join(x[0] for x in parts), np.uint8)
+                cut = np.r_[0, np.flatnonzero(data == 10) + 1].astype(np.int64)
+                t = table(data, cut, a=np.frombuffer(b"".join(x[1] for x in parts), np.int64))
+                t = t.group_by("p").aggregate([("a", "sum")])
+                t = t.filter(pc.greater_equal(t["a_sum"], least))
+                text = [p[:-1].decode() for p in t["p"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text), pa.string()), pa.array(text, pa.string()),
+                                                  t["a_sum"].combine_chunks().cast(pa.int64())], ["lang", "phrase", "a"])
 
         for batch in batches:
-            for k, key in enumerate(zip(batch["bucket"].to_pylist(), batch["lang"].to_pylist())):
-                if key != at and held:
-                    yield result()
-                    held = []
-                at = key
-                held.append((batch["p"][k].as_py(), batch["a"][k].as_py()))
-        if held:
-            yield result()
+            for k, bucket in enumerate(batch["bucket"].to_pylist()):
+                if bucket != at:
+                    yield from result()
+                    held.clear()
+                    at = bucket
+                p, a = batch["p"][k].as_py(), batch["a"][k].as_py()
+                begin = first = 0
+                for lang, size_of, n in zip(*(batch[name][k].as_py() for name in ("lang", "size", "n"))):
+                    held.setdefault(lang, []).append((p[begin:begin + size_of], a[8 * first:8 * (first + n)]))
+                    begin, first = begin + size_of, first + n
+        yield from result()
 
     return blocks.mapInArrow(counted, "lang string, phrase string, a bigint")
 
@@ -396,12 +426,13 @@ def phrase_collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ready(docs)
     rows = _rows(docs, id_col, text_col, lang_col)
-    found, totals = shard_frequent(rows, least)
+    support = supports(rows, least)
+    found = shard_frequent(sized_join(rows, support.select("lang", "s", "support"), ["lang", "s"], "inner", SMALL))
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)
     counts = staged(phrase_counts(rows, _bitmap(union, False), least), "phrase-counts")
-    return collocations(counts, totals, top)
+    return collocations(counts, support.select("lang", "n").distinct(), top)
 
 
 def oracle(least: int = LEAST, top: int = TOP) -> str:
