@@ -7,9 +7,10 @@ tokenised corpus costs one pass over the text and never shuffles.
 
 Token classes are the names used by the ECMAScript lexical grammar (and by the
 study's tokenizer), plus the synthetic ``TemplateString``: a template literal
-with substitutions is matched whole (substitutions nested up to two levels), which
-is what grouping head/middle/tail tokens would produce.  Deeper nesting degrades
-to a ``TemplateHead`` token followed by ordinary code tokens.
+with substitutions is one token, which is what grouping head/middle/tail tokens
+would produce.  The expression alone matches them nested up to two levels; ``with_tokens``
+and ``folded`` pass texts with nested substitutions through a stack automaton first, so that nesting
+has no limit (see ``templates``).
 
 Regular-expression literals are told apart from division by the last token before the
 slash that is no blank and no comment: an operator, an opening bracket or a keyword.
@@ -20,9 +21,11 @@ comments or strings never backtrack.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskforge.functions import templates
+
 # --- fixed values: token class names ---------------------------------------
 STRING = "StringLiteral"
 NO_SUB_TEMPLATE = "NoSubstitutionTemplate"
@@ -73,23 +76,27 @@ _NUM = (r"(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*+|0[oO][0-7](?:_?[0-7])*+"
         r"(?:[eE][+-]?\d(?:_?\d)*+)?n?")
 _PRIV = r"#[" + _ID_START + r"][" + _ID_PART + r"]*+"
 _IDENT = r"[" + _ID_START + r"][" + _ID_PART + r"]*+"
-_PUNCT = (r"--|\+\+|=>|\.\.\.|\?\.(?!\d)|(?:&&|\|\||\?\?|[+\-%&|^]|\*\*?|<<?|>>?>?|!=?|==?)=?"
-          r"|/=?|[?~,:;\[\](){}.]")
+_PUNCT_HEAD = (r"--|\+\+|=>|\.\.\.|\?\.(?!\d)|(?:&&|\|\||\?\?|[+\-%&|^]|\*\*?|<<?|>>?>?|!=?|==?)=?"
+               r"|/=?|[?~,:;\[\]()")
+_PUNCT = _PUNCT_HEAD + "{}.]"
 _WS = r"[" + _WS_CLASS + r"]++"
 _LT = r"\r\n|[\n\r\u2028\u2029]"
 
 # A slash begins a regular expression when the last token before it that is no blank and no
 # comment cannot end an operand.  That token, what lies between, and the expression are
 # matched together, however far apart they are, and taken apart afterwards.
-_NO_OPERAND = (r"(?:(?!\+\+|--|[)\]}./])(?:" + _PUNCT + r")"
-               r"|(?:return|typeof|case|do|else|in|of|new|delete|void|throw|yield|await|instanceof)(?![" + _ID_PART + "]))")
+def _no_operand(signs: str) -> str:
+    return (r"(?:(?!\+\+|--|[)\]}./])(?:" + signs + r")"
+            r"|(?:return|typeof|case|do|else|in|of|new|delete|void|throw|yield|await|instanceof)(?![" + _ID_PART + "]))")
+
+
 _BETWEEN = r"(?:" + _WS + "|" + _LT + r"|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|" + _SLC + ")*+"
-_BEFORE_RE = "(?:" + _NO_OPERAND + _BETWEEN + r"|\A(?:" + _WS + "|" + _LT + ")*+)" + _RE
+_BEFORE_RE = "(?:" + _no_operand(_PUNCT) + _BETWEEN + r"|\A(?:" + _WS + "|" + _LT + ")*+)" + _RE
 
-TOKEN_PATTERN = "|".join([
-    _BEFORE_RE, _MLC, _SLC, _TEMPLATE, _TEMPLATE_HEAD, _STR, _NUM, _PRIV, _IDENT, _PUNCT,
-    _WS, _LT, r"[\s\S]",
-])
+_PIECES = [_MLC, _SLC, _TEMPLATE, _TEMPLATE_HEAD, _STR, _NUM, _PRIV, _IDENT, _PUNCT, _WS, _LT, r"[\s\S]"]
+TOKEN_PATTERN = "|".join([_BEFORE_RE, *_PIECES])
+#: the same for texts without a slash, which spares a look ahead at every token
+_NO_SLASH_PATTERN = "|".join(_PIECES[2:])
 _PART_PATTERN = "|".join([_RE + r"\z", _MLC, _SLC, _IDENT, _PUNCT, _WS, _LT])
 
 _NO_SUB_FULL = r"^`" + _TCH + r"*+`?$"
@@ -133,19 +140,37 @@ def classify(v: Column) -> Column:
     )
 
 
-def token_values(text: Column) -> Column:
-    """ARRAY<STRING> of token texts; ``array_join(values, '')`` equals the input."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), 0)
+def _jumps() -> templates.Patterns:
+    """The template automaton's patterns, from the same pieces."""
+    signs = _PUNCT_HEAD + ".]"  # braces are places where the automaton stops
+    return templates.Patterns(_no_operand(signs) + _BETWEEN + _RE, _BETWEEN, "(?:" + _WS + "|" + _LT + ")*+", _RE,
+                              [_MLC, _SLC, _STR, _NUM, _PRIV, _IDENT, signs, _WS, _LT])
+
+
+_JUMPS = _jumps()
+
+
+def _joined(v: Column) -> Column:
+    """A regular expression with what stands before it: no other token that begins otherwise
+    has a slash."""
+    return v.contains("/") & ~F.substring(v, 1, 1).isin("/", '"', "'", "`")
 
-    def joined(v):
-        """A regular expression with what stands before it: no other token that begins
-        otherwise has a slash."""
-        c = F.substring(v, 1, 1)
-        return v.contains("/") & ~c.isin("/", '"', "'", "`")
 
+def _parted(found: Column) -> Column:
+    """Matches with regular expressions apart from what stands before them."""
     parts = F.flatten(F.transform(found, lambda v: F.when(
-        joined(v), F.regexp_extract_all(v, F.lit(_PART_PATTERN), 0)).otherwise(F.array(v))))
-    return F.when(F.exists(found, joined), parts).otherwise(found)
+        _joined(v), F.regexp_extract_all(v, F.lit(_PART_PATTERN), 0)).otherwise(F.array(v))))
+    return F.when(F.exists(found, _joined), parts).otherwise(found)
+
+
+def token_values(text: Column) -> Column:
+    """ARRAY<STRING> of token texts; ``array_join(values, '')`` equals the input."""
+    text = F.coalesce(text, F.lit(""))
+    found = F.when(text.contains("/"), F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)).otherwise(
+        F.regexp_extract_all(text, F.lit(_NO_SLASH_PATTERN), 0))
+    # the matches are used several times: as a lambda's argument they are made once
+    values = F.get(F.transform(F.array(found), _parted), F.lit(0))
+    return F.when(text.contains(templates.MARK), F.transform(values, templates.unfold)).otherwise(values)
 
 
 def tokenize(text: Column) -> Column:
@@ -154,6 +179,17 @@ def tokenize(text: Column) -> Column:
                        lambda v: F.struct(classify(v).alias("type"), v.alias("value")))
 
 
+def folded(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``text`` in ``out``, its nested templates folded for :func:`token_values`, which
+    unfolds them."""
+    return df.withColumn(out, templates.fold(F.col(text), _JUMPS))
+
+
+def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the tokens of ``text`` in ``out``, templates nested to any depth included."""
+    return folded(df, text, "__folded").withColumn(out, tokenize(F.col("__folded"))).drop("__folded")
+
+
 def is_maskable(tok: Column) -> Column:
     return tok["type"].isin(*MASKABLE)
 

@@ -98,14 +98,14 @@ def _heads_udf(code: pd.Series) -> pd.Series:
 
 def with_token_codes(df, content: str, values: str, codes: str):
     """Token texts of ``content`` and one character per token."""
-    df = df.withColumn("__tk", L.tokenize(F.col(content)))
+    df = L.with_tokens(df, content, "__tk")
     return (df.withColumn(values, F.transform("__tk", lambda t: t["value"]))
             .withColumn(codes, F.array_join(F.transform("__tk", token_code), "")).drop("__tk"))
 
 
 def with_grouped_tokens(df, content: str, out: str):
     """``out``, the tokens of ``content`` with each potential-type span as one token."""
-    df = df.withColumn("__tk", L.tokenize(F.col(content)))
+    df = L.with_tokens(df, content, "__tk")
     df = df.withColumn("__va", F.transform("__tk", lambda t: t["value"]))
     df = df.withColumn("__hd", _heads_udf(F.array_join(F.transform("__tk", token_code), "")))
     each = F.filter(F.zip_with("__tk", F.transform("__hd", lambda h, i: F.struct(i.alias("i"), h.alias("h"))),

@@ -24,6 +24,7 @@ from maskforge import config as C
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.functions import spans as S
+from maskforge.functions import untype
 from maskforge.operators import ordered, sampling
 
 SEED = str(C.RANDOM_SEED)
@@ -112,16 +113,6 @@ def add_markers(df: DataFrame, path: str = "path", content: str = "content",
     return (df.withColumn(out, marked).withColumn("n_markers", F.size(picks)).drop("__values", "__places"))
 
 
-def remove_annotations(text: Column) -> Column:
-    """D12 (approximation on text): drop ``: Type`` after a declared variable, a
-    parameter, or a parameter list, keeping markers in place."""
-    ident = r"[A-Za-z_$][\w$]*"
-    typ = r"[A-Za-z_$][\w$.]*(?:<[^<>()=;{}]*>)?(?:\[\])*"
-    pat = (r"(\b(?:const|let|var)\s+" + _MARK + ident + r"|[(,]\s*" + _MARK + ident
-           + r"|\)" + r")\s*:\s*" + typ)
-    return F.regexp_replace(text, pat, "$1")
-
-
 def add_annotations_for_corpus(text: Column) -> Column:
     """Explicit variant of the derived corpus (stands in for compiler type
     inference, which is an input table in general): strings on ``let s<N>`` and
@@ -175,9 +166,9 @@ def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
 def variant_frame(spark_df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants, written
     once to the shared folder (the marked text is read by several lambdas below)."""
-    m = add_markers(spark_df, path, content, "normal")
+    m = untype.with_untyped(add_markers(spark_df, path, content, "normal"), "normal", "untyped")
     return ordered.stage(m.select(path, "normal", add_annotations_for_corpus(F.col("normal")).alias("explicit"),
-                                  remove_annotations(F.col("normal")).alias("untyped")), "variants")
+                                  "untyped"), "variants")
 
 
 def test_files(files: DataFrame, path: str = "path") -> DataFrame:
@@ -213,7 +204,7 @@ def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) ->
     rows = rows.withColumn("__bad", (bad | F.exists("__lines", lambda t: F.length(t) == 0)).cast("int"))
     refused = rows.groupBy(path).agg(F.max("__bad").alias("__bad")).where("__bad = 1")
     rows = rows.join(refused, path, "left_anti")
-    rows = rows.select(path, "variant", "common", "__lines", L.tokenize(F.col("text")).alias("tokens"))
+    rows = L.with_tokens(rows, "text", "tokens").select(path, "variant", "common", "__lines", "tokens")
     rows = rows.select(path, "variant", "tokens", F.posexplode(F.arrays_zip(
         F.col("common").alias("marker"), F.col("__lines").alias("line"))).alias("ordinal", "t"))
     texts = F.transform("tokens", lambda t: t["value"])

@@ -7,6 +7,7 @@ from pyspark.sql import types as TT
 
 from maskforge.functions import normalize as N
 from maskforge.operators import curation as D
+from maskforge.functions import untype
 from maskforge.operators import marking as K
 from maskforge.operators import metrics as E
 from maskforge.operators import paths as P
@@ -180,10 +181,10 @@ SELECT variant, files, loc, s AS type_slots, a AS type_annotations, round(100.0
 def d7_variant_stats(spark, sf_dir):
     """Files, lines, slots, annotations and their percentage for each type variant."""
     code = T.code_corpus(spark, sf_dir).select("path", F.col("content").alias("normal"))
-    variants = code.select(F.explode(F.array(
+    variants = untype.with_untyped(code, "normal", "untyped").select(F.explode(F.array(
         F.struct(F.lit("normal").alias("variant"), F.col("normal").alias("text")),
         F.struct(F.lit("explicit").alias("variant"), K.add_annotations_for_corpus(F.col("normal")).alias("text")),
-        F.struct(F.lit("untyped").alias("variant"), K.remove_annotations(F.col("normal")).alias("text")))).alias("v"))
+        F.struct(F.lit("untyped").alias("variant"), F.col("untyped").alias("text")))).alias("v"))
     per = O.with_slots(variants.select("v.variant", "v.text"), "text")
     out = per.groupBy("variant").agg(
         F.count(F.lit(1)).alias("files"), F.sum(D.loc(F.col("text"))).alias("loc"),

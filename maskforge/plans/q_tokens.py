@@ -37,7 +37,7 @@ FROM (SELECT repo, unnest(""" + Q.tokenize("content") + """) AS t FROM code)
 GROUP BY repo, t.type""")
 def p1_code_token_classes(spark, sf_dir):
     """Tokens per lexical class and repository over the derived code corpus."""
-    return _class_counts(T.code_corpus(spark, sf_dir), "repo", "content")
+    return _class_counts(L.folded(T.code_corpus(spark, sf_dir), "content", "content"), "repo", "content")
 
 
 @register("p5_comment_classes", CODE + """
@@ -50,7 +50,7 @@ SELECT CASE WHEN t.type = 'SingleLineComment' THEN 'single_line'
 FROM c GROUP BY 1""")
 def p5_comment_classes(spark, sf_dir):
     """P5: comments per class (single-line, multi-line, docblock, marker)."""
-    code = T.code_corpus(spark, sf_dir)
+    code = L.folded(T.code_corpus(spark, sf_dir), "content", "content")
     com = code.select(F.explode(F.filter(L.tokenize(F.col("content")), lambda t: t["type"].isin(
         L.MULTI_LINE_COMMENT, L.SINGLE_LINE_COMMENT))).alias("t"))
     t = F.col("t")
@@ -65,7 +65,7 @@ SELECT path, length(s) AS n_chars, md5(s) AS digest
 FROM (SELECT path, """ + Q.remove_comments("content") + """ AS s FROM code)""")
 def p7_strip_comments(spark, sf_dir):
     """Every file with all comments removed (length and digest per file)."""
-    code = T.code_corpus(spark, sf_dir)
+    code = L.folded(T.code_corpus(spark, sf_dir), "content", "content")
     s = code.select("path", L.remove_comments(F.col("content")).alias("s"))
     return s.select("path", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
@@ -81,7 +81,7 @@ FROM (SELECT path, comments, """ + Q.preprocess("content", "preserved", True) +
 def p11_preprocess(spark, sf_dir):
     """Whole normalisation (templates, comment class filter, whitespace and
     newline dedupe, literal masking) of every file for all five comment classes."""
-    code = T.code_corpus(spark, sf_dir).select("path", L.tokenize(F.col("content")).alias("toks"))
+    code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "toks").select("path", "toks")
     grid = F.array(*[F.struct(F.lit(name).alias("comments"), N.preprocess_tokens(F.col("toks"), mask, True).alias("s"))
                      for name, mask in C.COMMENT_CLASSES])
     s = code.select("path", F.explode(grid).alias("c")).select("path", "c.comments", "c.s")

@@ -37,6 +37,6 @@ def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
     from maskforge.plans import (  # noqa: F401
         q_corpus, q_tokens, q_marking, q_curation, q_metrics, q_stats, q_packing,
-        q_runlog, q_streaming, q_paths,
+        q_runlog, q_streaming, q_paths, q_syntax,
     )
     return REGISTRY
