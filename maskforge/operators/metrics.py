@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
+from maskforge.functions.stem import stem
 
 
 def lcs_len(a, b) -> int:
@@ -69,23 +72,43 @@ def bleu4(ref, hyp) -> float:
     return bp * math.exp(sum(0.25 * x for x in logs))
 
 
-def meteor_exact(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5) -> float:
-    """METEOR with the exact-match stage only (lower-cased); the fragmentation penalty is
-    gamma * (chunks / matches) ** beta.
-
-    Later words pick first and take the last free place of the same word, so each word's
-    occurrences are paired from the end.
+def _paired(hyp: list, ref: list, to: np.ndarray) -> None:
+    """One alignment stage: free words with an equal key are paired, later words first, each with
+    the last free place of its key.  A word may have several keys."""
+    free: dict = {}
+    taken = set(to[to >= 0].tolist())
+    for place, keys in enumerate(ref):
+        if place not in taken:
+            for key in keys:
+                free.setdefault(key, []).append(place)
+    for place in range(len(hyp) - 1, -1, -1):
+        if to[place] >= 0:
+            continue
+        best = -1
+        for key in hyp[place]:
+            places = free.get(key, [])
+            while places and places[-1] in taken:
+                places.pop()
+            best = max(best, places[-1] if places else -1)
+        if best >= 0:
+            to[place] = best
+            taken.add(best)
+
+
+def meteor(ref, hyp, synonyms: dict | None = None, stems: bool = True, alpha=0.9, beta=3.0, gamma=0.5) -> float:
+    """METEOR of lower-cased words, aligned in stages: equal words, then equal stems, then words
+    that share a synonym group.  A stage pairs what the stages before left free; the fragmentation
+    penalty is gamma * (chunks / matches) ** beta over the whole alignment.
     """
     if len(hyp) == 0 or len(ref) == 0:
         return 0.0
-    free: dict[str, list[int]] = {}
-    for place, word in enumerate(ref):
-        free.setdefault(word.lower(), []).append(place)
+    hyp, ref = [w.lower() for w in hyp], [w.lower() for w in ref]
     to = np.full(len(hyp), -2, np.int64)
-    for place in range(len(hyp) - 1, -1, -1):
-        places = free.get(hyp[place].lower())
-        if places:
-            to[place] = places.pop()
+    _paired([(w,) for w in hyp], [(w,) for w in ref], to)
+    if stems and (to < 0).any():
+        _paired([(stem(w),) for w in hyp], [(stem(w),) for w in ref], to)
+    if synonyms and (to < 0).any():
+        _paired([synonyms.get(w, ()) for w in hyp], [synonyms.get(w, ()) for w in ref], to)
     matched = np.flatnonzero(to >= 0)
     m = len(matched)
     if m == 0:
@@ -96,6 +119,42 @@ def meteor_exact(ref, hyp, alpha=0.9, beta=3.0, gamma=0.5) -> float:
     return float((1 - gamma * ((m - joined.sum()) / m) ** beta) * fmean)
 
 
+def meteor_exact(ref, hyp) -> float:
+    """METEOR with the stage of equal words alone."""
+    return meteor(ref, hyp, stems=False)
+
+
+@F.pandas_udf(T.DoubleType())
+def _meteor_udf(ref: pd.Series, hyp: pd.Series, groups: pd.Series) -> pd.Series:
+    out = []
+    for r, h, g in zip(ref, hyp, groups):
+        out.append(None if r is None or h is None else meteor(
+            list(r), list(h), {x["word"]: tuple(x["groups"]) for x in g} if g is not None else None))
+    return pd.Series(out, dtype=float)
+
+
+def with_meteor(pairs: DataFrame, keys: list[str], ref: str, hyp: str, synonyms: DataFrame | None = None,
+                out: str = "meteor") -> DataFrame:
+    """Staged METEOR of two token arrays in ``out`` (null arrays: null).
+
+    ``synonyms(word, grp)`` is optional: the distinct words of a pair are joined with it, and the
+    groups come back as one array per pair, so the table may be of any size.  ``keys`` name a pair;
+    rows that repeat them must agree in their words.
+    """
+    if synonyms is None:
+        none = F.lit(None).cast("array<struct<word:string,groups:array<string>>>")
+        return pairs.withColumn(out, _meteor_udf(ref, hyp, none))
+    both = F.array_distinct(F.transform(F.concat(F.coalesce(ref, F.array()), F.coalesce(hyp, F.array())), F.lower))
+    words = pairs.select(*keys, F.explode(both).alias("word")).distinct()
+    known = synonyms.where("word IS NOT NULL AND grp IS NOT NULL").select(F.lower("word").alias("word"), "grp").distinct()
+    found = (words.join(known, "word").groupBy(*keys, "word").agg(F.collect_set("grp").alias("groups"))
+             .groupBy(*keys).agg(F.collect_list(F.struct("word", "groups")).alias("__groups")))
+    right = found.select(*[F.col(k).alias(f"__key_{k}") for k in keys], "__groups")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    joined = pairs.join(right, same, "left").withColumn(out, _meteor_udf(ref, hyp, "__groups"))
+    return joined.drop("__groups", *[f"__key_{k}" for k in keys])
+
+
 METRIC_TYPE = T.StructType([
     T.StructField("levenshtein", T.DoubleType()),
     T.StructField("bleu", T.DoubleType()),
@@ -111,7 +170,7 @@ def _metric_udf(gt: pd.Series, pred: pd.Series, gtt: pd.Series, prt: pd.Series)
         ta = list(ta) if ta is not None else []
         tb = list(tb) if tb is not None else []
         rows.append((edit_similarity(a or "", b or ""), bleu4(ta, tb), rouge_l(ta, tb),
-                     meteor_exact(ta, tb)))
+                     meteor(ta, tb)))
     return pd.DataFrame(rows, columns=["levenshtein", "bleu", "rouge", "meteor"])
 
 

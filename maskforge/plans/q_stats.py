@@ -101,3 +101,27 @@ def a5_wilcoxon_lengths(spark, sf_dir):
                   F.length("prediction").cast("double").alias("y"))
     w = A.wilcoxon(df, ["g"], "x", "y")
     return w.select("n", "w_plus", "w_minus", F.round("z", 9).alias("z"))
+
+
+@register("a5_exact_orders", """
+WITH d AS (SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(d)) AS rk, d,
+             count(*) OVER (PARTITION BY o_custkey) AS n, count(*) OVER (PARTITION BY o_custkey, abs(d)) AS same
+           FROM (SELECT o_custkey, CAST(o_orderkey % 9973 AS DOUBLE) - CAST(o_custkey % 9973 AS DOUBLE) AS d FROM orders) WHERE d <> 0),
+g AS (SELECT key, n, CAST(sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS BIGINT) AS up,
+        CAST(sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS BIGINT) AS down
+      FROM d GROUP BY key, n HAVING max(same) = 1 AND n <= 12),
+s AS (SELECT n, CAST(list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN (m >> (k - 1)) % 2 = 1 THEN k ELSE 0 END)) AS BIGINT) AS w
+      FROM (SELECT n, unnest(range(0, CAST(pow(2, n) AS BIGINT))) AS m FROM (SELECT DISTINCT n FROM g))),
+c AS (SELECT n, w, count(*) AS c FROM s GROUP BY n, w)
+SELECT key, n, CAST(up AS DOUBLE) AS w_plus, CAST(down AS DOUBLE) AS w_minus,
+  round(least(1.0, 2 * (SELECT sum(c) FROM c WHERE c.n = g.n AND c.w <= least(up, down)) / pow(2, n)), 9) AS p
+FROM g""")
+def a5_exact_orders(spark, sf_dir):
+    """A5: exact signed-rank tests of every customer with up to twelve untied differences (the
+    oracle tries every pattern of signs)."""
+    from maskforge.sources import tables as T
+    o = T.read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(
+        F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 9973).cast("double").alias("x"),
+        (F.col("o_custkey") % 9973).cast("double").alias("y"))
+    w = A.wilcoxon(o, ["key"], "x", "y").where("exact_p IS NOT NULL AND n <= 12")
+    return w.select("key", "n", "w_plus", "w_minus", F.round("p_value", 9).alias("p"))

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 
+from maskforge.functions.stem import stem
 from maskforge.operators import metrics as E
 
 
@@ -60,6 +61,48 @@ def test_meteor_by_hand():
                         (1 - 0.5 * (1 / 2) ** 3) * (2 / 3) / (0.9 + 0.1 * 2 / 3))
 
 
+def test_stems():
+    # pairs from the published description of the steps
+    for word, want in {
+        "caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre",
+        "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+        "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss",
+        "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat",
+        "conditional": "condit", "rational": "ration", "valenci": "valenc", "digitizer": "digit", "radicalli": "radic",
+        "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal",
+        "decisiveness": "decis", "hopefulness": "hope", "sensibiliti": "sensibl", "triplicate": "triplic",
+        "formative": "form", "electriciti": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow",
+        "inference": "infer", "airliner": "airlin", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt",
+        "homologou": "homolog", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate",
+        "cease": "ceas", "controll": "control", "roll": "roll", "x1": "x1", "as": "as", "": "",
+    }.items():
+        assert stem(word) == want, word
+
+
+def test_meteor_stages_by_hand():
+    f = lambda m, h, r: (m / h) * (m / r) / (0.9 * m / h + 0.1 * m / r)
+    # an equal word, an equal stem, a synonym: one chunk of three
+    syn = {"car": ("s1", "s2"), "auto": ("s2",)}
+    ref, hyp = ["fast", "running", "car"], ["Fast", "runs", "auto"]
+    assert math.isclose(E.meteor(ref, hyp, syn), 1 - 0.5 * (1 / 3) ** 3)
+    assert math.isclose(E.meteor(ref, hyp), (1 - 0.5 * (1 / 2) ** 3) * f(2, 3, 3))
+    assert math.isclose(E.meteor_exact(ref, hyp), 0.5 * f(1, 3, 3))
+    # a word paired by an earlier stage is not free for a later one
+    assert math.isclose(E.meteor(["run", "runs"], ["runs"]), 0.5 * f(1, 1, 2))
+    assert math.isclose(E.meteor(["auto"], ["car", "car"], syn), 0.5 * f(1, 2, 1))
+    assert E.meteor(["auto"], ["bus"], syn) == 0.0
+
+
+def test_meteor_with_a_synonym_table(spark):
+    rows = [(1, ["fast", "car"], ["fast", "auto"]), (2, ["bus"], ["car"]), (3, None, ["x"]), (4, [], ["x"]), (None, ["Auto"], ["CAR"])]
+    pairs = spark.createDataFrame(rows, "k int, r array<string>, h array<string>")
+    table = spark.createDataFrame([("Car", "g"), ("auto", "g"), ("auto", "g"), ("x", None), (None, "g")], "word string, grp string")
+    got = {r.k: r.meteor for r in E.with_meteor(pairs, ["k"], "r", "h", table).collect()}
+    assert math.isclose(got[1], 1 - 0.5 * (1 / 2) ** 3) and got[2] == 0.0 and got[3] is None and got[4] == 0.0 and got[None] == 0.5
+    plain = {r.k: r.meteor for r in E.with_meteor(pairs, ["k"], "r", "h").collect()}
+    assert math.isclose(plain[1], 0.5 * 0.5) and plain[None] == 0.0
+
+
 def test_chunk_bounds():
     from maskforge.operators.packing import chunk_bounds
     # lines end before 3, 5 and 10; the last line does not fit and keeps its last 4 tokens

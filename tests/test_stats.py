@@ -67,3 +67,24 @@ def test_report_lists_missing_populations(spark):
     got = {(r.pop1, r.pop2): r for r in A.report(long, planned, ["id"]).collect()}
     assert got["a", "b"].pairs == 29 and got["a", "b"].significant and got["a", "b"].missing == ""
     assert got["a", "c"].missing == "c" and got["c", "d"].missing == "c,d" and got["a", "c"].p_value is None
+
+
+def test_exact_distribution_equals_enumeration():
+    for n in range(1, 15):
+        brute = [0] * (n * (n + 1) // 2 + 1)
+        for m in range(1 << n):
+            brute[sum(k + 1 for k in range(n) if m >> k & 1)] += 1
+        assert A.rank_sum_counts(n) == brute
+    assert sum(A.rank_sum_counts(20)) == 2 ** 20 and A.rank_sum_counts(20)[60] == A.rank_sum_counts(20)[150]
+
+
+def test_exact_p_up_to_fifty_untied_differences(spark):
+    def p(values):
+        df = spark.createDataFrame([("g", float(v), 0.0) for v in values], "g string, x double, y double")
+        return A.wilcoxon(df, ["g"], "x", "y").first()
+
+    assert p(range(1, 6)).p_value == 2 / 2 ** 5 and p([1, 2, 3, -4, 5, 0, 0]).p_value == 2 * 7 / 2 ** 5
+    assert p([1, -2]).p_value == 1.0
+    assert p([1, 1, 2]).exact_p is None and 0 < p([1, 1, 2]).p_value < 1  # ties
+    fifty, more = p(range(1, 51)), p(range(1, 52))
+    assert fifty.p_value == 2 / 2 ** 50 and more.exact_p is None and more.p_value < 1e-6
