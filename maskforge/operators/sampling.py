@@ -51,3 +51,41 @@ def batches(df: DataFrame, order: str, size: int, out: str = "batch") -> DataFra
     The row number is a distributed prefix count (no global window)."""
     ranked = ordered.cumulative(df, [], [order], count_col="__rn")
     return ranked.withColumn(out, F.floor((F.col("__rn") - 1) / size).cast("long")).drop("__rn")
+
+
+#: rows of the last hash bucket that are sorted to find the sample's end
+LAST_BUCKET = 10_000
+_DIGITS = 4
+
+
+def global_sample(df: DataFrame, key: str, n: int, seed: int = C.RANDOM_SEED) -> DataFrame:
+    """``n`` rows of the whole frame without replacement: those with the least
+    (hash of ``key``, ``key``); all rows where there are no more than ``n``.
+
+    The end of the sample is found by counting rows per hash prefix, ``16 ** 4`` counts at a time,
+    into the bucket that holds the n-th row until that bucket is small; then one filter takes the
+    sample.  No window and no sort of the frame, and ``n`` may be as large as the frame.  Rows that
+    repeat the key of the last row all stay, so a unique key gives exactly ``n`` rows.
+    """
+    h = shuffle_key(F.col(key), seed)
+    if n <= 0:
+        return df.limit(0)
+    prefix, before = "", 0
+    while True:
+        inside = df.where(h.startswith(prefix)) if prefix else df
+        step = F.substring(h, len(prefix) + 1, _DIGITS).alias("p")
+        counts = sorted((r["p"], r["count"]) for r in inside.groupBy(step).count().collect())
+        for p, c in counts:
+            if before + c >= n:
+                prefix, size = prefix + p, c
+                break
+            before += c
+        else:
+            return df  # no more than n rows
+        if size <= LAST_BUCKET or len(prefix) == 32:
+            break
+    bucket = df.where(h.startswith(prefix)).select(h.alias("h"), F.col(key).alias("k"))
+    if size > LAST_BUCKET:  # rows of one hash: copies of a key
+        return df.where(h <= prefix)
+    last = bucket.orderBy("h", "k").limit(n - before).agg(F.max(F.struct("h", "k")).alias("m")).first()["m"]
+    return df.where((h < last["h"]) | ((h == last["h"]) & F.coalesce(F.col(key) <= F.lit(last["k"]), F.lit(True))))

@@ -221,3 +221,33 @@ def e14_exact_match_hits(spark, sf_dir):
     return rows.groupBy(types.alias("types"), comments.alias("comments")).agg(
         F.sum((~F.col("empty")).cast("long")).alias("n"),
         F.coalesce(F.sum(F.col("exact_match").cast("long")), F.lit(0)).alias("hits"))
+
+
+@register("e14_margins", "WITH cells AS (" + M.leaderboard() + """)
+SELECT coalesce(types, 'all') AS types, coalesce(comments, 'all') AS comments, CAST(sum(n) AS BIGINT) AS n,
+  CAST(sum(hits) AS BIGINT) AS hits
+FROM cells GROUP BY CUBE (types, comments)""")
+def e14_margins(spark, sf_dir):
+    """The leaderboard's cells with the margins of both dimensions and the total, from one
+    aggregate over grouping sets."""
+    rows = task_metric_rows(spark, sf_dir)
+    types, comments = E.dimension_codes(F.col("dataset"))
+    cube = rows.select(types.alias("types"), comments.alias("comments"), "empty", "exact_match").cube("types", "comments")
+    out = cube.agg(F.sum((~F.col("empty")).cast("long")).alias("n"),
+                   F.coalesce(F.sum(F.col("exact_match").cast("long")), F.lit(0)).alias("hits"),
+                   F.grouping("types").alias("gt"), F.grouping("comments").alias("gc"))
+    return out.select(F.when(F.col("gt") == 1, "all").otherwise(F.col("types")).alias("types"),
+                      F.when(F.col("gc") == 1, "all").otherwise(F.col("comments")).alias("comments"), "n", "hits")
+
+
+@register("e9_meteor_stages")
+def e9_meteor_stages(spark, sf_dir):
+    """METEOR of every answer against the turn before it, with equal words alone, with stems,
+    and with a synonym table made of the corpus (words that share their first four letters)."""
+    p = pairs(spark, sf_dir).select("conv_id", "turn", E.whitespace_split(F.col("gt")).alias("r"),
+                                    E.whitespace_split(F.col("prediction")).alias("h"))
+    words = p.select(F.explode(F.concat("r", "h")).alias("word")).select(F.lower("word").alias("word")).distinct()
+    table = words.where(F.length("word") > 4).select("word", F.substring("word", 1, 4).alias("grp"))
+    scored = E.with_meteor(E.with_meteor(p, ["conv_id", "turn"], "r", "h", out="stems"), ["conv_id", "turn"], "r", "h",
+                           table, out="synonyms")
+    return scored.select("conv_id", "turn", "stems", "synonyms")

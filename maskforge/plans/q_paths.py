@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as _types
 from pyspark.sql import types as TT
 
 from maskforge.functions import normalize as N
@@ -200,3 +201,44 @@ FROM r WHERE files % 10000 = 0 OR files = n""")
 def d11_running_explicitness(spark, sf_dir):
     """Running explicitness of the code corpus, every 10,000 files and at the end."""
     return O.running_explicitness(stage(_slots(spark, sf_dir), "slots"), "path")
+
+
+_TURN = ("'{\"conv_id\": ' || CAST(conv_id AS STRING) || ', \"role\": \"' || role || '\", \"size\": ' "
+         "|| CAST(length(text) AS STRING) || '}'")
+
+
+@register("s9_tolerant_jsonl", """
+SELECT role, count(*) FILTER (WHERE k <> 0 AND k <> 3) AS good, CAST(sum(length(text)) FILTER (WHERE k <> 0 AND k <> 3) AS BIGINT) AS size,
+  0 AS broken FROM (SELECT *, (conv_id + turn) % 7 AS k FROM conversations) GROUP BY role
+HAVING count(*) FILTER (WHERE k <> 0 AND k <> 3) > 0
+UNION ALL SELECT NULL, 0, NULL, count(*) FROM conversations WHERE (conv_id + turn) % 7 IN (0, 3)""")
+def s9_tolerant_jsonl(spark, sf_dir):
+    """JSON lines, some cut off and some no object, read with their schema; broken lines are
+    counted from where they were put aside."""
+    c = T.read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    line = F.expr(_TURN)
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    place = new_place(spark, "jsonl")
+    c.select(F.when(k == 0, F.expr("substring(" + _TURN + ", 1, 14)")).when(k == 3, F.concat(F.lit("["), line, F.lit("]")))
+             .otherwise(line).alias("value")).write.text(f"{place}/in")
+    schema = _types.StructType([_types.StructField("conv_id", _types.LongType()), _types.StructField("role", _types.StringType()),
+                                _types.StructField("size", _types.LongType())])
+    good = sinks.quarantine(sinks.read_json_lines(spark, f"{place}/in", schema), f"{place}/broken")
+    per = good.groupBy("role").agg(F.count(F.lit(1)).alias("good"), F.sum("size").alias("size"), F.lit(0).alias("broken"))
+    aside = spark.read.text(f"{place}/broken").agg(F.count(F.lit(1)).alias("broken"))
+    return per.unionByName(aside.select(F.lit(None).cast("string").alias("role"), F.lit(0).alias("good"),
+                                        F.lit(None).cast("bigint").alias("size"), "broken"))
+
+
+@register("k10_global_sample", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 7 + l_linenumber AS id FROM lineitem)
+WHERE (md5(concat_ws('-', CAST(id AS VARCHAR), '42')), id) <= (
+  SELECT (h, id) FROM (SELECT id, md5(concat_ws('-', CAST(id AS VARCHAR), '42')) AS h, row_number() OVER (
+    ORDER BY md5(concat_ws('-', CAST(id AS VARCHAR), '42')), id) AS rn
+    FROM (SELECT l_orderkey * 1000003 + l_partkey * 1009 + l_suppkey * 7 + l_linenumber AS id FROM lineitem)) WHERE rn = 5000)""")
+def k10_global_sample(spark, sf_dir):
+    """5,000 line items of the whole table without replacement, by hash."""
+    from maskforge.operators import sampling
+    li = T.read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn(
+        "id", F.col("l_orderkey") * 1000003 + F.col("l_partkey") * 1009 + F.col("l_suppkey") * 7 + F.col("l_linenumber"))
+    return sampling.global_sample(li, "id", 5000).select("l_orderkey", "l_linenumber", "l_partkey")

@@ -85,3 +85,30 @@ def test_staged_folders_can_be_dropped(spark):
     assert drop_stages(spark) >= 1 and drop_stages(spark) == 0
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def test_global_sample_equals_sort_and_limit(spark, monkeypatch):
+    import hashlib
+
+    from maskforge.operators import sampling
+    monkeypatch.setattr(sampling, "LAST_BUCKET", 3)
+    df = spark.range(2000).repartition(7)
+    order = sorted(range(2000), key=lambda i: hashlib.md5(f"{i}-42".encode()).hexdigest())
+    for n in (0, 1, 17, 500, 1999, 2000, 5000):
+        assert sorted(r.id for r in sampling.global_sample(df, "id", n).collect()) == sorted(order[:n])
+    copies = df.where("id < 5").unionByName(spark.range(1000).selectExpr("3 AS id"))
+    got = [r.id for r in sampling.global_sample(copies, "id", 3).collect()]
+    assert len(got) >= 3 and (3 not in got or got.count(3) == 1001)
+    assert sampling.global_sample(df.limit(0), "id", 3).count() == 0
+
+
+def test_broken_json_lines_are_put_aside(spark, tmp_path):
+    from maskforge.sources import sinks
+    lines = ['{"input": "a", "gt": "b", "marker": "m"}', '{"input": "a", "gt"', "[1]", "", "  ", "7", '{"input": 5}', "{}", "null",
+             '{"gt": null, "more": [1, {"x": 2}]}']
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    rows = sinks.read_json_lines(spark, str(tmp_path / "in.json"), sinks.TASK_SCHEMA)
+    good = sinks.quarantine(rows, str(tmp_path / "broken"))
+    assert sorted((r.input or "", r.gt or "", r.marker or "") for r in good.collect()) == [
+        ("", "", ""), ("", "", ""), ("5", "", ""), ("a", "b", "m")]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "broken")).collect()) == sorted([lines[1], "[1]", "7", "null"])
