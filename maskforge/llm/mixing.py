@@ -1,7 +1,8 @@
 """Mixing sources to target weights by hierarchical budgeting; DataFrame functions only.
 
 A tree of levels (domain, language, source) shares a token budget.  Each node's capacity is
-what its leaves hold times the allowed epochs.  From the root down, a node's budget is
+what its leaves hold times the allowed epochs; leaves below a weight of 0 take nothing and add no
+capacity.  From the root down, a node's budget is
 poured over its children in proportion to their weights; children that fill up pass
 their shortage to their siblings, and only what a whole subtree cannot take was never given
 to it, so ancestors redistribute last.  A leaf that gets ``f`` times its tokens and a rest
@@ -54,18 +55,30 @@ def _pour(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
                            ).drop("used", "open", "full", "kept", "rest")
 
 
+def _path(names: list[str]) -> Column:
+    """Names from the root joined by ``/``; in a name ``%`` is written ``%25`` and ``/`` ``%2F``."""
+    def safe(c):
+        return F.replace(F.replace(F.col(c), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+    return F.concat_ws("/", *map(safe, names))
+
+
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: DataFrame, budget: Column, max_epochs: int) -> DataFrame:
     """``leaves(levels..., tokens)`` -> the same with ``share`` (tokens to take).
 
-    ``weights(path STRING, weight BIGINT)``: names from the root joined by ``/``; nodes that
-    are not listed weigh 1, and weight 0 takes nothing.
+    ``weights(path STRING, weight BIGINT)``: names from the root as ``_path`` joins them; nodes
+    that are not listed weigh 1.  Where a node of a leaf's path has weight 0 the leaf takes nothing
+    and is left out, so its siblings' capacity alone counts on every level above it.
     """
+    closed = weights.where("weight <= 0").select("path")
+    for depth in range(1, len(levels) + 1):
+        leaves = leaves.withColumn("path", _path(levels[:depth])).join(closed, "path", "left_anti").drop("path")
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     done = None
     for depth in range(1, len(levels) + 1):
         here, parent = levels[:depth], levels[:depth - 1]
         nodes = leaves.groupBy(*here).agg(F.sum("cap").alias("cap"))
-        nodes = nodes.withColumn("path", F.concat_ws("/", *here))
+        nodes = nodes.withColumn("path", _path(here))
         nodes = nodes.join(weights, "path", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
         if done is None:
             nodes = nodes.withColumn("top", F.lit(0)).withColumn("budget", budget.cast("bigint"))
@@ -138,7 +151,8 @@ def mixed_ids(docs: DataFrame, levels: list[str], weights: DataFrame, budget_sha
     The budget is ``budget_share`` of all tokens (words).  Null level values are the name
     ''; null ids order as ''; rows that repeat an id have equal places and are taken or left
     together; documents without words take no budget but follow their leaf's order; leaves
-    without words and weight-0 nodes give nothing; an empty table gives an empty result.
+    without words, and all below a node of weight 0, give nothing and leave their budget to others;
+    an empty table gives an empty result.
     """
     names = [f"level{i}" for i in range(len(levels))]
     rows, plan = plan_mix(docs, levels, weights, budget_share, max_epochs, seed, id_col, text_col)
@@ -168,9 +182,14 @@ def oracle(weights: dict[str, int], max_epochs: int, seed: int, domain_sql: str)
     """DuckDB twin of :func:`mixed_ids` over ``documents`` with the whole budget."""
     values = ", ".join(f"('{k}', {v})" for k, v in sorted(weights.items()))
 
+    def safe(c: str) -> str:
+        return f"replace(replace({c}, '%', '%25'), '/', '%2F')"
+
+    prefixes = ", ".join(" || '/' || ".join(map(safe, ("domain", "lang", "source")[:k])) for k in (1, 2, 3))
+
     def pour(out: str, cols: str, parent: str, name: str, budget: str) -> str:
         of = f"PARTITION BY {parent}" if parent else ""
-        path = " || '/' || ".join(cols.split(", "))
+        path = " || '/' || ".join(map(safe, cols.split(", ")))
         return f"""
 {out}n AS (SELECT {cols}, sum(cap) AS cap, {path} AS path FROM leaf GROUP BY {cols}),
 {out}w AS (SELECT n.*, coalesce(w.weight, 1) AS weight, {budget} AS budget FROM {out}n n LEFT JOIN weights w USING (path)
@@ -192,9 +211,10 @@ def oracle(weights: dict[str, int], max_epochs: int, seed: int, domain_sql: str)
 WITH weights(path, weight) AS (VALUES {values}),
 docs AS (SELECT doc_id, {domain_sql} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
-leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * {max_epochs} AS BIGINT) AS cap
+every AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * {max_epochs} AS BIGINT) AS cap
   FROM docs GROUP BY ALL),
-total AS (SELECT CAST(least(sum(tokens), sum(cap)) AS BIGINT) AS budget FROM leaf),
+leaf AS (SELECT * FROM every WHERE NOT EXISTS (SELECT 1 FROM weights w WHERE w.weight <= 0 AND w.path IN ({prefixes}))),
+total AS (SELECT CAST(least((SELECT sum(tokens) FROM every), sum(cap)) AS BIGINT) AS budget FROM leaf),
 {pour("l1", "domain", "", "domain", "(SELECT budget FROM total)").strip()},{pour("l2", "domain, lang", "domain", "lang", "p.share")},{pour("l3", "domain, lang, source", "domain, lang", "source", "p.share")},
 plan AS (SELECT domain, lang, source, share // tokens AS epochs, share - (share // tokens) * tokens AS rest
   FROM leaf JOIN l3 USING (domain, lang, source)),

@@ -161,3 +161,43 @@ def test_license_lines_of_the_tables_and_whole_texts_are_found(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
     got = {r.doc_id: r.license for r in licenses.license_scan(docs, licenses.templates(spark)).collect()}
     assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
+
+
+def shares(spark, leaves, weights, budget, epochs=1):
+    from maskforge.llm import mixing
+    df = spark.createDataFrame(leaves, "d string, s string, tokens bigint")
+    w = spark.createDataFrame(weights, "path string, weight bigint")
+    return {(r.d, r.s): r.share for r in mixing.leaf_budgets(df, ["d", "s"], w, F.lit(budget), epochs).collect()}
+
+
+def test_weight_zero_adds_no_capacity(spark):
+    leaves = [("a", "s0", 1000), ("a", "s1", 100), ("b", "s0", 1000)]
+    assert shares(spark, leaves, [("a/s0", 0)], 1050) == {("a", "s1"): 100, ("b", "s0"): 950}
+    assert shares(spark, leaves, [("a", 0)], 1050) == {("b", "s0"): 1000}
+    assert shares(spark, leaves, [("a", 0), ("b", 0)], 1050) == {}
+    assert shares(spark, leaves, [("a/s0", 0), ("a/s1", 0)], 500) == {("b", "s0"): 500}
+    assert shares(spark, leaves, [("a/s0", 0), ("b", 3)], 400, 2) == {("a", "s1"): 100, ("b", "s0"): 300}
+
+
+def test_names_with_slashes_are_told_apart(spark):
+    leaves = [("a/b", "c", 100), ("a", "b/c", 100), ("a%2Fb", "c", 100)]
+    got = shares(spark, leaves, [("a%2Fb/c", 0)], 1000)
+    assert got == {("a", "b/c"): 100, ("a%2Fb", "c"): 100}
+
+
+def test_mixture_with_zero_weights_matches_its_oracle(spark, tmp_path):
+    import duckdb
+
+    from maskforge.llm import mixing
+    from maskforge.llm.queries import domain
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    weights = {"d0": 2, "d1": 0, "d2/en": 0, "d2/de": 3, "d0/fr": 0}
+    source = docs.select("source").distinct().first()[0]
+    weights[f"d0/en/{source}"] = weights[f"d2/fr/{source}"] = 0
+    got = mixing.mixed_ids(docs.withColumn("domain", domain()), ["domain", "lang", "source"], spark.createDataFrame(
+        sorted(weights.items()), "path string, weight bigint"), 1.0, 4, 42)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    want = con.execute(mixing.oracle(weights, 4, 42, "'d' || CAST(ascii(substr(md5(coalesce(source, '')), 1, 1)) % 3 AS VARCHAR)")).fetchall()
+    assert sorted((r.doc_id, r.epoch) for r in got.collect()) == sorted((r[0], r[1]) for r in want)
+    assert {(r.domain, r.lang) for r in got.collect()}.isdisjoint({("d1", "en"), ("d2", "en"), ("d0", "fr")})
