@@ -2,11 +2,11 @@
 
 Texts and test items are lower-cased and cut into words (runs of ASCII letters, digits and
 non-ASCII characters).  Seeds are the five-word shingles of an item with one word left
-open: four neighbouring words, or five with the second, third or fourth open.  A copy that
-agrees in four of five words on average keeps a seed.  A seed is rare when the product of
-its words' shares in the whole corpus is at most ``RARE``, so frequent copies of an item do
-not make its seeds frequent; an item whose seeds are all common keeps its ``LEAST_SEEDS``
-rarest.  Where seeds hit, the text around them is aligned with the item by words
+open: four neighbouring words, or five with the second, third or fourth open.  Their hash does
+not tell which word was open, so a seed is also found where a copy adds or drops that word.  A
+seed is rare when the product of its words' shares in the whole corpus is at most ``RARE``, so
+frequent copies of an item do not make its seeds frequent; besides these an item keeps the rarest
+seed of every ``SHINGLE`` places, and its ``LEAST_SEEDS`` rarest in any case.  Where seeds hit, the text around them is aligned with the item by words
 (Smith-Waterman, linear gaps); a text is contaminated when the best alignment matches at
 least ``SIMILARITY`` of the item's words.
 
@@ -50,10 +50,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed_hashes(words: np.ndarray, kind: int) -> np.ndarray:
-    """Seed of one kind at every position that has room for it (texts may be crossed)."""
+    """Seed of one kind at every position that has room for it (texts may be crossed); seeds of
+    equal words are equal, whatever their kind."""
     offsets = SEEDS[kind]
     n = max(0, len(words) - offsets[-1])
-    h = np.full(n, kind + 1, np.uint64)
+    h = np.ones(n, np.uint64)
     for k in offsets:
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[k:k + n]
     return mix(h)
@@ -124,6 +125,8 @@ class Items:
                 place.append(np.arange(len(h)))
             key, cost, place = (np.concatenate(x) for x in (key, cost, place))
             rare = cost <= np.log10(RARE)
+            order = np.lexsort((cost, place // SHINGLE))  # the rarest of each part of the item
+            rare[order[np.unique(place[order] // SHINGLE, return_index=True)[1]]] = True
             if rare.sum() < LEAST_SEEDS:
                 rare[np.argsort(cost, kind="stable")[:LEAST_SEEDS]] = True
             keys.append(key[rare])

@@ -101,3 +101,40 @@ def test_awkward_documents(spark):
     assert kept.dtypes == docs.dtypes and kept.count() == docs.count() - 7
     assert D.contaminated(fixtures.empty(spark), items).count() == 0
     assert D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_added_and_dropped_words_leave_a_seed(spark):
+    docs = spark.createDataFrame(
+        [(1, "so alpha beta gamma new delta epsilon zeta it went"), (2, "alpha beta gamma delta epsilon zeta"),
+         (3, "alpha gamma epsilon beta"), (4, "one two three four six seven eight nine ten and on"),
+         (5, "of alpha beta gamma epsilon zeta there")] + [(i, f"plain prose {i} on other things entirely") for i in range(6, 60)],
+        "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "one two three four five six seven eight nine ten")],
+                                  "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (5, 1)}
+
+
+def test_recall_against_full_alignment(spark):
+    """Items of 5 to 60 words, copies with up to a fifth of the words added, dropped or changed."""
+    import pyarrow as pa
+    rng = random.Random(17)
+    vocabulary = [f"w{int(rng.paretovariate(0.8))}" for _ in range(4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 60)))) for i in range(120)]
+    docs = []
+    for k in range(600):
+        _, text = items[k % 120]
+        prose = lambda: " ".join(rng.choices(vocabulary, k=rng.randint(5, 80)))
+        docs.append((k, prose() + " " + " ".join(edited(text.split(), rng, rng.choice([0, 0.1, 0.2, 0.25]))) + " " + prose()))
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    words = {i: D.words_of(pa.array([t]))[0] for i, t in items}
+    want, planted = set(), 0
+    for k, text in docs:
+        w = D.words_of(pa.array([text]))[0]
+        i = k % 120
+        if D.align(words[i], w)[0] >= 0.8 * len(words[i]):
+            want.add((k, i))
+    found = len(want & got) / len(want)
+    assert len(want) > 300 and found >= 0.97, found
