@@ -2,8 +2,8 @@
 
 Every text is searched for the fixed kinds below.  Each match's value is hashed and the
 hashes are counted over the whole corpus by distinct owner and repository.  A value that
-at least ``EXAMPLE_OWNERS`` owners hold is a widely copied example; one held by a single
-owner is owner-specific.  Long mixed tokens outside the fixed matches become spans of the
+at least ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOS`` repositories hold is a widely copied
+example; one held by a single owner in fewer repositories is owner-specific.  Long mixed tokens outside the fixed matches become spans of the
 further kind ``owned`` when they are owner-specific, for such a token is a live-looking
 credential although no key word stands before it.
 """
@@ -25,6 +25,7 @@ KINDS = (
 )
 BASE = ("assign", "access", "hex")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 3
 
 
 def _looks_mixed(value: Column) -> Column:
@@ -81,7 +82,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secret spans of every row of ``docs``.
 
     Returns ``(<id_col>, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_examples,
-    n_live)``, one row per input row.  ``owner`` and ``repo`` default to the column
+    n_live, most_owners, most_repos)``, one row per input row; the last two are the most owners and
+    repositories that hold one of its values.  ``owner`` and ``repo`` default to the column
     ``source`` and to ``source``/``lang``; null owners count as one unnamed owner.  Null and
     empty texts have no spans; repeated rows stay; an empty table gives an empty result;
     columns other than those named are not read.
@@ -99,14 +101,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = staged(candidates(marked), "secrets-found")
     freq = ownership(found)
     known = found.join(freq, "h")
-    known = known.where((F.col("kind") != "owned") | (F.col("owners") == 1))
-    per = known.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "stop", "kind", "owners")).alias("spans"))
+    known = known.where((F.col("kind") != "owned") | ((F.col("owners") == 1) & (F.col("repos") < EXAMPLE_REPOS)))
+    per = known.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "stop", "kind", "owners", "repos")).alias("spans"))
     # an owned span must stand clear of the fixed kinds' spans of its text
     base = F.filter("spans", lambda s: s["kind"] != "owned")
     clear = F.filter("spans", lambda s: (s["kind"] != "owned") | ~F.exists(
         base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     per = per.withColumn("spans", clear)
-    none = F.expr("CAST(array() AS array<struct<start:bigint,rank:int,stop:bigint,kind:string,owners:bigint>>)")
+    none = F.expr("CAST(array() AS array<struct<start:bigint,rank:int,stop:bigint,kind:string,owners:bigint,repos:bigint>>)")
     out = marked.select("row", "id").join(per, "row", "left").withColumn("spans", F.coalesce("spans", none))
 
     def n(test):
@@ -119,8 +121,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), *[of_kind(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined().alias("spans"),
         of_kind("owned").alias("n_owned"),
-        n(lambda s: s["owners"] >= EXAMPLE_OWNERS).alias("n_examples"),
-        n(lambda s: s["owners"] == 1).alias("n_live"))
+        n(lambda s: (s["owners"] >= EXAMPLE_OWNERS) | (s["repos"] >= EXAMPLE_REPOS)).alias("n_examples"),
+        n(lambda s: (s["owners"] == 1) & (s["repos"] < EXAMPLE_REPOS)).alias("n_live"),
+        *[F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repos")])
 
 
 def oracle() -> str:
@@ -142,14 +145,17 @@ m AS (SELECT row, owner, repo, kind, rank, least, ss[i] AS secret, length(ms[i])
 a AS (SELECT *, start + size AS stop FROM m WHERE length(secret) >= least AND (kind <> 'owned' OR (
   regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]')
   AND len(list_distinct(string_split(secret, ''))) >= 12))),
-f AS (SELECT secret, count(DISTINCT owner) AS owners FROM a GROUP BY secret),
-s AS (SELECT a.*, owners FROM a JOIN f USING (secret) WHERE kind <> 'owned' OR owners = 1),
+f AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM a GROUP BY secret),
+s AS (SELECT a.*, owners, repos FROM a JOIN f USING (secret)
+  WHERE kind <> 'owned' OR (owners = 1 AND repos < {EXAMPLE_REPOS})),
 c AS (SELECT * FROM s WHERE kind <> 'owned' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.row = s.row AND b.kind <> 'owned'
   AND b.start < s.stop AND s.start < b.stop))
 SELECT d.doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access,
   count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans,
-  count(CASE WHEN kind = 'owned' THEN 1 END) AS n_owned, count(CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 1 END) AS n_examples,
-  count(CASE WHEN owners = 1 THEN 1 END) AS n_live
+  count(CASE WHEN kind = 'owned' THEN 1 END) AS n_owned,
+  count(CASE WHEN owners >= {EXAMPLE_OWNERS} OR repos >= {EXAMPLE_REPOS} THEN 1 END) AS n_examples,
+  count(CASE WHEN owners = 1 AND repos < {EXAMPLE_REPOS} THEN 1 END) AS n_live,
+  coalesce(max(owners), 0) AS most_owners, coalesce(max(repos), 0) AS most_repos
 FROM docs d LEFT JOIN c USING (row) GROUP BY d.row, d.doc_id"""

@@ -67,6 +67,16 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert got[12].n_assign == 1 and got[12].n_examples == 1 and got[12].n_live == 0
 
 
+def test_copies_in_many_repositories_of_an_owner_are_examples(spark):
+    copied, own = "Ex4mpleTokenXyzAbc0987qrs", "L1veTokenXyzAbc0987qrsTuv"
+    rows = [(i, f"see {copied} here", lang, "s1") for i, lang in enumerate(("en", "de", "fr"))]
+    rows += [(10 + i, f"use {own} now", lang, "s2") for i, lang in enumerate(("en", "de"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    assert all(got[i].n_owned == 0 and got[i].spans == "" for i in range(3))
+    assert all((got[i].n_owned, got[i].n_live, got[i].most_owners, got[i].most_repos) == (1, 1, 1, 2) for i in (10, 11))
+
+
 def test_secret_spans_match_sql(spark):
     rows = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(SECRETS * 2 + [f"see {'Ex4mpleTokenXyzAbc0987qrs'} {k}" for k in
                                                                           "abc"])] + [(None, SECRETS[0], None, None)]
