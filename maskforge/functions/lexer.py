@@ -163,16 +163,23 @@ def _parted(found: Column) -> Column:
     return F.when(F.exists(found, _joined), parts).otherwise(found)
 
 
-def token_values(text: Column) -> Column:
-    """ARRAY<STRING> of token texts; ``array_join(values, '')`` equals the input."""
-    text = F.coalesce(text, F.lit(""))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lexed(text: Column) -> Column:
     found = F.when(text.contains("/"), F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)).otherwise(
         F.regexp_extract_all(text, F.lit(_NO_SLASH_PATTERN), 0))
-    # the matches are used several times: as a lambda's argument they are made once
-    values = F.get(F.transform(F.array(found), _parted), F.lit(0))
+    values = _once(found, _parted)
     return F.when(text.contains(templates.MARK), F.transform(values, templates.unfold)).otherwise(values)
 
 
+def token_values(text: Column) -> Column:
+    """ARRAY<STRING> of token texts; ``array_join(values, '')`` equals the input."""
+    return _once(F.coalesce(text, F.lit("")), _lexed)
+
+
 def tokenize(text: Column) -> Column:
     """ARRAY<STRUCT<type STRING, value STRING>> in document order."""
     return F.transform(token_values(text),

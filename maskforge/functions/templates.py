@@ -94,7 +94,7 @@ def fold(text: Column, p: Patterns) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([fold_text(t, p) for t in texts], dtype=object)
 
-    return F.coalesce(run(F.when(text.contains("${") & text.rlike(_NOT_PLAIN), text)), text)
+    return F.coalesce(run(F.when(text.rlike(_NOT_PLAIN), text)), text)
 
 
 def unfold(value: Column) -> Column:

@@ -166,7 +166,9 @@ def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
 def variant_frame(spark_df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants, written
     once to the shared folder (the marked text is read by several lambdas below)."""
-    m = untype.with_untyped(add_markers(spark_df, path, content, "normal"), "normal", "untyped")
+    # the marked text is written before it is tokenised again, so it is joined once
+    marked = ordered.stage(add_markers(spark_df, path, content, "normal").select(path, "normal"), "marked")
+    m = untype.with_untyped(marked, "normal", "untyped")
     return ordered.stage(m.select(path, "normal", add_annotations_for_corpus(F.col("normal")).alias("explicit"),
                                   "untyped"), "variants")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskforge.functions import normalize as N
 from maskforge.operators import ordered
 
 BOUNDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
@@ -128,3 +129,23 @@ def packed_blocks(df: DataFrame, order: str, tokens: str, size: int, shards: int
     pieces = pieces.where(F.col("block_id") * size < run - size)
     return pieces.groupBy("shard", "block_id").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("__at", "__p"))), lambda x: x["__p"])).alias("tokens"))
+
+
+def task_examples(rows: DataFrame) -> DataFrame:
+    """T1 for tasks: ``(id, source, target)`` of rows ``(input, gt, id, row_id)``.  ``<EOL>`` becomes
+    a line end and blanks collapse in the source; a row without an id has its row number; rows with
+    an empty source go."""
+    words = N.js_trim(F.regexp_replace(F.replace("input", F.lit("<EOL>"), F.lit(" </s> ")), N.JS_SPACE + "+", " "))
+    return rows.select(F.coalesce("id", "row_id").alias("id"), words.alias("source"), F.col("gt").alias("target")).where(
+        F.length("source") > 0)
+
+
+def fixed_line(line: Column, training: bool) -> Column:
+    """Blanks around every ``<EOL>`` and a leading ``<s>``; in training lines a last ``<EOL>``
+    goes and ``</s>`` is added."""
+    s = N.js_trim(F.replace(N.js_trim(line), F.lit("<EOL>"), F.lit(" <EOL> ")))
+    s = F.when(s.startswith("<s>"), s).otherwise(F.concat(F.lit("<s> "), s))
+    if training:
+        s = F.when(s.endswith("<EOL>"), N.js_trim(s.substr(F.lit(1), F.length(s) - 5))).otherwise(s)
+        s = F.concat(s, F.lit(" </s>"))
+    return s

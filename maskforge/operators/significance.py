@@ -142,3 +142,12 @@ def report(metric_long: DataFrame, planned: DataFrame, keys: list[str],
                           F.when(F.col("has_pop2").isNull(), F.col("pop2")))
     return out.select(*on, F.coalesce("pairs", F.lit(0)).alias("pairs"), "n", "z", "p_value",
                       "delta", (F.col("p_value") <= alpha).alias("significant"), missing.alias("missing"))
+
+
+def published(table: DataFrame) -> DataFrame:
+    """Of a :func:`report`, the significant comparisons, p and delta to three decimals; a pair is
+    listed if any of its metrics is, with ``of`` metrics tested."""
+    tested = table.groupBy("pop1", "pop2").agg(F.count("p_value").alias("of"))
+    kept = table.where("significant").select("pop1", "pop2", "metric", "pairs", F.bround("p_value", 3).alias("p"),
+                                             F.bround("delta", 3).alias("delta"))
+    return kept.join(tested, ["pop1", "pop2"])

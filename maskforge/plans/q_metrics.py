@@ -190,15 +190,15 @@ def e16_dev_scores(spark, sf_dir):
                     F.avg(F.round(F.col("levenshtein") * 100)).alias("fuzzy_ratio"))
 
 
-def task_metric_rows(spark, sf_dir):
-    """Metric rows of the previous-line baseline on every test task of the 15 datasets, scored
-    once and written to the shared folder."""
+def task_metric_rows(spark, sf_dir, single_token: bool = False):
+    """Metric rows of the previous-line baseline on every test task of the 15 datasets, by line or
+    by first token, scored once and written to the shared folder."""
     from maskforge.operators import marking as K
     raw = K.raw_tasks(K.variant_frame(K.test_files(T.code_corpus(spark, sf_dir))))
     t = K.tasks(raw, replace_literals=True)
     pr = t.select("path", "ordinal", F.concat_ws("-", "variant", "comments").alias("dataset"),
                   "gt", E.last_line_baseline(F.col("input")).alias("prediction"))
-    return ordered.stage(E.score(pr), "metric-rows")
+    return ordered.stage(E.score(pr, single_token), "metric-rows")
 
 
 @register("e14_task_leaderboard")

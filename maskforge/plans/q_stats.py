@@ -33,9 +33,9 @@ def a5_a6_line_vs_token(spark, sf_dir):
     return A.report(ordered.stage(long, "metric-rows"), planned, ["conv_id", "turn"])
 
 
-def _long_task_rows(spark, sf_dir, metrics):
+def _long_task_rows(spark, sf_dir, metrics, single_token: bool = False):
     from maskforge.plans.q_metrics import task_metric_rows
-    rows = task_metric_rows(spark, sf_dir)
+    rows = task_metric_rows(spark, sf_dir, single_token)
     long = rows.select("path", "ordinal", F.col("dataset").alias("population"), "empty", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("mv"))
     return long.select("path", "ordinal", "population", "empty", "mv.metric", "mv.value")
@@ -125,3 +125,11 @@ def a5_exact_orders(spark, sf_dir):
         (F.col("o_custkey") % 9973).cast("double").alias("y"))
     w = A.wilcoxon(o, ["key"], "x", "y").where("exact_p IS NOT NULL AND n <= 12")
     return w.select("key", "n", "w_plus", "w_minus", F.round("p_value", 9).alias("p"))
+
+
+@register("a7_a8_single_token")
+def a7_a8_single_token(spark, sf_dir):
+    """The single-token mode's two metrics over the fifteen datasets; comparisons with
+    p <= 0.05, p and delta to three decimals."""
+    long = _long_task_rows(spark, sf_dir, C.SINGLE_TOKEN_METRICS, single_token=True)
+    return A.published(A.report(long, A.catalogue(spark, metrics=C.SINGLE_TOKEN_METRICS), ["path", "ordinal"]))

@@ -88,3 +88,10 @@ def test_exact_p_up_to_fifty_untied_differences(spark):
     assert p([1, 1, 2]).exact_p is None and 0 < p([1, 1, 2]).p_value < 1  # ties
     fifty, more = p(range(1, 51)), p(range(1, 52))
     assert fifty.p_value == 2 / 2 ** 50 and more.exact_p is None and more.p_value < 1e-6
+
+
+def test_published_keeps_significant_rows_alone(spark):
+    rows = [(i, p, m, float(i % 7 + (k if m == "m" else 0)), False) for k, p in enumerate(("a", "b")) for i in range(40) for m in ("m", "o")]
+    long = spark.createDataFrame(rows, "id long, population string, metric string, value double, empty boolean")
+    got = A.published(A.report(long, A.catalogue(spark, (("a", "b"), ("a", "c")), ("m", "o")), ["id"])).collect()
+    assert [(r.pop1, r.pop2, r.metric, r.pairs, r.p, r.of) for r in got] == [("a", "b", "m", 40, 0.0, 1)]
