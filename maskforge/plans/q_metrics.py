@@ -125,6 +125,18 @@ def e10_single_token_rows(spark, sf_dir):
     return E.score(pairs(spark, sf_dir), single_token=True)
 
 
+@register("e10_single_token_scores", "WITH " + PAIRS_SQL + """,
+pp AS (SELECT conv_id, turn, """ + postprocess_sql("gt", "g") + """, """ + postprocess_sql("prediction", "p") + """ FROM pairs),
+tk AS (SELECT conv_id, turn, """ + Q.token_values("g") + """ AS r, """ + Q.token_values("p") + """ AS h FROM pp WHERE p <> ''),
+one AS (SELECT conv_id, turn, coalesce(r[1], '') AS r, h[1] AS h FROM tk)
+SELECT conv_id, turn, CAST(r = h AS INT) AS exact_match, round(CASE WHEN r = h THEN pow(0.5, 0.75) ELSE 0 END, 9) AS bleu,
+  CAST(CASE WHEN r = h THEN 1 ELSE 0 END AS DOUBLE) AS rouge FROM one""")
+def e10_single_token_scores(spark, sf_dir):
+    """Exact match, BLEU-4 and ROUGE-L of the first tokens of every pair with a prediction."""
+    rows = E.score(pairs(spark, sf_dir), single_token=True).where(~F.col("empty"))
+    return rows.select("conv_id", "turn", "exact_match", F.round("bleu", 9).alias("bleu"), "rouge")
+
+
 @register("e12_leaderboard")
 def e12_leaderboard(spark, sf_dir):
     """Mean metrics x 100 per mode and turn, sorted."""
