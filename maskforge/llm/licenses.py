@@ -1,12 +1,21 @@
 """Licence scan by the Dice coefficient over word bigrams; DataFrame functions only.
 
 Texts and templates are normalised alike: lower case, runs of other characters than ASCII
-letters and digits become one space.  Every line of a text and, where it has several, the
-whole text are passages.  A passage matches a template when twice their common distinct
-bigrams are at least ``threshold`` of both their bigrams together.  Sizes bound what can
-match: with threshold t a template of b bigrams needs b * t / (2 - t) to b * (2 - t) / t in
+letters and digits become one space.  Passages are the whole text, every line of a text that
+has several, and windows of words.  A passage matches a template when twice their common
+distinct bigrams are at least ``threshold`` of both their bigrams together.  Sizes bound what
+can match: with threshold t a template of b bigrams needs b * t / (2 - t) to b * (2 - t) / t in
 the passage, so passages outside every bound are dropped before bigrams are compared, and
 pairs outside their own bound are never counted.
+
+Windows find licences inside longer texts, wrapped or in the middle of a line.  Each bigram
+that a text shares with a template says where in the text the template's first word would
+stand.  A place on which at least one in ``VOTE_SHARE`` of the template's bigrams agree begins
+a window of as many words as the template has.  All windows of a template together hold at
+most ``VOTE_SHARE`` times as many bigrams as the text shares with it, give or take the
+template's own repeats, so their cost is linear; a licence shows in them unless words were
+added or left out in so many places that no two parts of it are that long.  Only texts that
+hold b * t / (2 - t) of a template's bigrams at all are read a second time for windows.
 """
 
 from __future__ import annotations
@@ -17,10 +26,12 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskforge.llm.common import sized_join
+from maskforge.llm.common import sized_join, staged
 from maskforge.llm.license_texts import WHOLE
 
 THRESHOLD = 0.8
+#: a window begins where at least one in so many of a template's bigrams agree
+VOTE_SHARE = 8
 #: template bigrams up to which they are broadcast
 BROADCAST_BIGRAMS = 500_000
 #: template bigrams up to which texts without any needed word are left out first; a text
@@ -129,19 +140,29 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
-def _bigrams(words: Column) -> Column:
-    """Distinct word bigrams; none for fewer than two words."""
+def _pairs(words: Column) -> Column:
+    """Word bigrams in text order; none for fewer than two words."""
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1),
                        lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _bigrams(words: Column) -> Column:
+    """Distinct word bigrams; none for fewer than two words."""
+    return F.array_distinct(_pairs(words))
 
 
 def template_bigrams(known: DataFrame) -> DataFrame:
-    """``(license, bigram, b)``: distinct bigrams of each template and their count.
-    Templates without a bigram never match; a repeated name keeps its first text."""
+    """``(license, words, b, bigram, q)``: distinct bigrams of each template with the place of
+    the first word, their count, and the template's words.  Templates without a bigram never
+    match; a repeated name keeps its first text."""
     known = known.groupBy("license").agg(F.min("text").alias("text"))
-    grams = known.select("license", _bigrams(_words(F.coalesce("text", F.lit("")))).alias("g"))
-    return grams.select("license", F.size("g").alias("b"), F.explode("g").alias("bigram"))
+    rows = known.select("license", _words(F.coalesce("text", F.lit(""))).alias("w"))
+    rows = rows.select("license", F.size("w").alias("words"), _pairs(F.col("w")).alias("pairs"))
+    grams = rows.withColumn("g", F.array_distinct("pairs"))
+    each = grams.select("license", "words", "pairs", F.size("g").alias("b"), F.explode("g").alias("bigram"))
+    return each.select("license", "words", "b", "bigram",
+                       (F.array_position("pairs", F.col("bigram")) - 1).cast("int").alias("q"))
 
 
 def needed_words(bigrams: dict[str, list[str]], threshold: float) -> list[str]:
@@ -174,9 +195,34 @@ def word_pattern(words: list[str]) -> str:
     return f"(?<![a-z0-9])(?:{tails})(?![a-z0-9])" if by else "(?!)"
 
 
+def _windows(rows: DataFrame, asked: DataFrame, grams: DataFrame, low: float, high: float) -> DataFrame:
+    """``(id, passage, a, license, b, common)`` of the windows of texts that hold enough bigrams
+    of a template at all; ``asked`` names them as ``(id, license)``."""
+    asked = asked.groupBy(F.struct("id").alias("key")).agg(F.collect_set("license").alias("asked"))
+    # a row of the texts that are asked for has its number from here on
+    held = rows.withColumn("key", F.struct("id")).join(asked, "key").select("id", "text", "asked")
+    held = staged(held.select(F.monotonically_increasing_id().alias("row"), "id", _words(F.col("text")).alias("w"), "asked"),
+                  "license-texts")
+    each = held.select("row", "asked", F.posexplode(_pairs(F.col("w"))).alias("p", "bigram"))
+    hits = sized_join(each, grams, "bigram", "inner", BROADCAST_BIGRAMS).where(F.array_contains("asked", F.col("license")))
+    votes = hits.groupBy("row", "license", "b", "words", (F.col("p") - F.col("q")).alias("s")).agg(
+        F.count(F.lit(1)).alias("n")).where(VOTE_SHARE * F.col("n") >= F.col("b"))
+    at = votes.groupBy("row").agg(F.collect_list(F.struct("license", "words", "s")).alias("at"))
+    begin = lambda x: F.greatest(x["s"], F.lit(0))
+    cut = F.transform("at", lambda x: F.struct(x["license"].alias("license"), x["s"].alias("s"), _bigrams(
+        F.slice("w", begin(x) + 1, x["s"] + x["words"] - begin(x))).alias("g")))
+    each = held.join(at, "row").select("row", "id", F.explode(cut).alias("x")).select(
+        "row", "id", "x.license", (-2 - F.col("x.s")).alias("passage"), F.size("x.g").alias("a"), F.explode("x.g").alias("bigram"))
+    hit = sized_join(each, grams.select("license", "bigram", "b"), ["license", "bigram"], "inner", BROADCAST_BIGRAMS)
+    hit = hit.where((F.col("a") >= low * F.col("b")) & (F.col("a") <= high * F.col("b")))
+    return hit.groupBy("row", "id", "passage", "a", "license", "b").agg(F.count(F.lit(1)).alias("common")).drop("row")
+
+
 def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, passage, license, dice)`` of every match; passage -1 is the whole text."""
+    """``(id, passage, license, dice, common)`` of every match; passage -1 is the whole text,
+    others from 0 are lines, and -2 - s is the window that begins at word s (before the text's
+    first word where a licence lacks its beginning)."""
     grams = template_bigrams(known)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     # the templates' size bounds, as one row: the smallest and largest passage that can match
@@ -184,42 +230,52 @@ def license_matches(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", t
     if bound["least"] is None:
         bound = {"least": 1 << 30, "most": 0, "size": 0}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
-    passages = F.concat(F.transform(lines, lambda s, i: F.struct(i.alias("passage"), s.alias("text"))),
-                        F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("passage"), text.alias("text"))))
+    lines = F.split(F.col("text"), "\n")
+    passages = F.concat(F.array(F.struct(F.lit(-1).alias("passage"), F.col("text").alias("text"))),
+                        F.when(F.size(lines) > 1, F.transform(lines, lambda s, i: F.struct(
+                            i.alias("passage"), s.alias("text"))))
                         .otherwise(F.array().cast("array<struct<passage:int,text:string>>")))
-    rows = docs
+    texts = docs
     if bound["size"] <= PREFILTER_BIGRAMS:
         held = {r["license"]: r["g"] for r in grams.groupBy("license").agg(F.collect_list("bigram").alias("g")).collect()}
-        rows = rows.where(F.lower(text).rlike(word_pattern(needed_words(held, threshold))))
-    rows = rows.select(F.col(id_col).alias("id"), F.explode(passages).alias("p"))
+        texts = texts.where(F.lower(text).rlike(word_pattern(needed_words(held, threshold))))
+    texts = texts.select(F.col(id_col).alias("id"), text.alias("text"))
+    # rows that repeat an id are counted apart
+    rows = texts.select("id", F.monotonically_increasing_id().alias("row"), F.explode(passages).alias("p"))
     # n words have at most n - 1 distinct bigrams, and the text has at least 2n - 1 characters
     rows = rows.where(F.length("p.text") >= 2 * low * bound["least"])
-    rows = rows.select("id", "p.passage", _words(F.col("p.text")).alias("w"))
-    rows = rows.where(F.size("w") - 1 >= low * bound["least"]).select("id", "passage", _bigrams(F.col("w")).alias("g"))
+    rows = rows.select("id", "row", "p.passage", _words(F.col("p.text")).alias("w"))
+    rows = rows.where(F.size("w") - 1 >= low * bound["least"]).select("id", "row", "passage", _bigrams(F.col("w")).alias("g"))
+    whole = F.col("passage") == -1
     rows = rows.withColumn("a", F.size("g")).where((F.col("a") >= low * bound["least"])
-                                                   & (F.col("a") <= high * bound["most"]))
-    each = rows.select("id", "passage", "a", F.explode("g").alias("bigram"))
-    hit = sized_join(each, grams, "bigram", "inner", BROADCAST_BIGRAMS)
-    hit = hit.where((F.col("a") >= low * F.col("b")) & (F.col("a") <= high * F.col("b")))
+                                                   & (whole | (F.col("a") <= high * bound["most"])))
+    each = rows.select("id", "row", "passage", "a", F.explode("g").alias("bigram"))
+    hit = sized_join(each, grams.drop("words", "q"), "bigram", "inner", BROADCAST_BIGRAMS)
+    fits = (F.col("a") >= low * F.col("b")) & (F.col("a") <= high * F.col("b"))
     # a passage's own bigrams meet here: at most as many rows as the template has bigrams
-    both = hit.groupBy("id", "passage", "a", "license", "b").agg(F.count(F.lit(1)).alias("common"))
+    both = hit.where(whole | fits).groupBy("id", "row", "passage", "a", "license", "b").agg(
+        F.count(F.lit(1)).alias("common"))
+    # what shares fewer bigrams than these cannot match, nor can any part of it
+    both = staged(both.where(F.col("common") >= low * F.col("b") - 1e-9).drop("row"), "license-shared")
+    found = both.where(fits).unionByName(_windows(texts, both.where(whole).select("id", "license"), grams, low, high))
     dice = 2.0 * F.col("common") / (F.col("a") + F.col("b"))
-    return both.select("id", "passage", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    return found.select("id", "passage", "license", dice.alias("dice"), "common").where(F.col("dice") >= threshold)
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD) -> DataFrame:
     """Best licence of every row: ``(<id_col>, license, dice, n_matches)``.
 
-    The highest Dice coefficient wins, ties by name.  Rows without a match have null
-    licence, null coefficient and 0 matches, so null and empty texts do; rows that repeat an
-    id are one document and share its matches, a passage number counting once per licence
-    and coefficient; a null id is an id; an empty table gives an empty result.
+    Of the matches the one with the most common bigrams wins, so a whole licence goes before
+    a notice that is part of it, then the highest Dice coefficient, then the name.  Rows
+    without a match have null licence, null coefficient and 0 matches, so null and empty texts
+    do; ``n_matches`` counts passages, and a notice on a line of its own is a line and a window;
+    rows that repeat an id are one document and share its matches, equal ones counting once; a
+    null id is an id; an empty table gives an empty result.
     """
     found = license_matches(docs, known, id_col, text_col, threshold)
     best = found.distinct().groupBy("id").agg(
-        F.min_by(F.struct("license", "dice"), F.struct(-F.col("dice"), F.col("license"))).alias("m"),
+        F.min_by(F.struct("license", "dice"), F.struct(-F.col("common"), -F.col("dice"), F.col("license"))).alias("m"),
         F.count(F.lit(1)).alias("n"))
     rows = docs.select(F.col(id_col).alias("__id"))
     return rows.join(best, rows["__id"].eqNullSafe(best["id"]), "left").select(
@@ -236,19 +292,36 @@ def oracle(threshold: float = THRESHOLD) -> str:
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     return f"""
 WITH templates(license, text) AS (VALUES {values}),
-tg AS (SELECT license, {_SQL_BIGRAMS} AS g FROM (SELECT license, {_SQL_WORDS.format("text")} AS w FROM templates)),
-tb AS (SELECT license, len(g) AS b, unnest(g) AS bigram FROM tg),
+tw AS (SELECT license, {_SQL_WORDS.format("text")} AS w FROM templates),
+tp AS (SELECT license, len(w) AS words, unnest(range(0, len(w) - 1)) AS q,
+              unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigram FROM tw),
+tb AS (SELECT license, words, bigram, min(q) AS q, count(*) OVER (PARTITION BY license) AS b
+       FROM tp GROUP BY license, words, bigram),
 lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT doc_id, unnest(range(0, len(ls))) AS passage, unnest(ls) AS t FROM lines
-          UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(ls) > 1),
+parts AS (SELECT doc_id, unnest(range(0, len(ls))) AS passage, unnest(ls) AS t FROM lines WHERE len(ls) > 1
+          UNION ALL SELECT doc_id, -1, text FROM lines),
 pg AS (SELECT doc_id, passage, {_SQL_BIGRAMS} AS g
        FROM (SELECT doc_id, passage, {_SQL_WORDS.format("t")} AS w FROM parts)),
 pb AS (SELECT doc_id, passage, len(g) AS a, unnest(g) AS bigram FROM pg),
-hits AS (SELECT doc_id, passage, license, 2.0 * count(*) / (a + b) AS dice FROM pb JOIN tb USING (bigram)
-         WHERE a >= {low!r} * b AND a <= {high!r} * b GROUP BY doc_id, passage, license, a, b),
-kept AS (SELECT DISTINCT * FROM hits WHERE dice >= {threshold!r}),
+shared AS (SELECT doc_id, passage, license, a, b, count(*) AS common FROM pb JOIN tb USING (bigram)
+           GROUP BY doc_id, passage, license, a, b HAVING count(*) >= {low!r} * b - 1e-9),
+dw AS (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM lines),
+dp AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS p,
+              unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS bigram
+       FROM dw WHERE doc_id IN (SELECT doc_id FROM shared)),
+votes AS (SELECT doc_id, license, words, p - q AS s FROM dp JOIN tb USING (bigram)
+          JOIN (SELECT doc_id, license FROM shared WHERE passage = -1) USING (doc_id, license)
+          GROUP BY doc_id, license, words, b, p - q HAVING {VOTE_SHARE} * count(*) >= b),
+vg AS (SELECT doc_id, license, s, {_SQL_BIGRAMS} AS g
+       FROM (SELECT doc_id, license, s, w[greatest(s, 0) + 1 : s + words] AS w FROM votes JOIN dw USING (doc_id))),
+vb AS (SELECT doc_id, license, s, len(g) AS a, unnest(g) AS bigram FROM vg),
+hits AS (SELECT doc_id, passage, license, a, b, common FROM shared
+         UNION ALL SELECT doc_id, -2 - s, license, a, b, count(*) FROM vb JOIN tb USING (license, bigram)
+         GROUP BY doc_id, s, license, a, b),
+kept AS (SELECT DISTINCT doc_id, passage, license, common, 2.0 * common / (a + b) AS dice FROM hits
+         WHERE a >= {low!r} * b AND a <= {high!r} * b AND 2.0 * common / (a + b) >= {threshold!r}),
 ranked AS (SELECT doc_id, license, dice, count(*) OVER (PARTITION BY doc_id) AS n,
-                  row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS r FROM kept)
+                  row_number() OVER (PARTITION BY doc_id ORDER BY common DESC, dice DESC, license) AS r FROM kept)
 SELECT d.doc_id, r.license, round(CAST(r.dice AS DOUBLE), 6) AS dice, coalesce(r.n, 0) AS n_matches
 FROM documents d LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r ON d.doc_id = r.doc_id
 """

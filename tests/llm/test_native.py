@@ -173,6 +173,32 @@ def test_license_lines_of_the_tables_and_whole_texts_are_found(spark):
     assert [got[i] for i in range(len(rows))] == [n for _, n in rows]
 
 
+def test_licenses_inside_longer_texts_are_found(spark):
+    code = "\n".join(f"value_{i} = load(path_{i}) + {i}" for i in range(80))
+    rows = []
+    for name in ("MIT", "BSD-3-Clause", "Apache-2.0 header", "ISC", "GPL-3.0 header", "MPL-2.0 text"):
+        text = textwrap.fill(licenses.TEMPLATES[name], 80)
+        rows += [(text + "\n" + code, name), (code + "\n" + textwrap.indent(text, " * ") + "\n" + code, name)]
+        # a word changed, one added and one left out, each in another place
+        words = text.replace("# ", "").split(" ")
+        n = len(words)
+        words[n // 5] = "other"
+        rows.append((code + "\n" + " ".join(words[:n // 2] + ["added"] + words[n // 2:3 * n // 4] + words[3 * n // 4 + 1:]), name))
+    rows += [(f"Our text here. {line} And more of it follows in the same line. {fixtures.PROSE}", name) for line, name in (
+        ("Released under the MIT License.", "MIT notice (released)"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0 notice"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0 notice"))]
+    rows += [(licenses.TEMPLATES["MIT"].split(" ", 12)[12] + " " + code, "MIT"), (code, None), (fixtures.PROSE, None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    docs = docs.unionByName(docs.where("doc_id < 2"))  # repeated rows share one result
+    got = licenses.license_scan(docs, licenses.templates(spark)).collect()
+    assert len(got) == len(rows) + 2 and all(r.dice is None or 0.8 <= r.dice <= 1 for r in got)
+    by = {r.doc_id: r.license for r in got}
+    assert [by[i] for i in range(len(rows))] == [n for _, n in rows]
+    want = run_duck(licenses.oracle(), documents=docs.distinct().toPandas())
+    assert sorted({tuple(r) for r in got}, key=str) == want
+
+
 def shares(spark, leaves, weights, budget, epochs=1):
     from maskforge.llm import mixing
     df = spark.createDataFrame(leaves, "d string, s string, tokens bigint")
