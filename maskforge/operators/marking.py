@@ -197,15 +197,14 @@ def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) ->
     so it is a prefix of the tokens and the text is tokenised once per variant.
     """
     w = common_markers(wide, path, variants).where(F.size("common") > 0)
-    rows = w.select(path, "common", F.posexplode(F.array(*[F.struct(
-        F.lit(v).alias("variant"), F.col(v).alias("text")) for v in variants])).alias("__v", "v"))
-    rows = rows.select(path, "common", "v.variant", "v.text")
     alternatives = F.array_join(F.transform("common", quote_re), "|")
-    rows = rows.withColumn("__lines", F.transform(F.slice(F.split("text", alternatives), 2, F.size("common")), _first_line))
-    bad = F.size("__lines") != F.size("common")
-    rows = rows.withColumn("__bad", (bad | F.exists("__lines", lambda t: F.length(t) == 0)).cast("int"))
-    refused = rows.groupBy(path).agg(F.max("__bad").alias("__bad")).where("__bad = 1")
-    rows = rows.join(refused, path, "left_anti")
+    # a file's variants stand in one row, so a truth missing in one of them is seen before the explode
+    made = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text"), F.transform(
+        F.slice(F.split(v, alternatives), 2, F.size("common")), _first_line).alias("lines")) for v in variants])
+    whole = lambda x: (F.size(x["lines"]) == F.size("common")) & F.forall(x["lines"], lambda t: F.length(t) > 0)
+    kept = F.flatten(F.filter(F.array(made), lambda e: F.forall(e, whole)))
+    rows = w.select(path, "common", F.explode(kept).alias("v"))
+    rows = rows.select(path, "common", "v.variant", "v.text", F.col("v.lines").alias("__lines"))
     rows = L.with_tokens(rows, "text", "tokens").select(path, "variant", "common", "__lines", "tokens")
     rows = rows.select(path, "variant", "tokens", F.posexplode(F.arrays_zip(
         F.col("common").alias("marker"), F.col("__lines").alias("line"))).alias("ordinal", "t"))
