@@ -109,8 +109,10 @@ def packed_blocks(df: DataFrame, order: str, tokens: str, size: int, shards: int
     tokens and no more.
     """
     sized = df.select(order, F.col(tokens).alias("__t"), F.size(tokens).cast("long").alias("__n")).where("__n > 0")
-    placed = ordered.cumulative(sized, [], [order], sums=["__n"])
-    total = placed.agg(F.max("run___n")).first()[0] or 0  # one number
+    sized = ordered.stage(sized.withColumn("__row", F.monotonically_increasing_id()), "token-rows")
+    # only numbers are ranged and added up; the tokens move once, to their places
+    places = ordered.cumulative(sized.select(order, "__row", "__n"), [], [order, "__row"], sums=["__n"])
+    total = places.agg(F.max("run___n")).first()[0] or 0  # one number
     run = total // shards
     if run == 0:
         return df.sparkSession.createDataFrame([], "shard bigint, block_id bigint, tokens array<string>")
@@ -119,6 +121,7 @@ def packed_blocks(df: DataFrame, order: str, tokens: str, size: int, shards: int
     # units: a run has ceil(run / size) of them, the last one possibly short
     per = -(-run // size)
     unit = lambda at: F.floor(at / run) * per + F.floor(F.pmod(at, F.lit(run)) / size)
+    placed = sized.select("__row", "__t").join(places.select("__row", "__n", "run___n"), "__row")
     placed = placed.where(begin < run * shards).withColumn("__u", F.explode(F.sequence(unit(begin), unit(last - 1))))
     shard, block = F.floor(F.col("__u") / per), F.pmod("__u", F.lit(per))
     lo = shard * run + block * size
