@@ -238,6 +238,9 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_failed, distance DOUBLE, kept)``, one row per input row.  Null and empty texts have
     zero counts and fail the base rules; null languages and sources form groups of their
     own; repeated rows stay; an empty table gives an empty result; other columns are not read.
+    A group of fewer than ``min_rows`` rows with words takes its language's estimate, or else
+    the whole table's; where that has fewer as well nothing is estimated, the distance is 0 and
+    the base rules alone decide.
     """
     stats = staged(statistics(docs, id_col, text_col, group_cols), "mcd-stats")
     found = staged(estimates(stats), "mcd-groups").where(F.col("n") >= min_rows)
