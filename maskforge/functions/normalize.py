@@ -76,11 +76,12 @@ def replace_templates(tokens: Column) -> Column:
 
 
 def _render(tok: Column, replace_literals: bool) -> Column:
-    """P10 for one token, with boundary sentinels on whitespace and newlines."""
+    """P4 and P10 for one token, with boundary sentinels on whitespace and newlines."""
     t, v = tok["type"], tok["value"]
     lt = F.lit("<EOL>") if replace_literals else v
     out = (F.when(t == L.WHITESPACE, F.concat(F.lit(WS_MARK), v))
-           .when(t == L.LINE_TERMINATOR, F.concat(F.lit(LT_MARK), lt)))
+           .when(t == L.LINE_TERMINATOR, F.concat(F.lit(LT_MARK), lt))
+           .when(t == L.TEMPLATE_STRING, F.lit("`<STR_LIT>`" if replace_literals else "``")))
     if replace_literals:
         out = (out
                .when(t.isin(L.STRING, L.NO_SUB_TEMPLATE),
@@ -90,6 +91,30 @@ def _render(tok: Column, replace_literals: bool) -> Column:
     return out.otherwise(v)
 
 
+#: what the comment filter asks of a rendered token
+_KEPT, _SINGLE, _MULTI, _DOC, _MARKER = range(5)
+
+
+def rendered(tokens: Column, replace_literals: bool) -> Column:
+    """ARRAY<STRUCT<kind, text>>: every token as P4 and P10 render it, with its kind of comment, so
+    that the filters of several comment classes need no further look at the token."""
+    def kind(t):
+        return (F.when(t["type"] == L.SINGLE_LINE_COMMENT, F.lit(_SINGLE)).when(t["type"] != L.MULTI_LINE_COMMENT, F.lit(_KEPT))
+                .when(is_marker_comment(t), F.lit(_MARKER)).when(is_docblock(t), F.lit(_DOC)).otherwise(F.lit(_MULTI)))
+
+    return F.transform(tokens, lambda t: F.struct(kind(t).alias("kind"), _render(t, replace_literals).alias("text")))
+
+
+def class_texts(shown: Column, preserved: int) -> Column:
+    """P6 on :func:`rendered` tokens: their texts, empty for comments that go, places unchanged."""
+    dropped = [_MARKER]
+    if not preserved & C.SINGLE_LINE:
+        dropped.append(_SINGLE)
+    if not preserved & C.MULTI_LINE:
+        dropped += [_MULTI] if preserved & C.DOCBLOCK else [_MULTI, _DOC]
+    return F.transform(shown, lambda x: F.when((x["kind"] == _KEPT) | ~x["kind"].isin(*dropped), x["text"]).otherwise(F.lit("")))
+
+
 def dedupe_space(sentinel_text: Column) -> Column:
     """P8 then P9 over sentinel text, then strip the sentinels."""
     s = F.regexp_replace(sentinel_text, P8_PATTERN, "$1$2")
@@ -105,10 +130,16 @@ def preprocess(text: Column, preserved: int | Column, replace_literals: bool) ->
 
 def preprocess_tokens(tokens: Column, preserved: int | Column, replace_literals: bool) -> Column:
     """P11 on an already tokenised column (tokenise once, normalise per class)."""
-    toks = replace_templates(tokens)
-    kept = F.filter(toks, lambda t: keep_comment_class(t, preserved))
-    rendered = F.array_join(F.transform(kept, lambda t: _render(t, replace_literals)), "")
-    return dedupe_space(rendered)
+    def text(t):
+        comment = t["type"].isin(L.SINGLE_LINE_COMMENT, L.MULTI_LINE_COMMENT)
+        return F.when(comment & ~keep_comment_class(t, preserved), F.lit("")).otherwise(_render(t, replace_literals))
+
+    return dedupe_space(F.array_join(F.transform(tokens, text), ""))
+
+
+def class_text(shown: Column, preserved: int) -> Column:
+    """P11 for one comment class of :func:`rendered` tokens."""
+    return dedupe_space(F.array_join(class_texts(shown, preserved), ""))
 
 
 def js_trim(s: Column) -> Column:

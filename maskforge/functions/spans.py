@@ -122,20 +122,21 @@ def function_body_bounds(tokens: Column) -> Column:
     ``end`` is the last ``}``; ``start`` is the ``{`` where the brace depth, counted
     from the right, returns to zero.  Null when there is no ``}``.
     """
-    braces = F.filter(
+    found = F.filter(
         F.transform(tokens, lambda t, i: F.when(
             (t["type"] == L.PUNCTUATOR) & t["value"].isin("{", "}"),
             F.struct(i.alias("i"), F.when(t["value"] == "}", 1).otherwise(-1).alias("d")))),
         lambda x: x.isNotNull())
-    rev = F.reverse(braces)
-    # running depth from the right; the opener that brings it back to 0 is the start
-    depth = F.aggregate(
-        rev, F.struct(F.lit(0).alias("d"), F.lit(-1).alias("start")),
-        lambda acc, x: F.when(acc["start"] >= 0, acc).otherwise(
-            F.struct((acc["d"] + x["d"]).alias("d"),
-                     F.when((x["d"] < 0) & (acc["d"] + x["d"] == 0), x["i"])
-                     .otherwise(F.lit(-1)).alias("start"))))
-    closers = F.filter(braces, lambda x: x["d"] > 0)
-    end = F.get(F.reverse(closers), 0)["i"]
-    return F.when(F.size(closers) > 0,
-                  F.struct(depth["start"].alias("start"), end.alias("end")))
+
+    def bounds(rev):
+        # running depth from the right; the opener that brings it back to 0 is the start
+        depth = F.aggregate(
+            rev, F.struct(F.lit(0).alias("d"), F.lit(-1).alias("start")),
+            lambda acc, x: F.when(acc["start"] >= 0, acc).otherwise(
+                F.struct((acc["d"] + x["d"]).alias("d"),
+                         F.when((x["d"] < 0) & (acc["d"] + x["d"] == 0), x["i"])
+                         .otherwise(F.lit(-1)).alias("start"))))
+        end = F.get(F.filter(rev, lambda x: x["d"] > 0), 0)["i"]
+        return F.when(end.isNotNull(), F.struct(depth["start"].alias("start"), end.alias("end")))
+
+    return L.once(F.reverse(found), bounds)

@@ -147,8 +147,10 @@ def valid_markers(content: Column) -> Column:
         lambda a, b: F.when(a == b, a)), lambda m: m.isNotNull()))
 
     def ok(x):
+        # a line whose first character after blanks is no slash does not begin with a comment
+        plain = x["line"].rlike("^" + N.JS_SPACE + "*+[^/]")
         return (~content.startswith(x["m"]) & (F.length(x["line"]) > 0)
-                & (F.length(N.js_trim(L.remove_comments(x["line"]))) > 0))
+                & (plain | (F.length(N.js_trim(L.remove_comments(x["line"]))) > 0)))
 
     good = F.transform(F.filter(found, ok), lambda x: x["m"])
     return F.array_distinct(F.when(F.size(repeated) > 0, F.array_except(good, repeated)).otherwise(good))
@@ -189,40 +191,46 @@ def common_markers(wide: DataFrame, path: str = "path",
 
 
 def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) -> DataFrame:
-    """K3/K7 before normalisation: one row per (path, variant, ordinal) with the marker, the
-    raw ``gt``, the variant's ``tokens`` and ``stop``, the marker's token number; a file with
+    """K3/K7 before normalisation: one row per (path, variant) with the ``tokens`` of the variant
+    and its ``tasks``: marker, raw ``gt`` and ``stop``, the marker's token number; a file with
     an empty truth in any variant contributes nothing.
 
     The model input of a task is what stands before its marker without the other markers,
     so it is a prefix of the tokens and the text is tokenised once per variant.
     """
-    w = common_markers(wide, path, variants).where(F.size("common") > 0)
+    w = common_markers(wide, path, variants)
     alternatives = F.array_join(F.transform("common", quote_re), "|")
     # a file's variants stand in one row, so a truth missing in one of them is seen before the explode
     made = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text"), F.transform(
         F.slice(F.split(v, alternatives), 2, F.size("common")), _first_line).alias("lines")) for v in variants])
     whole = lambda x: (F.size(x["lines"]) == F.size("common")) & F.forall(x["lines"], lambda t: F.length(t) > 0)
     kept = F.flatten(F.filter(F.array(made), lambda e: F.forall(e, whole)))
-    rows = w.select(path, "common", F.explode(kept).alias("v"))
+    # no filter on the markers: it would be pushed below and find them twice
+    rows = w.select(path, "common", F.explode(F.when(F.size("common") > 0, kept)).alias("v"))
     rows = rows.select(path, "common", "v.variant", "v.text", F.col("v.lines").alias("__lines"))
     rows = L.with_tokens(rows, "text", "tokens").select(path, "variant", "common", "__lines", "tokens")
-    rows = rows.select(path, "variant", "tokens", F.posexplode(F.arrays_zip(
-        F.col("common").alias("marker"), F.col("__lines").alias("line"))).alias("ordinal", "t"))
-    texts = F.transform("tokens", lambda t: t["value"])
-    return rows.select(path, "variant", "ordinal", F.col("t.marker").alias("marker"),
-                       N.js_trim(L.remove_comments(F.col("t.line"))).alias("gt"), "tokens",
-                       F.array_position(texts, F.col("t.marker")).cast("int").alias("stop"))
+    rows = rows.withColumn("__texts", F.transform("tokens", lambda t: t["value"]))
+    each = F.transform(F.arrays_zip(F.col("common").alias("marker"), F.col("__lines").alias("line")), lambda t: F.struct(
+        t["marker"].alias("marker"), N.js_trim(L.remove_comments(t["line"])).alias("gt"),
+        F.array_position("__texts", t["marker"]).cast("int").alias("stop")))
+    return rows.select(path, "variant", "tokens", each.alias("tasks"))
 
 
 def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
     """K7/K8: normalised ``input`` and ``gt`` of every task for every comment class.
 
-    The five renderings of a task are one projection; the rows are exploded afterwards."""
-    head = F.slice("tokens", 1, F.greatest(F.col("stop") - 1, F.lit(0)))
-    raw = raw.withColumn("__in", head).withColumn("__gt", L.tokenize(F.col("gt")))
+    The tokens of a text are rendered once and filtered once per comment class; a task joins those
+    before its marker.  The five renderings of a task are one projection, exploded afterwards."""
+    keys = [c for c in raw.columns if c not in ("tokens", "tasks")]
+    raw = raw.select(*keys, "tasks", N.rendered(F.col("tokens"), replace_literals).alias("__shown"))
+    raw = raw.select(*keys, "tasks", *[N.class_texts(F.col("__shown"), mask).alias(f"__in_{name}") for name, mask in classes])
+    raw = raw.select(*keys, *[f"__in_{name}" for name, _ in classes], F.posexplode("tasks").alias("ordinal", "t"))
+    raw = raw.select(*keys, "ordinal", "t.marker", F.col("t.stop").alias("__stop"),
+                     *[f"__in_{name}" for name, _ in classes],
+                     N.rendered(L.tokenize(F.col("t.gt")), replace_literals).alias("__gt"))
+    head = lambda name: F.slice(f"__in_{name}", 1, F.greatest(F.col("__stop") - 1, F.lit(0)))
     grid = F.array(*[F.struct(
-        F.lit(name).alias("comments"),
-        N.preprocess_tokens(F.col("__in"), mask, replace_literals).alias("input"),
-        N.preprocess_tokens(F.col("__gt"), mask, replace_literals).alias("gt")) for name, mask in classes])
-    kept = [c for c in raw.columns if c not in ("gt", "tokens", "stop", "__in", "__gt")]
-    return raw.select(*kept, F.explode(grid).alias("c")).select(*kept, "c.comments", "c.input", "c.gt")
+        F.lit(name).alias("comments"), N.dedupe_space(F.array_join(head(name), "")).alias("input"),
+        N.class_text(F.col("__gt"), mask).alias("gt")) for name, mask in classes])
+    return raw.select(*keys, "ordinal", "marker", F.explode(grid).alias("c")).select(
+        *keys, "ordinal", "marker", "c.comments", "c.input", "c.gt")

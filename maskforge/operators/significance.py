@@ -121,7 +121,8 @@ def report(metric_long: DataFrame, planned: DataFrame, keys: list[str],
     has no row at all is listed with ``missing`` set and no figures (A2); ``significant`` is
     p <= alpha (A7).
     """
-    a, b = metric_long.alias("a"), metric_long.alias("b")
+    # the rows of a population are no small side, however small their compressed files are
+    a, b = metric_long.alias("a"), metric_long.hint("merge").alias("b")
     present = metric_long.select("population", "metric").distinct()
     small = F.broadcast(planned)  # the catalogue has a fixed number of rows
     match = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])

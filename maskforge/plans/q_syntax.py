@@ -82,7 +82,9 @@ FROM run GROUP BY path HAVING max(i) FILTER (WHERE v = '}') IS NOT NULL""")
 def p14_body_bounds(spark, sf_dir):
     """Token bounds of the last balanced braces of every file that closes one."""
     code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "toks")
-    b = code.select("path", S.function_body_bounds(F.col("toks")).alias("b")).where("b IS NOT NULL")
+    # no filter on the bounds: it would be pushed below and tokenise every file again
+    found = F.filter(F.array(S.function_body_bounds(F.col("toks"))), lambda b: b.isNotNull())
+    b = code.select("path", F.explode(found).alias("b"))
     return b.select("path", F.when(F.col("b.start") >= 0, F.col("b.start")).alias("body_start"),
                     F.col("b.end").alias("body_end"))
 
