@@ -153,7 +153,7 @@ def valid_markers(content: Column) -> Column:
                 & (plain | (F.length(N.js_trim(L.remove_comments(x["line"]))) > 0)))
 
     good = F.transform(F.filter(found, ok), lambda x: x["m"])
-    return F.array_distinct(F.when(F.size(repeated) > 0, F.array_except(good, repeated)).otherwise(good))
+    return F.array_distinct(F.array_except(good, repeated))
 
 
 def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
@@ -183,11 +183,14 @@ def test_files(files: DataFrame, path: str = "path") -> DataFrame:
 def common_markers(wide: DataFrame, path: str = "path",
                    variants=C.TYPE_VARIANTS) -> DataFrame:
     """K2-K6: per file, markers valid in every variant, capped at NUM_MARKERS."""
-    valid = [valid_markers(F.col(v)) for v in variants]
-    common = valid[0]
-    for v in valid[1:]:
-        common = F.array_intersect(common, v)
-    return wide.withColumn("common", cap_markers(F.col(path), common))
+    names = wide.columns
+    for v in variants:
+        wide = L.held(wide, f"__valid_{v}", valid_markers(F.col(v)))
+    common = F.col(f"__valid_{variants[0]}")
+    for v in variants[1:]:
+        common = F.array_intersect(common, f"__valid_{v}")
+    wide = L.held(wide, "__common", common)
+    return L.held(wide, "common", cap_markers(F.col(path), F.col("__common"))).select(*names, "common")
 
 
 def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) -> DataFrame:
@@ -209,7 +212,7 @@ def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) ->
     rows = w.select(path, "common", F.explode(F.when(F.size("common") > 0, kept)).alias("v"))
     rows = rows.select(path, "common", "v.variant", "v.text", F.col("v.lines").alias("__lines"))
     rows = L.with_tokens(rows, "text", "tokens").select(path, "variant", "common", "__lines", "tokens")
-    rows = rows.withColumn("__texts", F.transform("tokens", lambda t: t["value"]))
+    rows = L.held(rows, "__texts", F.transform("tokens", lambda t: t["value"]))
     each = F.transform(F.arrays_zip(F.col("common").alias("marker"), F.col("__lines").alias("line")), lambda t: F.struct(
         t["marker"].alias("marker"), N.js_trim(L.remove_comments(t["line"])).alias("gt"),
         F.array_position("__texts", t["marker"]).cast("int").alias("stop")))
@@ -222,12 +225,12 @@ def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASS
     The tokens of a text are rendered once and filtered once per comment class; a task joins those
     before its marker.  The five renderings of a task are one projection, exploded afterwards."""
     keys = [c for c in raw.columns if c not in ("tokens", "tasks")]
-    raw = raw.select(*keys, "tasks", N.rendered(F.col("tokens"), replace_literals).alias("__shown"))
+    raw = L.held(raw, "__shown", N.rendered(F.col("tokens"), replace_literals))
     raw = raw.select(*keys, "tasks", *[N.class_texts(F.col("__shown"), mask).alias(f"__in_{name}") for name, mask in classes])
     raw = raw.select(*keys, *[f"__in_{name}" for name, _ in classes], F.posexplode("tasks").alias("ordinal", "t"))
     raw = raw.select(*keys, "ordinal", "t.marker", F.col("t.stop").alias("__stop"),
-                     *[f"__in_{name}" for name, _ in classes],
-                     N.rendered(L.tokenize(F.col("t.gt")), replace_literals).alias("__gt"))
+                     *[f"__in_{name}" for name, _ in classes], F.col("t.gt").alias("__truth"))
+    raw = L.held(raw, "__gt", N.rendered(L.tokenize(F.col("__truth")), replace_literals))
     head = lambda name: F.slice(f"__in_{name}", 1, F.greatest(F.col("__stop") - 1, F.lit(0)))
     grid = F.array(*[F.struct(
         F.lit(name).alias("comments"), N.dedupe_space(F.array_join(head(name), "")).alias("input"),

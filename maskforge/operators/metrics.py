@@ -196,10 +196,11 @@ def score(pairs: DataFrame, single_token: bool = False) -> DataFrame:
     ``empty`` + five metrics (null when ``empty``, E11).
     """
     keys = [c for c in pairs.columns if c not in ("gt", "prediction", "input")]
-    pp = pairs.select(*keys, N.postprocess(F.col("gt")).alias("gt"),
-                      N.postprocess(F.col("prediction")).alias("prediction"))
-    tk = pp.select(*keys, "gt", "prediction", token_texts(F.col("gt")).alias("gtt"),
-                   token_texts(F.col("prediction")).alias("prt"))
+    pp = pairs.select(*keys, "gt", "prediction")
+    for side in ("gt", "prediction"):
+        pp = L.held(pp, f"__{side}", N.postprocess(F.col(side)))
+    tk = pp.select(*keys, F.col("__gt").alias("gt"), F.col("__prediction").alias("prediction"))
+    tk = L.held(L.held(tk, "gtt", token_texts(F.col("gt"))), "prt", token_texts(F.col("prediction")))
     if single_token:  # E10
         tk = tk.select(*keys, F.slice("gtt", 1, 1).alias("gtt"), F.slice("prt", 1, 1).alias("prt"))
         tk = tk.select(*keys, F.array_join("gtt", "").alias("gt"),

@@ -35,7 +35,7 @@ def with_slots(df: DataFrame, text: str) -> DataFrame:
     ``function`` with a bracket somewhere after it has a slot for each parameter up to the
     closing bracket, annotated alike, and one for its return type, which counts as given when
     any colon comes later."""
-    df = L.folded(df, text, "__text").withColumn("__code", slot_code(F.col("__text"))).drop("__text")
+    df = L.held(L.folded(df, text, "__text"), "__code", slot_code(F.col("__text"))).drop("__text")
     code = F.col("__code")
     between = F.regexp_extract_all(code, F.lit(r"F(?=[^(]*\(([^)]*))"), F.lit(1))
     params = F.flatten(F.transform(F.filter(between, lambda b: b != ""), lambda b: F.split(b, ",")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskforge.functions import lexer as L
 from maskforge.operators import curation as D
 from maskforge.plans import duck as Q
 from maskforge.plans.registry import register
@@ -54,9 +55,8 @@ def d7_code_stats(spark, sf_dir):
 
     Only variable declarations are counted here; ``d10_type_slots`` counts functions too.
     """
-    code = T.code_corpus(spark, sf_dir).select(
-        F.lit("normal").alias("variant"), "content",
-        D.significant_tokens(F.col("content")).alias("toks"))
+    code = T.code_corpus(spark, sf_dir).select(F.lit("normal").alias("variant"), "content")
+    code = L.held(code, "toks", D.significant_tokens(F.col("content")))
     slots = D.declaration_slots(F.col("toks"))
     per_file = code.select("variant", "content", slots["decls"].alias("decls"),
                            slots["annotated"].alias("annotated"))

@@ -112,9 +112,9 @@ def p15_sequences(spark, sf_dir):
     it, and its parts between semicolons."""
     code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "t")
     head = Q15.typed_prefix(F.col("t"), _PREFIX)
-    b = code.select("path", "t", F.get(head, 2)["value"].alias("first_word"),
-                    Q15.between(F.col("t"), (L.PUNCTUATOR, "("), (L.PUNCTUATOR, ")")).alias("b"),
-                    Q15.split_on(F.col("t"), L.PUNCTUATOR, ";").alias("s"))
+    b = code.select("path", "t", F.get(head, 2)["value"].alias("first_word"))
+    b = L.held(b, "b", Q15.between(F.col("t"), (L.PUNCTUATOR, "("), (L.PUNCTUATOR, ")")))
+    b = L.held(b, "s", Q15.split_on(F.col("t"), L.PUNCTUATOR, ";"))
     b = b.withColumn("a", Q15.inner(F.col("t"), F.col("b")))
     last = F.element_at("s", -1)
     return b.select("path", "first_word", F.col("b.left").alias("bracket_left"), F.col("b.right").alias("bracket_right"),

@@ -81,8 +81,8 @@ FROM (SELECT path, comments, """ + Q.preprocess("content", "preserved", True) +
 def p11_preprocess(spark, sf_dir):
     """Whole normalisation (templates, comment class filter, whitespace and
     newline dedupe, literal masking) of every file for all five comment classes."""
-    code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "toks").select(
-        "path", N.rendered(F.col("toks"), True).alias("shown"))
+    code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "toks")
+    code = L.held(code, "shown", N.rendered(F.col("toks"), True)).select("path", "shown")
     grid = F.array(*[F.struct(F.lit(name).alias("comments"), N.class_text(F.col("shown"), mask).alias("s"))
                      for name, mask in C.COMMENT_CLASSES])
     s = code.select("path", F.explode(grid).alias("c")).select("path", "c.comments", "c.s")
