@@ -75,19 +75,30 @@ def replace_templates(tokens: Column) -> Column:
     ).otherwise(t))
 
 
+def _render_as(cls: str, v: Column, replace_literals: bool) -> Column:
+    """P4 and P10 for one token text of class ``cls``, with boundary sentinels on whitespace and newlines."""
+    if cls == L.WHITESPACE:
+        return F.concat(F.lit(WS_MARK), v)
+    if cls == L.LINE_TERMINATOR:
+        return F.concat(F.lit(LT_MARK), F.lit("<EOL>") if replace_literals else v)
+    if cls == L.TEMPLATE_STRING:
+        return F.lit("`<STR_LIT>`" if replace_literals else "``")
+    if replace_literals:
+        if cls in (L.STRING, L.NO_SUB_TEMPLATE):
+            return F.concat(F.substring(v, 1, 1), F.lit("<STR_LIT>"), F.substring(v, -1, 1))
+        if cls == L.MULTI_LINE_COMMENT:
+            return F.replace(v, F.lit("\n"), F.lit("<EOL>"))
+        if cls == L.NUMBER:
+            return F.lit("<NUM_LIT>")
+    return v
+
+
 def _render(tok: Column, replace_literals: bool) -> Column:
-    """P4 and P10 for one token, with boundary sentinels on whitespace and newlines."""
+    """:func:`_render_as` for a token whose class is a value."""
     t, v = tok["type"], tok["value"]
-    lt = F.lit("<EOL>") if replace_literals else v
-    out = (F.when(t == L.WHITESPACE, F.concat(F.lit(WS_MARK), v))
-           .when(t == L.LINE_TERMINATOR, F.concat(F.lit(LT_MARK), lt))
-           .when(t == L.TEMPLATE_STRING, F.lit("`<STR_LIT>`" if replace_literals else "``")))
-    if replace_literals:
-        out = (out
-               .when(t.isin(L.STRING, L.NO_SUB_TEMPLATE),
-                     F.concat(F.substring(v, 1, 1), F.lit("<STR_LIT>"), F.substring(v, -1, 1)))
-               .when(t == L.MULTI_LINE_COMMENT, F.replace(v, F.lit("\n"), F.lit("<EOL>")))
-               .when(t == L.NUMBER, F.lit("<NUM_LIT>")))
+    out = F
+    for cls in (L.WHITESPACE, L.LINE_TERMINATOR, L.TEMPLATE_STRING, L.STRING, L.NO_SUB_TEMPLATE, L.MULTI_LINE_COMMENT, L.NUMBER):
+        out = out.when(t == cls, _render_as(cls, v, replace_literals))
     return out.otherwise(v)
 
 
@@ -115,17 +126,38 @@ def class_texts(shown: Column, preserved: int) -> Column:
     return F.transform(shown, lambda x: F.when((x["kind"] == _KEPT) | ~x["kind"].isin(*dropped), x["text"]).otherwise(F.lit("")))
 
 
-def dedupe_space(sentinel_text: Column) -> Column:
-    """P8 then P9 over sentinel text, then strip the sentinels."""
+def dedupe_space(sentinel_text: Column, source: Column | None = None) -> Column:
+    """P8 then P9 over sentinel text, then strip the sentinels; of a ``source`` text without these
+    characters every one in its sentinel text is a sentinel."""
     s = F.regexp_replace(sentinel_text, P8_PATTERN, "$1$2")
     s = F.regexp_replace(s, P9_PATTERN, "$1")
+    if source is None:
+        return _stripped(s)
+    own = source.contains(WS_MARK) | source.contains(LT_MARK)
+    return L.once(s, lambda x: F.when(own, _stripped(x)).otherwise(
+        F.replace(F.replace(x, F.lit(WS_MARK), F.lit("")), F.lit(LT_MARK), F.lit(""))))
+
+
+def _stripped(s: Column) -> Column:
     # a sentinel stands right before its token; the same characters of a text never do
     return F.regexp_replace(s, _J_WS + r"(?=[\t\x0B\f\uFEFF\p{Zs}])|" + _J_LT + "(?=" + _J_LT_BODY + ")", "")
 
 
 def preprocess(text: Column, preserved: int | Column, replace_literals: bool) -> Column:
-    """P1 -> P4 -> P6 -> P8 -> P9 -> P10 in one projection."""
-    return preprocess_tokens(L.tokenize(text), preserved, replace_literals)
+    """P1 -> P4 -> P6 -> P8 -> P9 -> P10 in one projection.
+
+    A token's class is known where its first characters are told apart, so it is rendered there."""
+    def shown(v):
+        def one(cls):
+            tok = F.struct(F.lit(cls).alias("type"), v.alias("value"))
+            text = _render_as(cls, v, replace_literals)
+            if cls in (L.SINGLE_LINE_COMMENT, L.MULTI_LINE_COMMENT):
+                text = F.when(keep_comment_class(tok, preserved), text).otherwise(F.lit(""))
+            return text
+
+        return L.classify(v, one)
+
+    return dedupe_space(F.array_join(F.transform(L.token_values(text), shown), ""), F.coalesce(text, F.lit("")))
 
 
 def preprocess_tokens(tokens: Column, preserved: int | Column, replace_literals: bool) -> Column:
@@ -160,13 +192,12 @@ def postprocess(code: Column, compat_bos_cut: bool = False) -> Column:
     c = F.when(pos > 0, c.substr(pos + F.lit(skip), F.length(c))).otherwise(c)
     end = F.instr(c, "</s>")
     c = F.when(end > 0, c.substr(F.lit(1), end - F.lit(1))).otherwise(c)
-    toks = F.filter(L.tokenize(c),
-                    lambda t: ~t["type"].isin(L.SINGLE_LINE_COMMENT, L.MULTI_LINE_COMMENT))
-    c = F.array_join(F.transform(toks, lambda t: (
-        F.when(t["type"] == L.NUMBER, F.lit("0"))
-        .when(t["type"].isin(L.STRING, L.NO_SUB_TEMPLATE), F.lit('""'))
-        .when(t["type"] == L.WHITESPACE, F.lit(" "))
-        .otherwise(t["value"]))), "")
+    def plain(v):
+        shown = {L.NUMBER: "0", L.STRING: '""', L.NO_SUB_TEMPLATE: '""', L.WHITESPACE: " ",
+                 L.SINGLE_LINE_COMMENT: "", L.MULTI_LINE_COMMENT: ""}
+        return L.classify(v, lambda cls: F.lit(shown[cls]) if cls in shown else v)
+
+    c = F.array_join(F.transform(L.token_values(c), plain), "")
     c = F.regexp_replace(c, "['\"`]<STR_LIT>['\"`]", '""')
     c = F.replace(c, F.lit("<NUM_LIT>"), F.lit("0"))
     c = F.regexp_replace(c, JS_SPACE + "+", " ")

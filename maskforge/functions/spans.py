@@ -10,6 +10,7 @@ JVM extracts; the UDF returns span bounds, and the JVM regroups the tokens.
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ CLOSERS = "}>])"
 TERMINATORS = "=,;"
 # ---------------------------------------------------------------------------
 RELEVANT = tuple(OPENERS + CLOSERS + TERMINATORS + ":")
+_STEP = dict.fromkeys(RELEVANT, 0) | {c: 1 << 32 * i for i, c in enumerate(OPENERS)} | {
+    c: -(1 << 32 * i) for i, c in enumerate(CLOSERS)}
 
 
 def fold_spans(idx, vals) -> list[int]:
@@ -38,30 +41,24 @@ def fold_spans(idx, vals) -> list[int]:
     plus the difference of running totals; the place that brings all to zero is looked up
     among the terminators by its running total.
     """
-    total = [(0, 0, 0, 0)]
-    for v in vals:
-        now = list(total[-1])
-        if v in OPENERS:
-            now[OPENERS.index(v)] += 1
-        elif v in CLOSERS:
-            now[CLOSERS.index(v)] -= 1
-        total.append(tuple(now))
-    ends: dict[tuple, list[int]] = {}
+    # the four depths are fields of one number, so they add up together
+    total = list(accumulate(map(_STEP.__getitem__, vals), initial=0))
+    ends: dict[int, list[int]] = {}
     for m, v in enumerate(vals):
         if v in TERMINATORS:
             ends.setdefault(total[m], []).append(m)
     out: list[int] = []
-    depth, after = (0, 0, 0, 0), 0
+    depth, after = 0, 0
     for k, v in enumerate(vals):
         if v != ":" or k < after:
             continue
-        found = ends.get(tuple(t - d for t, d in zip(total[k], depth)), ())
+        found = ends.get(total[k] - depth, ())
         at = bisect_right(found, k)
         if at < len(found):
             out += (int(idx[k]), int(idx[found[at]]) - 1)
-            depth, after = (0, 0, 0, 0), found[at]
+            depth, after = 0, found[at]
         else:
-            depth = tuple(d + e - t for d, e, t in zip(depth, total[-1], total[k]))
+            depth += total[-1] - total[k]
     return out
 
 
@@ -77,6 +74,7 @@ def span_heads(n: int, spans: list[int]) -> np.ndarray:
 
 #: a token as one character: its bracket or terminator, a line end, maskable or other
 MASKABLE_CODE, OTHER_CODE, LINE_CODE = "m", "o", "n"
+_PLAIN_CODES = MASKABLE_CODE + OTHER_CODE + LINE_CODE
 
 
 def token_code(tok: Column) -> Column:
@@ -85,9 +83,21 @@ def token_code(tok: Column) -> Column:
             .when(L.is_maskable(tok), F.lit(MASKABLE_CODE)).otherwise(F.lit(OTHER_CODE)))
 
 
+def value_code(v: Column) -> Column:
+    """:func:`token_code` of a token text; its class is not named on the way."""
+    def code(cls):
+        if cls == L.PUNCTUATOR:
+            return F.when(v.isin(*RELEVANT), v).otherwise(F.lit(MASKABLE_CODE))
+        return F.lit(LINE_CODE if cls == L.LINE_TERMINATOR else MASKABLE_CODE if cls in L.MASKABLE else OTHER_CODE)
+
+    return L.classify(v, code)
+
+
 def code_spans(code: str) -> list[int]:
     """Spans of a token-code string."""
-    idx = [i for i, c in enumerate(code) if c in RELEVANT]
+    if ":" not in code:
+        return []
+    idx = [i for i, c in enumerate(code) if c not in _PLAIN_CODES]
     return fold_spans(idx, [code[i] for i in idx])
 
 
@@ -98,9 +108,8 @@ def _heads_udf(code: pd.Series) -> pd.Series:
 
 def with_token_codes(df, content: str, values: str, codes: str):
     """Token texts of ``content`` and one character per token."""
-    df = L.with_tokens(df, content, "__tk")
-    return (df.withColumn(values, F.transform("__tk", lambda t: t["value"]))
-            .withColumn(codes, F.array_join(F.transform("__tk", token_code), "")).drop("__tk"))
+    df = L.with_token_values(df, content, values)
+    return df.withColumn(codes, F.array_join(F.transform(values, value_code), ""))
 
 
 def with_grouped_tokens(df, content: str, out: str):

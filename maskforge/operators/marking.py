@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from hashlib import md5
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ def hash_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("-", *[c.cast("string") for c in cols]))
 
 
-def _md5(*parts) -> str:
-    return md5("-".join(map(str, parts)).encode()).hexdigest()
+#: a token inside a potential-type span, not its first
+_INSIDE = "x"
 
 
 def marked_places(path: str, code: str) -> tuple[int, int, list[int]]:
@@ -52,31 +51,45 @@ def marked_places(path: str, code: str) -> tuple[int, int, list[int]]:
     """
     if not code:
         return 0, 0, []
-    chars = np.frombuffer(code.encode("ascii"), np.uint8)
-    heads = S.span_heads(len(chars), S.code_spans(code))
-    token = np.flatnonzero(heads >= 0)            # grouped tokens: their first raw token
-    plain = heads[token] == token
-    kind = np.where(plain, chars[token], ord(S.OTHER_CODE))
-    # a span of a single token is a group of its own too: it starts with a colon
-    for s, e in zip(*[iter(S.code_spans(code))] * 2):
-        if s == e:
-            kind[np.searchsorted(token, s)] = ord(S.OTHER_CODE)
-    inner = np.arange(1, len(token) - 1)
-    ends = inner[kind[inner] == ord(S.LINE_CODE)] if len(inner) else inner
-    lines, suitable, begin = 0, [], 1
-    other = (ord(S.OTHER_CODE), ord(S.LINE_CODE))
-    for end in ends.tolist():
-        if end > begin:
+    spans = S.code_spans(code)
+    first, last = 1, len(code) - 1
+    if spans:
+        # a span becomes one token of another class, its other tokens are passed over
+        parts, at = [], 0
+        for s, e in zip(spans[::2], spans[1::2]):
+            parts += (code[at:s], S.OTHER_CODE, _INSIDE * (e - s))
+            at = e + 1
+        code = "".join(parts) + code[at:]
+        first = spans[1] + 1 if spans[0] == 0 else first
+        last = spans[-2] if spans[-1] == last else last
+    lines, suitable, begin = 0, [], first
+    # what stands behind the last line end is no line
+    for piece in code[first:last].split(S.LINE_CODE)[:-1]:
+        if piece:
             lines += 1
-            fit = [i for i in range(begin, end) if kind[i] not in other]
-            if fit:
-                suitable.append(fit)
-        begin = end + 1
+            if piece.strip(S.OTHER_CODE + _INSIDE):
+                suitable.append((begin, piece))
+        begin += len(piece) + 1
     n = len(suitable)
     count = min(max(int(n * C.LINE_MASK_CHANCE), 1), n)
-    chosen = sorted(sorted(range(n), key=lambda k: (_md5(path, SEED, "line", k), k))[:count])
-    picks = [min(suitable[k], key=lambda i: (_md5(path, SEED, "token", k, i), i)) for k in chosen]
-    return lines, n, [int(token[i]) for i in picks]
+    key = f"{path}-{SEED}-line-".encode()
+    chosen = sorted(sorted((md5(key + b"%d" % k).digest(), k) for k in range(n))[:count], key=lambda x: x[1])
+    picks = []
+    for _, k in chosen:
+        begin, piece = suitable[k]
+        # tokens are numbered with a span as one
+        number = begin - code.count(_INSIDE, 0, begin)
+        key, best = f"{path}-{SEED}-token-{k}-".encode(), None
+        for at, c in enumerate(piece, begin):
+            if c == _INSIDE:
+                continue
+            if c != S.OTHER_CODE:
+                found = md5(key + b"%d" % number).digest()
+                if best is None or found < best[0]:
+                    best = found, at
+            number += 1
+        picks.append(best[1])
+    return lines, n, picks
 
 
 _PLACES = T.StructType([T.StructField("lines", T.IntegerType()), T.StructField("suitable", T.IntegerType()),

@@ -16,8 +16,8 @@ CODE = f"WITH code AS ({T.duck_code_corpus_cte()})"
 
 
 def _class_counts(df, by: str, text: str):
-    toks = df.select(by, F.explode(F.transform(L.tokenize(F.col(text)), lambda t: t["type"]))
-                     .alias("type"))
+    # a class is found in a row of its own: compiled code, where a function over an array is not
+    toks = df.select(by, F.explode(L.token_values(F.col(text))).alias("v")).select(by, L.classify(F.col("v")).alias("type"))
     # partial (map-side) aggregation leaves one row per (group, class) per task
     return toks.groupBy(by, "type").agg(F.count(F.lit(1)).alias("tokens"))
 
@@ -51,9 +51,8 @@ FROM c GROUP BY 1""")
 def p5_comment_classes(spark, sf_dir):
     """P5: comments per class (single-line, multi-line, docblock, marker)."""
     code = L.folded(T.code_corpus(spark, sf_dir), "content", "content")
-    com = code.select(F.explode(F.filter(L.tokenize(F.col("content")), lambda t: t["type"].isin(
-        L.MULTI_LINE_COMMENT, L.SINGLE_LINE_COMMENT))).alias("t"))
-    t = F.col("t")
+    com = code.select(F.explode(F.filter(L.token_values(F.col("content")), L.is_comment)).alias("v"))
+    t = F.struct(L.classify(F.col("v")).alias("type"), F.col("v").alias("value"))
     cls = (F.when(t["type"] == L.SINGLE_LINE_COMMENT, "single_line")
            .when(N.is_marker_comment(t), "marker")
            .when(N.is_docblock(t), "docblock").otherwise("multi_line"))
