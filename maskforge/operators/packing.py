@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.operators import ordered
 
@@ -84,6 +85,9 @@ def padded_samples(df: DataFrame, tokens: str, word_starts: str, size: int, pad:
     def bounds(n: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         out = []
         for length, b, a in zip(n, before, after):
+            if b is None:  # short of a full sample
+                out.append([{"start": 0, "stop": int(length)}] if length > 0 else [])
+                continue
             places = np.concatenate([np.asarray(b, np.int64), np.asarray(a, np.int64)])
             cuts = np.concatenate([np.asarray(b, np.int64), np.asarray(a, np.int64) + 1])
             order = np.argsort(places, kind="stable")
@@ -91,9 +95,11 @@ def padded_samples(df: DataFrame, tokens: str, word_starts: str, size: int, pad:
             out.append([{"start": s, "stop": e} for s, e in found])
         return pd.Series(out)
 
-    df = df.withColumn("__after", _where(F.col(tokens), lambda t: t.isin(*specials)))
-    df = df.withColumn("__bos", _where(F.col(tokens), lambda t: t == bos))
-    df = df.withColumn("__before", F.array_except(F.array_union(word_starts, "__bos"), "__after"))
+    # only a full sample is cut, so a row that fills none needs no places
+    full = F.size(tokens) >= size
+    df = df.withColumn("__after", F.when(full, _where(F.col(tokens), lambda t: t.isin(*specials))))
+    df = df.withColumn("__bos", F.when(full, _where(F.col(tokens), lambda t: t == bos)))
+    df = df.withColumn("__before", F.when(full, F.array_except(F.array_union(word_starts, "__bos"), "__after")))
     df = df.select("*", F.posexplode(bounds(F.size(tokens), "__before", "__after")).alias("block", "__b"))
     cut = F.slice(tokens, F.col("__b.start") + 1, F.col("__b.stop") - F.col("__b.start"))
     return df.withColumn("sample", F.concat(cut, F.array_repeat(F.lit(pad), F.lit(size) - F.size(cut)))).drop(
@@ -108,7 +114,9 @@ def packed_blocks(df: DataFrame, order: str, tokens: str, size: int, shards: int
     document contributes one slice to each block it touches, so a block gathers ``size``
     tokens and no more.
     """
-    sized = df.select(order, F.col(tokens).alias("__t"), F.size(tokens).cast("long").alias("__n")).where("__n > 0")
+    # held: the filter on their number would be pushed below and make the tokens twice
+    sized = L.held(df.select(order, F.col(tokens).alias("__t")), "__t", F.col("__t"))
+    sized = sized.select(order, "__t", F.size("__t").cast("long").alias("__n")).where("__n > 0")
     sized = ordered.stage(sized.withColumn("__row", F.monotonically_increasing_id()), "token-rows")
     # only numbers are ranged and added up; the tokens move once, to their places
     places = ordered.cumulative(sized.select(order, "__row", "__n"), [], [order, "__row"], sums=["__n"])
