@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.functions.stem import stem
+from maskforge.session import small_batches
 
 
 def lcs_len(a, b) -> int:
@@ -141,6 +142,7 @@ def with_meteor(pairs: DataFrame, keys: list[str], ref: str, hyp: str, synonyms:
     groups come back as one array per pair, so the table may be of any size.  ``keys`` name a pair;
     rows that repeat them must agree in their words.
     """
+    small_batches(pairs.sparkSession)
     if synonyms is None:
         none = F.lit(None).cast("array<struct<word:string,groups:array<string>>>")
         return pairs.withColumn(out, _meteor_udf(ref, hyp, none))
