@@ -55,14 +55,14 @@ _ID_PART = r"$_\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\u200C\u200D"
 
 _MLC = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|/\*[\s\S]*+"
 _SLC = r"//[^\n\r\u2028\u2029]*+"
-_STR = (r""""(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*+"?"""
-        r"""|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+'?""")
-_TCH = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))"
+_STR = (r""""(?:[^"\\\n\r]++|\\(?:\r\n|[\s\S]))*+"?"""
+        r"""|'(?:[^'\\\n\r]++|\\(?:\r\n|[\s\S]))*+'?""")
+_TCH = r"(?:[^`\\$]++|\\[\s\S]|\$(?!\{))"
 _T0 = r"`" + _TCH + r"*+`?"
 
 
 def _sub(inner_template: str) -> str:
-    body = r"""[^{}`"']|""" + _STR + "|" + inner_template
+    body = r"""[^{}`"']++|""" + _STR + "|" + inner_template
     return r"\$\{(?:" + body + r"|\{(?:" + body + r")*+\})*+\}"
 
 
@@ -140,7 +140,7 @@ def _jumps() -> templates.Patterns:
     """The template automaton's patterns, from the same pieces."""
     signs = _PUNCT_HEAD + ".]"  # braces are places where the automaton stops
     return templates.Patterns(_no_operand(signs) + _BETWEEN + _RE, _BETWEEN, "(?:" + _WS + "|" + _LT + ")*+", _RE,
-                              [_MLC, _SLC, _STR, _NUM, _PRIV, _IDENT, signs, _WS, _LT])
+                              [_MLC, _SLC, _STR], [_NUM, _PRIV, _IDENT, signs, _WS, _LT])
 
 
 _JUMPS = _jumps()

@@ -42,12 +42,12 @@ def p2_template_groups(spark, sf_dir):
     them stays apart."""
     code = _lines(spark, sf_dir, flag="l_returnflag", depth=_DEPTH, nested=_NESTED)
     text = F.concat(F.lit("let a = '`', b = "), F.col("nested"), F.lit(" + \"${\" + ``; f('}`');"))
-    toks = L.with_tokens(code.withColumn("text", text), "text", "toks")
-    templates = F.filter("toks", lambda t: t["type"].isin(L.TEMPLATE_STRING, L.NO_SUB_TEMPLATE))
+    toks = L.with_token_values(L.held(code, "text", text), "text", "toks")
+    of_class = lambda *names: F.filter("toks", lambda v: L.classify(v, lambda name: F.lit(name in names)))
+    toks = L.held(toks.select("flag", "depth", "toks"), "templates", of_class(L.TEMPLATE_STRING, L.NO_SUB_TEMPLATE))
     per = toks.select(
-        "flag", "depth", F.size(templates).alias("n"),
-        F.length(F.array_join(F.transform(templates, lambda t: t["value"]), "")).alias("chars"),
-        F.size(F.filter("toks", lambda t: t["type"] == L.STRING)).alias("strings"))
+        "flag", "depth", F.size("templates").alias("n"), F.length(F.array_join("templates", "")).alias("chars"),
+        F.size(of_class(L.STRING)).alias("strings"))
     return per.groupBy("flag", "depth").agg(
         F.count(F.lit(1)).alias("files"), F.sum("n").alias("templates"), F.sum("chars").alias("template_chars"),
         F.sum("strings").alias("strings_outside"))
@@ -65,7 +65,7 @@ def p4_template_replace(spark, sf_dir):
                     " CAST(l_partkey AS STRING), '); // `$', '{', chr(10))")
     files = code.groupBy("path").agg(F.collect_list(F.struct("o", "t")).alias("ls"))
     text = F.array_join(F.transform(F.array_sort("ls"), lambda x: x["t"]), "")
-    plain = files.select("path", F.size("ls").cast("bigint").alias("lines"), text.alias("text"))
+    plain = L.held(files.select("path", "ls", F.size("ls").cast("bigint").alias("lines")), "text", text).drop("ls")
     clean = L.folded(plain, "text", "text").select("path", "lines", N.preprocess(F.col("text"), 0, True).alias("s"))
     return clean.select("path", "lines", F.md5(F.regexp_replace("s", " <EOL>", "<EOL>")).alias("digest"))
 
