@@ -232,11 +232,12 @@ def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) ->
     return rows.select(path, "variant", "tokens", each.alias("tasks"))
 
 
-def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
-    """K7/K8: normalised ``input`` and ``gt`` of every task for every comment class.
+def task_grids(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
+    """K7/K8 with a row per task: ``grid`` has its ``comments``, normalised ``input`` and ``gt`` of every
+    comment class.
 
     The tokens of a text are rendered once and filtered once per comment class; a task joins those
-    before its marker.  The five renderings of a task are one projection, exploded afterwards."""
+    before its marker."""
     keys = [c for c in raw.columns if c not in ("tokens", "tasks")]
     raw = L.held(raw, "__shown", N.rendered(F.col("tokens"), replace_literals))
     raw = raw.select(*keys, "tasks", *[N.class_texts(F.col("__shown"), mask).alias(f"__in_{name}") for name, mask in classes])
@@ -248,5 +249,11 @@ def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASS
     grid = F.array(*[F.struct(
         F.lit(name).alias("comments"), N.dedupe_space(F.array_join(head(name), "")).alias("input"),
         N.class_text(F.col("__gt"), mask).alias("gt")) for name, mask in classes])
-    return raw.select(*keys, "ordinal", "marker", F.explode(grid).alias("c")).select(
-        *keys, "ordinal", "marker", "c.comments", "c.input", "c.gt")
+    return raw.select(*keys, "ordinal", "marker", grid.alias("grid"))
+
+
+def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
+    """K7/K8: normalised ``input`` and ``gt`` of every task for every comment class."""
+    grids = task_grids(raw, replace_literals, classes)
+    keys = [c for c in grids.columns if c != "grid"]
+    return grids.select(*keys, F.explode("grid").alias("c")).select(*keys, "c.comments", "c.input", "c.gt")

@@ -217,6 +217,18 @@ def score(pairs: DataFrame, single_token: bool = False) -> DataFrame:
           for c in ("levenshtein", "bleu", "rouge", "meteor")])
 
 
+def score_members(groups: DataFrame, members: str, single_token: bool = False) -> DataFrame:
+    """:func:`score` of rows whose ``members`` are an array of ``STRUCT<name, gt, prediction>``: one
+    metric row per member, with its ``name``.  Equal pairs of a row are scored once."""
+    keys = [c for c in groups.columns if c != members]
+    once = F.array_distinct(F.transform(members, lambda m: F.struct(m["gt"].alias("gt"), m["prediction"].alias("prediction"))))
+    rows = L.held(groups, members, F.col(members)).select(*keys, members, F.explode(once).alias("__pair"))
+    names = F.transform(F.filter(members, lambda m: m["gt"].eqNullSafe(F.col("__pair.gt"))
+                                 & m["prediction"].eqNullSafe(F.col("__pair.prediction"))), lambda m: m["name"])
+    rows = score(rows.select(*keys, names.alias("__names"), "__pair.gt", "__pair.prediction"), single_token)
+    return rows.select(*keys, F.explode("__names").alias("name"), *[c for c in rows.columns if c not in (*keys, "__names")])
+
+
 def averages(metric_rows: DataFrame, by: list[str]) -> DataFrame:
     """Mean over non-empty rows x 100, rounded half-even to 2 decimals."""
     return metric_rows.groupBy(*by).agg(

@@ -207,10 +207,12 @@ def task_metric_rows(spark, sf_dir, single_token: bool = False):
     by first token, scored once and written to the shared folder."""
     from maskforge.operators import marking as K
     raw = K.raw_tasks(K.variant_frame(K.test_files(T.code_corpus(spark, sf_dir))))
-    t = K.tasks(raw, replace_literals=True)
-    pr = t.select("path", "ordinal", F.concat_ws("-", "variant", "comments").alias("dataset"),
-                  "gt", E.last_line_baseline(F.col("input")).alias("prediction"))
-    return ordered.stage(E.score(pr, single_token), "metric-rows")
+    t = K.task_grids(raw, replace_literals=True)
+    # most comment classes of a task agree, so a task's classes stand in one row
+    pr = t.select("path", "ordinal", F.transform("grid", lambda c: F.struct(
+        F.concat_ws("-", "variant", c["comments"]).alias("name"), c["gt"].alias("gt"),
+        E.last_line_baseline(c["input"]).alias("prediction"))).alias("members"))
+    return ordered.stage(E.score_members(pr, "members", single_token).withColumnRenamed("name", "dataset"), "metric-rows")
 
 
 @register("e14_task_leaderboard")
