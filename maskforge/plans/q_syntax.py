@@ -163,7 +163,5 @@ SELECT l_orderkey AS path, md5(string_agg({_line_sql(1)}, '' ORDER BY l_linenumb
 FROM lineitem GROUP BY 1""")
 def d12_untyped(spark, sf_dir):
     """Files with generic, function, object and conditional types, untyped."""
-    code = _lines(spark, sf_dir, path="l_orderkey", o="struct(l_linenumber, l_partkey, l_suppkey)", t=_line_sql(0))
-    files = code.groupBy("path").agg(F.collect_list(F.struct("o", "t")).alias("ls"))
-    text = files.select("path", F.array_join(F.transform(F.array_sort("ls"), lambda x: x["t"]), "").alias("text"))
-    return untype.with_untyped(text, "text", "untyped").select("path", F.md5("untyped").alias("digest"))
+    files = T.line_files(spark, sf_dir, _line_sql(0), "text")
+    return untype.with_untyped(L.held(files, "text", F.col("text")), "text", "untyped").select("path", F.md5("untyped").alias("digest"))

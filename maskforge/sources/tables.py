@@ -7,6 +7,7 @@ Catalyst can push filters into it.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,19 +65,39 @@ CODE_REPOS = 20
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code(path BIGINT, repo STRING, content STRING)``: the ``normal`` variant."""
-    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
-              "l_suppkey", "l_returnflag", "l_linestatus")
-    lines = li.select(
-        "l_orderkey",
-        F.struct("l_linenumber", "l_partkey", "l_suppkey",
-                 F.expr(CODE_LINE_SQL).alias("t")).alias("ln"),
-    )
-    files = lines.groupBy("l_orderkey").agg(F.collect_list("ln").alias("ls"))
-    return files.select(
-        F.col("l_orderkey").alias("path"),
-        (F.col("l_orderkey") % CODE_REPOS).cast("string").alias("repo"),
-        F.array_join(F.transform(F.array_sort("ls"), lambda x: x["t"]), "").alias("content"),
-    )
+    return line_files(spark, sf_dir, CODE_LINE_SQL, "content").select(
+        "path", (F.col("path") % CODE_REPOS).cast("string").alias("repo"), "content")
+
+
+#: bytes of lines, as Spark estimates them, whose texts one task makes
+PART_BYTES = 1 << 20
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts to deal ``df`` into: one for each ``PART_BYTES``, as many as there are cores at least and as the
+    session's shuffle partitions at most.  Texts take many times the room of the rows they are made
+    of, so the parts that follow from the size of the shuffle are too few."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, size // PART_BYTES)))
+
+
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
+LINE_COLUMNS = (*LINE_ORDER, "l_returnflag", "l_linestatus")
+
+
+def line_files(spark: SparkSession, sf_dir: str, line_sql: str, out: str) -> DataFrame:
+    """``(path, out)``: per l_orderkey the texts ``line_sql`` makes of its lineitem rows, joined in their order.
+
+    Rows are grouped by their columns and the texts made afterwards, so no text is shuffled or sorted."""
+    columns = [c for c in LINE_COLUMNS if c in LINE_ORDER or c in line_sql]
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", *columns)
+    files = li.repartition(parts_of(li), "l_orderkey").groupBy(F.col("l_orderkey").alias("path")).agg(
+        F.collect_list(F.struct(*columns)).alias("ls"))
+    line = re.sub(r"\bl_orderkey\b", "path", re.sub("|".join(rf"\b{c}\b" for c in columns), r"x.\g<0>", line_sql))
+    made = F.expr(f"transform(ls, x -> struct(x.l_linenumber, x.l_partkey, x.l_suppkey, {line} AS t))")
+    return files.select("path", F.array_join(F.transform(F.array_sort(made), lambda x: x["t"]), "").alias(out))
 
 
 def duck_code_corpus_cte() -> str:
