@@ -93,6 +93,13 @@ def value_code(v: Column) -> Column:
     return L.classify(v, code)
 
 
+def value_codes():
+    """:func:`value_code` of whole token arrays, in Python."""
+    from maskforge.functions import values as V
+    classes = {c: LINE_CODE if c == L.LINE_TERMINATOR else MASKABLE_CODE if c in L.MASKABLE else OTHER_CODE for c in V.CLASSES}
+    return V.Codes({v: v for v in RELEVANT}, classes)
+
+
 def code_spans(code: str) -> list[int]:
     """Spans of a token-code string."""
     if ":" not in code:
@@ -106,12 +113,6 @@ def _heads_udf(code: pd.Series) -> pd.Series:
     return pd.Series([span_heads(len(c), code_spans(c)).astype(np.int32) for c in code])
 
 
-def with_token_codes(df, content: str, values: str, codes: str):
-    """Token texts of ``content`` and one character per token."""
-    df = L.with_token_values(df, content, values)
-    return df.withColumn(codes, F.array_join(F.transform(values, value_code), ""))
-
-
 def with_grouped_tokens(df, content: str, out: str):
     """``out``, the tokens of ``content`` with each potential-type span as one token."""
     df = L.with_tokens(df, content, "__tk")

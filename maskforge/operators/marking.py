@@ -12,9 +12,13 @@ partition-independent and reproducible in any engine.
 
 from __future__ import annotations
 
+import re
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +28,12 @@ from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
 from maskforge.functions import spans as S
 from maskforge.functions import untype
-from maskforge.operators import ordered, sampling
+from maskforge.functions import values as V
+from maskforge.operators import sampling
+from maskforge.session import small_batches
 
 SEED = str(C.RANDOM_SEED)
 _MARK = r"(?:/\*<marker:\d+>\*/)?"
-_LINE_END = r"^[^\n\r\u2028\u2029]+"
 
 
 def hash_key(*parts: Column | str) -> Column:
@@ -92,19 +97,45 @@ def marked_places(path: str, code: str) -> tuple[int, int, list[int]]:
     return lines, n, picks
 
 
+_CODES = S.value_codes()
 _PLACES = T.StructType([T.StructField("lines", T.IntegerType()), T.StructField("suitable", T.IntegerType()),
                         T.StructField("picks", T.ArrayType(T.IntegerType()))])
 
 
 @F.pandas_udf(_PLACES)
-def _places_udf(path: pd.Series, code: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([marked_places(p, c) for p, c in zip(path, code)], columns=["lines", "suitable", "picks"])
+def _places_udf(path: pd.Series, values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([marked_places(p, _CODES.of(v)) for p, v in zip(path, values)], columns=["lines", "suitable", "picks"])
 
 
 def line_places(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``df`` with ``__values`` (token texts) and ``__places`` (see :func:`marked_places`)."""
-    df = S.with_token_codes(df, content, "__values", "__code")
-    return df.withColumn("__places", _places_udf(F.col(path).cast("string"), F.col("__code"))).drop("__code")
+    small_batches(df.sparkSession)
+    df = L.with_token_values(df, content, "__values")
+    return df.withColumn("__places", _places_udf(F.col(path).cast("string"), F.col("__values")))
+
+
+def marked_text(values, picks: list[int]) -> str:
+    """The text of ``values`` with a numbered marker before each picked token."""
+    parts, last = [], 0
+    for i, at in enumerate(picks):
+        parts += values[last:at]
+        parts.append(C.MARKER_TEMPLATE.format(i=i))
+        last = at
+    parts += values[last:]
+    return "".join(parts)
+
+
+_MARKED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
+
+
+@F.pandas_udf(_MARKED)
+def _marked_udf(path: pd.Series, values: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, v in zip(path, values):
+        v = list(v)
+        picks = marked_places(p, _CODES.of(v))[2]
+        rows.append((marked_text(v, picks), len(picks)))
+    return pd.DataFrame(rows, columns=["text", "n"])
 
 
 def add_markers(df: DataFrame, path: str = "path", content: str = "content",
@@ -113,17 +144,12 @@ def add_markers(df: DataFrame, path: str = "path", content: str = "content",
     ``clamp(1, n, floor(0.4 n))`` of the n lines that have a maskable token.
 
     Markers are numbered from 0 in document order.  Adds ``out`` (marked text) and
-    ``n_markers``.  The text is joined from the token slices between the markers.
+    ``n_markers``.  Places are found and the text is joined where the tokens are read.
     """
-    df = line_places(df, path, content)
-    picks = F.col("__places.picks")
-    n = F.size("__values")
-    starts = F.concat(F.array(F.lit(0)), picks)
-    stops = F.concat(picks, F.array(n))
-    parts = F.zip_with(starts, stops, lambda a, b: F.array_join(F.slice("__values", a + 1, b - a), ""))
-    marked = F.array_join(F.transform(parts, lambda p, j: F.when(j == 0, p).otherwise(
-        F.concat(F.lit("/*<marker:"), (j - 1).cast("string"), F.lit(">*/"), p))), "")
-    return (df.withColumn(out, marked).withColumn("n_markers", F.size(picks)).drop("__values", "__places"))
+    small_batches(df.sparkSession)
+    df = L.with_token_values(df, content, "__values")
+    df = df.withColumn("__marked", _marked_udf(F.col(path).cast("string"), F.col("__values")))
+    return df.withColumn(out, F.col("__marked.text")).withColumn("n_markers", F.col("__marked.n")).drop("__values", "__marked")
 
 
 def add_annotations_for_corpus(text: Column) -> Column:
@@ -134,58 +160,91 @@ def add_annotations_for_corpus(text: Column) -> Column:
     return F.regexp_replace(t, r"(, " + _MARK + r"b)(" + _MARK + r"\))", "$1: number$2: string")
 
 
-def quote_re(s: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))
+_MARKER = re.compile(r"/\*<marker:[0-9]+>\*/")
+_MARKER_AT = re.compile(r"(?=(/\*<marker:[0-9]+>\*/))")
+_LINE = re.compile(r"[^\n\r\u2028\u2029]*+")
+#: a line of blanks and comments alone
+_NO_CODE = re.compile(N.JS_SPACE + r"*+(?:(?:/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/" + N.JS_SPACE + r"*+)*+(?:/[*/].*+)?+)", re.S)
+
 
+def valid_names(content: str) -> list[str]:
+    """:func:`valid_markers` of one text."""
+    found, seen, repeated = [], set(), set()
+    for m in _MARKER.finditer(content):
+        name = m[0]
+        (repeated if name in seen else seen).add(name)
+        line = _LINE.match(content, m.end())[0]
+        if line and not content.startswith(name) and not _NO_CODE.fullmatch(line):
+            found.append(name)
+    return [m for m in dict.fromkeys(found) if m not in repeated]
 
-def _first_line(part: Column) -> Column:
-    return F.regexp_extract(part, _LINE_END, 0)
+
+def capped(path: str | None, common: list[str], k: int = C.NUM_MARKERS) -> list[str]:
+    """K6: at most ``k`` markers per file, hash-chosen, original order kept."""
+    if len(common) <= k:
+        return common
+    head = "" if path is None else path + "-"
+    ranked = sorted(range(len(common)), key=lambda i: (md5(f"{head}{SEED}-{common[i]}".encode()).hexdigest(), i))
+    return [common[i] for i in sorted(ranked[:k])]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _valid_udf(content: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else valid_names(c) for c in content], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _common_udf(path: pd.Series, *variants: pd.Series) -> pd.Series:
+    out = []
+    for p, first, *others in zip(path, *variants):
+        if first is None or None in others:
+            out.append(None)
+            continue
+        common = valid_names(first)
+        for text in others:
+            also = set(valid_names(text))
+            common = [m for m in common if m in also]
+        out.append(capped(p, common))
+    return pd.Series(out, dtype=object)
+
+
+def truth_lines(text: str, common: list[str]) -> list[str] | None:
+    """The line after each of the ``common`` markers in order of the text, cut at the next of them; None where
+    a marker is not found once or a line is empty."""
+    known, places = set(common), []
+    last = 0
+    for m in _MARKER_AT.finditer(text):
+        if m[1] in known and m.start() >= last:
+            last = m.end(1)
+            places.append((m.start(), last))
+    if len(places) != len(common):
+        return None
+    ends = [s for s, _ in places[1:]] + [len(text)]
+    lines = [_LINE.match(text, begin, end)[0] for (_, begin), end in zip(places, ends)]
+    return lines if all(lines) else None
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _truths_udf(common: pd.Series, *variants: pd.Series) -> pd.Series:
+    out = []
+    for names, *texts in zip(common, *variants):
+        # a file's variants stand in one row, so a truth missing in one of them is seen before the explode
+        each = [truth_lines(t, list(names)) for t in texts] if names is not None and len(names) else [None]
+        out.append(None if None in each else each)
+    return pd.Series(out, dtype=object)
 
 
 def valid_markers(content: Column) -> Column:
     """K2-K4: distinct markers that occur once, with a non-empty left context and
-    a non-empty ground truth (first line after it, comments removed, trimmed).
-
-    Markers and the lines after them are read in one pass (the line is a look-ahead, so
-    it may hold the next marker)."""
-    pattern = F.lit("(" + C.MARKER_PATTERN + r")(?=([^\n\r\u2028\u2029]*))")
-    names = F.regexp_extract_all(content, pattern, F.lit(1))
-    lines = F.regexp_extract_all(content, pattern, F.lit(2))
-    found = F.zip_with(names, lines, lambda m, line: F.struct(m.alias("m"), line.alias("line")))
-    # a name that occurs again anywhere is sorted next to itself
-    ordered_names = F.array_sort(names)
-    repeated = F.array_distinct(F.filter(F.zip_with(
-        F.slice(ordered_names, 1, F.greatest(F.size(names) - 1, F.lit(0))),
-        F.slice(ordered_names, 2, F.greatest(F.size(names) - 1, F.lit(0))),
-        lambda a, b: F.when(a == b, a)), lambda m: m.isNotNull()))
-
-    def ok(x):
-        # a line whose first character after blanks is no slash does not begin with a comment
-        plain = x["line"].rlike("^" + N.JS_SPACE + "*+[^/]")
-        return (~content.startswith(x["m"]) & (F.length(x["line"]) > 0)
-                & (plain | (F.length(N.js_trim(L.remove_comments(x["line"]))) > 0)))
-
-    good = F.transform(F.filter(found, ok), lambda x: x["m"])
-    return F.array_distinct(F.array_except(good, repeated))
-
-
-def cap_markers(path: Column, common: Column, k: int = C.NUM_MARKERS) -> Column:
-    """K6: at most ``k`` markers per file, hash-chosen, original order kept."""
-    ranked = F.array_sort(F.transform(common, lambda m, i: F.struct(
-        hash_key(path, SEED, m).alias("h"), i.alias("i"), m.alias("m"))))
-    kept = F.array_sort(F.transform(F.slice(ranked, 1, k),
-                                    lambda x: F.struct(x["i"].alias("i"), x["m"].alias("m"))))
-    return F.when(F.size(common) > k, F.transform(kept, lambda x: x["m"])).otherwise(common)
+    a non-empty ground truth (first line after it, comments removed, trimmed)."""
+    return _valid_udf(content)
 
 
 def variant_frame(spark_df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants, written
-    once to the shared folder (the marked text is read by several lambdas below)."""
-    # the marked text is written before it is tokenised again, so it is joined once
-    marked = ordered.stage(add_markers(spark_df, path, content, "normal").select(path, "normal"), "marked")
-    m = untype.with_untyped(marked, "normal", "untyped")
-    return ordered.stage(m.select(path, "normal", add_annotations_for_corpus(F.col("normal")).alias("explicit"),
-                                  "untyped"), "variants")
+    """Marked ``normal`` text plus derived ``explicit`` and ``untyped`` variants, in one pass over the files."""
+    marked = add_markers(spark_df, path, content, "normal").select(path, "normal")
+    wide = untype.with_untyped(L.held(marked, "normal", F.col("normal")), "normal", "untyped")
+    return L.held(wide, "explicit", add_annotations_for_corpus(F.col("normal"))).select(path, "normal", "explicit", "untyped")
 
 
 def test_files(files: DataFrame, path: str = "path") -> DataFrame:
@@ -196,60 +255,94 @@ def test_files(files: DataFrame, path: str = "path") -> DataFrame:
 def common_markers(wide: DataFrame, path: str = "path",
                    variants=C.TYPE_VARIANTS) -> DataFrame:
     """K2-K6: per file, markers valid in every variant, capped at NUM_MARKERS."""
-    names = wide.columns
-    for v in variants:
-        wide = L.held(wide, f"__valid_{v}", valid_markers(F.col(v)))
-    common = F.col(f"__valid_{variants[0]}")
-    for v in variants[1:]:
-        common = F.array_intersect(common, f"__valid_{v}")
-    wide = L.held(wide, "__common", common)
-    return L.held(wide, "common", cap_markers(F.col(path), F.col("__common"))).select(*names, "common")
+    small_batches(wide.sparkSession)
+    return wide.withColumn("common", _common_udf(F.col(path).cast("string"), *[F.col(v) for v in variants]))
 
 
 def raw_tasks(wide: DataFrame, path: str = "path", variants=C.TYPE_VARIANTS) -> DataFrame:
-    """K3/K7 before normalisation: one row per (path, variant) with the ``tokens`` of the variant
-    and its ``tasks``: marker, raw ``gt`` and ``stop``, the marker's token number; a file with
-    an empty truth in any variant contributes nothing.
+    """K3/K7 before normalisation: one row per (path, variant) with the token texts ``tokens`` of the variant,
+    its ``markers`` and the token texts of their raw ground ``truths``; a file with an empty truth in any
+    variant contributes nothing.
 
     The model input of a task is what stands before its marker without the other markers,
     so it is a prefix of the tokens and the text is tokenised once per variant.
     """
     w = common_markers(wide, path, variants)
-    alternatives = F.array_join(F.transform("common", quote_re), "|")
-    # a file's variants stand in one row, so a truth missing in one of them is seen before the explode
-    made = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text"), F.transform(
-        F.slice(F.split(v, alternatives), 2, F.size("common")), _first_line).alias("lines")) for v in variants])
-    whole = lambda x: (F.size(x["lines"]) == F.size("common")) & F.forall(x["lines"], lambda t: F.length(t) > 0)
-    kept = F.flatten(F.filter(F.array(made), lambda e: F.forall(e, whole)))
-    # no filter on the markers: it would be pushed below and find them twice
-    rows = w.select(path, "common", F.explode(F.when(F.size("common") > 0, kept)).alias("v"))
-    rows = rows.select(path, "common", "v.variant", "v.text", F.col("v.lines").alias("__lines"))
-    rows = L.with_tokens(rows, "text", "tokens").select(path, "variant", "common", "__lines", "tokens")
-    rows = L.held(rows, "__texts", F.transform("tokens", lambda t: t["value"]))
-    each = F.transform(F.arrays_zip(F.col("common").alias("marker"), F.col("__lines").alias("line")), lambda t: F.struct(
-        t["marker"].alias("marker"), N.js_trim(L.remove_comments(t["line"])).alias("gt"),
-        F.array_position("__texts", t["marker"]).cast("int").alias("stop")))
-    return rows.select(path, "variant", "tokens", each.alias("tasks"))
+    w = w.withColumn("__lines", _truths_udf(F.col("common"), *[F.col(v) for v in variants]))
+    made = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("text"), F.get("__lines", i).alias("lines"))
+                     for i, v in enumerate(variants)])
+    rows = w.select(path, F.col("common").alias("markers"), F.explode(F.when(F.col("__lines").isNotNull(), made)).alias("v"))
+    rows = rows.select(path, "v.variant", "markers", F.col("v.text").alias("__text"), F.col("v.lines").alias("__lines"))
+    rows = L.with_token_values(rows, "__text", "tokens").drop("__text")
+
+    def truth(line):  # a line without a slash has no comment
+        return N.js_trim(F.when(line.contains("/"), L.remove_comments(line)).otherwise(line))
+
+    rows = L.held(rows, "__gts", F.transform("__lines", truth))
+    return L.held(rows, "truths", F.transform("__gts", L.token_values)).select(path, "variant", "tokens", "markers", "truths")
+
+
+#: characters of tasks in one Arrow batch that goes back to the JVM
+_OUT_CHARS = 4 << 20
+
+
+def _text_lists(column) -> list[list[str]]:
+    """A list column of texts, row by row."""
+    flat, ends = column.flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return [flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _grid_rows(tokens: list[str], markers: list[str], truths, literals: bool, masks) -> list[tuple[int, str, list[str]]]:
+    """``(ordinal, marker, inputs and truths by class)`` of every task of a text."""
+    places: dict[str, int] = {}
+    for i, v in enumerate(tokens):
+        if v.startswith("/*<"):
+            places.setdefault(v, i)
+    inputs = V.ClassTexts(tokens, literals, masks).heads([places.get(m, 0) for m in markers])
+    return [(j, m, [*[texts[j] for texts in inputs], *V.ClassTexts(truths[j], literals, masks).whole()])
+            for j, m in enumerate(markers)]
 
 
 def task_grids(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
     """K7/K8 with a row per task: ``grid`` has its ``comments``, normalised ``input`` and ``gt`` of every
     comment class.
 
-    The tokens of a text are rendered once and filtered once per comment class; a task joins those
-    before its marker."""
-    keys = [c for c in raw.columns if c not in ("tokens", "tasks")]
-    raw = L.held(raw, "__shown", N.rendered(F.col("tokens"), replace_literals))
-    raw = raw.select(*keys, "tasks", *[N.class_texts(F.col("__shown"), mask).alias(f"__in_{name}") for name, mask in classes])
-    raw = raw.select(*keys, *[f"__in_{name}" for name, _ in classes], F.posexplode("tasks").alias("ordinal", "t"))
-    raw = raw.select(*keys, "ordinal", "t.marker", F.col("t.stop").alias("__stop"),
-                     *[f"__in_{name}" for name, _ in classes], F.col("t.gt").alias("__truth"))
-    raw = L.held(raw, "__gt", N.rendered(L.tokenize(F.col("__truth")), replace_literals))
-    head = lambda name: F.slice(f"__in_{name}", 1, F.greatest(F.col("__stop") - 1, F.lit(0)))
-    grid = F.array(*[F.struct(
-        F.lit(name).alias("comments"), N.dedupe_space(F.array_join(head(name), "")).alias("input"),
-        N.class_text(F.col("__gt"), mask).alias("gt")) for name, mask in classes])
-    return raw.select(*keys, "ordinal", "marker", grid.alias("grid"))
+    The tokens of a text are rendered once and filtered once per comment class; the input of a task is what the
+    tokens before its marker make of that.  Rows go back in batches of some ``_OUT_CHARS``."""
+    small_batches(raw.sparkSession)
+    keys = [c for c in raw.columns if c not in ("tokens", "markers", "truths")]
+    masks = [mask for _, mask in classes]
+    schema = T.StructType([raw.schema[c] for c in keys] + [
+        T.StructField("ordinal", T.IntegerType()), T.StructField("marker", T.StringType()),
+        T.StructField("__texts", T.ArrayType(T.StringType()))])
+
+    def made(batch, rows):
+        at = pa.array([r for r, _ in rows], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(c).take(at) for c in keys] + [
+                pa.array([t[0] for _, t in rows], pa.int32()), pa.array([t[1] for _, t in rows], pa.string()),
+                pa.array([t[2] for _, t in rows], pa.list_(pa.string()))], names=[*keys, "ordinal", "marker", "__texts"])
+
+    def run(batches):
+        for batch in batches:
+            column = {c: batch.column(c) for c in ("tokens", "markers", "truths")}
+            truths = iter(_text_lists(column["truths"].flatten()))
+            rows, chars = [], 0
+            for r, (tokens, markers) in enumerate(zip(_text_lists(column["tokens"]), _text_lists(column["markers"]))):
+                for task in _grid_rows(tokens, markers, [next(truths) for _ in markers], replace_literals, masks):
+                    rows.append((r, task))
+                    chars += sum(map(len, task[2]))
+                    if chars > _OUT_CHARS:
+                        yield made(batch, rows)
+                        rows, chars = [], 0
+            if rows:
+                yield made(batch, rows)
+
+    grids = raw.mapInArrow(run, schema)
+    texts, n = F.col("__texts"), len(classes)
+    grid = F.array(*[F.struct(F.lit(name).alias("comments"), F.get(texts, i).alias("input"), F.get(texts, n + i).alias("gt"))
+                     for i, (name, _) in enumerate(classes)])
+    return grids.select(*keys, "ordinal", "marker", grid.alias("grid"))
 
 
 def tasks(raw: DataFrame, replace_literals: bool = True, classes=C.COMMENT_CLASSES) -> DataFrame:
