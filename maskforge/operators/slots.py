@@ -7,11 +7,15 @@ counting is a few regular-expression scans in the JVM.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskforge.functions import lexer as L
+from maskforge.functions import values as V
 from maskforge.operators import ordered
+from maskforge.session import small_batches
 
 _NAME = "[iVF]"
 
@@ -28,6 +32,20 @@ def slot_code(text: Column) -> Column:
     return F.array_join(F.transform(L.tokenize(text), code), "")
 
 
+def _codes() -> V.Codes:
+    """:func:`slot_code` of whole token arrays, in Python."""
+    classes = dict.fromkeys(V.CLASSES, "o") | {L.WHITESPACE: "", L.LINE_TERMINATOR: "", L.IDENTIFIER: "i"}
+    return V.Codes({c: c for c in ":,()"} | dict.fromkeys(("const", "let", "var"), "V") | {"function": "F"}, classes)
+
+
+_CODES = _codes()
+
+
+@F.pandas_udf(T.StringType())
+def _code_udf(values: pd.Series) -> pd.Series:
+    return pd.Series([_CODES.of(v) for v in values], dtype=object)
+
+
 def with_slots(df: DataFrame, text: str) -> DataFrame:
     """Adds ``potential`` and ``annotations``.
 
@@ -35,7 +53,8 @@ def with_slots(df: DataFrame, text: str) -> DataFrame:
     ``function`` with a bracket somewhere after it has a slot for each parameter up to the
     closing bracket, annotated alike, and one for its return type, which counts as given when
     any colon comes later."""
-    df = L.held(L.folded(df, text, "__text"), "__code", slot_code(F.col("__text"))).drop("__text")
+    small_batches(df.sparkSession)
+    df = L.with_token_values(df, text, "__values").withColumn("__code", _code_udf("__values")).drop("__values")
     code = F.col("__code")
     between = F.regexp_extract_all(code, F.lit(r"F(?=[^(]*\(([^)]*))"), F.lit(1))
     params = F.flatten(F.transform(F.filter(between, lambda b: b != ""), lambda b: F.split(b, ",")))
