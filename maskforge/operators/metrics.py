@@ -9,11 +9,9 @@ dynamic programme or greedy alignment; they run in one Arrow-batched pandas UDF
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import reduce
 from operator import and_
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,14 +56,24 @@ def bleu4(ref, hyp) -> float:
     """Sentence BLEU-4, one reference; add-one smoothing on n >= 2 only; 0 without
     a unigram match; brevity penalty exp(1 - r/c) when c < r."""
     ref, hyp = list(ref), list(hyp)
-    nums, dens = [], []
+    nums = []
     for n in range(1, 5):
-        h = Counter(tuple(hyp[i:i + n]) for i in range(len(hyp) - n + 1))
-        r = Counter(tuple(ref[i:i + n]) for i in range(len(ref) - n + 1))
-        nums.append(sum(min(c, r[g]) for g, c in h.items()))
-        dens.append(max(1, sum(h.values())))
-    if nums[0] == 0:
-        return 0.0
+        if n > 1 and not nums[-1]:
+            nums.append(0)  # without a common gram there is no longer one
+            continue
+        r: dict = {}
+        for g in zip(*[ref[i:] for i in range(n)]):
+            r[g] = r.get(g, 0) + 1
+        found = 0
+        for g in zip(*[hyp[i:] for i in range(n)]):
+            left = r.get(g)
+            if left:
+                found += 1
+                r[g] = left - 1
+        nums.append(found)
+        if not found and n == 1:
+            return 0.0
+    dens = [max(1, len(hyp) - n) for n in range(4)]
     c, rl = len(hyp), len(ref)
     bp = 1.0 if c > rl else (0.0 if c == 0 else math.exp(1 - rl / c))
     logs = [math.log(nums[0] / dens[0])]
@@ -73,20 +81,22 @@ def bleu4(ref, hyp) -> float:
     return bp * math.exp(sum(0.25 * x for x in logs))
 
 
-def _paired(hyp: list, ref: list, to: np.ndarray) -> None:
+def _paired(hyp: list, ref: list, to: list[int], keys) -> None:
     """One alignment stage: free words with an equal key are paired, later words first, each with
-    the last free place of its key.  A word may have several keys."""
+    the last free place of its key.  ``keys`` gives a word's keys; it may have several."""
     free: dict = {}
-    taken = set(to[to >= 0].tolist())
-    for place, keys in enumerate(ref):
+    taken = {place for place in to if place >= 0}
+    for place, word in enumerate(ref):
         if place not in taken:
-            for key in keys:
+            for key in keys(word):
                 free.setdefault(key, []).append(place)
+    if not free:
+        return
     for place in range(len(hyp) - 1, -1, -1):
         if to[place] >= 0:
             continue
         best = -1
-        for key in hyp[place]:
+        for key in keys(hyp[place]):
             places = free.get(key, [])
             while places and places[-1] in taken:
                 places.pop()
@@ -96,6 +106,19 @@ def _paired(hyp: list, ref: list, to: np.ndarray) -> None:
             taken.add(best)
 
 
+def _same_words(hyp: list, ref: list) -> list[int]:
+    """The stage of equal words: a word has one key, so places are taken from the end of its list."""
+    free: dict = {}
+    for place, word in enumerate(ref):
+        free.setdefault(word, []).append(place)
+    to = [-2] * len(hyp)
+    for place in range(len(hyp) - 1, -1, -1):
+        places = free.get(hyp[place])
+        if places:
+            to[place] = places.pop()
+    return to
+
+
 def meteor(ref, hyp, synonyms: dict | None = None, stems: bool = True, alpha=0.9, beta=3.0, gamma=0.5) -> float:
     """METEOR of lower-cased words, aligned in stages: equal words, then equal stems, then words
     that share a synonym group.  A stage pairs what the stages before left free; the fragmentation
@@ -104,20 +127,25 @@ def meteor(ref, hyp, synonyms: dict | None = None, stems: bool = True, alpha=0.9
     if len(hyp) == 0 or len(ref) == 0:
         return 0.0
     hyp, ref = [w.lower() for w in hyp], [w.lower() for w in ref]
-    to = np.full(len(hyp), -2, np.int64)
-    _paired([(w,) for w in hyp], [(w,) for w in ref], to)
-    if stems and (to < 0).any():
-        _paired([(stem(w),) for w in hyp], [(stem(w),) for w in ref], to)
-    if synonyms and (to < 0).any():
-        _paired([synonyms.get(w, ()) for w in hyp], [synonyms.get(w, ()) for w in ref], to)
-    matched = np.flatnonzero(to >= 0)
-    m = len(matched)
+    to = _same_words(hyp, ref)
+    if stems and min(to) < 0:
+        _paired(hyp, ref, to, lambda w: (stem(w),))
+    if synonyms and min(to) < 0:
+        _paired(hyp, ref, to, lambda w: synonyms.get(w, ()))
+    m = joined = 0
+    last = -9
+    for place in to:
+        if place >= 0:
+            m += 1
+            joined += place == last + 1
+            last = place
+        else:
+            last = -9
     if m == 0:
         return 0.0
     p, rc = m / len(hyp), m / len(ref)
     fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    joined = (np.diff(matched) == 1) & (np.diff(to[matched]) == 1)
-    return float((1 - gamma * ((m - joined.sum()) / m) ** beta) * fmean)
+    return (1 - gamma * ((m - joined) / m) ** beta) * fmean
 
 
 def meteor_exact(ref, hyp) -> float:

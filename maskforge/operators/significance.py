@@ -125,12 +125,35 @@ def report(metric_long: DataFrame, planned: DataFrame, keys: list[str],
     a, b = metric_long.alias("a"), metric_long.hint("merge").alias("b")
     present = metric_long.select("population", "metric").distinct()
     small = F.broadcast(planned)  # the catalogue has a fixed number of rows
-    match = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     joined = (a.join(small, (F.col("pop1") == F.col("a.population")) & (F.col("a.metric") == planned["metric"]))
-              .join(b, (F.col("pop2") == F.col("b.population")) & (F.col("a.metric") == F.col("b.metric")) & match)
+              .join(b, (F.col("pop2") == F.col("b.population")) & (F.col("a.metric") == F.col("b.metric")) & _matched(keys))
               .where(~F.col("a.empty") & ~F.col("b.empty"))
               .select("pop1", "pop2", F.col("a.metric").alias("metric"),
                       F.col("a.value").alias("x"), F.col("b.value").alias("y")))
+    return _figures(joined, present, planned, alpha)
+
+
+def report_rows(rows: DataFrame, planned: DataFrame, keys: list[str], metrics, alpha: float = C.SIGNIFICANCE) -> DataFrame:
+    """:func:`report` of ``rows(population, empty, <metrics>, keys...)``: a pair of rows is joined once and taken
+    apart by metric afterwards."""
+    a, b = rows.alias("a"), rows.hint("merge").alias("b")
+    present = rows.select("population").distinct().select("population", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    small = F.broadcast(planned.select("pop1", "pop2").distinct())  # fixed numbers of rows
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a.{m}").cast("double").alias("x"),
+                                F.col(f"b.{m}").cast("double").alias("y")) for m in metrics])
+    joined = (a.join(small, F.col("pop1") == F.col("a.population"))
+              .join(b, (F.col("pop2") == F.col("b.population")) & _matched(keys))
+              .where(~F.col("a.empty") & ~F.col("b.empty")).select("pop1", "pop2", F.explode(values).alias("v"))
+              .select("pop1", "pop2", "v.*").join(F.broadcast(planned), ["pop1", "pop2", "metric"]))
+    return _figures(joined, present, planned, alpha)
+
+
+def _matched(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+
+
+def _figures(joined: DataFrame, present: DataFrame, planned: DataFrame, alpha: float) -> DataFrame:
+    """The table of :func:`report` from ``joined(pop1, pop2, metric, x, y)`` and the populations ``present``."""
     joined = ordered.stage(joined, "paired")
     on = ["pop1", "pop2", "metric"]
     sizes = joined.groupBy(*on).agg(F.count(F.lit(1)).alias("pairs"))

@@ -33,19 +33,18 @@ def a5_a6_line_vs_token(spark, sf_dir):
     return A.report(ordered.stage(long, "metric-rows"), planned, ["conv_id", "turn"])
 
 
-def _long_task_rows(spark, sf_dir, metrics, single_token: bool = False):
+def _task_report(spark, sf_dir, metrics, single_token: bool = False):
+    """The comparisons over the metric rows of the fifteen test datasets."""
     from maskforge.plans.q_metrics import task_metric_rows
-    rows = task_metric_rows(spark, sf_dir, single_token)
-    long = rows.select("path", "ordinal", F.col("dataset").alias("population"), "empty", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("mv"))
-    return long.select("path", "ordinal", "population", "empty", "mv.metric", "mv.value")
+    rows = task_metric_rows(spark, sf_dir, single_token).select(
+        "path", "ordinal", F.col("dataset").alias("population"), "empty", *metrics)
+    return A.report_rows(rows, A.catalogue(spark, metrics=metrics), ["path", "ordinal"], metrics)
 
 
 @register("a1_a8_exact_match", M.significance())
 def a1_a8_exact_match(spark, sf_dir):
     """A1-A6 for exact match: the twelve comparisons over the fifteen test datasets."""
-    long = _long_task_rows(spark, sf_dir, ("exact_match",))
-    out = A.report(long, A.catalogue(spark, metrics=("exact_match",)), ["path", "ordinal"])
+    out = _task_report(spark, sf_dir, ("exact_match",))
     return out.select("pop1", "pop2", "pairs", "n", F.round("z", 6).alias("z"), F.round("delta", 9).alias("delta"))
 
 
@@ -53,8 +52,7 @@ def a1_a8_exact_match(spark, sf_dir):
 def a1_a8_significance(spark, sf_dir):
     """All twelve comparisons x five metrics over the metric rows of the fifteen
     test datasets (the previous-line baseline), missing populations listed."""
-    long = _long_task_rows(spark, sf_dir, C.METRICS)
-    out = A.report(long, A.catalogue(spark), ["path", "ordinal"])
+    out = _task_report(spark, sf_dir, C.METRICS)
     return out.select("pop1", "pop2", "metric", "pairs", F.bround("p_value", 3).alias("p"),
                       F.bround("delta", 3).alias("delta"), "significant", "missing")
 
@@ -131,5 +129,4 @@ def a5_exact_orders(spark, sf_dir):
 def a7_a8_single_token(spark, sf_dir):
     """The single-token mode's two metrics over the fifteen datasets; comparisons with
     p <= 0.05, p and delta to three decimals."""
-    long = _long_task_rows(spark, sf_dir, C.SINGLE_TOKEN_METRICS, single_token=True)
-    return A.published(A.report(long, A.catalogue(spark, metrics=C.SINGLE_TOKEN_METRICS), ["path", "ordinal"]))
+    return A.published(_task_report(spark, sf_dir, C.SINGLE_TOKEN_METRICS, single_token=True))
