@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from maskforge import config as C
 from maskforge.functions import lexer as L
 from maskforge.functions import normalize as N
+from maskforge.functions import values as V
 from maskforge.plans import duck as Q
 from maskforge.plans import duck_marking as M
 from maskforge.plans.registry import register
+from maskforge.session import small_batches
 from maskforge.sources import tables as T
 
 CODE = f"WITH code AS ({T.duck_code_corpus_cte()})"
@@ -80,10 +82,11 @@ FROM (SELECT path, comments, """ + Q.preprocess("content", "preserved", True) +
 def p11_preprocess(spark, sf_dir):
     """Whole normalisation (templates, comment class filter, whitespace and
     newline dedupe, literal masking) of every file for all five comment classes."""
-    code = L.with_tokens(T.code_corpus(spark, sf_dir), "content", "toks")
-    code = L.held(code, "shown", N.rendered(F.col("toks"), True)).select("path", "shown")
-    grid = F.array(*[F.struct(F.lit(name).alias("comments"), N.class_text(F.col("shown"), mask).alias("s"))
-                     for name, mask in C.COMMENT_CLASSES])
+    small_batches(spark)
+    code = L.with_token_values(T.code_corpus(spark, sf_dir), "content", "toks")
+    code = code.select("path", V.class_texts(F.col("toks"), True, [mask for _, mask in C.COMMENT_CLASSES]).alias("texts"))
+    grid = F.array(*[F.struct(F.lit(name).alias("comments"), F.get("texts", i).alias("s"))
+                     for i, (name, _) in enumerate(C.COMMENT_CLASSES)])
     s = code.select("path", F.explode(grid).alias("c")).select("path", "c.comments", "c.s")
     return s.select("path", "comments", F.length("s").alias("n_chars"), F.md5("s").alias("digest"))
 
